@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one round of array work covers; a longer single text is taken alone.
 BLOCK_BYTES = 1 << 20
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -33,28 +34,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared folder and read it back: lineage is cut and survives lost executors."""
+    """Write a frame to the shared folder and read it back: lineage is cut and survives lost executors.
+
+    Shuffle files that served only this write are dropped when it is done.
+    """
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_materialized(spark: SparkSession, *frames: DataFrame) -> None:
-    """Delete the files behind frames that materialize() made, once nothing reads them any more."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for frame in frames:
-        for folder in {f.rpartition("/")[0] for f in frame.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
-
-
-def text_or_empty(column: str = "text"):
-    """Null texts count as empty."""
-    return F.coalesce(F.col(column), F.lit(""))
-
-
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and 64-bit offsets of a string array; nulls are empty texts."""
     array = array.cast(pa.large_string())
@@ -115,8 +109,56 @@ class RangeHash:
         return mix(raw ^ ((end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
 
 
-def segment_lengths(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows with the given counts: each element's row, and its place in the row."""
-    rows = np.repeat(np.arange(len(counts)), counts)
-    firsts = np.cumsum(counts) - counts
-    return rows, np.arange(len(rows)) - firsts[rows]
+def signed(x: np.ndarray) -> pa.Array:
+    """Unsigned 64-bit values as the long of the same bits."""
+    return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def meeting_keys(rows: DataFrame, pairs: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], local: int = 8) -> DataFrame:
+    """key, id: all pairs whose key occurs with two ids or more.
+
+    pairs() gives for an Arrow batch its keys and the ids' rows, without repeats. The pairs are dealt
+    by key, once, and read in order of the key. Keys that `local` rows of one batch have are known to
+    meet: their pairs are dealt at random, and one stand-in goes by key to tell the others, so a very
+    frequent key sends a few rows of each batch to its task.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, row = pairs(batch)
+            order = np.argsort(key, kind="stable")
+            key, row = key[order], row[order]
+            cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            runs = np.diff(np.append(cut, len(key)))
+            stand = key[cut[runs >= local]]
+            ids = batch.column("id").take(pa.array(np.append(row, np.zeros(len(stand), np.int64))))
+            flag = np.concatenate([np.repeat(runs >= local, runs).astype(np.int8), np.full(len(stand), 2, np.int8)])
+            for a in range(0, len(ids), 1 << 18):  # rows of a batch are many more than it had
+                part = slice(a, a + (1 << 18))
+                yield pa.RecordBatch.from_arrays([signed(np.append(key, stand)[part]), ids[part], pa.array(flag[part])], names=["key", "id", "flag"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            cols = [batch.column(c).to_numpy() for c in ("key", "id", "flag")]
+            if held is not None:
+                cols = [np.append(x, y) for x, y in zip(held, cols, strict=True)]
+            last = int(np.searchsorted(cols[0], cols[0][-1], side="left")) if len(cols[0]) else 0
+            held = [c[last:] for c in cols]  # the last key may go on
+            yield _met(*(c[:last] for c in cols))
+        if held is not None:
+            yield _met(*held)
+
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    emitted = rows.mapInArrow(emit, "key long, id long, flag byte")
+    dealt = emitted.repartition(n, F.when(F.col("flag") == 1, F.xxhash64("key", "id")).otherwise(F.xxhash64("key")))
+    return dealt.sortWithinPartitions("key").mapInArrow(meet, "key long, id long")
+
+
+def _met(key: np.ndarray, ids: np.ndarray, flag: np.ndarray) -> pa.RecordBatch:
+    """Of pairs in order of the key: those known to meet, and those that do so here."""
+    cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    runs = np.diff(np.append(cut, len(key)))
+    count = np.add.reduceat((flag != 1).astype(np.int64), cut) if len(cut) else runs
+    keep = (flag == 1) | ((flag == 0) & (np.repeat(count, runs) > 1))
+    return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(ids[keep])], names=["key", "id"])

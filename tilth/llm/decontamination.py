@@ -127,31 +127,37 @@ def _kept_text(words: Words, raw: np.ndarray, off: np.ndarray, hit: np.ndarray,
     return b"".join(out).decode("utf-8", "replace")
 
 
-_SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+_SCHEMA = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def _report(ids: pa.Array, words: Words, hit: np.ndarray, found: dict[int, set[int]], share: int) -> list[pa.Array]:
+def _report(words: Words, hit: np.ndarray, found: dict[int, set[int]], share: int) -> list[pa.Array]:
     n_words = words.counts
     n_hit = np.bincount(words.row, weights=hit, minlength=len(n_words)).astype(np.int64)
     named = [",".join(sorted(map(str, found.get(r, ())))) for r in range(len(n_words))]
     return [
-        ids, pa.array(n_words.astype(np.int64)), pa.array(n_hit), pa.array([len(found.get(r, ())) for r in range(len(n_words))], pa.int64()),
+        pa.array(n_words.astype(np.int64)), pa.array(n_hit), pa.array([len(found.get(r, ())) for r in range(len(n_words))], pa.int64()),
         pa.array([hashlib.sha256(x.encode()).hexdigest() for x in named], pa.string()), pa.array((n_hit > 0) & (share * n_hit >= n_words)),
     ]
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = SHARE, spans: bool = False) -> DataFrame:
-    """Contamination figures for each row of docs; with `spans` also clean_text, the text without hit spans."""
+def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int = SHARE, spans: bool = False, carry: bool = False) -> DataFrame:
+    """Contamination figures for each row of docs; with `spans` also clean_text, the text without hit spans.
+
+    With `carry` all columns of docs stay before the figures.
+    """
     items = benchmark.select("item_id", "text").dropna().distinct()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    docs = docs.select("doc_id", "text")
-    schema = _SCHEMA + (", clean_text string" if spans else "")
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def rows(ids: pa.Array, raw: np.ndarray, off: np.ndarray, windows: Windows) -> pa.RecordBatch:
+    kept = [*docs.columns] if carry else ["doc_id"]
+    place = (kept if carry else ["doc_id", "text"]).index("text")
+    docs = docs if carry else docs.select("doc_id", "text")
+    figures = _SCHEMA + (", clean_text string" if spans else "")
+    names = [*kept, *(c.split()[0] for c in figures.split(", "))]
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept), figures])
+
+    def rows(columns: list[pa.Array], raw: np.ndarray, off: np.ndarray, windows: Windows) -> pa.RecordBatch:
         words = Words(raw, off)
         hit, found = windows.scan(words)
-        out = _report(ids, words, hit, found, share)
+        out = [*columns[: len(kept)], *_report(words, hit, found, share)]
         if spans:
             out.append(pa.array([_kept_text(words, raw, off, hit, r) for r in range(len(off) - 1)], pa.string()))
         return pa.RecordBatch.from_arrays(out, names=names)
@@ -161,15 +167,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int =
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                raw, off = text_bytes(batch.column("text"))
+                raw, off = text_bytes(batch.column(place))
                 for a, b in blocks(off):
-                    yield rows(batch.column("doc_id").slice(a, b - a), raw, off[a : b + 1], known.value)
+                    yield rows(batch.slice(a, b - a).columns, raw, off[a : b + 1], known.value)
 
         return docs.mapInArrow(run, schema)
-    return _joined(docs, items, width, rows, schema)
+    return _joined(docs, items, width, rows, schema, place)
 
 
-def _joined(docs: DataFrame, items: DataFrame, width: int, rows, schema: str) -> DataFrame:
+def _joined(docs: DataFrame, items: DataFrame, width: int, rows, schema: str, place: int) -> DataFrame:
     """scan() for a benchmark too large to broadcast: windows meet by hash in a shuffle join."""
 
     def bench(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,18 +198,19 @@ def _joined(docs: DataFrame, items: DataFrame, width: int, rows, schema: str) ->
                     key = np.unique(np.stack([words.row[at].astype(np.uint64), h[at]], 1), axis=0) if len(at) else np.zeros((0, 2), np.uint64)
                     yield pa.RecordBatch.from_arrays([batch.column("text_key").slice(a, b - a).take(pa.array(key[:, 0].astype(np.int64))), pa.array(key[:, 1].view(np.int64))], names=["text_key", "h"])
 
+    columns = docs.columns
     keyed = docs.withColumn("text_key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    hits = keyed.dropDuplicates(["text_key"]).mapInArrow(emit, "text_key string, h long").join(windows, "h")
+    hits = keyed.select("text_key", "text").dropDuplicates(["text_key"]).mapInArrow(emit, "text_key string, h long").join(windows, "h")
     found = hits.groupBy("text_key").agg(F.collect_set(F.struct("h", "width", "words", "item_id")).alias("found"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = text_bytes(batch.column("text"))
+            raw, off = text_bytes(batch.column(place))
             for r, got in enumerate(batch.column("found").to_pylist()):
                 own = Windows((g["h"] & (1 << 64) - 1, g["width"], g["words"], g["item_id"]) for g in got or ())
-                yield rows(batch.column("doc_id").slice(r, 1), raw, off[r : r + 2], own)
+                yield rows(batch.slice(r, 1).columns, raw, off[r : r + 2], own)
 
-    return keyed.join(found, "text_key", "left").select("doc_id", "text", "found").mapInArrow(run, schema)
+    return keyed.join(found, "text_key", "left").select(*columns, "found").mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,9 +6,9 @@ similarity is `similarity` or more.
 
 Equal sets are one class with the smallest doc_id for it. Sizes are cut into bands so narrow that
 linked sets lie in the same band or in neighbours; a set signs for its band and the next. Linked sets
-of a band differ in at most k features, so of k + 1 + SPARE partitions of the feature domain SPARE + 1
-at least hold the same features in both: a signature is the hash of one partition's features, and
-linked sets share one. (Partitions without features are left out where they are no more than SPARE.)
+of a band differ in at most k features, so of k + 1 + s partitions of the feature domain s + 1 at
+least hold the same features in both: a signature is the hash of one partition's features, and linked
+sets share one.
 
 Within the sets of one signature only a few pivots are compared with the rest in a round, and only
 where both are not yet known to be connected; then pivots are put aside and the next round takes more
@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilth.llm.common import RangeHash, blocks, materialize, mix, table, text_bytes
+from tilth.llm.common import RangeHash, blocks, materialize, meeting_keys, mix, table, text_bytes
 
-SPARE = 1
+TURNS = 6
 #: Pivots per signature in each round grow by this factor.
 MORE_PIVOTS = 4
 _NULL_ID = -(1 << 63)
@@ -91,30 +91,42 @@ class Bands:
 
 
 def signatures(rows: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and signatures of all sets, from their features and sizes."""
+    """Rows and signatures of all sets, from their features and sizes.
+
+    Partitions without features sign nothing while they are no more than the spare ones: of the
+    partitions that linked sets share, one has features then. Sets with more of them sign again by
+    another partition of the domain, so that two such sets meet there, and at the last by all.
+    """
     out_rows, out = [], []
     own = bands.of(sizes)
     beyond = bands.of(sizes * 100 // bands.percent) > own
     for band, signs in ((own, sizes > 0), (own + 1, (sizes > 0) & beyond)):
         k = bands.differing(np.minimum(band, len(bands.least) - 1))
-        parts = np.where(signs & (k > 0), k + 1 + SPARE, 0)  # k = 0: only equal sets link
-        base = np.cumsum(parts) - parts
-        use = parts[rows] > 0
-        r, h = rows[use], hashes[use]
-        seed = mix(band.astype(np.uint64) + np.uint64(1))[r]
-        place = base[r] + (mix(h ^ seed) % parts[r].astype(np.uint64)).astype(np.int64)
-        total = np.zeros(int(parts.sum()), np.uint64)
-        np.add.at(total, place, mix(h + seed))
-        filled = np.zeros(len(total), bool)
-        filled[place] = True
-        row = np.repeat(np.arange(len(sizes)), parts)
-        empty = np.bincount(row, weights=~filled, minlength=len(sizes))
-        part = np.arange(len(total)) - base[row]
-        signature = mix(total ^ mix((band[row].astype(np.uint64) << np.uint64(32)) + part.astype(np.uint64)))
-        give = filled | (empty > SPARE)[row]
-        out_rows.append(row[give])
-        out.append(signature[give])
-    return np.concatenate(out_rows), np.concatenate(out)
+        spare = 1 + k // 12
+        open_ = signs & (k > 0)  # k = 0: only equal sets link
+        for turn in range(TURNS):
+            parts = np.where(open_, k + 1 + spare, 0)
+            if not parts.any():
+                break
+            base = np.cumsum(parts) - parts
+            use = parts[rows] > 0
+            r, h = rows[use], hashes[use]
+            own_seed = mix(band.astype(np.uint64) * np.uint64(TURNS) + np.uint64(turn + 1))
+            seed = own_seed[r]
+            place = base[r] + (mix(h ^ seed) % parts[r].astype(np.uint64)).astype(np.int64)
+            total = np.zeros(int(parts.sum()), np.uint64)
+            np.add.at(total, place, mix(h + seed))
+            filled = np.zeros(len(total), bool)
+            filled[place] = True
+            row = np.repeat(np.arange(len(sizes)), parts)
+            few = np.bincount(row, weights=~filled, minlength=len(sizes)) <= spare
+            part = (np.arange(len(total)) - base[row]).astype(np.uint64)
+            signature = mix(total ^ mix(own_seed[row] + part))
+            give = filled if turn + 1 < TURNS else filled | ~few[row]
+            out_rows.append(row[give])
+            out.append(signature[give])
+            open_ = open_ & ~few
+    return np.concatenate([np.zeros(0, np.int64), *out_rows]), np.concatenate([np.zeros(0, np.uint64), *out])
 
 
 def signed_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -185,9 +197,12 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     sets = materialize(signed_sets(docs, width, percent))
     classes = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("rep"))
     reps = sets.select("doc", "sigs").join(classes.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
-    signed = reps.select("doc", F.explode("sigs").alias("sig"))
-    shared = signed.groupBy("sig").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi")
-    members = materialize(signed.join(shared, "sig", "left_semi").distinct())
+
+    def own_signatures(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        lists = batch.column("sigs")
+        return lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+
+    members = materialize(meeting_keys(reps.select(F.col("doc").alias("id"), "sigs"), own_signatures).select(F.col("key").alias("sig"), F.col("id").alias("doc")))
     texts = materialize(docs.join(members.select("doc").distinct(), "doc", "left_semi"))
 
     # the first round: each document against the smallest pivot of its signatures

@@ -159,11 +159,15 @@ def learn(docs: DataFrame) -> dict[str, bytes]:
     return {lang: symbols(*text_bytes(pa.array([" ".join(parts)])))[0].tobytes() for lang, parts in texts.items()}
 
 
-def identify(docs: DataFrame, texts: dict[str, bytes]) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and phrase_rate (phrases per symbol of the winner) for each row of docs."""
+def identify(docs: DataFrame, texts: dict[str, bytes], carry: bool = False) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, phrase_rate (phrases per symbol of the winner) and n_symbols for each row of docs.
+
+    With `carry` all columns of docs stay before them, but for held_out.
+    """
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(texts)
-    names = ["doc_id", "held_out", "lang_pred", "score", "phrase_rate"]
+    kept = [*docs.columns] if carry else ["doc_id", "held_out"]
+    names = [*kept, "lang_pred", "score", "phrase_rate", "n_symbols"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = hash(tuple(sorted(model.value.items())))
@@ -173,8 +177,8 @@ def identify(docs: DataFrame, texts: dict[str, bytes]) -> DataFrame:
         parser = _PARSERS[key]
         langs = np.array([*parser.langs, UNDETERMINED], object)
         for batch in batches:
-            raw, off = text_bytes(batch.column("low"))
-            letters = batch.column("letters").to_numpy(zero_copy_only=False)
+            raw, off = text_bytes(batch.column(len(kept) + 1))
+            letters = batch.column(len(kept)).to_numpy(zero_copy_only=False)
             for a, b in blocks(off, 4 << 20):
                 sym, at = symbols(raw, off[a : b + 1])
                 size = np.maximum(np.diff(at), 1)
@@ -188,12 +192,15 @@ def identify(docs: DataFrame, texts: dict[str, bytes]) -> DataFrame:
                     best, rate, score = np.zeros(b - a, int), np.ones(b - a), np.zeros(b - a)
                 ok = letters[a:b].astype(bool) & (len(parser.langs) > 0) & (np.diff(at) > 0)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(a, b - a), batch.column("held_out").slice(a, b - a), pa.array(langs[np.where(ok, best, len(langs) - 1)], pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(np.where(ok, rate, 1.0))],
+                    [*(batch.column(i).slice(a, b - a) for i in range(len(kept))), pa.array(langs[np.where(ok, best, len(langs) - 1)], pa.string()), pa.array(np.where(ok, score, 0.0)), pa.array(np.where(ok, rate, 1.0)), pa.array(np.diff(at))],
                     names=names,
                 )
 
-    rows = docs.select("doc_id", held_out().alias("held_out"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"), F.lower("text").alias("low"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, phrase_rate double")
+    rows = docs if carry else docs.select("doc_id", held_out().alias("held_out"), "text")
+    low, letters = F.lower("text"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    rows = rows.select(*(F.col(f"`{c}`") for c in kept), letters.alias("_letters"), low.alias("_low"))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(kept)])
+    return rows.mapInArrow(run, schema + ", lang_pred string, score double, phrase_rate double, n_symbols long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,62 @@
-"""Stages of the corpus pipeline."""
+"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and works on all rows it is given."""
 
-STAGES: list = []
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+from tilth.llm import decontamination, jaccard_join, language_id, line_dedup, packing
+from tilth.llm.common import materialize, table
+
+#: Shingle width and similarity (percent) of near duplicates.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+#: A text of MIN_SYMBOLS or more with more phrases per symbol than this fits none of the learned languages.
+MAX_PHRASE_RATE, MIN_SYMBOLS = 0.6, 20
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language; those without letters or unlike all languages go. A null lang is filled in."""
+    named = language_id.identify(docs, language_id.learn(docs.where(~language_id.held_out())), carry=True)
+    fits = (F.col("lang_pred") != language_id.UNDETERMINED) & ((F.col("phrase_rate") <= MAX_PHRASE_RATE) | (F.col("n_symbols") < MIN_SYMBOLS))
+    return named.where(fits).withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with repeated lines removed; those left without any word go."""
+    out = line_dedup.dedup_lines(docs)
+    return out.where(F.col("text").rlike(r"[^ \t\n\x0B\f\r]")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies."""
+    linked = jaccard_join.link(docs, NEAR_WORDS, NEAR_PERCENT).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays"))
+    return docs.join(linked, docs.doc_id.eqNullSafe(F.col("stays")), "left_semi").dropDuplicates(["doc_id"])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    return decontamination.scan(docs, table(spark, sf_dir, "benchmark"), carry=True).where(~F.col("contaminated")).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of token pieces."""
+    import public_tokenizers
+
+    return packing.pack(docs, packing.tokenizer_encoder(public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("language_id", keep_languages),
+    ("line_dedup", dedup_lines),
+    ("jaccard_join", drop_near_copies),
+    ("decontamination", decontaminate),
+    ("best_fit_packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents table; each stage's result is written to the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,15 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tilth.llm import decontamination, fingerprints, language_id, packing, quality, token_counts
+from tilth.llm import decontamination, fingerprints, html_extraction, jaccard_join, language_id, line_dedup, packing, quality, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lz_fingerprints": fingerprints.query,
     "op2_language_id": language_id.query,
+    "op3_substring_dedup": substring_dedup.query,
     "op4_token_counts": token_counts.query,
     "op5_quality": quality.query,
     "op6_best_fit_packing": packing.query,
     "op7_decontamination": decontamination.query,
+    "op8_jaccard_join": jaccard_join.query,
+    "op9_html_extraction": html_extraction.query,
+    "op10_line_dedup": line_dedup.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_line_dedup": line_dedup.ORACLE_SQL,
+}

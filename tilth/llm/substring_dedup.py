@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilth.llm.common import RangeHash, blocks, materialize, table, text_bytes
+from tilth.llm.common import RangeHash, blocks, materialize, meeting_keys, signed, table, text_bytes
 from tilth.llm.suffix_arrays import suffix_arrays
 
 WIDTH, ANCHOR = 50, 24
@@ -70,66 +70,24 @@ def anchors(raw: np.ndarray, off: np.ndarray, width: int, size: int) -> tuple[np
     return places, np.searchsorted(off, places, side="right") - 1, hashes[places]
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
-
-
 def shared_anchors(texts: DataFrame, width: int, size: int) -> DataFrame:
     """u, hashes: for each text (u, text) its anchors that another text has too."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw, off = text_bytes(batch.column("text"))
-            rows, hashes = [], []
-            for a, b in blocks(off):
-                _, r, h = anchors(raw, off[a : b + 1], width, size)
-                order = np.lexsort((h, r))
-                r, h = r[order], h[order]
-                new = np.ones(len(r), bool)
-                new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
-                rows.append(r[new] + a)
-                hashes.append(h[new])
-            if not rows:
-                continue
-            r, h = np.concatenate(rows), np.concatenate(hashes)
-            order = np.argsort(h, kind="stable")
+    def own_anchors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        raw, off = text_bytes(batch.column("text"))
+        rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        for a, b in blocks(off):
+            _, r, h = anchors(raw, off[a : b + 1], width, size)
+            order = np.lexsort((h, r))
             r, h = r[order], h[order]
-            cut = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-            runs = np.diff(np.append(cut, len(h)))
-            known = np.repeat(runs >= LOCAL, runs)
-            stand = h[cut[runs >= LOCAL]]
-            u = batch.column("u").take(pa.array(np.append(r, np.zeros(len(stand), np.int64))))
-            flag = np.concatenate([known.astype(np.int8), np.full(len(stand), 2, np.int8)])
-            yield pa.RecordBatch.from_arrays([_signed(np.append(h, stand)), u, pa.array(flag)], names=["h", "u", "flag"])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        names = ["h", "u", "flag"]
-        for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in names]
-            if held is not None:
-                cols = [np.append(x, y) for x, y in zip(held, cols, strict=True)]
-            keep = int(np.searchsorted(cols[0], cols[0][-1], side="left")) if len(cols[0]) else 0
-            held = [c[keep:] for c in cols]
-            yield _hits([c[:keep] for c in cols])
-        if held is not None:
-            yield _hits(held)
-
-    rows = texts.select("u", "text").mapInArrow(emit, "h long, u long, flag byte")
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(n, F.when(F.col("flag") == 1, F.xxhash64("h", "u")).otherwise(F.xxhash64("h"))).sortWithinPartitions("h")
-    return dealt.mapInArrow(meet, "u long, h long").groupBy("u").agg(F.collect_list("h").alias("hashes"))
-
-
-def _hits(cols: list[np.ndarray]) -> pa.RecordBatch:
-    """Known rows, and rows of anchors with two rows or a stand-in of others; sorted by anchor."""
-    h, u, flag = cols
-    own = flag != 1
-    cut = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
-    size = np.diff(np.append(cut, len(h)))
-    count = np.add.reduceat(own.astype(np.int64), cut) if len(cut) else size
-    keep = (flag == 1) | ((flag == 0) & (np.repeat(count, size) > 1))
-    return pa.RecordBatch.from_arrays([pa.array(u[keep]), pa.array(h[keep])], names=["u", "h"])
+            new = np.ones(len(r), bool)
+            new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
+            rows.append(r[new] + a)
+            hashes.append(h[new])
+        return np.concatenate(hashes), np.concatenate(rows)
+
+    met = meeting_keys(texts.select(F.col("u").alias("id"), "text"), own_anchors, LOCAL)
+    return met.groupBy(F.col("id").alias("u")).agg(F.collect_list("key").alias("hashes"))
 
 
 def occurrences(texts: DataFrame, width: int, size: int) -> DataFrame:
@@ -170,7 +128,7 @@ def occurrences(texts: DataFrame, width: int, size: int) -> DataFrame:
                 snippets = pa.array([data[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())
                 ids = pa.array(rows + a)
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(hashes), _signed(s1 ^ hashes), _signed(s2), snippets, batch.column("u").take(ids), batch.column("d").take(ids), pa.array((start - local[rows]).astype(np.int32))],
+                    [signed(hashes), signed(s1 ^ hashes), signed(s2), snippets, batch.column("u").take(ids), batch.column("d").take(ids), pa.array((start - local[rows]).astype(np.int32))],
                     names=["h", "s1", "s2", "snippet", "u", "d", "at"],
                 )
 
@@ -277,7 +235,7 @@ def sorted_windows(snippets: DataFrame, width: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(open_)).astype(np.int32)), parts)
                 null = pa.nulls(len(heads), pa.int64())
                 null32 = pa.nulls(len(heads), pa.int32())
-                yield pa.RecordBatch.from_arrays([null, null, null32, null32, pa.array(least[g[heads]]), _signed(w1), _signed(w2), lists.cast(member)], names=names)
+                yield pa.RecordBatch.from_arrays([null, null, null32, null32, pa.array(least[g[heads]]), signed(w1), signed(w2), lists.cast(member)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
