@@ -1,0 +1 @@
+"""Column expressions: spectral indices, agronomy, geodesy, statistics, text."""

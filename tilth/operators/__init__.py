@@ -1,0 +1 @@
+"""DataFrame operators: each takes DataFrames and gives a DataFrame."""

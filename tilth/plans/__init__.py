@@ -1,0 +1 @@
+"""Queries over the test tables, each with the SQL it is held against."""
