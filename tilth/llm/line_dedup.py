@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilth.llm.common import table
+from tilth.llm.common import materialize, table
 
 MIN_WORDS = 8
 #: Line numbers are looked up by blocks of so many, so that long texts stay cheap.
@@ -30,7 +30,12 @@ BLOCK_LINES = 256
 
 
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, r"[ \t\x0B\f\r]+"), lambda w: w != "")
+    """Words of a line; a line without any gives one empty word."""
+    return F.split(F.btrim(line, F.lit(" \t\x0b\f\r")), r"[ \t\x0B\f\r]+")
+
+
+def _has_words(words: Column) -> Column:
+    return F.get(words, F.lit(0)) != ""
 
 
 def _without(words: Column, p: Column) -> Column:
@@ -58,57 +63,76 @@ def _halves(words: Column) -> Column:
     return F.array(*keys)
 
 
-def _variants(words: Column) -> Column:
-    """Keys of a line: itself and each deletion for partners one word shorter or longer, each deletion with its place for replaced words."""
-    places = F.sequence(F.lit(0), F.size(words) - 1)
-    return F.concat(
-        F.array(F.xxhash64(F.lit(-1), words)),
-        F.transform(places, lambda p: F.xxhash64(F.lit(-1), _without(words, p))),
-        F.transform(places, lambda p: F.xxhash64(p, _without(words, p))),
-    )
+def _variants(rows: DataFrame) -> DataFrame:
+    """first, k: keys of every line (first, words) and of its deletions.
+
+    A line's key is the exclusive or of its words' hashes with their places, so the key of a deletion
+    comes from running ones: words after the deleted one move a place forward. Each deletion gives two keys, one
+    for partners a word shorter and, with the place in it, one for partners with another word there.
+    """
+    here = F.transform("words", lambda w, i: F.xxhash64(w, i))
+    ahead = F.transform("words", lambda w, i: F.xxhash64(w, i - 1))
+    start = F.struct(F.lit(0).cast("long").alias("xor"), F.array(F.lit(0).cast("long")).alias("all"))
+    step = lambda acc, x: F.struct(acc["xor"].bitwiseXOR(x).alias("xor"), F.concat(acc["all"], F.array(acc["xor"].bitwiseXOR(x))).alias("all"))
+    running = lambda hashes: F.aggregate(hashes, start, step, lambda acc: acc["all"])
+    rows = rows.select("first", here.alias("here"), ahead.alias("ahead")).select("first", "here", running(F.col("here")).alias("a"), running(F.col("ahead")).alias("b"))
+    whole = F.element_at("a", -1)
+    end = F.element_at("b", -1)
+    shorter = F.transform("here", lambda x, p: F.xxhash64(F.lit(-1), F.get("a", p).bitwiseXOR(end).bitwiseXOR(F.get("b", p + 1))))
+    other = F.transform("here", lambda x, p: F.xxhash64(p, whole.bitwiseXOR(x)))
+    return rows.select("first", F.explode(F.concat(F.array(F.xxhash64(F.lit(-1), whole)), shorter, other)).alias("k"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("t"), "text")
 
 
-def _lines(keyed: DataFrame) -> DataFrame:
-    return keyed.select("d", "t", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-
-
-def kept_lines(docs: DataFrame) -> DataFrame:
-    """d, t (document), kept: map from block to numbers of the lines with words that stay."""
-    keyed = _keyed(docs)
-    lines = _lines(keyed).select(F.struct("d", "t", "n").alias("first"), words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
+def line_classes(keyed: DataFrame) -> DataFrame:
+    """h1, h2 (hash of the words), first (document and number of the first such line) and k0 to k3, keys of its halves (NULL for short lines)."""
+    lines = keyed.select("d", "t", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    lines = lines.select(F.struct("d", "t", "n").alias("first"), words_of(F.col("line")).alias("words")).where(_has_words(F.col("words")))
     h = [F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2")]
-    short = F.size("words") < MIN_WORDS
-    classes = (
-        lines.select(*h, "first", F.when(~short, _halves(F.col("words"))).alias("halves"))
+    return (
+        lines.select(*h, "first", F.when(F.size("words") >= MIN_WORDS, _halves(F.col("words"))).alias("halves"))
         .select("h1", "h2", "first", *(F.get("halves", F.lit(i)).alias(f"k{i}") for i in range(4)))
         .groupBy("h1", "h2")
         .agg(F.min("first").alias("first"), *(F.max(f"k{i}").alias(f"k{i}") for i in range(4)))
     )
+
+
+def lines_with_partners(classes: DataFrame) -> DataFrame:
+    """d, t, ns: first places of the classes that share a half with another class, by document."""
     keys = classes.where("k0 is not null").select("h1", "h2", F.explode(F.array(*(F.col(f"k{i}") for i in range(4)))).alias("k"))
     shared = keys.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
     partnered = keys.join(shared, "k", "left_semi").select("h1", "h2").distinct()
-    wanted = classes.join(partnered, ["h1", "h2"], "left_semi").groupBy("first.d", "first.t").agg(F.collect_set("first.n").alias("ns"))
-    candidates = (
+    return classes.select("h1", "h2", "first").join(partnered, ["h1", "h2"], "left_semi").groupBy("first.d", "first.t").agg(F.collect_set("first.n").alias("ns"))
+
+
+def later_lines(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """first: the wanted lines that have an earlier near line among them."""
+    candidates = materialize(
         keyed.join(wanted, ["d", "t"])
-        .select("d", "t", F.split("text", "\n").alias("all"), "ns")
-        .dropDuplicates(["d", "t"])
-        .select("d", "t", F.explode("ns").alias("n"), "all")
-        .select(F.struct("d", "t", "n").alias("first"), words_of(F.get("all", F.col("n"))).alias("words"))
-    )
-    variants = candidates.select("first", F.explode(_variants(F.col("words"))).alias("k"))
+        .select("d", "t", F.split("text", "\n").alias("all"), F.explode("ns").alias("n"))
+        .select(F.struct("d", "t", "n").alias("first"), F.get("all", F.col("n")).alias("line"))
+        .distinct()
+    ).select("first", words_of(F.col("line")).alias("words"))
+    variants = _variants(candidates)
     leads = variants.groupBy("k").agg(F.min("first").alias("lead"), F.count("*").alias("c")).where("c > 1").select("k", "lead")
     pairs = variants.join(leads, "k").where("lead < first").select("first", "lead").distinct()
-    later = (
+    return (
         pairs.join(candidates.withColumnRenamed("words", "a"), "first")
         .join(candidates.select(F.col("first").alias("lead"), F.col("words").alias("b")), "lead")
         .where(within_one_edit(F.col("a"), F.col("b")))
         .select("first")
         .distinct()
     )
+
+
+def kept_lines(docs: DataFrame) -> DataFrame:
+    """d, t (document), kept: map from block to numbers of the lines with words that stay."""
+    keyed = _keyed(docs)
+    classes = materialize(line_classes(keyed))
+    later = materialize(later_lines(keyed, materialize(lines_with_partners(classes))))
     kept = classes.select("first").join(later, "first", "left_anti").select("first.*")
     return (
         kept.groupBy("d", "t", (F.col("n") / BLOCK_LINES).cast("int").alias("block"))
@@ -122,9 +146,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with its lines deduplicated, and the columns n_lines and n_removed."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     keyed = _keyed(docs)
-    stays = F.filter(F.split("text", "\n"), lambda line, i: (F.size(words_of(line)) == 0) | F.coalesce(F.array_contains(F.col("kept")[(i / BLOCK_LINES).cast("int")], i), F.lit(False)))
+    stays = F.filter(F.split("text", "\n"), lambda line, i: F.coalesce(F.array_contains(F.col("kept")[(i / BLOCK_LINES).cast("int")], i), F.lit(False)) | ~_has_words(words_of(line)))
     out = (
-        keyed.join(kept_lines(docs), ["d", "t"], "left")
+        keyed.join(materialize(kept_lines(docs)), ["d", "t"], "left")
         .select("d", "t", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines"), stays.alias("lines"))
         .select("d", "t", F.array_join("lines", "\n").alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).alias("n_lines"), F.size(F.coalesce("lines", F.array())).alias("n_kept"))
         .withColumn("n_removed", F.col("n_lines") - F.col("n_kept"))
