@@ -114,51 +114,92 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def meeting_keys(rows: DataFrame, pairs: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], local: int = 8) -> DataFrame:
+def planes(x: np.ndarray) -> bytes:
+    """64-bit values as eight byte planes, which compress well where high bytes are alike."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def from_planes(data: bytes, dtype=np.int64) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(dtype).ravel()
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    """Equal ranges of unsigned 64-bit keys; rises with the key."""
+    return ((key >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
+
+
+def bucket_count(spark: SparkSession, items: int, each: int = 1_000_000) -> int:
+    """Buckets of about `each` items, four for each shuffle partition at least."""
+    return max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), items // each + 1)
+
+
+def deal(packed: DataFrame) -> DataFrame:
+    """Rows by their column bucket, in order of it within each task."""
+    n = int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return packed.repartition(n, "bucket").sortWithinPartitions("bucket")
+
+
+def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
+    """Rows of each bucket together, from rows in order of the bucket."""
+    held: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row["bucket"] != held[0]["bucket"]:
+                yield held[0]["bucket"], held
+                held = []
+            held.append(row)
+    if held:
+        yield held[0]["bucket"], held
+
+
+def meeting_keys(rows: DataFrame, pairs: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], buckets: int, local: int = 8) -> DataFrame:
     """key, id: all pairs whose key occurs with two ids or more.
 
-    pairs() gives for an Arrow batch its keys and the ids' rows, without repeats. The pairs are dealt
-    by key, once, and read in order of the key. Keys that `local` rows of one batch have are known to
-    meet: their pairs are dealt at random, and one stand-in goes by key to tell the others, so a very
+    pairs() gives for an Arrow batch its keys and the ids' rows, without repeats. The pairs are packed
+    and dealt by ranges of the key, once. Keys that `local` rows of one batch have are known to meet:
+    their pairs are dealt apart, and one stand-in goes with the key's range to tell the others, so a very
     frequent key sends a few rows of each batch to its task.
     """
+    names = ["bucket", "keys", "ids", "stands"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, row = pairs(batch)
-            order = np.argsort(key, kind="stable")
-            key, row = key[order], row[order]
-            cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            if not len(key):
+                continue
+            ids = batch.column("id").to_numpy()[row]
+            order = np.argsort(key)
+            key, ids = key[order], ids[order]
+            cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             runs = np.diff(np.append(cut, len(key)))
+            known = np.repeat(runs >= local, runs)
             stand = key[cut[runs >= local]]
-            ids = batch.column("id").take(pa.array(np.append(row, np.zeros(len(stand), np.int64))))
-            flag = np.concatenate([np.repeat(runs >= local, runs).astype(np.int8), np.full(len(stand), 2, np.int8)])
-            for a in range(0, len(ids), 1 << 18):  # rows of a batch are many more than it had
-                part = slice(a, a + (1 << 18))
-                yield pa.RecordBatch.from_arrays([signed(np.append(key, stand)[part]), ids[part], pa.array(flag[part])], names=["key", "id", "flag"])
+            out = []
+            if len(stand):
+                out.append((buckets + int(stand[0] % np.uint64(buckets)), planes(key[known]), planes(ids[known]), b""))
+                key, ids = key[~known], ids[~known]
+            edges = np.searchsorted(bucket_of(key, buckets), np.arange(buckets + 1))
+            s_edges = np.searchsorted(bucket_of(stand, buckets), np.arange(buckets + 1))
+            for b in np.flatnonzero((np.diff(edges) > 0) | (np.diff(s_edges) > 0)).tolist():
+                a, z = edges[b], edges[b + 1]
+                out.append((b, planes(key[a:z]), planes(ids[a:z]), planes(stand[s_edges[b] : s_edges[b + 1]])))
+            cols = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=names)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("key", "id", "flag")]
-            if held is not None:
-                cols = [np.append(x, y) for x, y in zip(held, cols, strict=True)]
-            last = int(np.searchsorted(cols[0], cols[0][-1], side="left")) if len(cols[0]) else 0
-            held = [c[last:] for c in cols]  # the last key may go on
-            yield _met(*(c[:last] for c in cols))
-        if held is not None:
-            yield _met(*held)
-
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    emitted = rows.mapInArrow(emit, "key long, id long, flag byte")
-    dealt = emitted.repartition(n, F.when(F.col("flag") == 1, F.xxhash64("key", "id")).otherwise(F.xxhash64("key")))
-    return dealt.sortWithinPartitions("key").mapInArrow(meet, "key long, id long")
-
-
-def _met(key: np.ndarray, ids: np.ndarray, flag: np.ndarray) -> pa.RecordBatch:
-    """Of pairs in order of the key: those known to meet, and those that do so here."""
-    cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    runs = np.diff(np.append(cut, len(key)))
-    count = np.add.reduceat((flag != 1).astype(np.int64), cut) if len(cut) else runs
-    keep = (flag == 1) | ((flag == 0) & (np.repeat(count, runs) > 1))
-    return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(ids[keep])], names=["key", "id"])
+        for bucket, held in by_bucket(batches):
+            key = np.concatenate([from_planes(r["keys"], np.uint64) for r in held])
+            ids = np.concatenate([from_planes(r["ids"]) for r in held])
+            if bucket < buckets:
+                stand = np.concatenate([from_planes(r["stands"], np.uint64) for r in held])
+                order = np.argsort(key)
+                key, ids = key[order], ids[order]
+                cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+                runs = np.diff(np.append(cut, len(key)))
+                keep = np.repeat((runs > 1) | np.isin(key[cut], stand), runs)
+                key, ids = key[keep], ids[keep]
+            for a in range(0, len(key), 1 << 17):
+                yield pa.RecordBatch.from_arrays([signed(key[a : a + (1 << 17)]), pa.array(ids[a : a + (1 << 17)])], names=["key", "id"])
+
+    packed = rows.mapInArrow(emit, "bucket int, keys binary, ids binary, stands binary")
+    return deal(packed).mapInArrow(meet, "key long, id long")

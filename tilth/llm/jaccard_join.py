@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilth.llm.common import RangeHash, blocks, materialize, meeting_keys, mix, table, text_bytes
+from tilth.llm.common import RangeHash, blocks, bucket_count, materialize, meeting_keys, mix, table, text_bytes
 
 TURNS = 6
 #: Pivots per signature in each round grow by this factor.
@@ -202,7 +202,8 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
         lists = batch.column("sigs")
         return lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
 
-    members = materialize(meeting_keys(reps.select(F.col("doc").alias("id"), "sigs"), own_signatures).select(F.col("key").alias("sig"), F.col("id").alias("doc")))
+    buckets = bucket_count(docs.sparkSession, sets.agg(F.sum(F.size("sigs"))).first()[0] or 0)
+    members = materialize(meeting_keys(reps.select(F.col("doc").alias("id"), "sigs"), own_signatures, buckets).select(F.col("key").alias("sig"), F.col("id").alias("doc")))
     texts = materialize(docs.join(members.select("doc").distinct(), "doc", "left_semi"))
 
     # the first round: each document against the smallest pivot of its signatures

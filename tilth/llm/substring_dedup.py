@@ -11,7 +11,7 @@ is removed; strings are judged on the input, and matches never cross documents.
    snippets are one, with their smallest doc_id.
 4. The snippets of one anchor are sorted by a suffix array (linear grouping, many anchors at once).
    Suffixes that follow each other and agree on `width` bytes are one window, which belongs to its
-   smallest doc_id. An anchor with very many snippets is cut into blocks, whose windows then meet by
+   smallest doc_id. An anchor with very many snippets is cut into lanes, whose windows then meet by
    a 128-bit digest; an anchor with one snippet needs no order.
 5. Each occurrence of a snippet is covered by its windows that belong to a smaller doc_id.
 
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilth.llm.common import RangeHash, blocks, materialize, meeting_keys, signed, table, text_bytes
+from tilth.llm.common import RangeHash, blocks, bucket_count, bucket_of, by_bucket, deal, from_planes, materialize, meeting_keys, mix, planes, signed, table, text_bytes
 from tilth.llm.suffix_arrays import suffix_arrays
 
 WIDTH, ANCHOR = 50, 24
@@ -86,53 +86,97 @@ def shared_anchors(texts: DataFrame, width: int, size: int) -> DataFrame:
             hashes.append(h[new])
         return np.concatenate(hashes), np.concatenate(rows)
 
-    met = meeting_keys(texts.select(F.col("u").alias("id"), "text"), own_anchors, LOCAL)
+    size_ = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = bucket_count(texts.sparkSession, 2 * size_ // (width - size + 2))
+    met = meeting_keys(texts.select(F.col("u").alias("id"), "text"), own_anchors, buckets, LOCAL)
     return met.groupBy(F.col("id").alias("u")).agg(F.collect_list("key").alias("hashes"))
 
 
+def found_anchors(batch: pa.RecordBatch, width: int, size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Shared anchors of a batch (text, hashes): by block of text its bytes, the rows, anchors, starts and ends of snippets in it, their digests and first bytes in the row."""
+    reach = width - size
+    raw, off = text_bytes(batch.column("text"))
+    lists = batch.column("hashes")
+    flat, ends = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy().astype(np.int64)
+    ends = ends - ends[0]
+    for a, b in blocks(off):
+        places, rows, hashes = anchors(raw, off[a : b + 1], width, size)
+        wanted = np.unique(mix(flat[ends[a] : ends[b]]) ^ mix(np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(ends[a : b + 1])) + np.uint64(1)))
+        mine = mix(hashes) ^ mix(rows.astype(np.uint64) + np.uint64(1))
+        keep = np.isin(mine, wanted)
+        places, rows, hashes = places[keep], rows[keep], hashes[keep]
+        local = off[a : b + 1] - off[a]
+        start = np.maximum(places - reach, local[rows])
+        end = np.minimum(places + width, local[rows + 1])
+        text = raw[off[a] : off[b]]
+        s1, s2 = RangeHash(text).of(start, end) ^ hashes, RangeHash(text, _BASE2).of(start, end)
+        yield text, rows + a, hashes, start, end, s1, s2, start - local[rows]
+
+
 def occurrences(texts: DataFrame, width: int, size: int) -> DataFrame:
-    """All snippets of shared anchors: h (anchor), s1, s2 (digest), snippet, u, d, at (its first byte in the text).
+    """All snippets of shared anchors: s1, s2 (digest), u, d, at (its first byte in the text), from texts (u, d, text, hashes)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, rows, _, _, _, s1, s2, at in found_anchors(batch, width, size):
+                ids = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([signed(s1), signed(s2), batch.column("u").take(ids), batch.column("d").take(ids), pa.array(at.astype(np.int32))], names=["s1", "s2", "u", "d", "at"])
+
+    return texts.select("u", "d", "text", "hashes").mapInArrow(run, "s1 long, s2 long, u long, d long, at int")
+
+
+_PACKED = ["h", "salt", "s1", "s2", "lo", "hi", "size"]
+
+
+def packed_snippets(texts: DataFrame, width: int, size: int, buckets: int) -> DataFrame:
+    """Distinct snippets of each Arrow batch, packed by ranges of their anchor, from texts (d, text, hashes).
 
-    texts: u, d, text, hashes.
+    An anchor with more than BLOCK_SNIPPETS snippets in the batch sends them to salted lanes, and a
+    stand-in that tells its own lane so.
     """
-    reach = width - size
+
+    def merged(cols: list[np.ndarray], data: list[bytes]) -> tuple[list[np.ndarray], list[bytes]]:
+        h, s1, s2, lo, hi = cols
+        order = np.lexsort((s2, s1, h))
+        h, s1, s2, lo, hi = (c[order] for c in (h, s1, s2, lo, hi))
+        cut = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])))
+        return [h[cut], s1[cut], s2[cut], np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut)], [data[i] for i in order[cut].tolist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, off = text_bytes(batch.column("text"))
-            lists = batch.column("hashes")
-            flat, ends = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy().astype(np.int64)
-            ends = ends - ends[0]
-            for a, b in blocks(off):
-                places, rows, hashes = anchors(raw, off[a : b + 1], width, size)
-                wanted = flat[ends[a] : ends[b]]
-                w_rows = np.repeat(np.arange(b - a), np.diff(ends[a : b + 1]))
-                order = np.lexsort((wanted, w_rows))
-                want = np.stack([w_rows[order].astype(np.uint64), wanted[order]], 1)
-                mine = np.stack([rows.astype(np.uint64), hashes], 1)
-                both = np.concatenate([want, mine])
-                _, inverse = np.unique(both, axis=0, return_inverse=True)
-                inverse = inverse.ravel()
-                seen = np.zeros(len(both), bool)
-                seen[inverse[: len(want)]] = True
-                keep = seen[inverse[len(want) :]]
-                places, rows, hashes = places[keep], rows[keep], hashes[keep]
-                if not len(places):
+            d = batch.column("d").to_numpy()
+            parts, data = [], []
+            for text, rows, hashes, start, end, s1, s2, _ in found_anchors(batch, width, size):
+                if not len(rows):
                     continue
-                local = off[a : b + 1] - off[a]
-                start = np.maximum(places - reach, local[rows])
-                end = np.minimum(places + width, local[rows + 1])
-                text = raw[off[a] : off[b]]
-                s1, s2 = RangeHash(text).of(start, end), RangeHash(text, _BASE2).of(start, end)
-                data = text.tobytes()
-                snippets = pa.array([data[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())
-                ids = pa.array(rows + a)
-                yield pa.RecordBatch.from_arrays(
-                    [signed(hashes), signed(s1 ^ hashes), signed(s2), snippets, batch.column("u").take(ids), batch.column("d").take(ids), pa.array((start - local[rows]).astype(np.int32))],
-                    names=["h", "s1", "s2", "snippet", "u", "d", "at"],
-                )
-
-    return texts.select("u", "d", "text", "hashes").mapInArrow(run, "h long, s1 long, s2 long, snippet binary, u long, d long, at int")
+                _, first = np.unique(np.stack([hashes, s1, s2], 1), axis=0, return_index=True)
+                whole = text.tobytes()
+                cols, _ = merged([hashes, s1, s2, d[rows], d[rows]], [b""] * len(rows))
+                order = first[np.lexsort((s2[first], s1[first], hashes[first]))]
+                parts.append(cols)
+                data += [whole[a:b] for a, b in zip(start[order].tolist(), end[order].tolist(), strict=True)]
+            if not parts:
+                continue
+            (h, s1, s2, lo, hi), data = merged([np.concatenate(c) for c in zip(*parts, strict=True)], data)
+            runs_at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            runs = np.diff(np.append(runs_at, len(h)))
+            many = np.repeat(runs, runs)
+            hot = many > BLOCK_SNIPPETS
+            salt = np.where(hot, (s1 % (2 * many // BLOCK_SNIPPETS).clip(1).astype(np.uint64)).astype(np.int64), -1)
+            bucket = np.where(hot, bucket_of(mix(h ^ mix(salt.astype(np.uint64))), buckets), bucket_of(h, buckets))
+            stand = h[runs_at[runs > BLOCK_SNIPPETS]]
+            lengths = np.fromiter(map(len, data), np.int64, len(data))
+            order = np.lexsort((np.arange(len(h)), bucket))
+            edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            stand_bucket = bucket_of(stand, buckets)
+            out = []
+            for b in np.union1d(bucket, stand_bucket).tolist():
+                at = order[edges[b] : edges[b + 1]]
+                out.append((b, *(planes(c[at]) for c in (h, salt, s1, s2, lo, hi, lengths)), b"".join([data[i] for i in at.tolist()]), planes(stand[stand_bucket == b])))
+            cols = list(zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", *_PACKED, "bytes", "stands"])
+
+    return texts.select("d", "text", "hashes").mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in [*_PACKED, "bytes", "stands"]))
 
 
 def sort_lanes(snippets: list[bytes], lane: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -180,11 +224,10 @@ def _runs(snippet: np.ndarray, place: np.ndarray, owner: np.ndarray) -> tuple[np
     return s[cut], p[cut], p[np.append(cut[1:], len(s)) - 1] if len(s) else p[:0], o[cut]
 
 
-def sorted_windows(snippets: DataFrame, width: int) -> DataFrame:
-    """Owned runs of windows of each snippet, and the windows of anchors that were cut into blocks.
+def sorted_windows(packed: DataFrame, width: int) -> DataFrame:
+    """Owned runs of windows of each snippet, and the windows of anchors that were cut into lanes.
 
-    snippets: h, salt, cut (whether the anchor was cut into blocks), s1, s2, snippet, lo and hi (smallest
-    and largest doc_id), in order of (h, salt). Rows: s1, s2, a, b, owner; or w1, w2, lo and members.
+    Rows: s1, s2, a, b, owner; or w1, w2, owner and members.
     """
     schema = "s1 long, s2 long, a int, b int, owner long, w1 long, w2 long, members array<struct<s1:long,s2:long,o:int,hi:long>>"
     member = pa.list_(pa.struct([("s1", pa.int64()), ("s2", pa.int64()), ("o", pa.int32()), ("hi", pa.int64())]))
@@ -195,9 +238,7 @@ def sorted_windows(snippets: DataFrame, width: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(owner), none, none, pa.nulls(len(a), member)], names=names)
 
     def flush(rows: list[np.ndarray], data: list[bytes]) -> Iterator[pa.RecordBatch]:
-        h, salt, cut, s1, s2, lo, hi = rows
-        new = np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]))
-        lane = np.cumsum(new) - 1
+        lane, cut, s1, s2, lo, hi = rows
         many = np.bincount(lane)[lane] > 1
         lengths = np.fromiter(map(len, data), np.int64, len(data))
         single = np.flatnonzero(~many & ~cut & (lo < hi) & (lengths >= width))
@@ -238,29 +279,26 @@ def sorted_windows(snippets: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([null, null, null32, null32, pa.array(least[g[heads]]), signed(w1), signed(w2), lists.cast(member)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def take(all_: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            if not held:
-                return
-            t = pa.Table.from_batches(held).combine_chunks()
-            cols = [t.column(c).to_numpy() for c in ("h", "salt", "cut", "s1", "s2", "lo", "hi")]
-            n = len(t)
-            if not all_:  # the last lane may go on
-                same = (cols[0] == cols[0][-1]) & (cols[1] == cols[1][-1])
-                n = int(np.argmax(same))
-            held = t.slice(n).to_batches()
-            if n:
-                yield from flush([c[:n] for c in cols], t.column("snippet").slice(0, n).to_pylist())
-
-        for batch in batches:
-            held.append(batch)
-            if sum(len(b) for b in held) >= 20_000:
-                yield from take(False)
-        yield from take(True)
-
-    return snippets.select("h", "salt", "cut", "s1", "s2", "snippet", "lo", "hi").mapInArrow(run, schema)
+        for _, held in by_bucket(batches):
+            h, salt, s1, s2, lo, hi, size = (np.concatenate([from_planes(r[c], t) for r in held]) for c, t in zip(_PACKED, (np.uint64, np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64), strict=True))
+            if not len(h):
+                continue
+            data, at = b"".join([r["bytes"] for r in held]), np.cumsum(size) - size
+            stands = np.concatenate([from_planes(r["stands"], np.uint64) for r in held])
+            order = np.lexsort((s2, s1, salt, h))
+            h, salt, s1, s2, lo, hi, size, at = (c[order] for c in (h, salt, s1, s2, lo, hi, size, at))
+            new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]) | (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])))
+            lo, hi = np.minimum.reduceat(lo, new), np.maximum.reduceat(hi, new)
+            h, salt, s1, s2, size, at = (c[new] for c in (h, salt, s1, s2, size, at))
+            lanes = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])))
+            counts = np.diff(np.append(lanes, len(h)))
+            many = np.repeat(counts, counts)
+            cut = (salt >= 0) | np.isin(h, stands) | (many > 2 * BLOCK_SNIPPETS)
+            part = np.where(cut, (np.arange(len(h)) - np.repeat(lanes, counts)) // BLOCK_SNIPPETS, 0)
+            lane = np.cumsum(np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]) | (part[1:] != part[:-1]))) - 1
+            yield from flush([lane, cut, s1.view(np.int64), s2.view(np.int64), lo, hi], [data[a : a + n] for a, n in zip(at.tolist(), size.tolist(), strict=True)])
+
+    return deal(packed).mapInArrow(run, schema)
 
 
 def _whole_lanes(size: np.ndarray, lane: np.ndarray, limit: int) -> np.ndarray:
@@ -305,19 +343,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, size: int = ANCHOR) -> D
     texts = materialize(keyed.select("d", *h, "text").join(stands, ["t1", "t2", "d"], "left_semi").dropDuplicates(["t1", "t2"]).withColumn("u", F.monotonically_increasing_id()))
 
     hashes = materialize(shared_anchors(texts, width, size))
-    found = materialize(occurrences(texts.select("u", "d", "text").join(hashes, "u"), width, size))
-    snippets = found.groupBy("h", "s1", "s2", "snippet").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    snippets = materialize(snippets)
-    large = snippets.groupBy("h").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK_SNIPPETS)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = (
-        snippets.join(large, "h", "left")
-        .withColumn("cut", F.col("c").isNotNull())
-        .withColumn("salt", F.when(F.col("cut"), F.pmod(F.xxhash64("s1"), F.ceil(F.col("c") * 2 / BLOCK_SNIPPETS))).otherwise(F.lit(0)).cast("long"))
-        .repartition(n, "h", "salt")
-        .sortWithinPartitions("h", "salt")
-    )
-    windows = materialize(sorted_windows(dealt, width))
+    with_hashes = texts.select("u", "d", "text").join(hashes, "u")
+    buckets = bucket_count(docs.sparkSession, hashes.agg(F.sum(F.size("hashes"))).first()[0] or 0, 200_000)
+    windows = materialize(sorted_windows(packed_snippets(with_hashes, width, size, buckets), width))
+    found = materialize(occurrences(with_hashes, width, size))
     own = windows.where("s1 is not null").select("s1", "s2", "a", "b", "owner")
     parts = windows.where("w1 is not null").select("w1", "w2", "owner", "members")
     met = parts.groupBy("w1", "w2").agg(F.min("owner").alias("owner"))
@@ -330,13 +359,13 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, size: int = ANCHOR) -> D
     )
     runs = own.union(across)
     spans = (
-        found.select("s1", "s2", "u", "d", "at")
-        .join(runs, ["s1", "s2"])
+        found.join(runs, ["s1", "s2"])
         .where("owner < d")
         .select("u", F.struct((F.col("at") + F.col("a")).alias("start"), (F.col("at") + F.col("b") + width).alias("end")).alias("span"))
         .groupBy("u")
         .agg(F.collect_list("span").alias("spans"))
     )
+    spans = materialize(spans)
     judged = materialize(covered(texts.select("u", "text").join(spans, "u", "left")))
     result = texts.select("u", "t1", "t2", F.col("d").alias("first")).join(judged, "u").drop("u")
     copy = (F.col("d") > F.col("first")) & (F.col("n_bytes") >= width)
