@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tilth.plans import satellite
+from tilth.plans import field, messages, satellite
 
 FLAGSHIP = "climatology"
-_PARTS = (satellite,)
+_PARTS = (satellite, field, messages)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
