@@ -14,7 +14,7 @@ def nearest(points: DataFrame, keys: list[str], k: int, cell: float) -> DataFram
     """The k nearest other points of each point (id, x, y) within one cell's width, by a grid equi-join."""
     grid = points.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
     around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-    left = grid.select(*keys, "id", "x", "y", F.explode(around).alias("o"), "gx", "gy").select(*keys, "id", "x", "y", (F.col("gx") + F.col("o.a")).alias("gx"), (F.col("gy") + F.col("o.b")).alias("gy"))
+    left = grid.select(*keys, "id", "x", "y", F.explode(around).alias("_o"), "gx", "gy").select(*keys, "id", "x", "y", (F.col("gx") + F.col("_o.a")).alias("gx"), (F.col("gy") + F.col("_o.b")).alias("gy"))
     right = grid.select(*keys, F.col("id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), "gx", "gy")
     d = F.sqrt(F.pow(F.col("x") - F.col("x2"), F.lit(2.0)) + F.pow(F.col("y") - F.col("y2"), F.lit(2.0)))
     pairs = left.join(right, [*keys, "gx", "gy"]).where(F.col("id") != F.col("other")).withColumn("d", d).where(F.col("d") <= cell)
@@ -95,13 +95,13 @@ def greedy_pick(candidates: DataFrame, keys: list[str], n: int, apart: float) ->
     around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
     picks = None
     while not left.isEmpty():
-        other = left.select(*keys, F.struct("id", "x", "y", "score").alias("o"), F.explode(around).alias("k"), "gx", "gy").select(*keys, "o", (F.col("gx") + F.col("k.a")).alias("gx"), (F.col("gy") + F.col("k.b")).alias("gy"))
-        near = F.pow(F.col("x") - F.col("o.x"), F.lit(2.0)) + F.pow(F.col("y") - F.col("o.y"), F.lit(2.0)) < apart * apart
-        better = (F.col("o.score") > F.col("score")) | ((F.col("o.score") == F.col("score")) & (F.col("o.id") < F.col("id")))
+        other = left.select(*keys, F.struct("id", "x", "y", "score").alias("_o"), F.explode(around).alias("_k"), "gx", "gy").select(*keys, "_o", (F.col("gx") + F.col("_k.a")).alias("gx"), (F.col("gy") + F.col("_k.b")).alias("gy"))
+        near = F.pow(F.col("x") - F.col("_o.x"), F.lit(2.0)) + F.pow(F.col("y") - F.col("_o.y"), F.lit(2.0)) < apart * apart
+        better = (F.col("_o.score") > F.col("score")) | ((F.col("_o.score") == F.col("score")) & (F.col("_o.id") < F.col("id")))
         beaten = left.join(other, [*keys, "gx", "gy"]).where(near & better).select(*keys, "id").distinct()
         best = materialize(left.join(beaten, [*keys, "id"], "left_anti"))
         picks = best if picks is None else picks.union(best)
-        taken = best.select(*keys, F.struct("id", "x", "y").alias("o"), F.explode(around).alias("k"), "gx", "gy").select(*keys, "o", (F.col("gx") + F.col("k.a")).alias("gx"), (F.col("gy") + F.col("k.b")).alias("gy"))
+        taken = best.select(*keys, F.struct("id", "x", "y").alias("_o"), F.explode(around).alias("_k"), "gx", "gy").select(*keys, "_o", (F.col("gx") + F.col("_k.a")).alias("gx"), (F.col("gy") + F.col("_k.b")).alias("gy"))
         gone = left.join(taken, [*keys, "gx", "gy"]).where(near).select(*keys, "id").distinct()
         left = materialize(left.join(gone, [*keys, "id"], "left_anti"))
     if picks is None:
