@@ -10,10 +10,11 @@ of a band differ in at most k features, so of k + 1 + s partitions of the featur
 least hold the same features in both: a signature is the hash of one partition's features, and linked
 sets share one.
 
-Within the sets of one signature only a few pivots are compared with the rest in a round, and only
-where both are not yet known to be connected; then pivots are put aside and the next round takes more
-of them, until each signature's sets are connected or all compared. Every compared pair is verified
-on whole texts. No pair list of a group is ever made, and no link between components is missed.
+Within the sets of one signature only one, the pivot, is compared with all others: the set whose
+signatures have the most sets, which is the middle of a group of near copies. Two sets that are both
+linked with it are connected; any others that are linked share a part of what sets them apart from
+the pivot (see verified()), and are compared where they do. Every compared pair is verified on whole
+texts. No pair list of a group is made, and no link between components is missed.
 
 Null and empty texts have the empty set. Null doc_ids count as the smallest id and are shown as null.
 Rows that repeat a doc_id count as one document with the links of all of them. An empty table gives
@@ -29,11 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilth.llm.common import RangeHash, blocks, bucket_count, materialize, meeting_keys, mix, table, text_bytes
+from tilth.llm.common import RangeHash, blocks, bucket_count, materialize, meeting_keys, mix, signed, table, text_bytes
 
+#: Partitions of the domain tried for sets that leave too many parts of it empty.
 TURNS = 6
-#: Pivots per signature in each round grow by this factor.
-MORE_PIVOTS = 4
 _NULL_ID = -(1 << 63)
 
 _WORD = np.ones(256, bool)
@@ -151,28 +151,59 @@ def signed_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, n long, h1 long, h2 long, sigs array<long>")
 
 
+def _joined_sets(ra: np.ndarray, ha: np.ndarray, rb: np.ndarray, hb: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Features of both sides in order of row and hash: rows, hashes, side (0: b), and whether both sides have them."""
+    r, h, side = np.concatenate([rb, ra]), np.concatenate([hb, ha]), np.repeat([0, 1], [len(rb), len(ra)])
+    order = np.lexsort((h, r))
+    r, h, side = r[order], h[order], side[order]
+    both = np.zeros(len(r), bool)
+    same = (r[1:] == r[:-1]) & (h[1:] == h[:-1])
+    both[1:] |= same
+    both[:-1] |= same
+    return r, h, side, both
+
+
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The rows of pairs (a, b) whose sets are similar enough; texts: (doc, text)."""
+    """pairs (a, b) with linked (similar enough), na and nb (set sizes), r (features that one side only has) and residual.
+
+    residual holds the first of those features, those of b before those of a, as many as another set
+    must share one of to be linked with b when b or it is not linked with a:
+
+    Of two sets x and y with m features in all that are linked, at most k = (1 - s) / (1 + s) * m features
+    are in one only, so their residuals to a share at least t = (r(x) + r(y) - k) / 2 features, and the
+    first r - t + 1 of each, in one order, share one. An unlinked y has r(y) > (1 - s) / (1 + s) * (|y| + |a|),
+    so t > (r(x) - (1 - s) / (1 + s) * (|x| - |a|)) / 2 for any x; and r(x) and r(y) differ by k at most,
+    so t >= r(y) - k.
+    """
+    c = (100 - percent) / (100 + percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = [text_bytes(batch.column(c)) for c in ("ta", "tb")]
+            sides = [text_bytes(batch.column(x)) for x in ("ta", "tb")]
             cuts = sorted({x for _, off in sides for pair in blocks(off) for x in pair})
-            keep = np.zeros(len(batch), bool)
             for a, b in zip(cuts, cuts[1:], strict=False):
                 (ra, ha), (rb, hb) = (shingles(raw, off[a : b + 1], width) for raw, off in sides)
                 n = b - a
-                both_r, both_h = np.concatenate([ra, rb]), np.concatenate([ha, hb])
-                order = np.lexsort((both_h, both_r))
-                both_r, both_h = both_r[order], both_h[order]
-                same = (both_r[1:] == both_r[:-1]) & (both_h[1:] == both_h[:-1])
-                shared = np.bincount(both_r[1:][same], minlength=n)
-                union = np.bincount(ra, minlength=n) + np.bincount(rb, minlength=n) - shared
-                keep[a:b] = (100 * shared >= percent * union) & (shared > 0)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
+                na, nb = np.bincount(ra, minlength=n), np.bincount(rb, minlength=n)
+                r, h, side, both = _joined_sets(ra, ha, rb, hb)
+                shared = np.bincount(r[both], minlength=n) // 2
+                union = na + nb - shared
+                linked = (100 * shared >= percent * union) & (shared > 0)
+                alone = na + nb - 2 * shared
+                most = np.floor(c * (nb + nb * 100 // percent)).astype(np.int64) + 1
+                half = np.maximum(1, np.ceil((alone - c * (nb - na)) / 2 - 1e-9)).astype(np.int64)
+                least = np.where(linked, half, np.maximum(1, alone - most))
+                take = np.maximum(0, alone - least + 1)
+                r, h, side = r[~both], mix(h[~both]), side[~both]
+                order = np.lexsort((h, side, r))
+                r, h = r[order], h[order]
+                rank = np.arange(len(r)) - np.searchsorted(r, np.arange(n))[r]
+                keep = rank < take[r]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(r[keep], minlength=n))), pa.int32()), signed(h[keep]))
+                yield pa.RecordBatch.from_arrays([batch.column("a").slice(a, n), batch.column("b").slice(a, n), pa.array(linked), pa.array(na), pa.array(nb), pa.array(alone), lists], names=["a", "b", "linked", "na", "nb", "r", "residual"])
 
     rows = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
-    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean, na long, nb long, r long, residual array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -206,26 +237,21 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     members = materialize(meeting_keys(reps.select(F.col("doc").alias("id"), "sigs"), own_signatures, buckets).select(F.col("key").alias("sig"), F.col("id").alias("doc")))
     texts = materialize(docs.join(members.select("doc").distinct(), "doc", "left_semi"))
 
-    # the first round: each document against the smallest pivot of its signatures
-    lead = members.groupBy("sig").agg(F.min("doc").alias("pivot"))
-    pairs = members.join(lead, "sig").where("pivot < doc").groupBy("doc").agg(F.min("pivot").alias("a")).select("a", F.col("doc").alias("b"))
-    links = materialize(verified(pairs, texts, width, percent))
+    # each document against the pivots of its signatures
+    counts = members.groupBy("sig").agg(F.count("*").alias("c"))
+    weights = members.join(counts, "sig").groupBy("doc").agg(F.sum("c").alias("weight"))
+    pivots = members.join(weights, "doc").groupBy("sig").agg(F.max_by("doc", F.struct("weight", -F.col("doc"))).alias("a"))
+    pairs = members.join(pivots, "sig").where("doc != a").select("a", F.col("doc").alias("b")).distinct()
+    compared = materialize(verified(pairs, texts, width, percent))
+    # documents that share a part of their residual to the same pivot, at least one of them not linked with it
+    parts = compared.select("a", "b", "linked", "nb", "r", F.explode("residual").alias("part"))
+    other = parts.select("a", F.col("b").alias("x"), F.col("linked").alias("lx"), F.col("nb").alias("nx"), F.col("r").alias("rx"), "part")
+    near = (F.col("b") != F.col("x")) & (F.col("lx") | (F.col("b") < F.col("x")))
+    c = (100 - percent) / (100 + percent)
+    alike = (percent * F.greatest("nb", "nx") <= 100 * F.least("nb", "nx")) & (F.abs(F.col("r") - F.col("rx")) <= c * (F.col("nb") + F.col("nx")) + 1)
+    rest = parts.where("not linked").join(other, ["a", "part"]).where(near & alike).select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b")).distinct()
+    links = compared.where("linked").select("a", "b").union(verified(rest, texts, width, percent).where("linked").select("a", "b"))
     labels = components(links)
-    lanes = 1
-    while True:
-        rows = members.join(labels, "doc", "left").select("sig", "doc", F.coalesce("comp", "doc").alias("comp"))
-        mixed = rows.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
-        rows = materialize(rows.join(mixed, "sig", "left_semi"))
-        if rows.isEmpty():
-            break
-        pivots = rows.groupBy("sig", F.pmod(F.xxhash64("doc", F.lit(lanes)), F.lit(lanes)).alias("lane")).agg(F.min(F.struct("doc", "comp")).alias("p")).select("sig", F.col("p.doc").alias("pivot"), F.col("p.comp").alias("pivot_comp"))
-        pairs = rows.join(pivots, "sig").where("comp != pivot_comp").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct()
-        fresh = materialize(verified(pairs, texts, width, percent))
-        members = materialize(rows.join(pivots.select("sig", F.col("pivot").alias("doc")), ["sig", "doc"], "left_anti").select("sig", "doc"))
-        if not fresh.isEmpty():
-            links = links.union(fresh)
-            labels = components(links)
-        lanes *= MORE_PIVOTS
     named = sets.select("doc", "n", "h1", "h2").join(classes, ["h1", "h2"], "left").join(labels.withColumnRenamed("doc", "rep"), "rep", "left")
     shown = F.when(F.col("n") > 0, F.coalesce("comp", "rep")).otherwise(F.col("doc"))
     plain = lambda c: F.when(c != _NULL_ID, c)
