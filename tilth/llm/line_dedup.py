@@ -14,7 +14,8 @@ later one goes. Groups are only ever reduced to their earliest member, so a key
 as many rows as it has. Kept lines return to the document of their class's first place.
 
 Null texts stay null. Repeated rows (same doc_id and text) are one document and all keep the same
-lines. Null doc_ids come first. An empty table gives an empty result; other columns pass through.
+lines. Null doc_ids come first. An empty table gives an empty result; other columns pass
+through, but for n_lines and n_removed, which are made anew.
 """
 
 from __future__ import annotations
@@ -144,7 +145,7 @@ def kept_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with its lines deduplicated, and the columns n_lines and n_removed."""
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_removed")]
     keyed = _keyed(docs)
     stays = F.filter(F.split("text", "\n"), lambda line, i: F.coalesce(F.array_contains(F.col("kept")[(i / BLOCK_LINES).cast("int")], i), F.lit(False)) | ~_has_words(words_of(line)))
     out = (
@@ -157,8 +158,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     doc_id = F.when(F.col("d") != -(1 << 63), F.col("d")).alias("doc_id")
     if not others:
         return out.select(doc_id, "text", "n_lines", "n_removed")
-    rest = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("t"), *others)
-    return rest.join(out.dropDuplicates(["d", "t"]), ["d", "t"]).select(doc_id, "text", *others, "n_lines", "n_removed")
+    rest = docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("t"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest"))
+    return rest.join(out.dropDuplicates(["d", "t"]), ["d", "t"]).select(doc_id, "text", "rest.*", "n_lines", "n_removed")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from tilth.llm.common import RangeHash, blocks, materialize, table, text_bytes
 from tilth.llm.language_id import held_out
 
 FEATURES = ["size", "word_size", "upper", "digit", "symbol", "bar", "distinct", "repeat", "once", "stop_rate", "line_repeat", "spread"]
-#: Shares of the pooled covariance and of the scaled identity in each class covariance.
+#: Shares of the pooled covariance (more for classes of few rows) and of the scaled identity in each class covariance.
 TO_POOLED, TO_IDENTITY = 0.1, 0.02
 THRESHOLD = 0.3
 
@@ -142,7 +142,8 @@ class Discriminant:
         pooled = sum(cov[c] * counts[c] for c in (0, 1)) / total
         self.factor, self.log_det = {}, {}
         for c in (0, 1):
-            mixed = (1 - TO_POOLED - TO_IDENTITY) * cov[c] + TO_POOLED * pooled + (TO_IDENTITY * np.trace(pooled) / d + 1e-9) * np.eye(d)
+            to_pooled = max(TO_POOLED, 2 * d / (counts[c] + 2 * d) * (1 - TO_IDENTITY))
+            mixed = (1 - to_pooled - TO_IDENTITY) * cov[c] + to_pooled * pooled + (TO_IDENTITY * np.trace(pooled) / d + 1e-9) * np.eye(d)
             lower = np.linalg.cholesky(mixed)
             self.factor[c] = np.linalg.inv(lower)
             self.log_det[c] = 2 * np.log(np.diag(lower)).sum()

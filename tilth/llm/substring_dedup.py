@@ -70,7 +70,7 @@ def anchors(raw: np.ndarray, off: np.ndarray, width: int, size: int) -> tuple[np
     return places, np.searchsorted(off, places, side="right") - 1, hashes[places]
 
 
-def shared_anchors(texts: DataFrame, width: int, size: int) -> DataFrame:
+def shared_anchors(texts: DataFrame, width: int, size: int, local: int) -> DataFrame:
     """u, hashes: for each text (u, text) its anchors that another text has too."""
 
     def own_anchors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -88,7 +88,7 @@ def shared_anchors(texts: DataFrame, width: int, size: int) -> DataFrame:
 
     size_ = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = bucket_count(texts.sparkSession, 2 * size_ // (width - size + 2))
-    met = meeting_keys(texts.select(F.col("u").alias("id"), "text"), own_anchors, buckets, LOCAL)
+    met = meeting_keys(texts.select(F.col("u").alias("id"), "text"), own_anchors, buckets, local)
     return met.groupBy(F.col("id").alias("u")).agg(F.collect_list("key").alias("hashes"))
 
 
@@ -128,10 +128,10 @@ def occurrences(texts: DataFrame, width: int, size: int) -> DataFrame:
 _PACKED = ["h", "salt", "s1", "s2", "lo", "hi", "size"]
 
 
-def packed_snippets(texts: DataFrame, width: int, size: int, buckets: int) -> DataFrame:
+def packed_snippets(texts: DataFrame, width: int, size: int, buckets: int, block: int) -> DataFrame:
     """Distinct snippets of each Arrow batch, packed by ranges of their anchor, from texts (d, text, hashes).
 
-    An anchor with more than BLOCK_SNIPPETS snippets in the batch sends them to salted lanes, and a
+    An anchor with more than `block` snippets in the batch sends them to salted lanes, and a
     stand-in that tells its own lane so.
     """
 
@@ -161,10 +161,10 @@ def packed_snippets(texts: DataFrame, width: int, size: int, buckets: int) -> Da
             runs_at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             runs = np.diff(np.append(runs_at, len(h)))
             many = np.repeat(runs, runs)
-            hot = many > BLOCK_SNIPPETS
-            salt = np.where(hot, (s1 % (2 * many // BLOCK_SNIPPETS).clip(1).astype(np.uint64)).astype(np.int64), -1)
+            hot = many > block
+            salt = np.where(hot, (s1 % (2 * many // block).clip(1).astype(np.uint64)).astype(np.int64), -1)
             bucket = np.where(hot, bucket_of(mix(h ^ mix(salt.astype(np.uint64))), buckets), bucket_of(h, buckets))
-            stand = h[runs_at[runs > BLOCK_SNIPPETS]]
+            stand = h[runs_at[runs > block]]
             lengths = np.fromiter(map(len, data), np.int64, len(data))
             order = np.lexsort((np.arange(len(h)), bucket))
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -224,7 +224,7 @@ def _runs(snippet: np.ndarray, place: np.ndarray, owner: np.ndarray) -> tuple[np
     return s[cut], p[cut], p[np.append(cut[1:], len(s)) - 1] if len(s) else p[:0], o[cut]
 
 
-def sorted_windows(packed: DataFrame, width: int) -> DataFrame:
+def sorted_windows(packed: DataFrame, width: int, block: int) -> DataFrame:
     """Owned runs of windows of each snippet, and the windows of anchors that were cut into lanes.
 
     Rows: s1, s2, a, b, owner; or w1, w2, owner and members.
@@ -293,8 +293,8 @@ def sorted_windows(packed: DataFrame, width: int) -> DataFrame:
             lanes = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])))
             counts = np.diff(np.append(lanes, len(h)))
             many = np.repeat(counts, counts)
-            cut = (salt >= 0) | np.isin(h, stands) | (many > 2 * BLOCK_SNIPPETS)
-            part = np.where(cut, (np.arange(len(h)) - np.repeat(lanes, counts)) // BLOCK_SNIPPETS, 0)
+            cut = (salt >= 0) | np.isin(h, stands) | (many > 2 * block)
+            part = np.where(cut, (np.arange(len(h)) - np.repeat(lanes, counts)) // block, 0)
             lane = np.cumsum(np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]) | (part[1:] != part[:-1]))) - 1
             yield from flush([lane, cut, s1.view(np.int64), s2.view(np.int64), lo, hi], [data[a : a + n] for a, n in zip(at.tolist(), size.tolist(), strict=True)])
 
@@ -334,7 +334,7 @@ def covered(texts: DataFrame) -> DataFrame:
     return texts.select("u", "text", "spans").mapInArrow(run, "u long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, size: int = ANCHOR) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, size: int = ANCHOR, local: int = LOCAL, block: int = BLOCK_SNIPPETS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs (doc_id, text)."""
     keyed = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("d"), F.coalesce("text", F.lit("")).alias("text"))
     h = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
@@ -342,10 +342,10 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, size: int = ANCHOR) -> D
     stands = ids.groupBy("t1", "t2").agg(F.min("d").alias("d"))
     texts = materialize(keyed.select("d", *h, "text").join(stands, ["t1", "t2", "d"], "left_semi").dropDuplicates(["t1", "t2"]).withColumn("u", F.monotonically_increasing_id()))
 
-    hashes = materialize(shared_anchors(texts, width, size))
+    hashes = materialize(shared_anchors(texts, width, size, local))
     with_hashes = texts.select("u", "d", "text").join(hashes, "u")
     buckets = bucket_count(docs.sparkSession, hashes.agg(F.sum(F.size("hashes"))).first()[0] or 0, 200_000)
-    windows = materialize(sorted_windows(packed_snippets(with_hashes, width, size, buckets), width))
+    windows = materialize(sorted_windows(packed_snippets(with_hashes, width, size, buckets, block), width, block))
     found = materialize(occurrences(with_hashes, width, size))
     own = windows.where("s1 is not null").select("s1", "s2", "a", "b", "owner")
     parts = windows.where("w1 is not null").select("w1", "w2", "owner", "members")
