@@ -23,20 +23,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilth.llm.common import materialize, table
+from tilth.llm.common import materialize, setting, table
 
 MIN_WORDS = 8
 #: Line numbers are looked up by blocks of so many, so that long texts stay cheap.
 BLOCK_LINES = 256
+#: Size of a scan from which on a small join side filters it by a Bloom filter.
+_BLOOM = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
 
 
 def words_of(line: Column) -> Column:
-    """Words of a line; a line without any gives one empty word."""
-    return F.split(F.btrim(line, F.lit(" \t\x0b\f\r")), r"[ \t\x0B\f\r]+")
-
-
-def _has_words(words: Column) -> Column:
-    return F.get(words, F.lit(0)) != ""
+    """Words of a line, in order."""
+    return F.array_remove(F.split(F.translate(line, "\t\x0b\f\r", "    "), " "), "")
 
 
 def _without(words: Column, p: Column) -> Column:
@@ -65,22 +63,26 @@ def _halves(words: Column) -> Column:
 
 
 def _variants(rows: DataFrame) -> DataFrame:
-    """first, k: keys of every line (first, words) and of its deletions.
+    """first, k: keys of every line (first, words, front, back) and of its deletions.
 
     A line's key is the exclusive or of its words' hashes with their places, so the key of a deletion
-    comes from running ones: words after the deleted one move a place forward. Each deletion gives two keys, one
-    for partners a word shorter and, with the place in it, one for partners with another word there.
+    comes from running ones: words after the deleted one move a place forward. Each deletion gives two
+    keys, one for partners a word shorter and, with the place in it, one for partners with another word
+    there. A line that shares its front half with partners needs deletions behind it only, and one that
+    shares its back half those before it.
     """
     here = F.transform("words", lambda w, i: F.xxhash64(w, i))
     ahead = F.transform("words", lambda w, i: F.xxhash64(w, i - 1))
     start = F.struct(F.lit(0).cast("long").alias("xor"), F.array(F.lit(0).cast("long")).alias("all"))
     step = lambda acc, x: F.struct(acc["xor"].bitwiseXOR(x).alias("xor"), F.concat(acc["all"], F.array(acc["xor"].bitwiseXOR(x))).alias("all"))
     running = lambda hashes: F.aggregate(hashes, start, step, lambda acc: acc["all"])
-    rows = rows.select("first", here.alias("here"), ahead.alias("ahead")).select("first", "here", running(F.col("here")).alias("a"), running(F.col("ahead")).alias("b"))
-    whole = F.element_at("a", -1)
-    end = F.element_at("b", -1)
-    shorter = F.transform("here", lambda x, p: F.xxhash64(F.lit(-1), F.get("a", p).bitwiseXOR(end).bitwiseXOR(F.get("b", p + 1))))
-    other = F.transform("here", lambda x, p: F.xxhash64(p, whole.bitwiseXOR(x)))
+    last = F.size("words") - 1
+    half = (last / 2).cast("int")
+    places = F.when(F.col("front") & F.col("back"), F.sequence(F.lit(0), last)).when(F.col("front"), F.sequence(half, last)).when(F.col("back"), F.sequence(F.lit(0), last - half)).otherwise(F.array().cast("array<int>"))
+    rows = rows.select("first", here.alias("here"), ahead.alias("ahead"), places.alias("places")).select("first", "here", "places", running(F.col("here")).alias("a"), running(F.col("ahead")).alias("b"))
+    whole, end = F.element_at("a", -1), F.element_at("b", -1)
+    shorter = F.transform("places", lambda p: F.xxhash64(F.lit(-1), F.get("a", p).bitwiseXOR(end).bitwiseXOR(F.get("b", p + 1))))
+    other = F.transform("places", lambda p: F.xxhash64(p, whole.bitwiseXOR(F.get("here", p))))
     return rows.select("first", F.explode(F.concat(F.array(F.xxhash64(F.lit(-1), whole)), shorter, other)).alias("k"))
 
 
@@ -91,37 +93,46 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def line_classes(keyed: DataFrame) -> DataFrame:
     """h1, h2 (hash of the words), first (document and number of the first such line) and k0 to k3, keys of its halves (NULL for short lines)."""
     lines = keyed.select("d", "t", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    lines = lines.select(F.struct("d", "t", "n").alias("first"), words_of(F.col("line")).alias("words")).where(_has_words(F.col("words")))
-    h = [F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2")]
+    lines = lines.select(F.struct("d", "t", "n").alias("first"), words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
+    halves = F.when(F.size("words") >= MIN_WORDS, _halves(F.col("words")))
+    k = [F.get("halves", F.lit(i)).alias(f"k{i}") for i in range(4)]
+    h2 = F.when(F.col("halves").isNull(), F.xxhash64(F.lit(1), "words")).otherwise(F.xxhash64(F.get("halves", F.lit(0)), F.get("halves", F.lit(1))))
     return (
-        lines.select(*h, "first", F.when(F.size("words") >= MIN_WORDS, _halves(F.col("words"))).alias("halves"))
-        .select("h1", "h2", "first", *(F.get("halves", F.lit(i)).alias(f"k{i}") for i in range(4)))
+        lines.select("first", "words", F.xxhash64("words").alias("h1"), halves.alias("halves"))
+        .select("h1", h2.alias("h2"), "first", *k)
         .groupBy("h1", "h2")
         .agg(F.min("first").alias("first"), *(F.max(f"k{i}").alias(f"k{i}") for i in range(4)))
     )
 
 
 def lines_with_partners(classes: DataFrame) -> DataFrame:
-    """d, t, ns: first places of the classes that share a half with another class, by document."""
-    keys = classes.where("k0 is not null").select("h1", "h2", F.explode(F.array(*(F.col(f"k{i}") for i in range(4)))).alias("k"))
+    """d, t, ns: first places of the classes that share a half with another class, by document.
+
+    front and back tell whether a class may be the longer of two partners, or as long, with that half
+    shared.
+    """
+    keys = classes.where("k0 is not null").select("h1", "h2", F.posexplode(F.array(*(F.col(f"k{i}") for i in range(4)))).alias("i", "k"))
     shared = keys.groupBy("k").agg(F.count("*").alias("c")).where("c > 1").select("k")
-    partnered = keys.join(shared, "k", "left_semi").select("h1", "h2").distinct()
-    return classes.select("h1", "h2", "first").join(partnered, ["h1", "h2"], "left_semi").groupBy("first.d", "first.t").agg(F.collect_set("first.n").alias("ns"))
+    partnered = keys.join(shared, "k", "left_semi").groupBy("h1", "h2").agg(F.bool_or(F.col("i") == 0).alias("front"), F.bool_or(F.col("i") == 1).alias("back"))
+    rows = classes.select("h1", "h2", "first").join(partnered, ["h1", "h2"])
+    return rows.groupBy("first.d", "first.t").agg(F.collect_list(F.struct("first.n", "front", "back")).alias("ns"))
 
 
 def later_lines(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """first: the wanted lines that have an earlier near line among them."""
-    candidates = materialize(
-        keyed.join(wanted, ["d", "t"])
-        .select("d", "t", F.split("text", "\n").alias("all"), F.explode("ns").alias("n"))
-        .select(F.struct("d", "t", "n").alias("first"), F.get("all", F.col("n")).alias("line"))
+    rows = (
+        keyed.join(wanted.where(F.size("ns") > 0), ["d", "t"])
+        .select("d", "t", F.split("text", "\n").alias("all"), F.explode("ns").alias("w"))
+        .select(F.struct("d", "t", "w.n").alias("first"), F.get("all", F.col("w.n")).alias("line"), "w.front", "w.back")
         .distinct()
-    ).select("first", words_of(F.col("line")).alias("words"))
+    )
+    with setting(keyed.sparkSession, _BLOOM, "1m"):  # documents without wanted lines stay out of the shuffle
+        candidates = materialize(rows).select("first", words_of(F.col("line")).alias("words"), "front", "back")
     variants = _variants(candidates)
     leads = variants.groupBy("k").agg(F.min("first").alias("lead"), F.count("*").alias("c")).where("c > 1").select("k", "lead")
     pairs = variants.join(leads, "k").where("lead < first").select("first", "lead").distinct()
     return (
-        pairs.join(candidates.withColumnRenamed("words", "a"), "first")
+        pairs.join(candidates.select("first", F.col("words").alias("a")), "first")
         .join(candidates.select(F.col("first").alias("lead"), F.col("words").alias("b")), "lead")
         .where(within_one_edit(F.col("a"), F.col("b")))
         .select("first")
@@ -147,7 +158,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with its lines deduplicated, and the columns n_lines and n_removed."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_removed")]
     keyed = _keyed(docs)
-    stays = F.filter(F.split("text", "\n"), lambda line, i: F.coalesce(F.array_contains(F.col("kept")[(i / BLOCK_LINES).cast("int")], i), F.lit(False)) | ~_has_words(words_of(line)))
+    stays = F.filter(F.split("text", "\n"), lambda line, i: F.coalesce(F.array_contains(F.col("kept")[(i / BLOCK_LINES).cast("int")], i), F.lit(False)) | (F.size(words_of(line)) == 0))
     out = (
         keyed.join(materialize(kept_lines(docs)), ["d", "t"], "left")
         .select("d", "t", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines"), stays.alias("lines"))
