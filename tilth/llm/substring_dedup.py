@@ -11,8 +11,8 @@ is removed; strings are judged on the input, and matches never cross documents.
    snippets are one, with their smallest doc_id.
 4. The snippets of one anchor are sorted by a suffix array (linear grouping, many anchors at once).
    Suffixes that follow each other and agree on `width` bytes are one window, which belongs to its
-   smallest doc_id. An anchor with very many snippets is cut into lanes, whose windows then meet by
-   a 128-bit digest; an anchor with one snippet needs no order.
+   smallest doc_id. An anchor with very many snippets is cut into lanes (in several tasks if one
+   Arrow batch alone has many), whose windows then meet by a 128-bit digest; an anchor with one snippet needs no order.
 5. Each occurrence of a snippet is covered by its windows that belong to a smaller doc_id.
 
 Null and empty texts have no bytes. Null doc_ids count as the smallest. Repeated rows (equal doc_id)
@@ -238,7 +238,7 @@ def sorted_windows(packed: DataFrame, width: int, block: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(owner), none, none, pa.nulls(len(a), member)], names=names)
 
     def flush(rows: list[np.ndarray], data: list[bytes]) -> Iterator[pa.RecordBatch]:
-        lane, cut, s1, s2, lo, hi = rows
+        lane, cut, open_, s1, s2, lo, hi = rows
         many = np.bincount(lane)[lane] > 1
         lengths = np.fromiter(map(len, data), np.int64, len(data))
         single = np.flatnonzero(~many & ~cut & (lo < hi) & (lengths >= width))
@@ -249,8 +249,8 @@ def sorted_windows(packed: DataFrame, width: int, block: int) -> DataFrame:
         # lanes of like length together, so that no step has only a few of them
         total = np.bincount(lane, weights=lengths + 1)
         use = use[np.lexsort((use, lane[use], total[lane[use]]))]
-        size = np.cumsum(lengths[use] + 1)
-        rounds = _whole_lanes(size, lane[use], SORT_SYMBOLS)
+        rounds = _whole_lanes(np.cumsum(lengths[use] + 1), lane[use], SORT_SYMBOLS)
+        found: list[tuple[np.ndarray, ...]] = []  # windows of cut lanes: snippet, place, digest, smallest doc_id
         for k in range(int(rounds[-1]) + 1):
             part = use[rounds == k]
             if not len(part):
@@ -261,22 +261,37 @@ def sorted_windows(packed: DataFrame, width: int, block: int) -> DataFrame:
             least = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
             np.minimum.at(least, group, lo[part][where])
             owner = least[group]
-            done = ~cut[part][where]
-            useful = done & (owner < hi[part][where])
+            whole = ~cut[part][where]
+            useful = whole & (owner < hi[part][where])
             s, a, b, o = _runs(where[useful], place[useful], owner[useful])
             yield plain(s1[part][s], s2[part][s], a, b, o)
-            open_ = np.flatnonzero(~done)
-            if len(open_):
-                g = group[open_]
-                heads = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-                first = starts[where[open_[heads]]] + place[open_[heads]]
-                w1, w2 = RangeHash(symbols).of(first, first + width), RangeHash(symbols, _BASE2).of(first, first + width)
-                w = where[open_]
-                parts = pa.StructArray.from_arrays([pa.array(s1[part][w]), pa.array(s2[part][w]), pa.array(place[open_].astype(np.int32)), pa.array(hi[part][w])], fields=list(member.value_type))
-                lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(open_)).astype(np.int32)), parts)
-                null = pa.nulls(len(heads), pa.int64())
-                null32 = pa.nulls(len(heads), pa.int32())
-                yield pa.RecordBatch.from_arrays([null, null, null32, null32, pa.array(least[g[heads]]), signed(w1), signed(w2), lists.cast(member)], names=names)
+            at = np.flatnonzero(~whole)
+            if len(at):
+                first = starts[where[at]] + place[at]
+                found.append((part[where[at]], place[at], RangeHash(symbols).of(first, first + width), RangeHash(symbols, _BASE2).of(first, first + width), owner[at]))
+        if not found:
+            return
+        who, place, w1, w2, owner = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((w2, w1))
+        who, place, w1, w2, owner = (c[order] for c in (who, place, w1, w2, owner))
+        heads = np.flatnonzero(np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))
+        sizes = np.diff(np.append(heads, len(who)))
+        least = np.minimum.reduceat(owner, heads)
+        owner = np.repeat(least, sizes)
+        useful = ~open_[who] & (owner < hi[who])
+        s, a, b, o = _runs(who[useful], place[useful], owner[useful])
+        yield plain(s1[s], s2[s], a, b, o)
+        # anchors that have lanes in other tasks too
+        at = np.flatnonzero(open_[who])
+        if len(at):
+            g = np.repeat(np.arange(len(heads)), sizes)[at]
+            cuts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+            w = who[at]
+            parts = pa.StructArray.from_arrays([pa.array(s1[w]), pa.array(s2[w]), pa.array(place[at].astype(np.int32)), pa.array(hi[w])], fields=list(member.value_type))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(at)).astype(np.int32)), parts)
+            null, null32 = pa.nulls(len(cuts), pa.int64()), pa.nulls(len(cuts), pa.int32())
+            one = heads[g[cuts]]
+            yield pa.RecordBatch.from_arrays([null, null, null32, null32, pa.array(least[g[cuts]]), signed(w1[one]), signed(w2[one]), lists.cast(member)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, held in by_bucket(batches):
@@ -293,10 +308,11 @@ def sorted_windows(packed: DataFrame, width: int, block: int) -> DataFrame:
             lanes = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])))
             counts = np.diff(np.append(lanes, len(h)))
             many = np.repeat(counts, counts)
-            cut = (salt >= 0) | np.isin(h, stands) | (many > 2 * block)
+            open_ = (salt >= 0) | np.isin(h, stands)
+            cut = open_ | (many > 2 * block)
             part = np.where(cut, (np.arange(len(h)) - np.repeat(lanes, counts)) // block, 0)
             lane = np.cumsum(np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]) | (part[1:] != part[:-1]))) - 1
-            yield from flush([lane, cut, s1.view(np.int64), s2.view(np.int64), lo, hi], [data[a : a + n] for a, n in zip(at.tolist(), size.tolist(), strict=True)])
+            yield from flush([lane, cut, open_, s1.view(np.int64), s2.view(np.int64), lo, hi], [data[a : a + n] for a, n in zip(at.tolist(), size.tolist(), strict=True)])
 
     return deal(packed).mapInArrow(run, schema)
 
