@@ -13,7 +13,7 @@ sets share one.
 Within the sets of one signature only one, the pivot, is compared with all others: the set whose
 signatures have the most sets, which is the middle of a group of near copies. Two sets that are both
 linked with it are connected; any others that are linked share a part of what sets them apart from
-the pivot (see verified()), and are compared where they do. Every compared pair is verified on whole
+the pivot (see verified()), and are compared where they do and parity maps of it leave a link possible. Every compared pair is verified on whole
 texts. No pair list of a group is made, and no link between components is missed.
 
 Null and empty texts have the empty set. Null doc_ids count as the smallest id and are shown as null.
@@ -34,6 +34,9 @@ from tilth.llm.common import RangeHash, blocks, bucket_count, materialize, meeti
 
 #: Partitions of the domain tried for sets that leave too many parts of it empty.
 TURNS = 6
+#: Bits of a residual's parity map.
+MAP_BITS = 256
+_MAP = [f"m{i}" for i in range(MAP_BITS // 64)]
 _NULL_ID = -(1 << 63)
 
 _WORD = np.ones(256, bool)
@@ -164,7 +167,7 @@ def _joined_sets(ra: np.ndarray, ha: np.ndarray, rb: np.ndarray, hb: np.ndarray)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """pairs (a, b) with linked (similar enough), na and nb (set sizes), r (features that one side only has) and residual.
+    """pairs (a, b) with linked (similar enough), na and nb (set sizes), r (features that one side only has), residual, and the parity map of those features.
 
     residual holds the first of those features, those of b before those of a, as many as another set
     must share one of to be linked with b when b or it is not linked with a:
@@ -195,15 +198,17 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
                 least = np.where(linked, half, np.maximum(1, alone - most))
                 take = np.maximum(0, alone - least + 1)
                 r, h, side = r[~both], mix(h[~both]), side[~both]
+                parity = np.bincount(r * MAP_BITS + (h % np.uint64(MAP_BITS)).astype(np.int64), minlength=n * MAP_BITS).reshape(n, -1) & 1
+                bits = np.packbits(parity.astype(np.uint8), axis=1).view(np.int64)
                 order = np.lexsort((h, side, r))
                 r, h = r[order], h[order]
                 rank = np.arange(len(r)) - np.searchsorted(r, np.arange(n))[r]
                 keep = rank < take[r]
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(r[keep], minlength=n))), pa.int32()), signed(h[keep]))
-                yield pa.RecordBatch.from_arrays([batch.column("a").slice(a, n), batch.column("b").slice(a, n), pa.array(linked), pa.array(na), pa.array(nb), pa.array(alone), lists], names=["a", "b", "linked", "na", "nb", "r", "residual"])
+                yield pa.RecordBatch.from_arrays([batch.column("a").slice(a, n), batch.column("b").slice(a, n), pa.array(linked), pa.array(na), pa.array(nb), pa.array(alone), lists, *(pa.array(bits[:, i].copy()) for i in range(len(_MAP)))], names=["a", "b", "linked", "na", "nb", "r", "residual", *_MAP])
 
     rows = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
-    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean, na long, nb long, r long, residual array<long>")
+    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean, na long, nb long, r long, residual array<long>, " + ", ".join(f"{c} long" for c in _MAP))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -244,11 +249,13 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     pairs = members.join(pivots, "sig").where("doc != a").select("a", F.col("doc").alias("b")).distinct()
     compared = materialize(verified(pairs, texts, width, percent))
     # documents that share a part of their residual to the same pivot, at least one of them not linked with it
-    parts = compared.select("a", "b", "linked", "nb", "r", F.explode("residual").alias("part"))
-    other = parts.select("a", F.col("b").alias("x"), F.col("linked").alias("lx"), F.col("nb").alias("nx"), F.col("r").alias("rx"), "part")
+    parts = compared.select("a", "b", "linked", "nb", "r", *_MAP, F.explode("residual").alias("part"))
+    other = parts.select("a", F.col("b").alias("x"), F.col("linked").alias("lx"), F.col("nb").alias("nx"), F.col("r").alias("rx"), "part", *(F.col(m).alias(f"{m}x") for m in _MAP))
     near = (F.col("b") != F.col("x")) & (F.col("lx") | (F.col("b") < F.col("x")))
     c = (100 - percent) / (100 + percent)
-    alike = (percent * F.greatest("nb", "nx") <= 100 * F.least("nb", "nx")) & (F.abs(F.col("r") - F.col("rx")) <= c * (F.col("nb") + F.col("nx")) + 1)
+    # features in one set only: no fewer than the bits in which the residuals' parity maps differ
+    apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}x"))) for m in _MAP), F.lit(0))
+    alike = (percent * F.greatest("nb", "nx") <= 100 * F.least("nb", "nx")) & (apart <= c * (F.col("nb") + F.col("nx")) + 1)
     rest = parts.where("not linked").join(other, ["a", "part"]).where(near & alike).select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b")).distinct()
     links = compared.where("linked").select("a", "b").union(verified(rest, texts, width, percent).where("linked").select("a", "b"))
     labels = components(links)
