@@ -184,3 +184,58 @@ def test_merge_into(spark, tmp_path):
     spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string").write.parquet(path)
     writers.merge_into(path, spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string"), ["k"])
     assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "a"), (2, "c"), (3, "d")]
+
+
+def square(x, y, w):
+    return [{"x": float(a), "y": float(b)} for a, b in ((x, y), (x + w, y), (x + w, y + w), (x, y + w))]
+
+
+RING = "ring array<struct<x:double,y:double>>"
+
+
+def test_overlaps_on_cells(spark):
+    from tilth.operators import overlap
+
+    a = spark.createDataFrame([(1, square(0, 0, 4)), (2, square(10, 10, 4))], f"a int, {RING}")
+    b = spark.createDataFrame([(7, square(2, 0, 4)), (8, square(0, 0, 2))], f"b int, {RING}")
+    assert sorted((r.unit, r.share) for r in overlap.assign_blocks(a, b, 1.0).collect()) == [("1@7", 0.5), ("1@8", 0.25)]
+    points = spark.createDataFrame([(1, 1.0, 1.0), (2, 11.0, 11.0), (3, 50.0, 50.0)], "id int, x double, y double")
+    assert {r.id: r.unit for r in overlap.label_points(points, a.withColumnRenamed("a", "unit"), 2.0).collect()} == {1: 1, 2: 2, 3: None}
+
+
+def test_crowns_follow_tops_and_rows_are_found(spark):
+    import math
+
+    from tilth.operators import flight
+
+    cells = [(0, i, j, 10 - math.hypot(i - 3, j - 3)) for i in range(7) for j in range(7)] + [(0, i, j, 10 - math.hypot(i - 3, j - 20)) for i in range(7) for j in range(17, 24)]
+    out = flight.crowns(spark.createDataFrame(cells, "raster int, row long, col long, v double"), 1.0).groupBy("crown").count().collect()
+    assert sorted(r["count"] for r in out) == [49, 49]
+    wave = [math.sin(2 * math.pi * j * 0.1 / 0.8) for i in range(64) for j in range(64)]
+    r = flight.row_geometry(spark.createDataFrame([(1, 0.1, 64, wave)], "tile long, cell_m double, n int, v array<double>"), 0.3, 3.0).first()
+    assert r.spacing_m == pytest.approx(0.8) and r.across_deg == pytest.approx(0) and r.strength > 10
+    points = spark.createDataFrame([("k", float(i % 10), float(i // 10) * 3) for i in range(40)], "k string, x double, y double")
+    assert flight.row_direction(points, ["k"]).first().direction == 90
+
+
+def test_net_learns_a_plane(spark):
+    from tilth.operators import nets
+
+    rows = spark.createDataFrame([(float(i % 7), float(i % 11), 2.0 * (i % 7) - (i % 11)) for i in range(500)], "x double, y double, t double")
+    net = nets.fit(rows, ["x", "y"], "t", steps=800)
+    assert nets.predict(rows, ["x", "y"], [net]).agg(F.avg(F.abs(F.col("prediction") - F.col("t")))).first()[0] < 0.1
+
+
+def test_stream_equals_batch_conversation(spark):
+    from tests.duck import DATA
+    from tilth.plans import messages
+    from tilth.streaming.messages import step
+
+    expected = {}
+    for r in spark.read.parquet(str(DATA / "sf0.001" / "events.parquet")).orderBy("event_id").collect():
+        state, yes, no = expected.get(r.user_id, ("idle", 0, 0))
+        state, y, n = step(state, r.event_type)
+        yes += y
+        expected[r.user_id] = (state, yes, no + min(n, yes - no))
+    got = messages.stream_conversations(spark, str(DATA / "sf0.001")).collect()
+    assert {r.user_id: (r.state, r.confirmed, r.voided) for r in got} == expected
