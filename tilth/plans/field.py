@@ -210,7 +210,7 @@ def block_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.block_reduce(pixels(spark, sf_dir), 4).select("raster", "row", "col", F.round("v", 6).alias("v"), "n")
 
 
-@query(f"WITH {_PIX} SELECT row, col, round(least(greatest(a.v - b.v, 0.0), 0.3), 6) AS v, a.v - b.v < 0 AS clamped FROM (SELECT row % 50 AS row, col, max(v) AS v FROM px WHERE raster % 2 = 0 GROUP BY 1, 2) a LEFT JOIN (SELECT row % 50 AS row, col, max(v) AS v FROM px WHERE raster % 2 = 1 GROUP BY 1, 2) b USING (row, col)")
+@query(f"WITH {_PIX} SELECT row, col, CASE WHEN a.v - b.v IS NOT NULL THEN round(least(greatest(a.v - b.v, 0.0), 0.3), 6) END AS v, a.v - b.v < 0 AS clamped FROM (SELECT row % 50 AS row, col, max(v) AS v FROM px WHERE raster % 2 = 0 GROUP BY 1, 2) a LEFT JOIN (SELECT row % 50 AS row, col, max(v) AS v FROM px WHERE raster % 2 = 1 GROUP BY 1, 2) b USING (row, col)")
 def raster_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     top, ground = (pixels(spark, sf_dir).where(F.col("raster") % 2 == i).groupBy(F.lit(0).alias("raster"), (F.col("row") % 50).alias("row"), "col").agg(F.max("v").alias("v")) for i in (0, 1))
     return raster.surface_height(top, ground, 0.3).select("row", "col", F.round("v", 6).alias("v"), "clamped")
