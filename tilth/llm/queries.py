@@ -22,5 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_decontamination": decontamination.ORACLE_SQL,
+    "op8_jaccard_join": jaccard_join.ORACLE_SQL,
     "op10_line_dedup": line_dedup.ORACLE_SQL,
 }
