@@ -32,9 +32,14 @@ BLOCK_LINES = 256
 _BLOOM = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
 
 
+def has_words(line: Column) -> Column:
+    return line.rlike(r"[^ \t\x0B\f\r]")
+
+
 def words_of(line: Column) -> Column:
-    """Words of a line, in order."""
-    return F.array_remove(F.split(F.translate(line, "\t\x0b\f\r", "    "), " "), "")
+    """Words of a line that has some; white space other than single blanks between words is made so first."""
+    odd = line.rlike(r"[\t\x0B\f\r]|  |^ | $")
+    return F.split(F.when(odd, F.btrim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " "))).otherwise(line), " ")
 
 
 def _without(words: Column, p: Column) -> Column:
@@ -93,7 +98,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def line_classes(keyed: DataFrame) -> DataFrame:
     """h1, h2 (hash of the words), first (document and number of the first such line) and k0 to k3, keys of its halves (NULL for short lines)."""
     lines = keyed.select("d", "t", F.posexplode(F.split("text", "\n")).alias("n", "line"))
-    lines = lines.select(F.struct("d", "t", "n").alias("first"), words_of(F.col("line")).alias("words")).where(F.size("words") > 0)
+    lines = lines.where(has_words(F.col("line"))).select(F.struct("d", "t", "n").alias("first"), words_of(F.col("line")).alias("words"))
     halves = F.when(F.size("words") >= MIN_WORDS, _halves(F.col("words")))
     k = [F.get("halves", F.lit(i)).alias(f"k{i}") for i in range(4)]
     h2 = F.when(F.col("halves").isNull(), F.xxhash64(F.lit(1), "words")).otherwise(F.xxhash64(F.get("halves", F.lit(0)), F.get("halves", F.lit(1))))
@@ -128,7 +133,7 @@ def later_lines(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     )
     with setting(keyed.sparkSession, _BLOOM, "1m"):  # documents without wanted lines stay out of the shuffle
         candidates = materialize(rows).select("first", words_of(F.col("line")).alias("words"), "front", "back")
-    variants = _variants(candidates)
+    variants = materialize(_variants(candidates))
     leads = variants.groupBy("k").agg(F.min("first").alias("lead"), F.count("*").alias("c")).where("c > 1").select("k", "lead")
     pairs = variants.join(leads, "k").where("lead < first").select("first", "lead").distinct()
     return (
@@ -158,7 +163,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with its lines deduplicated, and the columns n_lines and n_removed."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_removed")]
     keyed = _keyed(docs)
-    stays = F.filter(F.split("text", "\n"), lambda line, i: F.coalesce(F.array_contains(F.col("kept")[(i / BLOCK_LINES).cast("int")], i), F.lit(False)) | (F.size(words_of(line)) == 0))
+    stays = F.filter(F.split("text", "\n"), lambda line, i: F.coalesce(F.array_contains(F.col("kept")[(i / BLOCK_LINES).cast("int")], i), F.lit(False)) | ~has_words(line))
     out = (
         keyed.join(materialize(kept_lines(docs)), ["d", "t"], "left")
         .select("d", "t", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines"), stays.alias("lines"))
