@@ -117,6 +117,31 @@ def test_lines_edge_cases(spark):
     assert line_dedup.dedup_lines(table(spark, texts)).count() == len(texts)
 
 
+def brute_kept(texts):
+    """Words of the lines (one a text, by id) with no earlier line within one edit of a word."""
+    lines = [tuple(texts[i].split()) for i in sorted(texts)]
+    cut = lambda w: {w[:p] + w[p + 1 :] for p in range(len(w))}
+    near = lambda a, b: a == b or (min(len(a), len(b)) >= line_dedup.MIN_WORDS and ((len(a) == len(b) and sum(x != y for x, y in zip(a, b, strict=True)) == 1) or a in cut(b) or b in cut(a)))
+    return [w for j, w in enumerate(lines) if not any(near(v, w) for v in lines[:j])]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_lines_equal_brute_force(spark, seed):
+    """Families of one line: a word more, less, other or moved, so that partners of one line are often two edits apart."""
+    line = "a b c d e f g h i j".split()
+    more = lambda p, w, x=line: [*x[:p], w, *x[p:]]
+    lines = [more(7, "u"), line, more(3, "v")]
+    if seed:
+        rnd = random.Random(seed)
+        lines += [more(p, f"n{p}") for p in range(11)] + [more(rnd.randrange(10), x, line[:p] + line[p + 1 :]) for p, x in enumerate(line)]
+        lines += [line[:p] + line[p + 1 :] for p in rnd.sample(range(10), 4)] + [[*line[:p], "o", *line[p + 1 :]] for p in rnd.sample(range(10), 4)]
+        lines += [more(rnd.randrange(12), "m", rnd.choice(lines)) for _ in range(20)] + [["s", "t", "u"], ["s", "t", "u", "v"], line[:7], line[:8]]
+        rnd.shuffle(lines)
+    texts = {i: " ".join(w) for i, w in enumerate(lines)}
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(table(spark, texts)).collect()}
+    assert [tuple(got[i].split()) for i in sorted(got) if got[i]] == brute_kept(texts)
+
+
 def test_decontamination_equals_brute_force(spark, monkeypatch):
     rnd = random.Random(7)
     words = [f"w{i}" for i in range(30)] + ["Éa", "b2"]

@@ -8,10 +8,13 @@ words are kept.
 
 Each distinct line is one class with the place where it first occurs. A pair within one edit agrees
 on its first or its last half, so classes that share neither with another class have no partner. All
-other classes emit every variant with one word deleted, and themselves, as hashed keys; classes with
-equal keys meet the earliest of them, the pair's edit distance is verified on its words, and the
-later one goes. Groups are only ever reduced to their earliest member, so a key of any size costs
-as many rows as it has. Kept lines return to the document of their class's first place.
+other classes emit every variant with one word deleted, and themselves, as hashed keys. Lines that are
+equal but for the word at one place meet the earliest of them; a line and those a word longer meet, but
+the longer ones not each other, as they may be two edits apart: they meet the line, and it the earliest
+of them. So the members of a key are all partners of the one they meet. The pair's edit distance is
+verified on its words, and the later one goes. Groups are only ever reduced to their earliest members,
+so a key of any size costs as many rows as it has. Kept lines return to the document of their class's
+first place.
 
 Null texts stay null. Repeated rows (same doc_id and text) are one document and all keep the same
 lines. Null doc_ids come first. An empty table gives an empty result; other columns pass
@@ -28,6 +31,8 @@ from tilth.llm.common import materialize, setting, table
 MIN_WORDS = 8
 #: Line numbers are looked up by blocks of so many, so that long texts stay cheap.
 BLOCK_LINES = 256
+#: Kinds of keys: of a line as it is, of one with a word deleted, of one with a word left open.
+WHOLE, SHORTER, OPEN = 0, 1, 2
 #: Size of a scan from which on a small join side filters it by a Bloom filter.
 _BLOOM = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
 
@@ -68,7 +73,7 @@ def _halves(words: Column) -> Column:
 
 
 def _variants(rows: DataFrame) -> DataFrame:
-    """first, k: keys of every line (first, words, front, back) and of its deletions.
+    """first, kind, k: keys of every line (first, words, front, back) and of its deletions.
 
     A line's key is the exclusive or of its words' hashes with their places, so the key of a deletion
     comes from running ones: words after the deleted one move a place forward. Each deletion gives two
@@ -86,9 +91,10 @@ def _variants(rows: DataFrame) -> DataFrame:
     places = F.when(F.col("front") & F.col("back"), F.sequence(F.lit(0), last)).when(F.col("front"), F.sequence(half, last)).when(F.col("back"), F.sequence(F.lit(0), last - half)).otherwise(F.array().cast("array<int>"))
     rows = rows.select("first", here.alias("here"), ahead.alias("ahead"), places.alias("places")).select("first", "here", "places", running(F.col("here")).alias("a"), running(F.col("ahead")).alias("b"))
     whole, end = F.element_at("a", -1), F.element_at("b", -1)
-    shorter = F.transform("places", lambda p: F.xxhash64(F.lit(-1), F.get("a", p).bitwiseXOR(end).bitwiseXOR(F.get("b", p + 1))))
-    other = F.transform("places", lambda p: F.xxhash64(p, whole.bitwiseXOR(F.get("here", p))))
-    return rows.select("first", F.explode(F.concat(F.array(F.xxhash64(F.lit(-1), whole)), shorter, other)).alias("k"))
+    key = lambda kind, k: F.struct(F.lit(kind).cast("byte").alias("kind"), k.alias("k"))
+    shorter = F.transform("places", lambda p: key(SHORTER, F.xxhash64(F.lit(-1), F.get("a", p).bitwiseXOR(end).bitwiseXOR(F.get("b", p + 1)))))
+    other = F.transform("places", lambda p: key(OPEN, F.xxhash64(p, whole.bitwiseXOR(F.get("here", p)))))
+    return rows.select("first", F.inline(F.concat(F.array(key(WHOLE, F.xxhash64(F.lit(-1), whole))), shorter, other)))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -134,8 +140,15 @@ def later_lines(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     with setting(keyed.sparkSession, _BLOOM, "1m"):  # documents without wanted lines stay out of the shuffle
         candidates = materialize(rows).select("first", words_of(F.col("line")).alias("words"), "front", "back")
     variants = materialize(_variants(candidates))
-    leads = variants.groupBy("k").agg(F.min("first").alias("lead"), F.count("*").alias("c")).where("c > 1").select("k", "lead")
-    pairs = variants.join(leads, "k").where("lead < first").select("first", "lead").distinct()
+    is_whole = F.col("kind") == WHOLE
+    leads = (
+        variants.groupBy("k")
+        .agg(F.min(F.when(is_whole, F.col("first"))).alias("whole"), F.min(F.when(~is_whole, F.col("first"))).alias("other"), F.count("*").alias("c"), F.max("kind").alias("most"))
+        .where((F.col("c") > 1) & (F.col("whole").isNotNull() | (F.col("most") == OPEN)))
+        .select("k", "whole", "other")
+    )
+    lead = F.when(F.col("kind") == SHORTER, F.col("whole")).otherwise(F.col("other"))
+    pairs = variants.join(leads, "k").select("first", lead.alias("lead")).where("lead < first").distinct()
     return (
         pairs.join(candidates.select("first", F.col("words").alias("a")), "first")
         .join(candidates.select(F.col("first").alias("lead"), F.col("words").alias("b")), "lead")
