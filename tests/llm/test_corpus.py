@@ -277,6 +277,30 @@ def test_style_tree_drops_what_a_site_repeats(spark):
     assert got == {i: f"Story {i} about {i * 7} More {i * i}" for i in range(20)}
 
 
+def extracted(spark, pages):
+    rows = spark.createDataFrame([(i, f"http://s.t/{i}", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html_extraction.extract(rows).orderBy("page_id").collect()]
+
+
+def test_style_tree_drops_what_a_site_repeats_inside_main(spark):
+    block = "<div>Read our terms</div>"
+    pages = [f"<body><main><div><p>Story {i} about {i * 7}</p></div>{block}<article><p>Part {i * i}</p>{block}</article></main></body>" for i in range(20)]
+    assert extracted(spark, pages) == [f"Story {i} about {i * 7} Part {i * i}" for i in range(20)]
+    assert extracted(spark, ["<body><main>Always the same</main></body>"] * 20) == ["Always the same"] * 20
+
+
+def test_comments_marked_up_as_articles(spark):
+    comments = "<div id=comments><article>I think</article><article class=comment-body>so too</article></div>"
+    related = "<div class=related><article>Other</article></div>"
+    pages = [
+        f"<body><article>The story</article>{comments}{related}</body>",
+        f"<body><div>A story without an article</div>{comments}{related}</body>",
+        f"<body>Skip<div class=with-sidebar><article class=tag-social>The story</article>{comments}</div></body>",
+        "<body><article>The story</article><article class=comment>I think</article></body>",
+    ]
+    assert extracted(spark, pages) == ["The story", "A story without an article", "The story", "The story"]
+
+
 def test_empty_tables(spark):
     docs = table(spark, {1: "x"}).where("false")
     import public_tokenizers

@@ -5,7 +5,11 @@ root) meet. For each merged node the spread of its pages over presentations (seq
 and over contents (texts) is measured as an entropy normalised by the number of pages; a node that
 looks and reads the same on most pages has low importance, and its branch is removed from each page.
 Tags and names that say what a branch is (menu, advert, comment, ...) count before the figures: such
-branches always go, and an article or main element is kept whatever the host repeats.
+branches go, also with the articles in them, and of a page with other article or main elements only
+these are kept, without the branches in them that the host repeats. The element itself stays whatever
+the host repeats and whatever it is called, but for articles called comments. Where all main elements
+are in branches called noise (a wrapper can be called after its sidebar), they count against the rest of
+the page by the length of the text.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are
 joined by one space in page order.
@@ -19,7 +23,7 @@ low-importance paths travel back to its pages, so a host with very many pages is
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Set
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -42,6 +46,7 @@ NOISE_NAMES = {
     "cookie", "cookies", "consent", "gdpr", "notice", "notices", "notification", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "search", "form",
     "comment", "comments", "commentlist", "disqus", "replies", "reply", "respond", "discussion",
 }
+COMMENT_NAMES = {"comment", "comments", "commentlist", "disqus", "replies", "reply", "respond", "discussion"}
 MAIN_TAGS = {"article", "main"}
 MAIN_NAMES = {"main", "articlebody"}
 #: Start tags that close an open element, up to the given containers.
@@ -56,7 +61,7 @@ class Node:
     def __init__(self, tag: str, names: frozenset[str], parent: Node | None, path: str):
         self.tag, self.names, self.parent, self.path = tag, names, parent, path
         self.children: list[Node | str] = []
-        self.main = tag in MAIN_TAGS or bool(names & MAIN_NAMES)
+        self.main = tag == "main" or bool(names & MAIN_NAMES) or (tag == "article" and not names & COMMENT_NAMES)
 
 
 class TreeBuilder(HTMLParser):
@@ -115,18 +120,29 @@ def tree(html: str) -> Node:
     return builder.root
 
 
-def _walk(node: Node) -> Iterator[Node]:
-    stack = [node]
+def named_noise(node: Node, held: Set[Node]) -> bool:
+    """Whether tag or names say that the branch is none of the main text; held branches are not judged by names."""
+    if node.tag in NOISE_TAGS:
+        return True
+    if node.main or node in held or node.tag in ("#", "html", "body"):
+        return False
+    return node.tag == "header" or bool(node.names & NOISE_NAMES)
+
+
+def _reach(root: Node, closed: Callable[[Node], bool]) -> Iterator[Node]:
+    """Nodes in page order that are in no closed branch."""
+    stack = [root]
     while stack:
         node = stack.pop()
-        yield node
-        stack += [c for c in reversed(node.children) if isinstance(c, Node)]
+        if not closed(node):
+            yield node
+            stack += [c for c in reversed(node.children) if isinstance(c, Node)]
 
 
 def holders(root: Node) -> set[Node]:
-    """Main elements and everything above them."""
+    """Main elements and everything above them, but for those in branches whose tag or names say comments and the like."""
     out: set[Node] = set()
-    for node in _walk(root):
+    for node in _reach(root, lambda n: n.tag in NOISE_TAGS or (not n.main and n.tag not in ("#", "html", "body") and bool(n.names & COMMENT_NAMES))):
         if node.main:
             while node is not None and node not in out:
                 out.add(node)
@@ -134,13 +150,17 @@ def holders(root: Node) -> set[Node]:
     return out
 
 
-def named_noise(node: Node, held: set[Node]) -> bool:
-    """Whether tag or names say that the branch is none of the main text."""
-    if node.tag in NOISE_TAGS:
-        return True
-    if node in held or node.tag in ("#", "html", "body"):
-        return False
-    return node.tag == "header" or bool(node.names & NOISE_NAMES)
+def judged(root: Node) -> tuple[list[Node], set[Node], Callable[[Node], bool]]:
+    """The page's outermost main elements, they and all others with what is above them, and what is noise by tag or names."""
+    held = holders(root)
+    strict, kind = (lambda n: named_noise(n, frozenset())), (lambda n: named_noise(n, held))
+    outermost = lambda noise: [n for n in _reach(root, lambda n: noise(n) or (n.parent is not None and n.parent.main)) if n.main]
+    if not held or (mains := outermost(strict)):
+        return (mains if held else []), held, strict
+    mains = outermost(kind)
+    if sum(len(t) for m in mains for t in texts(m, kind)) > sum(map(len, texts(root, strict))):
+        return mains, held, kind
+    return [], held, strict
 
 
 def texts(node: Node, skip) -> list[str]:
@@ -176,35 +196,20 @@ def texts(node: Node, skip) -> list[str]:
 
 def observations(root: Node) -> Iterator[tuple[str, str, int]]:
     """Path, kind and hash of the presentation and the content of each block-level node outside named noise."""
-    held = holders(root)
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        if named_noise(node, held):
-            continue
-        kids = [c for c in node.children if isinstance(c, Node)]
-        stack += kids
+    _, _, noise = judged(root)
+    for node in _reach(root, noise):
         if node.tag in INLINE or node.tag in ("#", "html", "body"):
             continue
+        kids = [c for c in node.children if isinstance(c, Node)]
         yield node.path, "style", xxhash.xxh64_intdigest(" ".join(k.tag for k in kids)) - (1 << 63)
-        content = " ".join(texts(node, lambda n: named_noise(n, held)))
+        content = " ".join(texts(node, noise))
         yield node.path, "content", xxhash.xxh64_intdigest(content) - (1 << 63)
 
 
 def main_text(root: Node, low: set[str]) -> str:
     """The page's main text, given the host's low-importance paths."""
-    held = holders(root)
-    mains: list[Node] = []
-    if held:
-        stack = [root]
-        while stack:
-            node = stack.pop()
-            if node.main:
-                mains.append(node)
-            elif not named_noise(node, held):
-                stack += [c for c in reversed(node.children) if isinstance(c, Node)]
-    inside = bool(mains)
-    skip = lambda n: named_noise(n, held) or (not inside and n.path in low)
+    mains, held, noise = judged(root)
+    skip = lambda n: noise(n) or (n.path in low and not (mains and n in held))
     return " ".join(t for m in mains or [root] for t in texts(m, skip))
 
 
