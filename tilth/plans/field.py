@@ -118,6 +118,13 @@ def drift_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.running_median(rows, ["event_type"], "s", "value", 420).withColumn("median", F.round("median", 4))
 
 
+def _purchase_spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Points (all events but purchases) and spans of two hours from each purchase."""
+    rows = table(spark, sf_dir, "events").withColumn("s", F.unix_seconds(F.col("ts").cast("timestamp")))
+    spans = rows.where("event_type = 'purchase'").select("user_id", F.col("event_id").alias("seq"), F.col("s").alias("start"), (F.col("s") + 7200).alias("end"))
+    return rows.where("event_type != 'purchase'").select("user_id", F.col("event_id").alias("point"), "s"), spans
+
+
 @query("""WITH p AS (SELECT event_type, event_id AS point, floor(epoch(ts)) AS s FROM events WHERE event_id % 10 = 3), i AS (SELECT event_type, event_id AS seq, floor(epoch(ts)) AS a, floor(epoch(ts)) + 600 AS b FROM events WHERE event_id % 10 = 0)
 SELECT p.event_type, p.point, min(i.seq) AS held FROM p LEFT JOIN i ON i.event_type = p.event_type AND p.s BETWEEN i.a AND i.b GROUP BY 1, 2""")
 def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,6 +135,13 @@ def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.interval_or_nearest(points, spans, ["event_type"], "s", 600).select("event_type", "point", "held")
 
 
+@query("""WITH p AS (SELECT user_id, event_id AS point, floor(epoch(ts)) AS s FROM events WHERE event_type <> 'purchase'), i AS (SELECT user_id, event_id AS seq, floor(epoch(ts)) AS a, floor(epoch(ts)) + 7200 AS b FROM events WHERE event_type = 'purchase')
+SELECT p.user_id, p.point, min(i.seq) AS held FROM p LEFT JOIN i ON i.user_id = p.user_id AND p.s BETWEEN i.a AND i.b GROUP BY 1, 2""")
+def interval_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events: purchases open a span, the others are points."""
+    return sequences.interval_or_nearest(*_purchase_spans(spark, sf_dir), ["user_id"], "s", 7200).select("user_id", "point", "held")
+
+
 @query("SELECT l_orderkey, min(l_linenumber) AS first, max(l_linenumber) AS last, count(*) AS length FROM (SELECT l_orderkey, l_linenumber, l_linenumber - row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS run FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag <> 'N')) GROUP BY l_orderkey, run")
 def gap_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").where("l_returnflag != 'N'").select("l_orderkey", "l_linenumber").distinct()
@@ -293,6 +307,18 @@ def grid_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.nearest(rows, ["p_brand"], 3, 10.0).withColumn("d", F.round("d", 6))
 
 
+@query(ORACLE_SQL["lattice_anti"].replace(" WHERE p_partkey % 3 = 0", ""))
+def lattice_anti_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_brand", F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 40).cast("double").alias("y"))
+    return spatial.empty_positions(rows, ["p_brand"], 4.0, 0.45)
+
+
+@query(ORACLE_SQL["grid_neighbours"].replace(" WHERE p_partkey % 5 = 0", ""))
+def grid_neighbours_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 40).cast("double").alias("y"))
+    return spatial.nearest(rows, ["p_brand"], 3, 10.0).withColumn("d", F.round("d", 6))
+
+
 @query()
 def greedy_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 40).cast("double").alias("y"), F.col("p_retailprice").alias("score"))

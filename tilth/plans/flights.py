@@ -49,6 +49,13 @@ def row_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flight.row_gaps(rows, ["row"]).withColumn("at", F.round("at", 6))
 
 
+@query(ORACLE_SQL["row_gaps"].replace("l_suppkey AS row", "l_partkey AS row").replace(" WHERE l_orderkey % 10 = 0", ""))
+def row_gaps_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All line items; parts are rows, as suppliers would have every quantity."""
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("row"), F.col("l_quantity").alias("along")).distinct()
+    return flight.row_gaps(rows, ["row"]).withColumn("at", F.round("at", 6))
+
+
 @query("""WITH p AS (SELECT p_brand, p_partkey AS id, p_size + (p_partkey % 10) / 10.0 AS across FROM part), n AS (SELECT *, CASE WHEN across - lag(across) OVER (PARTITION BY p_brand ORDER BY across, id) <= 1.0 THEN 0 ELSE 1 END AS new FROM p)
 SELECT p_brand, id, CAST(sum(new) OVER (PARTITION BY p_brand ORDER BY across, id) AS BIGINT) AS row FROM n""")
 def row_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +114,22 @@ def bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.resample(source, target).select("id", F.round("v", 6).alias("v"))
 
 
+@query(ORACLE_SQL["box_pairs"].replace(" WHERE p_partkey % 5 = 0", ""))
+def box_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = table(spark, sf_dir, "part").selectExpr("p_partkey as id", "double(p_size) as x0", "double(p_partkey % 37) as y0", "double(p_size + 3 + p_partkey % 4) as x1", "double(p_partkey % 37 + 2 + p_partkey % 5) as y1")
+    return overlap.box_pairs(b, 6.0, 0.3).withColumn("share", F.round("share", 6))
+
+
+@query(f"""WITH {_PIX}, t AS (SELECT row * 64 + col AS id, (row % 50) + 0.3 AS y, col + 0.6 AS x FROM px), s AS (SELECT row, col, avg(v) AS v FROM (SELECT row % 50 AS row, col, v FROM px) GROUP BY 1, 2),
+n AS (SELECT t.id, s.v, (1 - abs(t.y - 0.5 - s.row)) * (1 - abs(t.x - 0.5 - s.col)) AS w FROM t CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(a, b) JOIN s ON s.row = CAST(floor(t.y - 0.5) AS BIGINT) + o.a AND s.col = CAST(floor(t.x - 0.5) AS BIGINT) + o.b)
+SELECT t.id, round(sum(w * v) / sum(w), 6) AS v FROM t LEFT JOIN n ON n.id = t.id GROUP BY t.id""")
+def bilinear_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = pixels(spark, sf_dir)
+    source = px.groupBy((F.col("row") % 50).alias("row"), "col").agg(F.avg("v").alias("v"))
+    target = px.select((F.col("row") * 64 + F.col("col")).alias("id"), ((F.col("row") % 50) + 0.3).alias("y"), (F.col("col") + 0.6).alias("x"))
+    return overlap.resample(source, target).select("id", F.round("v", 6).alias("v"))
+
+
 @query("""WITH c AS (SELECT p_size AS i, p_partkey % 40 AS j FROM part GROUP BY 1, 2), f AS (SELECT s_suppkey AS photo, s_suppkey % 50 AS px, s_suppkey * 7 % 40 AS py FROM supplier),
 d AS (SELECT i, j, photo, round(sqrt(pow(i - px, 2) + pow(j - py, 2)), 9) AS d FROM c, f) SELECT i, j, arg_min(photo, {'d': d, 'p': photo}) AS photo, round(min(d), 6) AS d FROM d WHERE d <= 8 GROUP BY i, j""")
 def paint(spark: SparkSession, sf_dir: str) -> DataFrame:

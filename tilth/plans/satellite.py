@@ -75,6 +75,13 @@ def thin_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.thin_stretches(C.smoothed(C.climatology(seen, KEYS), KEYS), KEYS)
 
 
+@query(ORACLE_SQL["thin_stretches"].replace(" AND doy % 60 < 20 AND id % 7 = 0", "").replace("o_orderpriority AS field", "o_custkey AS field"))
+def thin_stretches_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak days of the whole history; customers are fields, as they are seen seldom."""
+    seen = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("field"), F.to_date("o_orderdate").alias("date"), F.dayofyear("o_orderdate").alias("doy"), F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("id"))
+    return C.thin_stretches(C.smoothed(C.climatology(seen.where(F.col("year").between(1995, 1998)), KEYS), KEYS), KEYS)
+
+
 _SCORE = _SMOOTH + """, season AS (SELECT * FROM obs WHERE year = 1999), pooled AS (SELECT s.id, count(*) FILTER (WHERE h.value < s.value) AS below, count(*) FILTER (WHERE h.value = s.value) AS ties, count(*) AS n FROM season s JOIN hist h ON h.field = s.field AND least(abs(h.doy - s.doy), 366 - abs(h.doy - s.doy)) <= 12 GROUP BY s.id),
 scored AS (SELECT s.field, s.date, s.id, s.doy, s.value, b.median, b.p10, 100.0 * (p.below + 0.5 * p.ties) / p.n AS percentile, CASE WHEN (b.p75 - b.p25) / 1.349 <= 0 THEN 0.0 ELSE (s.value - b.median) / ((b.p75 - b.p25) / 1.349) END AS z, coalesce(s.value < b.p10, FALSE) AS below_p10, b.confidence FROM season s LEFT JOIN base b ON b.field = s.field AND b.doy = s.doy LEFT JOIN pooled p ON p.id = s.id)"""
 
