@@ -75,11 +75,10 @@ def crossings(rows: DataFrame, keys: list[str], order: str, amount: str, needs:
     return rows.select(*keys, "stage", "need", "total", F.col("reached").isNotNull().alias("reached"), F.coalesce("reached", ahead).alias("date"))
 
 
-def interval_or_nearest(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, bin_width: float) -> DataFrame:
-    """The first interval (seq, start, end) holding each point, else the one with the nearest middle.
+def holding_interval(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, bin_width: float) -> DataFrame:
+    """The first interval (seq, start, end) holding each point, NULL for a point in none.
 
-    Both searches are equi-joins by bins: an interval is sent to each bin it touches, and a point
-    without a holder looks in the bins around it for the nearest.
+    An equi-join by bins: an interval is sent to each bin it touches.
     """
     spread = intervals.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start") / bin_width), F.floor(F.col("end") / bin_width))))
     p = points.withColumn("bin", F.floor(F.col(at) / bin_width))
@@ -87,6 +86,32 @@ def interval_or_nearest(points: DataFrame, intervals: DataFrame, keys: list[str]
     return points.join(held, [*keys, "point"], "left")
 
 
+def interval_or_nearest(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, bin_width: float) -> DataFrame:
+    """The first interval (seq, start, end) holding each point, else the one with the nearest middle, however far.
+
+    The nearest middles before and after a point come from its own bin in order of time or, where that
+    has none, from the nearest bins that have: only bins, not rows, are ordered over a whole key. Of
+    equally near middles the first interval counts. NULL is left for keys without intervals and for
+    points without a time.
+    """
+    found = holding_interval(points, intervals, keys, at, bin_width)
+    middles = intervals.select(*keys, ((F.col("start") + F.col("end")) / 2).alias("m"), "seq").where("m is not null").groupBy(*keys, "m").agg(F.min("seq").alias("seq"))
+    alone = found.where(F.col("held").isNull() & F.col(at).isNotNull()).select(*keys, F.col(at).cast("double").alias("t"), "point")
+    is_middle = F.col("_is_middle")
+    rows = middles.select(*keys, F.col("m").cast("double").alias("t"), F.struct(F.col("m").cast("double").alias("m"), "seq").alias("_mid"), F.lit(True).alias("_is_middle")).unionByName(alone.withColumn("_is_middle", F.lit(False)), allowMissingColumns=True).withColumn("bin", F.floor(F.col("t") / bin_width))
+    here = Window.partitionBy(*keys, "bin").orderBy("t", is_middle.desc())
+    near = rows.select(
+        *keys, "bin", "t", "point", "_is_middle", F.last("_mid", True).over(here.rowsBetween(Window.unboundedPreceding, 0)).alias("back"), F.first("_mid", True).over(here.rowsBetween(0, Window.unboundedFollowing)).alias("ahead")
+    ).where(~is_middle)
+    order = Window.partitionBy(*keys).orderBy("bin")
+    bins = rows.groupBy(*keys, "bin").agg(F.min("_mid").alias("lo"), F.max("_mid").alias("hi"))
+    bins = bins.select(*keys, "bin", F.last("hi", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("lo", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    sides = F.array(F.coalesce("back", "before"), F.coalesce("ahead", "after"))
+    best = F.array_min(F.transform(F.filter(sides, lambda x: x.isNotNull()), lambda x: F.struct(F.abs(F.col("t") - x["m"]).alias("d"), x["seq"].alias("seq"))))
+    nearest = near.join(bins, [*keys, "bin"]).select(*keys, "point", best.alias("_best")).groupBy(*keys, "point").agg(F.min("_best").alias("_best"))
+    return found.join(nearest, [*keys, "point"], "left").withColumn("held", F.coalesce("held", "_best.seq")).drop("_best")
+
+
 def sessions(rows: DataFrame, keys: list[str], ts: str, gap_seconds: int) -> DataFrame:
     """Sessions closed by a silence longer than the gap."""
     w = Window.partitionBy(*keys).orderBy(ts, "event_id")

@@ -132,13 +132,19 @@ def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     points = events.where("event_id % 10 = 3").select("event_type", F.col("event_id").alias("point"), s.alias("s"))
     spans = events.where("event_id % 10 = 0").select("event_type", F.col("event_id").alias("seq"), s.alias("start"), (s + 600).alias("end"))
-    return sequences.interval_or_nearest(points, spans, ["event_type"], "s", 600).select("event_type", "point", "held")
+    return sequences.holding_interval(points, spans, ["event_type"], "s", 600).select("event_type", "point", "held")
 
 
 @query("""WITH p AS (SELECT user_id, event_id AS point, floor(epoch(ts)) AS s FROM events WHERE event_type <> 'purchase'), i AS (SELECT user_id, event_id AS seq, floor(epoch(ts)) AS a, floor(epoch(ts)) + 7200 AS b FROM events WHERE event_type = 'purchase')
 SELECT p.user_id, p.point, min(i.seq) AS held FROM p LEFT JOIN i ON i.user_id = p.user_id AND p.s BETWEEN i.a AND i.b GROUP BY 1, 2""")
 def interval_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events: purchases open a span, the others are points."""
+    return sequences.holding_interval(*_purchase_spans(spark, sf_dir), ["user_id"], "s", 7200).select("user_id", "point", "held")
+
+
+@query("""WITH p AS (SELECT user_id, event_id AS point, floor(epoch(ts)) AS s FROM events WHERE event_type <> 'purchase'), i AS (SELECT user_id, event_id AS seq, floor(epoch(ts)) AS a, floor(epoch(ts)) + 7200 AS b FROM events WHERE event_type = 'purchase')
+SELECT p.user_id, p.point, coalesce(min(i.seq) FILTER (WHERE p.s BETWEEN i.a AND i.b), arg_min(i.seq, {'d': abs(p.s - (i.a + i.b) / 2), 'q': i.seq})) AS held FROM p LEFT JOIN i ON i.user_id = p.user_id GROUP BY 1, 2""")
+def interval_or_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.interval_or_nearest(*_purchase_spans(spark, sf_dir), ["user_id"], "s", 7200).select("user_id", "point", "held")
 
 
