@@ -10,11 +10,12 @@ from tilth.functions.stats import fisher_greater
 from tilth.sources.shared import materialize
 
 
-def nearest(points: DataFrame, keys: list[str], k: int, cell: float) -> DataFrame:
-    """The k nearest other points of each point (id, x, y) within one cell's width, by a grid equi-join."""
-    grid = points.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
+def nearest_within(points: DataFrame, keys: list[str], k: int, cell: float, of: DataFrame | None = None) -> DataFrame:
+    """The k nearest other points of each point (id, x, y), or of those given, within one cell's width, by a grid equi-join."""
+    placed = lambda rows: rows.withColumn("gx", F.floor(F.col("x") / cell)).withColumn("gy", F.floor(F.col("y") / cell))
+    grid = placed(points)
     around = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-    left = grid.select(*keys, "id", "x", "y", F.explode(around).alias("_o"), "gx", "gy").select(*keys, "id", "x", "y", (F.col("gx") + F.col("_o.a")).alias("gx"), (F.col("gy") + F.col("_o.b")).alias("gy"))
+    left = (grid if of is None else placed(of)).select(*keys, "id", "x", "y", F.explode(around).alias("_o"), "gx", "gy").select(*keys, "id", "x", "y", (F.col("gx") + F.col("_o.a")).alias("gx"), (F.col("gy") + F.col("_o.b")).alias("gy"))
     right = grid.select(*keys, F.col("id").alias("other"), F.col("x").alias("x2"), F.col("y").alias("y2"), "gx", "gy")
     d = F.sqrt(F.pow(F.col("x") - F.col("x2"), F.lit(2.0)) + F.pow(F.col("y") - F.col("y2"), F.lit(2.0)))
     pairs = left.join(right, [*keys, "gx", "gy"]).where(F.col("id") != F.col("other")).withColumn("d", d).where(F.col("d") <= cell)
@@ -22,6 +23,26 @@ def nearest(points: DataFrame, keys: list[str], k: int, cell: float) -> DataFram
     return pairs.select(*keys, "id", "other", "d", rn.alias("rank")).where(F.col("rank") <= k)
 
 
+def nearest(points: DataFrame, keys: list[str], k: int, cell: float) -> DataFrame:
+    """The k nearest other points of each point (id, x, y) at any distance, all others where a key has fewer.
+
+    Points that find too few within a cell's width look again on a grid of doubled cells. Points without
+    a finite place have no neighbours and are none.
+    """
+    finite = F.lit(float("inf"))
+    points = materialize(points.select(*keys, "id", "x", "y").where((F.abs("x") < finite) & (F.abs("y") < finite)))
+    sizes = points.groupBy(*keys).agg(F.least(F.lit(k), F.countDistinct("id") - 1).alias("_need"))
+    left = materialize(points.join(sizes, keys).where("_need > 0"))
+    out = nearest_within(points, keys, k, cell).where("false")
+    while not left.isEmpty():
+        got = materialize(nearest_within(points, keys, k, cell, left))
+        have = got.groupBy(*keys, "id").agg(F.count("*").alias("_have"))
+        short = left.join(have, [*keys, "id"], "left").where(F.coalesce("_have", F.lit(0)) < F.col("_need")).select(left.columns)
+        left, cell = materialize(short), 2 * cell
+        out = out.union(got.join(left.select(*keys, "id"), [*keys, "id"], "left_anti").select(out.columns))
+    return out
+
+
 def nearest_vectors(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """The k nearest rows (id, v) of a small stated set of query vectors, squared distances in the JVM."""
     sent = F.broadcast(queries.select(F.col("id").alias("query"), F.col("v").alias("q")))

@@ -310,7 +310,7 @@ def lattice_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_brand, id, other, round(d, 6) AS d, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS rank FROM d WHERE d <= 10) WHERE rank <= 3""")
 def grid_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("id"), "p_brand", F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 40).cast("double").alias("y"))
-    return spatial.nearest(rows, ["p_brand"], 3, 10.0).withColumn("d", F.round("d", 6))
+    return spatial.nearest_within(rows, ["p_brand"], 3, 10.0).withColumn("d", F.round("d", 6))
 
 
 @query(ORACLE_SQL["lattice_anti"].replace(" WHERE p_partkey % 3 = 0", ""))
@@ -322,7 +322,13 @@ def lattice_anti_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ORACLE_SQL["grid_neighbours"].replace(" WHERE p_partkey % 5 = 0", ""))
 def grid_neighbours_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 40).cast("double").alias("y"))
-    return spatial.nearest(rows, ["p_brand"], 3, 10.0).withColumn("d", F.round("d", 6))
+    return spatial.nearest_within(rows, ["p_brand"], 3, 10.0).withColumn("d", F.round("d", 6))
+
+
+@query(ORACLE_SQL["grid_neighbours_all"].replace(" WHERE d <= 10", ""))
+def nearest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 40).cast("double").alias("y"))
+    return spatial.nearest(rows, ["p_brand"], 3, 4.0).withColumn("d", F.round("d", 6))
 
 
 @query()
