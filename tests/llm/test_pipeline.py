@@ -27,3 +27,11 @@ def test_stages(spark):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() > 0 and "sequence_id" in rows.columns
+
+
+def test_rows_with_null_or_repeated_ids_stay(spark):
+    text = lambda w: " ".join(f"{w}{i}" for i in range(30))
+    rows = [(None, text("a")), (None, text("b")), (3, text("c")), (3, text("d")), (5, text("a")), (4, text("e")), (7, text("e")), (7, text("e"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = dict(corpus_pipeline.STAGES)["jaccard_join"](spark, docs, SF).collect()
+    assert sorted(((r.doc_id or 0), r.text[0]) for r in got) == [(0, "a"), (0, "b"), (3, "c"), (3, "d"), (4, "e")]

@@ -28,9 +28,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies."""
-    linked = jaccard_join.link(docs, NEAR_WORDS, NEAR_PERCENT).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("stays"))
-    return docs.join(linked, docs.doc_id.eqNullSafe(F.col("stays")), "left_semi").dropDuplicates(["doc_id"])
+    """The first document of each group of near copies, null doc_ids first; rows are told apart by number, as doc_ids can repeat."""
+    row = next(n for n in (f"_row{'_' * i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    linked = jaccard_join.link(numbered.select(F.col(row).alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT)
+    place = F.struct(F.col("doc_id").isNotNull(), "doc_id", row)
+    stays = numbered.select("doc_id", row).join(linked.select(F.col("doc_id").alias(row), "component_id"), row).groupBy("component_id").agg(F.min(place).getField(row).alias(row))
+    return numbered.join(stays.select(row), row, "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
