@@ -71,7 +71,7 @@ def anchors(raw: np.ndarray, off: np.ndarray, width: int, size: int) -> tuple[np
 
 
 def shared_anchors(texts: DataFrame, width: int, size: int, local: int) -> DataFrame:
-    """u, hashes: for each text (u, text) its anchors that another text has too."""
+    """u, hashes: for each text (u, text) the mixed hashes of its anchors that another text has too."""
 
     def own_anchors(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         raw, off = text_bytes(batch.column("text"))
@@ -83,7 +83,7 @@ def shared_anchors(texts: DataFrame, width: int, size: int, local: int) -> DataF
             new = np.ones(len(r), bool)
             new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
             rows.append(r[new] + a)
-            hashes.append(h[new])
+            hashes.append(mix(h[new]))  # least hashes are small: mixed, they are dealt out evenly
         return np.concatenate(hashes), np.concatenate(rows)
 
     size_ = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -101,7 +101,7 @@ def found_anchors(batch: pa.RecordBatch, width: int, size: int) -> Iterator[tupl
     ends = ends - ends[0]
     for a, b in blocks(off):
         places, rows, hashes = anchors(raw, off[a : b + 1], width, size)
-        wanted = np.unique(mix(flat[ends[a] : ends[b]]) ^ mix(np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(ends[a : b + 1])) + np.uint64(1)))
+        wanted = np.unique(flat[ends[a] : ends[b]] ^ mix(np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(ends[a : b + 1])) + np.uint64(1)))
         mine = mix(hashes) ^ mix(rows.astype(np.uint64) + np.uint64(1))
         keep = np.isin(mine, wanted)
         places, rows, hashes = places[keep], rows[keep], hashes[keep]
@@ -163,12 +163,12 @@ def packed_snippets(texts: DataFrame, width: int, size: int, buckets: int, block
             many = np.repeat(runs, runs)
             hot = many > block
             salt = np.where(hot, (s1 % (2 * many // block).clip(1).astype(np.uint64)).astype(np.int64), -1)
-            bucket = np.where(hot, bucket_of(mix(h ^ mix(salt.astype(np.uint64))), buckets), bucket_of(h, buckets))
+            bucket = np.where(hot, bucket_of(mix(h ^ mix(salt.astype(np.uint64))), buckets), bucket_of(mix(h), buckets))
             stand = h[runs_at[runs > block]]
             lengths = np.fromiter(map(len, data), np.int64, len(data))
             order = np.lexsort((np.arange(len(h)), bucket))
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            stand_bucket = bucket_of(stand, buckets)
+            stand_bucket = bucket_of(mix(stand), buckets)
             out = []
             for b in np.union1d(bucket, stand_bucket).tolist():
                 at = order[edges[b] : edges[b + 1]]
