@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that one round of array work covers; a longer single text is taken alone.
 BLOCK_BYTES = 1 << 20
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Folders of written frames that may be deleted.
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -54,12 +57,31 @@ def materialize(df: DataFrame) -> DataFrame:
     path = shared_dir(spark)
     with setting(spark, _CLEANUP, "true"):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[back] = path
+    return back
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the folders of materialized frames that nothing will read again; what was made of them must be written."""
+    for frame in frames:
+        path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(frame))
+        path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that is not among `columns`."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and 64-bit offsets of a string array; nulls are empty texts."""
     array = array.cast(pa.large_string())
+    if not len(array):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     if array.null_count:
         array = array.fill_null("")
     _, off, data = array.buffers()

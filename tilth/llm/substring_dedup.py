@@ -7,8 +7,8 @@ is removed; strings are judged on the input, and matches never cross documents.
 2. Anchors: of the ANCHOR-byte strings inside each window of `width` bytes, the one with the least
    hash. Equal windows have equal anchors, so only anchors of two documents or more matter. Anchors
    that many documents of one Arrow batch share are known at once and not sent to one task.
-3. The bytes around a shared anchor, which hold all windows with that anchor, are its snippet. Equal
-   snippets are one, with their smallest doc_id.
+3. The bytes of the windows that a shared anchor was chosen in are its snippet. Equal snippets are one,
+   with their smallest doc_id.
 4. The snippets of one anchor are sorted by a suffix array (linear grouping, many anchors at once).
    Suffixes that follow each other and agree on `width` bytes are one window, which belongs to its
    smallest doc_id. An anchor with very many snippets is cut into lanes (in several tasks if one
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilth.llm.common import RangeHash, blocks, bucket_count, bucket_of, by_bucket, deal, from_planes, materialize, meeting_keys, mix, planes, signed, table, text_bytes
+from tilth.llm.common import RangeHash, blocks, bucket_count, bucket_of, by_bucket, deal, from_planes, materialize, meeting_keys, mix, planes, release, signed, table, text_bytes
 from tilth.llm.suffix_arrays import suffix_arrays
 
 WIDTH, ANCHOR = 50, 24
@@ -41,33 +41,35 @@ BLOCK_SNIPPETS = 32
 #: Symbols sorted in one round.
 SORT_SYMBOLS = 1 << 19
 _NULL_ID = -(1 << 63)
+#: The half of a hash that anchors are chosen by; their places take the other half.
+_HIGH = np.uint64(0xFFFFFFFF00000000)
 _BASE2 = 0xC2B2AE3D27D4EB4F
 
 
-def anchors(raw: np.ndarray, off: np.ndarray, width: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places (from off[0]), rows and hashes of all anchors of consecutive rows."""
+def anchors(raw: np.ndarray, off: np.ndarray, width: int, size: int) -> tuple[np.ndarray, ...]:
+    """Anchors of consecutive rows: rows, hashes, and the first and last start (from off[0]) of the windows each is the anchor of."""
     raw, off = raw[off[0] : off[-1]], off - off[0]
     windows = len(raw) - width + 1
+    none = np.zeros(0, np.int64)
     if windows <= 0:
-        return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64))
+        return none, none.astype(np.uint64), none, none
     at = np.arange(len(raw) - size + 1)
     hashes = RangeHash(raw).of(at, at + size)
-    span, have, least = width - size + 1, 1, hashes
+    least = (hashes & _HIGH) | at.astype(np.uint64)  # of equal hashes the leftmost is the least
+    span, have = width - size + 1, 1
     while 2 * have <= span:
         least = np.minimum(least[: len(least) - have], least[have:])
         have *= 2
     if have < span:
         least = np.minimum(least[: len(least) - (span - have)], least[span - have :])
-    inside = np.zeros(windows, bool)
-    for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
-        inside[a : max(a, b - width + 1)] = True
-    chosen = np.zeros(len(hashes), bool)
-    for d in range(span):  # the leftmost place of each window's least hash
-        here = np.flatnonzero(inside & (hashes[d : d + windows] == least))
-        chosen[here + d] = True
-        inside[here] = False
-    places = np.flatnonzero(chosen)
-    return places, np.searchsorted(off, places, side="right") - 1, hashes[places]
+    crossing = (off[1:-1, None] - np.arange(1, width)).ravel()
+    inside = np.ones(windows, bool)
+    inside[crossing[(crossing >= 0) & (crossing < windows)]] = False
+    starts = np.flatnonzero(inside)
+    places = (least[starts] & ~_HIGH).astype(np.int64)
+    cut = np.flatnonzero(np.append(True, places[1:] != places[:-1])) if len(places) else none
+    first, last = starts[cut], starts[np.append(cut[1:], len(starts)) - 1] if len(cut) else none
+    return np.searchsorted(off, first, side="right") - 1, hashes[places[cut]], first, last
 
 
 def shared_anchors(texts: DataFrame, width: int, size: int, local: int) -> DataFrame:
@@ -77,7 +79,7 @@ def shared_anchors(texts: DataFrame, width: int, size: int, local: int) -> DataF
         raw, off = text_bytes(batch.column("text"))
         rows, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
         for a, b in blocks(off):
-            _, r, h = anchors(raw, off[a : b + 1], width, size)
+            r, h, _, _ = anchors(raw, off[a : b + 1], width, size)
             order = np.lexsort((h, r))
             r, h = r[order], h[order]
             new = np.ones(len(r), bool)
@@ -92,25 +94,23 @@ def shared_anchors(texts: DataFrame, width: int, size: int, local: int) -> DataF
     return met.groupBy(F.col("id").alias("u")).agg(F.collect_list("key").alias("hashes"))
 
 
-def found_anchors(batch: pa.RecordBatch, width: int, size: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """Shared anchors of a batch (text, hashes): by block of text its bytes, the rows, anchors, starts and ends of snippets in it, their digests and first bytes in the row."""
-    reach = width - size
-    raw, off = text_bytes(batch.column("text"))
+def found_anchors(batch: pa.RecordBatch, raw: np.ndarray, off: np.ndarray, width: int, size: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Shared anchors of a batch (text, hashes), by block of text: the rows, anchors, starts and ends of snippets in raw, their digests and first bytes in the row."""
     lists = batch.column("hashes")
     flat, ends = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy().astype(np.int64)
     ends = ends - ends[0]
     for a, b in blocks(off):
-        places, rows, hashes = anchors(raw, off[a : b + 1], width, size)
+        if ends[a] == ends[b]:
+            continue
+        rows, hashes, first, last = anchors(raw, off[a : b + 1], width, size)
         wanted = np.unique(flat[ends[a] : ends[b]] ^ mix(np.repeat(np.arange(b - a, dtype=np.uint64), np.diff(ends[a : b + 1])) + np.uint64(1)))
         mine = mix(hashes) ^ mix(rows.astype(np.uint64) + np.uint64(1))
         keep = np.isin(mine, wanted)
-        places, rows, hashes = places[keep], rows[keep], hashes[keep]
-        local = off[a : b + 1] - off[a]
-        start = np.maximum(places - reach, local[rows])
-        end = np.minimum(places + width, local[rows + 1])
+        rows, hashes, start, end = rows[keep] + a, hashes[keep], first[keep], last[keep] + width
         text = raw[off[a] : off[b]]
         s1, s2 = RangeHash(text).of(start, end) ^ hashes, RangeHash(text, _BASE2).of(start, end)
-        yield text, rows + a, hashes, start, end, s1, s2, start - local[rows]
+        start, end = start + off[a], end + off[a]
+        yield rows, hashes, start, end, s1, s2, start - off[rows]
 
 
 def occurrences(texts: DataFrame, width: int, size: int) -> DataFrame:
@@ -118,16 +118,30 @@ def occurrences(texts: DataFrame, width: int, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, rows, _, _, _, s1, s2, at in found_anchors(batch, width, size):
+            raw, off = text_bytes(batch.column("text"))
+            for rows, _, _, _, s1, s2, at in found_anchors(batch, raw, off, width, size):
                 ids = pa.array(rows)
                 yield pa.RecordBatch.from_arrays([signed(s1), signed(s2), batch.column("u").take(ids), batch.column("d").take(ids), pa.array(at.astype(np.int32))], names=["s1", "s2", "u", "d", "at"])
 
-    return texts.select("u", "d", "text", "hashes").mapInArrow(run, "s1 long, s2 long, u long, d long, at int")
+    return texts.where("hashes is not null").select("u", "d", "text", "hashes").mapInArrow(run, "s1 long, s2 long, u long, d long, at int")
 
 
 _PACKED = ["h", "salt", "s1", "s2", "lo", "hi", "size"]
 
 
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Places of the first of each run of equal rows."""
+    new = np.zeros(max(0, len(columns[0]) - 1), bool)
+    for c in columns:
+        new |= c[1:] != c[:-1]
+    return np.flatnonzero(np.append(True, new)) if len(columns[0]) else np.zeros(0, np.int64)
+
+
+def _places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the ranges, one after another."""
+    return np.arange(int(size.sum())) + np.repeat(start - np.cumsum(size) + size, size)
+
+
 def packed_snippets(texts: DataFrame, width: int, size: int, buckets: int, block: int) -> DataFrame:
     """Distinct snippets of each Arrow batch, packed by ranges of their anchor, from texts (d, text, hashes).
 
@@ -135,83 +149,70 @@ def packed_snippets(texts: DataFrame, width: int, size: int, buckets: int, block
     stand-in that tells its own lane so.
     """
 
-    def merged(cols: list[np.ndarray], data: list[bytes]) -> tuple[list[np.ndarray], list[bytes]]:
-        h, s1, s2, lo, hi = cols
-        order = np.lexsort((s2, s1, h))
-        h, s1, s2, lo, hi = (c[order] for c in (h, s1, s2, lo, hi))
-        cut = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])))
-        return [h[cut], s1[cut], s2[cut], np.minimum.reduceat(lo, cut), np.maximum.reduceat(hi, cut)], [data[i] for i in order[cut].tolist()]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             d = batch.column("d").to_numpy()
-            parts, data = [], []
-            for text, rows, hashes, start, end, s1, s2, _ in found_anchors(batch, width, size):
-                if not len(rows):
-                    continue
-                _, first = np.unique(np.stack([hashes, s1, s2], 1), axis=0, return_index=True)
-                whole = text.tobytes()
-                cols, _ = merged([hashes, s1, s2, d[rows], d[rows]], [b""] * len(rows))
-                order = first[np.lexsort((s2[first], s1[first], hashes[first]))]
-                parts.append(cols)
-                data += [whole[a:b] for a, b in zip(start[order].tolist(), end[order].tolist(), strict=True)]
-            if not parts:
+            raw, off = text_bytes(batch.column("text"))
+            parts = [(h, s1, s2, d[rows], start, end) for rows, h, start, end, s1, s2, _ in found_anchors(batch, raw, off, width, size)]
+            if not sum(len(p[0]) for p in parts):
                 continue
-            (h, s1, s2, lo, hi), data = merged([np.concatenate(c) for c in zip(*parts, strict=True)], data)
-            runs_at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+            h, s1, s2, own, start, end = (np.concatenate(c) for c in zip(*parts, strict=True))
+            order = np.argsort(s1)
+            h, s1, s2, own, start, end = (c[order] for c in (h, s1, s2, own, start, end))
+            cut = _heads(h, s1, s2)
+            lo, hi = np.minimum.reduceat(own, cut), np.maximum.reduceat(own, cut)
+            order = np.argsort(h[cut], kind="stable")
+            h, s1, s2, start, end = (c[cut][order] for c in (h, s1, s2, start, end))
+            lo, hi, lengths = lo[order], hi[order], end - start
+            runs_at = _heads(h)
             runs = np.diff(np.append(runs_at, len(h)))
             many = np.repeat(runs, runs)
             hot = many > block
             salt = np.where(hot, (s1 % (2 * many // block).clip(1).astype(np.uint64)).astype(np.int64), -1)
             bucket = np.where(hot, bucket_of(mix(h ^ mix(salt.astype(np.uint64))), buckets), bucket_of(mix(h), buckets))
             stand = h[runs_at[runs > block]]
-            lengths = np.fromiter(map(len, data), np.int64, len(data))
-            order = np.lexsort((np.arange(len(h)), bucket))
+            order = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
             stand_bucket = bucket_of(mix(stand), buckets)
             out = []
             for b in np.union1d(bucket, stand_bucket).tolist():
                 at = order[edges[b] : edges[b + 1]]
-                out.append((b, *(planes(c[at]) for c in (h, salt, s1, s2, lo, hi, lengths)), b"".join([data[i] for i in at.tolist()]), planes(stand[stand_bucket == b])))
+                out.append((b, *(planes(c[at]) for c in (h, salt, s1, s2, lo, hi, lengths)), raw[_places(start[at], lengths[at])].tobytes(), planes(stand[stand_bucket == b])))
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", *_PACKED, "bytes", "stands"])
 
-    return texts.select("d", "text", "hashes").mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in [*_PACKED, "bytes", "stands"]))
+    return texts.where("hashes is not null").select("d", "text", "hashes").mapInArrow(run, "bucket int, " + ", ".join(f"{c} binary" for c in [*_PACKED, "bytes", "stands"]))
 
 
-def sort_lanes(snippets: list[bytes], lane: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of all snippets, grouped by content within each lane (lane ascending).
+def sort_lanes(raw: np.ndarray, start: np.ndarray, lengths: np.ndarray, lane: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Windows of all snippets (ranges of raw), grouped by content within each lane (lane ascending).
 
     Gives for each window its snippet, its place there and the number of its group, and the bytes
     joined with the snippets' starts in them.
     """
-    lengths = np.fromiter(map(len, snippets), np.int64, len(snippets))
     closing = np.append(lane[1:] != lane[:-1], True)
-    parts = np.frombuffer(b"\0".join(snippets) + b"\0", np.uint8).astype(np.int64) + 2
-    starts = np.cumsum(lengths + 1) - lengths - 1
-    parts[starts + lengths] = 1  # between snippets
-    # the closing symbol stands alone after each lane's last separator
-    bounds = starts + lengths + 1
-    at = bounds[closing]
-    symbols = np.insert(parts, at, 0)
-    shift = np.cumsum(closing) - closing
-    starts = starts + shift
-    lane_starts = np.concatenate([[0], at + np.arange(1, len(at) + 1)])
-    order = suffix_arrays(symbols, lane_starts)
+    sizes = lengths + 1 + closing  # a separator after each snippet, and the closing symbol, which stands alone, after each lane's last
+    starts = np.cumsum(sizes) - sizes
+    flat = np.zeros(int(sizes.sum()), np.uint8)
+    symbols = np.ones(len(flat), np.int64)
+    to = _places(starts, lengths)
+    flat[to] = raw[_places(start, lengths)]
+    symbols[to] = flat[to].astype(np.int64) + 2
+    ends = (starts + sizes)[closing]
+    symbols[ends - 1] = 0
+    order = suffix_arrays(symbols, np.append(0, ends))
+    has = np.maximum(lengths - width + 1, 0)
     owner = np.full(len(symbols), -1, np.int64)
-    for i in range(int(max(0, lengths.max(initial=0) - width + 1))):
-        has = np.flatnonzero(lengths - i >= width)
-        owner[starts[has] + i] = has
+    owner[_places(starts, has)] = np.repeat(np.arange(len(lengths)), has)
     order = order[owner[order] >= 0]
-    windows = np.lib.stride_tricks.sliding_window_view(symbols, width) if len(symbols) >= width else np.zeros((0, width))
     fresh = np.ones(len(order), bool)
-    step = 1 << 15
-    for x in range(1, len(order), step):
-        y = min(len(order), x + step)
-        fresh[x:y] = (windows[order[x:y]] != windows[order[x - 1 : y - 1]]).any(1)
-    fresh[1:] |= lane[owner[order[1:]]] != lane[owner[order[:-1]]]
-    group = np.cumsum(fresh) - 1
-    return owner[order], order - starts[owner[order]], group, symbols, starts
+    if len(order):
+        fresh[1:] = lane[owner[order[1:]]] != lane[owner[order[:-1]]]
+        words = np.ndarray(len(flat) - 7, "<u8", flat, strides=(1,))
+        for i in {*range(0, width - 7, 8), width - 8}:
+            w = words[order + i]
+            fresh[1:] |= w[1:] != w[:-1]
+    return owner[order], order - starts[owner[order]], np.cumsum(fresh) - 1, symbols, starts
 
 
 def _runs(snippet: np.ndarray, place: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -237,10 +238,9 @@ def sorted_windows(packed: DataFrame, width: int, block: int) -> DataFrame:
         none = pa.nulls(len(a), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(s1), pa.array(s2), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(owner), none, none, pa.nulls(len(a), member)], names=names)
 
-    def flush(rows: list[np.ndarray], data: list[bytes]) -> Iterator[pa.RecordBatch]:
-        lane, cut, open_, s1, s2, lo, hi = rows
+    def flush(rows: list[np.ndarray], raw: np.ndarray) -> Iterator[pa.RecordBatch]:
+        lane, cut, open_, s1, s2, lo, hi, lengths, at = rows
         many = np.bincount(lane)[lane] > 1
-        lengths = np.fromiter(map(len, data), np.int64, len(data))
         single = np.flatnonzero(~many & ~cut & (lo < hi) & (lengths >= width))
         yield plain(s1[single], s2[single], np.zeros(len(single), np.int64), lengths[single] - width, lo[single])
         use = np.flatnonzero(many | cut)
@@ -255,7 +255,7 @@ def sorted_windows(packed: DataFrame, width: int, block: int) -> DataFrame:
             part = use[rounds == k]
             if not len(part):
                 continue
-            where, place, group, symbols, starts = sort_lanes([data[i] for i in part.tolist()], lane[part], width)
+            where, place, group, symbols, starts = sort_lanes(raw, at[part], lengths[part], lane[part], width)
             if not len(where):
                 continue
             least = np.full(int(group[-1]) + 1, np.iinfo(np.int64).max)
@@ -265,16 +265,16 @@ def sorted_windows(packed: DataFrame, width: int, block: int) -> DataFrame:
             useful = whole & (owner < hi[part][where])
             s, a, b, o = _runs(where[useful], place[useful], owner[useful])
             yield plain(s1[part][s], s2[part][s], a, b, o)
-            at = np.flatnonzero(~whole)
-            if len(at):
-                first = starts[where[at]] + place[at]
-                found.append((part[where[at]], place[at], RangeHash(symbols).of(first, first + width), RangeHash(symbols, _BASE2).of(first, first + width), owner[at]))
+            rest = np.flatnonzero(~whole)
+            if len(rest):
+                first = starts[where[rest]] + place[rest]
+                found.append((part[where[rest]], place[rest], RangeHash(symbols).of(first, first + width), RangeHash(symbols, _BASE2).of(first, first + width), owner[rest]))
         if not found:
             return
         who, place, w1, w2, owner = (np.concatenate(c) for c in zip(*found, strict=True))
         order = np.lexsort((w2, w1))
         who, place, w1, w2, owner = (c[order] for c in (who, place, w1, w2, owner))
-        heads = np.flatnonzero(np.append(True, (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1])))
+        heads = _heads(w1, w2)
         sizes = np.diff(np.append(heads, len(who)))
         least = np.minimum.reduceat(owner, heads)
         owner = np.repeat(least, sizes)
@@ -282,13 +282,13 @@ def sorted_windows(packed: DataFrame, width: int, block: int) -> DataFrame:
         s, a, b, o = _runs(who[useful], place[useful], owner[useful])
         yield plain(s1[s], s2[s], a, b, o)
         # anchors that have lanes in other tasks too
-        at = np.flatnonzero(open_[who])
-        if len(at):
-            g = np.repeat(np.arange(len(heads)), sizes)[at]
-            cuts = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-            w = who[at]
-            parts = pa.StructArray.from_arrays([pa.array(s1[w]), pa.array(s2[w]), pa.array(place[at].astype(np.int32)), pa.array(hi[w])], fields=list(member.value_type))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(at)).astype(np.int32)), parts)
+        rest = np.flatnonzero(open_[who])
+        if len(rest):
+            g = np.repeat(np.arange(len(heads)), sizes)[rest]
+            cuts = _heads(g)
+            w = who[rest]
+            parts = pa.StructArray.from_arrays([pa.array(s1[w]), pa.array(s2[w]), pa.array(place[rest].astype(np.int32)), pa.array(hi[w])], fields=list(member.value_type))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(rest)).astype(np.int32)), parts)
             null, null32 = pa.nulls(len(cuts), pa.int64()), pa.nulls(len(cuts), pa.int32())
             one = heads[g[cuts]]
             yield pa.RecordBatch.from_arrays([null, null, null32, null32, pa.array(least[g[cuts]]), signed(w1[one]), signed(w2[one]), lists.cast(member)], names=names)
@@ -298,21 +298,21 @@ def sorted_windows(packed: DataFrame, width: int, block: int) -> DataFrame:
             h, salt, s1, s2, lo, hi, size = (np.concatenate([from_planes(r[c], t) for r in held]) for c, t in zip(_PACKED, (np.uint64, np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64), strict=True))
             if not len(h):
                 continue
-            data, at = b"".join([r["bytes"] for r in held]), np.cumsum(size) - size
+            raw, at = np.frombuffer(b"".join([r["bytes"] for r in held]), np.uint8), np.cumsum(size) - size
             stands = np.concatenate([from_planes(r["stands"], np.uint64) for r in held])
             order = np.lexsort((s2, s1, salt, h))
             h, salt, s1, s2, lo, hi, size, at = (c[order] for c in (h, salt, s1, s2, lo, hi, size, at))
-            new = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]) | (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])))
+            new = _heads(h, salt, s1, s2)
             lo, hi = np.minimum.reduceat(lo, new), np.maximum.reduceat(hi, new)
             h, salt, s1, s2, size, at = (c[new] for c in (h, salt, s1, s2, size, at))
-            lanes = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])))
+            lanes = _heads(h, salt)
             counts = np.diff(np.append(lanes, len(h)))
             many = np.repeat(counts, counts)
             open_ = (salt >= 0) | np.isin(h, stands)
             cut = open_ | (many > 2 * block)
             part = np.where(cut, (np.arange(len(h)) - np.repeat(lanes, counts)) // block, 0)
             lane = np.cumsum(np.append(True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]) | (part[1:] != part[:-1]))) - 1
-            yield from flush([lane, cut, open_, s1.view(np.int64), s2.view(np.int64), lo, hi], [data[a : a + n] for a, n in zip(at.tolist(), size.tolist(), strict=True)])
+            yield from flush([lane, cut, open_, s1.view(np.int64), s2.view(np.int64), lo, hi, size, at], raw)
 
     return deal(packed).mapInArrow(run, schema)
 
@@ -325,7 +325,7 @@ def _whole_lanes(size: np.ndarray, lane: np.ndarray, limit: int) -> np.ndarray:
 
 
 def covered(texts: DataFrame) -> DataFrame:
-    """u, n_bytes, n_removed, n_spans, kept_sha256 and kept of texts (u, text, spans: list of start, end)."""
+    """t1, t2, d, n_bytes, n_removed, n_spans and kept_sha256 of texts (t1, t2, d, text, spans: list of start, end)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -338,29 +338,26 @@ def covered(texts: DataFrame) -> DataFrame:
                     out.append((len(text), 0, 0, hashlib.sha256(text.tobytes()).hexdigest()))
                     continue
                 start, end = pairs.field(0).to_numpy(), pairs.field(1).to_numpy()
-                change = np.zeros(len(text) + 1, np.int64)
-                np.add.at(change, start, 1)
-                np.add.at(change, end, -1)
+                change = np.bincount(start, minlength=len(text) + 1) - np.bincount(end, minlength=len(text) + 1)
                 gone = np.cumsum(change[:-1]) > 0
                 spans_n = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                 out.append((len(text), int(gone.sum()), spans_n, hashlib.sha256(text[~gone].tobytes()).hexdigest()))
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column("u"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["u", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("t1", "t2", "d")), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], names=["t1", "t2", "d", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return texts.select("u", "text", "spans").mapInArrow(run, "u long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return texts.select("t1", "t2", "d", "text", "spans").mapInArrow(run, "t1 long, t2 long, d long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, size: int = ANCHOR, local: int = LOCAL, block: int = BLOCK_SNIPPETS) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of docs (doc_id, text)."""
     keyed = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("d"), F.coalesce("text", F.lit("")).alias("text"))
     h = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
-    ids = keyed.select("d", *h)
-    stands = ids.groupBy("t1", "t2").agg(F.min("d").alias("d"))
-    texts = materialize(keyed.select("d", *h, "text").join(stands, ["t1", "t2", "d"], "left_semi").dropDuplicates(["t1", "t2"]).withColumn("u", F.monotonically_increasing_id()))
-
+    classes = keyed.select("d", *h, "text").groupBy("t1", "t2").agg(F.min("d").alias("d"), F.min_by("text", "d").alias("text"))
+    texts = materialize(classes.withColumn("u", F.monotonically_increasing_id()))
     hashes = materialize(shared_anchors(texts, width, size, local))
-    with_hashes = texts.select("u", "d", "text").join(hashes, "u")
+    with_hashes = materialize(texts.join(hashes, "u", "left"))
     buckets = bucket_count(docs.sparkSession, hashes.agg(F.sum(F.size("hashes"))).first()[0] or 0, 200_000)
+    release(texts, hashes)
     windows = materialize(sorted_windows(packed_snippets(with_hashes, width, size, buckets, block), width, block))
     found = materialize(occurrences(with_hashes, width, size))
     own = windows.where("s1 is not null").select("s1", "s2", "a", "b", "owner")
@@ -373,19 +370,18 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, size: int = ANCHOR, loca
         .where(F.col("owner") < F.col("m.hi"))
         .select("m.s1", "m.s2", F.col("m.o").alias("a"), F.col("m.o").alias("b"), "owner")
     )
-    runs = own.union(across)
-    spans = (
-        found.join(runs, ["s1", "s2"])
+    spans = materialize(
+        found.join(own.union(across), ["s1", "s2"])
         .where("owner < d")
         .select("u", F.struct((F.col("at") + F.col("a")).alias("start"), (F.col("at") + F.col("b") + width).alias("end")).alias("span"))
         .groupBy("u")
         .agg(F.collect_list("span").alias("spans"))
     )
-    spans = materialize(spans)
-    judged = materialize(covered(texts.select("u", "text").join(spans, "u", "left")))
-    result = texts.select("u", "t1", "t2", F.col("d").alias("first")).join(judged, "u").drop("u")
+    release(windows, found)
+    judged = materialize(covered(with_hashes.join(spans, "u", "left"))).withColumnRenamed("d", "first")
+    release(with_hashes, spans)
     copy = (F.col("d") > F.col("first")) & (F.col("n_bytes") >= width)
-    return ids.join(result, ["t1", "t2"]).select(
+    return keyed.select("d", *h).join(judged, ["t1", "t2"]).select(
         F.when(F.col("d") != _NULL_ID, F.col("d")).alias("doc_id"),
         "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
