@@ -71,12 +71,18 @@ def vapour_kpa(celsius: Column) -> Column:
 
 
 def reference_et(tmax: Column, tmin: Column, dew: Column, wind: Column, solar: Column, lat: Column, elevation: Column, doy: Column) -> Column:
-    """FAO-56 Penman-Monteith reference evapotranspiration in mm a day (wind at 2 m, solar in MJ)."""
+    """FAO-56 Penman-Monteith reference evapotranspiration in mm a day (wind at 2 m, solar in MJ).
+
+    Wind counts as 0.5 m/s at least and solar as none below zero, the air holds no more vapour than
+    saturates it, and a day without sun above the horizon has no figure (NULL), as any missing input.
+    """
+    wind, solar = F.when(wind < 0.5, 0.5).otherwise(wind), F.when(solar < 0, 0.0).otherwise(solar)
     mean = (tmax + tmin) / 2
     pressure = F.lit(101.3) * F.pow((F.lit(293.0) - 0.0065 * elevation) / 293.0, F.lit(5.26))
     gamma = F.lit(0.000665) * pressure
     slope = 4098 * vapour_kpa(mean) / F.pow(mean + 237.3, F.lit(2.0))
     saturated, actual = (vapour_kpa(tmax) + vapour_kpa(tmin)) / 2, vapour_kpa(dew)
+    actual = F.when(actual > saturated, saturated).otherwise(actual)
     angle = F.lit(2 * math.pi / 365) * doy
     distance = F.lit(1.0) + 0.033 * F.cos(angle)
     tilt = F.lit(0.409) * F.sin(angle - 1.39)
@@ -84,12 +90,13 @@ def reference_et(tmax: Column, tmin: Column, dew: Column, wind: Column, solar: C
     sunset = F.acos(clamp(-F.tan(phi) * F.tan(tilt), -1.0, 1.0))
     above = F.lit(24 * 60 / math.pi * 0.0820) * distance * (sunset * F.sin(phi) * F.sin(tilt) + F.cos(phi) * F.cos(tilt) * F.sin(sunset))
     clear = (F.lit(0.75) + 2e-5 * elevation) * above
-    cloud = clamp(solar / F.greatest(clear, F.lit(0.1)), 0.3, 1.0)
+    cloud = clamp(F.when(clear > 0, solar / clear), 0.3, 1.0)
     kelvin4 = (F.pow(tmax + 273.16, F.lit(4.0)) + F.pow(tmin + 273.16, F.lit(4.0))) / 2
     long_wave = F.lit(4.903e-9) * kelvin4 * (F.lit(0.34) - 0.14 * F.sqrt(actual)) * (1.35 * cloud - 0.35)
     net = F.lit(0.77) * solar - long_wave
     top = 0.408 * slope * net + gamma * 900 / (mean + 273) * wind * (saturated - actual)
-    return F.greatest(top / (slope + gamma * (1 + 0.34 * wind)), F.lit(0.0))
+    eto = top / (slope + gamma * (1 + 0.34 * wind))
+    return F.when(eto < 0, 0.0).otherwise(eto)
 
 
 def stored_water_mm(depth_m: Column, storage_cm: list[Column]) -> Column:

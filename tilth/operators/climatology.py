@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tilth.functions.stats import DAYS, mid_rank, robust_z
 
 WINDOW, SMOOTH = 12, 15
-STATISTICS = ("p10", "p25", "median", "p75", "p90")
+STATISTICS, PROBABILITIES = ("p10", "p25", "median", "p75", "p90"), (0.10, 0.25, 0.50, 0.75, 0.90)
 FLAG_RUN, SUSTAINED_RUN, SUSTAINED_SHORTFALL, SHORTFALL_FLOOR, SEVERITY_CLIP, PERSISTENCE_CLIP = 2, 6, 0.10, 0.2, 0.4, 4
 NDVI_WEIGHT, NDMI_WEIGHT = 0.75, 0.25
 
@@ -31,14 +31,20 @@ def climatology(history: DataFrame, keys: list[str], window: int = WINDOW) -> Da
     history = history.where(F.col("value").isNotNull() & ~F.isnan("value"))
     # equal values of a day and year are one row with a weight, before they are multiplied by the window
     weighed = history.groupBy(*keys, "doy", "year", "value").agg(F.count("*").alias("w"))
-    stats = (
-        spread_to_days(weighed, window)
-        .groupBy(*keys, F.col("target").alias("doy"))
-        .agg(F.percentile("value", F.array(*map(F.lit, (0.10, 0.25, 0.50, 0.75, 0.90))), F.col("w")).alias("q"), F.sum("w").alias("n_obs"), F.count_distinct("year").alias("n_years"))
+    # a quantile is read off running counts of sorted rows, so a key of any size is sorted on disk, not held
+    order = Window.partitionBy(*keys, "target").orderBy("value")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = spread_to_days(weighed, window).select(*keys, "target", "year", "value", F.sum("w").over(upto).alias("upto"), F.sum("w").over(whole).alias("n"))
+    at = [p * (F.col("n") - 1) for p in PROBABILITIES]
+    beyond = lambda place: F.min(F.when(F.col("upto") > place, F.col("value")))
+    stats = ranked.groupBy(*keys, F.col("target").alias("doy")).agg(
+        F.max("n").alias("n_obs"), F.size(F.collect_set("year")).cast("long").alias("n_years"), *(beyond(F.floor(x)).alias(f"lo{i}") for i, x in enumerate(at)), *(beyond(F.ceil(x)).alias(f"hi{i}") for i, x in enumerate(at))
     )
+    between = [(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (p * (F.col("n_obs") - 1) - F.floor(p * (F.col("n_obs") - 1)))).alias(s) for i, (p, s) in enumerate(zip(PROBABILITIES, STATISTICS, strict=True))]
     spine = history.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(1), F.lit(DAYS))).alias("doy"))
     rows = spine.join(stats, [*keys, "doy"], "left")
-    return rows.select(*keys, "doy", *(F.get("q", F.lit(i)).alias(s) for i, s in enumerate(STATISTICS)), F.coalesce("n_obs", F.lit(0)).alias("n_obs"), F.coalesce("n_years", F.lit(0)).alias("n_years"))
+    return rows.select(*keys, "doy", *between, F.coalesce("n_obs", F.lit(0)).alias("n_obs"), F.coalesce("n_years", F.lit(0)).alias("n_years"))
 
 
 def smooth_ring(rows: DataFrame, keys: list[str], columns: list[str], width: int = SMOOTH) -> DataFrame:
@@ -66,15 +72,24 @@ def thin_stretches(baseline: DataFrame, keys: list[str], least: int = 5) -> Data
 
 
 def score_observations(season: DataFrame, baseline: DataFrame, history: DataFrame, keys: list[str], window: int = WINDOW) -> DataFrame:
-    """Each season observation against its day: below p10, robust z and mid-rank percentile in the day's pool."""
-    rows = season.join(baseline.select(*keys, "doy", "p10", "p25", "median", "p75", "confidence"), [*keys, "doy"], "left")
-    wanted = season.select(*keys, "doy").distinct()
+    """Each season observation (with all its columns) against its day: below p10, robust z and mid-rank percentile in the day's pool.
+
+    Pool and season are sorted together once for each key and day, and ranks are running counts: no
+    observation is compared with each of its pool.
+    """
+    asked = season.select(*keys, F.col("doy").alias("target"), "value", F.lit(0).cast("long").alias("w"), F.lit(True).alias("asked")).distinct()
     counts = history.where(F.col("value").isNotNull()).groupBy(*keys, "doy", "value").agg(F.count("*").alias("w"))
-    pool = spread_to_days(counts, window).select(*keys, F.col("target").alias("doy"), F.col("value").alias("pool_value"), "w").join(wanted, [*keys, "doy"], "left_semi")
-    days = season.select(*keys, "doy", "value").distinct()
-    ranked = days.join(pool, [*keys, "doy"]).groupBy(*keys, "doy", "value").agg(F.sum(F.when(F.col("pool_value") < F.col("value"), F.col("w")).otherwise(0)).alias("below"), F.sum(F.when(F.col("pool_value") == F.col("value"), F.col("w")).otherwise(0)).alias("ties"), F.sum("w").alias("n"))
-    return rows.join(ranked, [*keys, "doy", "value"], "left").select(
-        *keys, "date", "doy", "value", "median", "p10", mid_rank(F.col("below"), F.col("ties"), F.col("n")).alias("percentile"),
+    pool = spread_to_days(counts, window).join(season.select(*keys, F.col("doy").alias("target")).distinct(), [*keys, "target"], "left_semi")
+    both = pool.select(*keys, "target", "value", "w", F.lit(False).alias("asked")).union(asked).groupBy(*keys, "target", "value").agg(F.sum("w").alias("w"), F.bool_or("asked").alias("asked"))
+    order = Window.partitionBy(*keys, "target").orderBy("value")
+    running = both.select(
+        *keys, F.col("target").alias("doy"), "value", "asked", F.col("w").alias("ties"), (F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w")).alias("below"),
+        F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"),
+    )
+    ranked = running.where("asked and n > 0").drop("asked")
+    rows = season.join(baseline.select(*keys, "doy", "p10", "p25", "median", "p75", "confidence"), [*keys, "doy"], "left").join(ranked, [*keys, "doy", "value"], "left")
+    return rows.select(
+        *season.columns, "median", "p10", mid_rank(F.col("below"), F.col("ties"), F.col("n")).alias("percentile"),
         robust_z(F.col("value"), F.col("median"), F.col("p25"), F.col("p75")).alias("z"), F.coalesce(F.col("value") < F.col("p10"), F.lit(False)).alias("below_p10"), "confidence",
     )
 
@@ -96,10 +111,12 @@ def index_terms(scores: DataFrame, keys: list[str], order: list[str]) -> DataFra
     return out.select("*", sustained.alias("sustained"), F.when(F.col("depressed_run") == 0, 0.0).otherwise((severity + persistence) / 2).alias("term"))
 
 
-def field_scores(ndvi: DataFrame, ndmi: DataFrame, keys: list[str]) -> DataFrame:
-    """Stress score, flag, trigger and water stress of each key from its two index terms."""
-    other = ndmi.select(*keys, F.col("term").alias("ndmi_term"), F.col("low_run").alias("ndmi_run"), F.col("sustained").alias("ndmi_sustained"))
-    rows = ndvi.join(other, keys, "left")
+def field_scores(terms: DataFrame, keys: list[str], index: str) -> DataFrame:
+    """Stress score, flag, trigger and water stress of each key from the terms of its two indices (0 and 1 in the column `index`)."""
+    own = [c for c in terms.columns if c not in (*keys, index)]
+    of = lambda i, columns: F.max(F.when(F.col(index) == i, F.struct(*columns)))
+    other = [F.col("term").alias("ndmi_term"), F.col("low_run").alias("ndmi_run"), F.col("sustained").alias("ndmi_sustained")]
+    rows = terms.groupBy(*keys).agg(of(0, own).alias("a"), of(1, other).alias("b")).where("a is not null").select(*keys, "a.*", "b.*")
     weight = F.when(F.col("confidence") == "high", 1.0).when(F.col("confidence") == "medium", 0.85).when(F.col("confidence") == "low", 0.6).otherwise(0.0)
     score = 100 * (NDVI_WEIGHT * F.col("term") + NDMI_WEIGHT * F.coalesce("ndmi_term", F.lit(0.0))) * weight
     flagged = (F.col("low_run") >= FLAG_RUN) | F.col("sustained")
