@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilth.functions.stats import fisher_greater
+from tilth.operators.quantiles import exact_quantiles
 from tilth.sources.shared import materialize
 
 
@@ -43,13 +44,24 @@ def nearest(points: DataFrame, keys: list[str], k: int, cell: float) -> DataFram
     return out
 
 
-def nearest_vectors(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """The k nearest rows (id, v) of a small stated set of query vectors, squared distances in the JVM."""
-    sent = F.broadcast(queries.select(F.col("id").alias("query"), F.col("v").alias("q")))
+def nearest_vectors(queries: DataFrame, rows: DataFrame, k: int, block: int = 2000) -> DataFrame:
+    """The k nearest rows (id, v) of a stated set of query vectors, squared distances in the JVM.
+
+    Queries are sent to the rows in blocks of about `block`, whatever their number; each task keeps the
+    best k of each query before anything is shuffled.
+    """
+    blocks = -(-queries.count() // block)
+    numbered = queries.select(F.col("id").alias("query"), F.col("v").alias("q"), F.pmod(F.xxhash64("id"), F.lit(max(blocks, 1))).alias("part"))
     d = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    pairs = rows.join(sent, F.col("id") != F.col("query")).select("query", "id", F.round(F.sqrt(d), 6).alias("d"))
-    best = F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))
-    return pairs.withColumn("rank", best).where(F.col("rank") <= k)
+    order = F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))
+    out = None
+    for i in range(max(blocks, 1)):
+        sent = F.broadcast(numbered.where(F.col("part") == i).drop("part"))
+        pairs = rows.join(sent, F.col("id") != F.col("query")).select("query", "id", F.round(F.sqrt(d), 6).alias("d"))
+        best = pairs.withColumn("rank", order).where(F.col("rank") <= k)
+        best = materialize(best) if blocks > 1 else best
+        out = best if out is None else out.union(best)
+    return out
 
 
 def empty_positions(points: DataFrame, keys: list[str], step: float, tolerance: float) -> DataFrame:
@@ -86,11 +98,11 @@ def robust_plane(rows: DataFrame, keys: list[str], rounds: int = 3, cut: float =
     kept = rows
     for _ in range(rounds - 1):
         fit = plane_sums(kept, keys)
-        res = rows.join(fit, keys).withColumn("r", F.col("z") - F.col("a") - F.col("b") * F.col("x") - F.col("c") * F.col("y"))
-        med = res.groupBy(*keys).agg(F.percentile("r", F.lit(0.5)).alias("m"))
-        res = res.join(med, keys).withColumn("e", F.abs(F.col("r") - F.col("m")))
-        mad = res.groupBy(*keys).agg((F.percentile("e", F.lit(0.5)) * 1.4826).alias("s"))
-        kept = res.join(mad, keys).where((F.col("e") <= cut * F.col("s")) | (F.col("s") == 0)).select(*rows.columns)
+        res = materialize(rows.join(fit, keys).withColumn("r", F.col("z") - F.col("a") - F.col("b") * F.col("x") - F.col("c") * F.col("y")).select(*rows.columns, "r"))
+        med = exact_quantiles(res, keys, "r", [0.5]).select(*keys, F.get("q", F.lit(0)).alias("m"))
+        res = materialize(res.join(med, keys).select(*rows.columns, F.abs(F.col("r") - F.col("m")).alias("e")))
+        mad = exact_quantiles(res, keys, "e", [0.5]).select(*keys, (F.get("q", F.lit(0)) * 1.4826).alias("s"))
+        kept = materialize(res.join(mad, keys).where((F.col("e") <= cut * F.col("s")) | (F.col("s") == 0)).select(*rows.columns))
     return plane_sums(kept, keys)
 
 

@@ -74,3 +74,34 @@ def season_start(events: DataFrame, keys: list[str], as_of: Column) -> DataFrame
     watered = F.min(F.when((F.col("kind") == "irrigated") & F.col("day").between(F.date_sub(as_of, 365), as_of), F.col("day")))
     out = events.groupBy(*keys).agg(planted.alias("planted"), watered.alias("watered"))
     return out.select(*keys, F.coalesce("planted", "watered", F.date_sub(as_of, 60)).alias("start"), F.when(F.col("planted").isNotNull(), "planted").when(F.col("watered").isNotNull(), "irrigated").otherwise("assumed").alias("reason"))
+
+
+#: Days of weather that a missing end is filled from, and days of it that may be missing (fixed values).
+FILL_FROM, FILL_MOST = 7, 10
+
+
+def complete_weather(weather: DataFrame, spans: DataFrame) -> DataFrame:
+    """Every day of each field's span (field, start, as_of) with eto and rain, whether it was filled, and what is wrong.
+
+    Weather is published a few days late, so up to FILL_MOST days at the end are filled with the mean of
+    the week before them and no rain. A gap anywhere else is a problem, and the field's days then have no
+    figures. Days without rain readings had none.
+    """
+    known = F.col("eto").isNotNull()
+    inside = weather.join(spans, "field").where(known)
+    within = F.col("date").between(F.col("start"), F.col("as_of"))
+    state = inside.groupBy("field", "start", "as_of").agg(F.max("date").alias("latest"), F.max(F.when(within, F.col("date"))).alias("last"), F.min(F.when(within, F.col("date"))).alias("first"), F.count_if(within).alias("n"))
+    state = spans.join(state, ["field", "start", "as_of"], "left")
+    end = F.coalesce("last", "latest")
+    late = F.datediff("as_of", end)
+    problem = (
+        F.when(F.col("last").isNull() & (F.col("latest").isNull() | (F.col("latest") >= F.col("start")) | (late > FILL_MOST)), "no weather")
+        .when(F.col("first") > F.col("start"), "starts late").when(F.col("last").isNotNull() & (F.col("n") < F.datediff("last", "start") + 1), "missing days").when(late > FILL_MOST, "ends early")
+    )
+    state = state.select("field", "start", "as_of", end.alias("end"), F.when(F.col("last").isNotNull(), F.greatest(F.col("start"), F.date_sub(end, FILL_FROM - 1))).otherwise(F.date_sub(end, FILL_FROM - 1)).alias("since"), problem.alias("problem"))
+    week = weather.where(known).join(state.where("problem is null"), "field").where(F.col("date").between(F.col("since"), F.col("end"))).groupBy("field").agg(F.avg("eto").alias("usual"))
+    days = state.join(week, "field", "left").select("field", "end", "usual", "problem", F.explode(F.sequence("start", "as_of", F.expr("interval 1 day"))).alias("date"))
+    rows = days.join(weather.select("field", "date", "eto", "rain"), ["field", "date"], "left")
+    fine = F.col("problem").isNull()
+    filled = fine & (F.col("date") > F.col("end"))
+    return rows.select("field", "date", F.when(filled, F.col("usual")).when(fine, F.col("eto")).alias("eto"), F.when(filled, 0.0).when(fine, F.coalesce("rain", F.lit(0.0))).alias("rain"), filled.alias("filled"), "problem")
