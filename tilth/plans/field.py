@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tilth.functions import agronomy as A
 from tilth.functions import geo, spectral, stats
 from tilth.operators import raster, sequences, spatial, units, water
+from tilth.operators.quantiles import exact_quantiles
 from tilth.sources.shared import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -125,19 +126,9 @@ def _purchase_spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return rows.where("event_type != 'purchase'").select("user_id", F.col("event_id").alias("point"), "s"), spans
 
 
-@query("""WITH p AS (SELECT event_type, event_id AS point, floor(epoch(ts)) AS s FROM events WHERE event_id % 10 = 3), i AS (SELECT event_type, event_id AS seq, floor(epoch(ts)) AS a, floor(epoch(ts)) + 600 AS b FROM events WHERE event_id % 10 = 0)
-SELECT p.event_type, p.point, min(i.seq) AS held FROM p LEFT JOIN i ON i.event_type = p.event_type AND p.s BETWEEN i.a AND i.b GROUP BY 1, 2""")
-def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = F.unix_seconds(F.col("ts").cast("timestamp"))
-    events = table(spark, sf_dir, "events")
-    points = events.where("event_id % 10 = 3").select("event_type", F.col("event_id").alias("point"), s.alias("s"))
-    spans = events.where("event_id % 10 = 0").select("event_type", F.col("event_id").alias("seq"), s.alias("start"), (s + 600).alias("end"))
-    return sequences.holding_interval(points, spans, ["event_type"], "s", 600).select("event_type", "point", "held")
-
-
 @query("""WITH p AS (SELECT user_id, event_id AS point, floor(epoch(ts)) AS s FROM events WHERE event_type <> 'purchase'), i AS (SELECT user_id, event_id AS seq, floor(epoch(ts)) AS a, floor(epoch(ts)) + 7200 AS b FROM events WHERE event_type = 'purchase')
 SELECT p.user_id, p.point, min(i.seq) AS held FROM p LEFT JOIN i ON i.user_id = p.user_id AND p.s BETWEEN i.a AND i.b GROUP BY 1, 2""")
-def interval_join_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events: purchases open a span, the others are points."""
     return sequences.holding_interval(*_purchase_spans(spark, sf_dir), ["user_id"], "s", 7200).select("user_id", "point", "held")
 
@@ -201,7 +192,7 @@ def pct_rank_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH q AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.25) AS a, quantile_cont(l_extendedprice, 0.5) AS m, quantile_cont(l_extendedprice, 0.75) AS b FROM lineitem GROUP BY 1) SELECT l_returnflag, count(*) AS n, count(*) FILTER (WHERE (l_extendedprice - m) / ((b - a) / 1.349) < -1.2) AS low, round(max((l_extendedprice - m) / ((b - a) / 1.349)), 5) AS z_max FROM lineitem JOIN q USING (l_returnflag) GROUP BY 1")
 def robust_z_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
-    q = rows.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = exact_quantiles(rows, ["l_returnflag"], "l_extendedprice", [0.25, 0.5, 0.75])
     z = stats.robust_z(F.col("l_extendedprice"), F.get("q", F.lit(1)), F.get("q", F.lit(0)), F.get("q", F.lit(2)))
     return rows.join(q, "l_returnflag").withColumn("z", z).groupBy("l_returnflag").agg(F.count("*").alias("n"), F.count_if(F.col("z") < -1.2).alias("low"), F.round(F.max("z"), 5).alias("z_max"))
 
@@ -299,33 +290,21 @@ def knn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.nearest_vectors(rows.where("id % 100 = 0"), rows, 8)
 
 
-@query("""WITH p AS (SELECT p_brand, CAST(p_size AS DOUBLE) AS x, CAST(p_partkey % 40 AS DOUBLE) AS y FROM part WHERE p_partkey % 3 = 0), b AS (SELECT p_brand, CAST(floor(min(x) / 4) AS BIGINT) AS a, CAST(ceil(max(x) / 4) AS BIGINT) AS b, CAST(floor(min(y) / 4) AS BIGINT) AS c, CAST(ceil(max(y) / 4) AS BIGINT) AS d FROM p GROUP BY 1),
+@query("""WITH p AS (SELECT p_brand, CAST(p_size AS DOUBLE) AS x, CAST(p_partkey % 40 AS DOUBLE) AS y FROM part), b AS (SELECT p_brand, CAST(floor(min(x) / 4) AS BIGINT) AS a, CAST(ceil(max(x) / 4) AS BIGINT) AS b, CAST(floor(min(y) / 4) AS BIGINT) AS c, CAST(ceil(max(y) / 4) AS BIGINT) AS d FROM p GROUP BY 1),
 l AS (SELECT p_brand, unnest(range(a, b + 1)) AS i, c, d FROM b), g AS (SELECT p_brand, i, unnest(range(c, d + 1)) AS j FROM l) SELECT g.p_brand, g.i, g.j FROM g WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.p_brand = g.p_brand AND pow(p.x - 4 * g.i, 2) + pow(p.y - 4 * g.j, 2) <= 1.8 * 1.8)""")
 def lattice_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select("p_brand", F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 40).cast("double").alias("y"))
+    rows = table(spark, sf_dir, "part").select("p_brand", F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 40).cast("double").alias("y"))
     return spatial.empty_positions(rows, ["p_brand"], 4.0, 0.45)
 
 
-@query("""WITH p AS (SELECT p_partkey AS id, p_brand, p_size AS x, p_partkey % 40 AS y FROM part WHERE p_partkey % 5 = 0), d AS (SELECT a.p_brand, a.id, b.id AS other, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.id <> b.id)
+@query("""WITH p AS (SELECT p_partkey AS id, p_brand, p_size AS x, p_partkey % 40 AS y FROM part), d AS (SELECT a.p_brand, a.id, b.id AS other, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.id <> b.id)
 SELECT p_brand, id, other, round(d, 6) AS d, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS rank FROM d WHERE d <= 10) WHERE rank <= 3""")
 def grid_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").where("p_partkey % 5 = 0").select(F.col("p_partkey").alias("id"), "p_brand", F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 40).cast("double").alias("y"))
-    return spatial.nearest_within(rows, ["p_brand"], 3, 10.0).withColumn("d", F.round("d", 6))
-
-
-@query(ORACLE_SQL["lattice_anti"].replace(" WHERE p_partkey % 3 = 0", ""))
-def lattice_anti_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select("p_brand", F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 40).cast("double").alias("y"))
-    return spatial.empty_positions(rows, ["p_brand"], 4.0, 0.45)
-
-
-@query(ORACLE_SQL["grid_neighbours"].replace(" WHERE p_partkey % 5 = 0", ""))
-def grid_neighbours_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 40).cast("double").alias("y"))
     return spatial.nearest_within(rows, ["p_brand"], 3, 10.0).withColumn("d", F.round("d", 6))
 
 
-@query(ORACLE_SQL["grid_neighbours_all"].replace(" WHERE d <= 10", ""))
+@query(ORACLE_SQL["grid_neighbours"].replace(" WHERE d <= 10", ""))
 def nearest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 40).cast("double").alias("y"))
     return spatial.nearest(rows, ["p_brand"], 3, 4.0).withColumn("d", F.round("d", 6))
@@ -355,16 +334,27 @@ def level_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.level_frames(shares)
 
 
-_ET = "l_orderkey, l_linenumber, 15 + l_quantity / 2.5 AS tmax, 5 + l_quantity / 5 AS tmin, 2 + l_quantity / 10 AS dew, 1 + l_tax * 50 AS wind, 8 + l_discount * 150 AS solar, dayofyear(l_shipdate) AS doy"
+#: Weather that reaches each guard: still air, no sun, air wetter than it can be, and the polar night.
+_ET = """l_orderkey, l_linenumber, 15 + l_quantity / 2.5 AS tmax, 5 + l_quantity / 5 AS tmin, 5 + l_quantity / 2 AS dew, l_tax * 50 AS wind, l_discount * 200 - 1 AS solar,
+ dayofyear(l_shipdate) AS doy, CASE WHEN l_linenumber % 4 = 0 THEN 80.0 ELSE 26.2 END AS lat"""
 
 
-@query(f"""WITH w AS (SELECT {_ET} FROM lineitem), s AS (SELECT *, (tmax + tmin) / 2 AS m, 0.000665 * 101.3 * pow((293.0 - 0.0065 * 30) / 293.0, 5.26) AS g, 0.6108 * exp(17.27 * tmax / (tmax + 237.3)) AS ex, 0.6108 * exp(17.27 * tmin / (tmin + 237.3)) AS en, 0.6108 * exp(17.27 * dew / (dew + 237.3)) AS ea, 2 * pi() / 365 * doy AS j, 26.2 * pi() / 180 AS phi FROM w),
-t AS (SELECT *, 4098 * 0.6108 * exp(17.27 * m / (m + 237.3)) / pow(m + 237.3, 2) AS d, 1 + 0.033 * cos(j) AS dr, 0.409 * sin(j - 1.39) AS tilt FROM s), u AS (SELECT *, acos(least(greatest(-tan(phi) * tan(tilt), -1.0), 1.0)) AS ws FROM t),
-r AS (SELECT *, 24 * 60 / pi() * 0.0820 * dr * (ws * sin(phi) * sin(tilt) + cos(phi) * cos(tilt) * sin(ws)) AS ra FROM u), n AS (SELECT *, 0.77 * solar - 4.903e-9 * (pow(tmax + 273.16, 4) + pow(tmin + 273.16, 4)) / 2 * (0.34 - 0.14 * sqrt(ea)) * (1.35 * least(greatest(solar / greatest((0.75 + 2e-5 * 30) * ra, 0.1), 0.3), 1.0) - 0.35) AS rn FROM r)
-SELECT l_orderkey, l_linenumber, round(greatest((0.408 * d * rn + g * 900 / (m + 273) * wind * ((ex + en) / 2 - ea)) / (d + g * (1 + 0.34 * wind)), 0.0), 5) AS eto FROM n""")
+@query(f"""WITH w0 AS (SELECT {_ET} FROM lineitem),
+w AS (SELECT * REPLACE (greatest(wind, 0.5) AS wind, greatest(solar, 0.0) AS solar) FROM w0),
+s AS (SELECT *, (tmax + tmin) / 2 AS m, 0.000665 * 101.3 * pow((293.0 - 0.0065 * 30) / 293.0, 5.26) AS g, 2 * pi() / 365 * doy AS j, lat * pi() / 180 AS phi,
+ (0.6108 * exp(17.27 * tmax / (tmax + 237.3)) + 0.6108 * exp(17.27 * tmin / (tmin + 237.3))) / 2 AS es, 0.6108 * exp(17.27 * dew / (dew + 237.3)) AS said FROM w),
+t AS (SELECT *, least(said, es) AS ea, 4098 * 0.6108 * exp(17.27 * m / (m + 237.3)) / pow(m + 237.3, 2) AS d, 1 + 0.033 * cos(j) AS dr, 0.409 * sin(j - 1.39) AS tilt FROM s),
+u AS (SELECT *, acos(least(greatest(-tan(phi) * tan(tilt), -1.0), 1.0)) AS ws FROM t),
+r AS (SELECT *, (0.75 + 2e-5 * 30) * 24 * 60 / pi() * 0.0820 * dr * (ws * sin(phi) * sin(tilt) + cos(phi) * cos(tilt) * sin(ws)) AS clear FROM u),
+n AS (SELECT *, 0.77 * solar - 4.903e-9 * (pow(tmax + 273.16, 4) + pow(tmin + 273.16, 4)) / 2 * (0.34 - 0.14 * sqrt(ea))
+ * (1.35 * CASE WHEN clear > 0 THEN least(greatest(solar / clear, 0.3), 1.0) END - 0.35) AS rn FROM r)
+SELECT l_orderkey, l_linenumber, CASE WHEN rn IS NOT NULL THEN round(greatest((0.408 * d * rn + g * 900 / (m + 273) * wind * (es - ea)) / (d + g * (1 + 0.34 * wind)), 0.0), 5) END AS eto FROM n""")
 def eto_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "15 + l_quantity / 2.5D as tmax", "5 + l_quantity / 5 as tmin", "2 + l_quantity / 10 as dew", "1 + l_tax * 50 as wind", "8 + l_discount * 150 as solar", "dayofyear(l_shipdate) as doy")
-    eto = A.reference_et(*(F.col(c) for c in ("tmax", "tmin", "dew", "wind", "solar")), F.lit(26.2), F.lit(30.0), F.col("doy"))
+    w = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", "l_linenumber", "15 + l_quantity / 2.5D as tmax", "5 + l_quantity / 5 as tmin", "5 + l_quantity / 2 as dew", "l_tax * 50 as wind", "l_discount * 200 - 1 as solar",
+        "dayofyear(l_shipdate) as doy", "case when l_linenumber % 4 = 0 then 80.0D else 26.2D end as lat",
+    )
+    eto = A.reference_et(*(F.col(c) for c in ("tmax", "tmin", "dew", "wind", "solar", "lat")), F.lit(30.0), F.col("doy"))
     return w.select("l_orderkey", "l_linenumber", F.round(eto, 5).alias("eto"))
 
 
@@ -411,3 +401,20 @@ def stored_water(spark: SparkSession, sf_dir: str) -> DataFrame:
 def zones_and_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").where("abs(c_acctbal) < 10000").select("c_custkey", (F.col("c_acctbal") / 60).alias("lon"), ((F.col("c_custkey") % 160) - 80.0 + 0.25).alias("lat"))
     return rows.select("c_custkey", geo.utm_epsg(F.col("lon"), F.col("lat")).alias("epsg"), geo.compass(F.col("lon"), F.col("lat")).alias("heading"))
+
+
+@query(f"""WITH {_DAILY}, w AS (SELECT field, day, CASE WHEN n > 1 OR field % 3 = 0 THEN eto END AS eto, CASE WHEN v > 1 THEN rain END AS rain FROM daily), s AS (SELECT field, min(day) + CAST(field % 4 AS INTEGER) AS start, max(day) + CAST(field % 13 AS INTEGER) AS as_of FROM daily GROUP BY field),
+t AS (SELECT s.field, s.start, s.as_of, max(w.day) AS latest, max(w.day) FILTER (WHERE w.day BETWEEN start AND as_of) AS last, min(w.day) FILTER (WHERE w.day BETWEEN start AND as_of) AS first, count(w.day) FILTER (WHERE w.day BETWEEN start AND as_of) AS n
+ FROM s LEFT JOIN w ON w.field = s.field AND w.eto IS NOT NULL GROUP BY 1, 2, 3),
+p AS (SELECT *, coalesce(last, latest) AS e, CASE WHEN last IS NULL AND (latest IS NULL OR latest >= start OR as_of - latest > 10) THEN 'no weather' WHEN first > start THEN 'starts late' WHEN last IS NOT NULL AND n < last - start + 1 THEN 'missing days'
+ WHEN as_of - coalesce(last, latest) > 10 THEN 'ends early' END AS problem FROM t),
+u AS (SELECT p.field, avg(w.eto) AS usual FROM p JOIN w ON w.field = p.field AND w.day BETWEEN greatest(CASE WHEN last IS NULL THEN e - 6 ELSE start END, e - 6) AND e WHERE problem IS NULL GROUP BY 1),
+d AS (SELECT field, e, problem, CAST(unnest(generate_series(CAST(start AS TIMESTAMP), CAST(as_of AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date FROM p)
+SELECT d.field, d.date, round(CASE WHEN problem IS NULL THEN CASE WHEN d.date > e THEN usual ELSE w.eto END END, 6) AS eto, CASE WHEN problem IS NULL THEN CASE WHEN d.date > e THEN 0.0 ELSE coalesce(w.rain, 0.0) END END AS rain,
+ problem IS NULL AND d.date > e AS filled, problem FROM d LEFT JOIN u ON u.field = d.field LEFT JOIN w ON w.field = d.field AND w.day = d.date""")
+def weather_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days with a single event have no figure (but for every third user); spans end up to twelve days after the last event."""
+    daily = daily_events(spark, sf_dir)
+    weather = daily.select("field", F.col("day").alias("date"), F.when((F.col("n") > 1) | (F.col("field") % 3 == 0), F.col("eto")).alias("eto"), F.when(F.col("v") > 1, F.col("rain")).alias("rain"))
+    spans = daily.groupBy("field").agg(F.date_add(F.min("day"), (F.col("field") % 4).cast("int")).alias("start"), F.date_add(F.max("day"), (F.col("field") % 13).cast("int")).alias("as_of"))
+    return water.complete_weather(weather, spans).withColumn("eto", F.round("eto", 6))

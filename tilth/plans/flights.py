@@ -41,16 +41,10 @@ def colour_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flight.colour_squares(pixels(spark, sf_dir).withColumnRenamed("v", "exg"), 8, 0.05).select("raster", "row", "col", F.round("leaf", 6).alias("leaf"), "flag")
 
 
-@query("""WITH p AS (SELECT DISTINCT l_suppkey AS row, CAST(l_quantity AS DOUBLE) AS along FROM lineitem WHERE l_orderkey % 10 = 0), s AS (SELECT *, lead(along) OVER (PARTITION BY row ORDER BY along) - along AS step FROM p),
+@query("""WITH p AS (SELECT DISTINCT l_partkey AS row, CAST(l_quantity AS DOUBLE) AS along FROM lineitem), s AS (SELECT *, lead(along) OVER (PARTITION BY row ORDER BY along) - along AS step FROM p),
 u AS (SELECT row, quantile_cont(step, 0.5) AS usual FROM s GROUP BY 1 HAVING count(*) >= 10), g AS (SELECT row, along, step, CAST(round(step / usual) - 1 AS INTEGER) AS missing FROM s JOIN u USING (row) WHERE usual > 0)
 SELECT row, round(along + step * i / (missing + 1), 6) AS at FROM g, unnest(range(1, missing + 1)) AS t(i) WHERE missing BETWEEN 1 AND 3""")
 def row_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 10 = 0").select(F.col("l_suppkey").alias("row"), F.col("l_quantity").alias("along")).distinct()
-    return flight.row_gaps(rows, ["row"]).withColumn("at", F.round("at", 6))
-
-
-@query(ORACLE_SQL["row_gaps"].replace("l_suppkey AS row", "l_partkey AS row").replace(" WHERE l_orderkey % 10 = 0", ""))
-def row_gaps_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All line items; parts are rows, as suppliers would have every quantity."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("row"), F.col("l_quantity").alias("along")).distinct()
     return flight.row_gaps(rows, ["row"]).withColumn("at", F.round("at", 6))
@@ -97,25 +91,10 @@ def aphid_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", stage.alias("stage"), V.aphid_verdict(F.col("value"), stage).alias("verdict"))
 
 
-@query("""WITH b AS (SELECT p_partkey AS id, p_size AS x0, p_partkey % 37 AS y0, p_size + 3 + p_partkey % 4 AS x1, p_partkey % 37 + 2 + p_partkey % 5 AS y1 FROM part WHERE p_partkey % 5 = 0),
+@query("""WITH b AS (SELECT p_partkey AS id, p_size AS x0, p_partkey % 37 AS y0, p_size + 3 + p_partkey % 4 AS x1, p_partkey % 37 + 2 + p_partkey % 5 AS y1 FROM part),
 p AS (SELECT a.id, b.id AS other, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) AS w, (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS h, least((a.x1 - a.x0) * (a.y1 - a.y0), (b.x1 - b.x0) * (b.y1 - b.y0)) AS area FROM b a JOIN b ON a.id < b.id)
 SELECT id, other, round(w * h / area, 6) AS share FROM p WHERE w > 0 AND h > 0 AND w * h / area >= 0.3""")
 def box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "part").where("p_partkey % 5 = 0").selectExpr("p_partkey as id", "double(p_size) as x0", "double(p_partkey % 37) as y0", "double(p_size + 3 + p_partkey % 4) as x1", "double(p_partkey % 37 + 2 + p_partkey % 5) as y1")
-    return overlap.box_pairs(b, 6.0, 0.3).withColumn("share", F.round("share", 6))
-
-
-@query(f"""WITH {_PIX}, t AS (SELECT row * 64 + col AS id, (row % 50) + 0.3 AS y, col + 0.6 AS x FROM px WHERE raster = 3), s AS (SELECT row, col, avg(v) AS v FROM (SELECT row % 50 AS row, col, v FROM px) GROUP BY 1, 2),
-n AS (SELECT t.id, s.v, (1 - abs(t.y - 0.5 - s.row)) * (1 - abs(t.x - 0.5 - s.col)) AS w FROM t JOIN s ON abs(t.y - 0.5 - s.row) < 1 AND abs(t.x - 0.5 - s.col) < 1) SELECT t.id, round(sum(w * v) / sum(w), 6) AS v FROM t LEFT JOIN n ON n.id = t.id GROUP BY t.id""")
-def bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = pixels(spark, sf_dir)
-    source = px.groupBy((F.col("row") % 50).alias("row"), "col").agg(F.avg("v").alias("v"))
-    target = px.where("raster = 3").select((F.col("row") * 64 + F.col("col")).alias("id"), ((F.col("row") % 50) + 0.3).alias("y"), (F.col("col") + 0.6).alias("x"))
-    return overlap.resample(source, target).select("id", F.round("v", 6).alias("v"))
-
-
-@query(ORACLE_SQL["box_pairs"].replace(" WHERE p_partkey % 5 = 0", ""))
-def box_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "part").selectExpr("p_partkey as id", "double(p_size) as x0", "double(p_partkey % 37) as y0", "double(p_size + 3 + p_partkey % 4) as x1", "double(p_partkey % 37 + 2 + p_partkey % 5) as y1")
     return overlap.box_pairs(b, 6.0, 0.3).withColumn("share", F.round("share", 6))
 
@@ -123,7 +102,7 @@ def box_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_PIX}, t AS (SELECT row * 64 + col AS id, (row % 50) + 0.3 AS y, col + 0.6 AS x FROM px), s AS (SELECT row, col, avg(v) AS v FROM (SELECT row % 50 AS row, col, v FROM px) GROUP BY 1, 2),
 n AS (SELECT t.id, s.v, (1 - abs(t.y - 0.5 - s.row)) * (1 - abs(t.x - 0.5 - s.col)) AS w FROM t CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(a, b) JOIN s ON s.row = CAST(floor(t.y - 0.5) AS BIGINT) + o.a AND s.col = CAST(floor(t.x - 0.5) AS BIGINT) + o.b)
 SELECT t.id, round(sum(w * v) / sum(w), 6) AS v FROM t LEFT JOIN n ON n.id = t.id GROUP BY t.id""")
-def bilinear_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = pixels(spark, sf_dir)
     source = px.groupBy((F.col("row") % 50).alias("row"), "col").agg(F.avg("v").alias("v"))
     target = px.select((F.col("row") * 64 + F.col("col")).alias("id"), ((F.col("row") % 50) + 0.3).alias("y"), (F.col("col") + 0.6).alias("x"))

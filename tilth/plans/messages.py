@@ -32,10 +32,9 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.normalize(F.col("text")).alias("norm"), F.size(T.words(F.col("text"))).cast("long").alias("n_words"))
 
 
-@query(r"SELECT doc_id, len(x) AS n_numbers, round(list_sum(list_transform(x, lambda v: CAST(v AS DOUBLE))), 4) AS total FROM (SELECT doc_id, regexp_extract_all(text, '([0-9]{1,9}(?:\.[0-9]{1,6})?)', 1) AS x FROM documents) WHERE len(x) > 0")
+@query(r"SELECT doc_id, len(x) AS n_numbers, round(list_sum(list_transform(x, lambda v: CAST(v AS DOUBLE))), 4) AS total FROM (SELECT doc_id, regexp_extract_all(text, '([0-9]+(?:\.[0-9]+)?)', 1) AS x FROM documents) WHERE len(x) > 0")
 def text_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = F.transform(F.regexp_extract_all("text", F.lit(r"([0-9]{1,9}(?:\.[0-9]{1,6})?)"), 1), lambda v: v.cast("double"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", found.alias("x")).where(F.size("x") > 0)
+    rows = table(spark, sf_dir, "documents").select("doc_id", T.numbers(F.col("text")).alias("x")).where(F.size("x") > 0)
     return rows.select("doc_id", F.size("x").cast("long").alias("n_numbers"), F.round(F.aggregate("x", F.lit(0.0), lambda a, v: a + v), 4).alias("total"))
 
 
@@ -88,9 +87,13 @@ _E = f"m AS (SELECT event_id, today, k, text FROM (SELECT event_id, CAST(ts AS D
  CASE event_id % 8 WHEN 3 THEN TRUE WHEN 5 THEN FALSE END AS yes, CASE event_id % 8 WHEN 6 THEN k % 9 + 1 END AS choice, CASE event_id % 8 WHEN 0 THEN today - 1 WHEN 4 THEN today - (k % 20 + 1) END AS day,
  CASE event_id % 8 WHEN 7 THEN CAST('26.' || (k + 100) AS DOUBLE) END AS lat FROM m""")
 def message_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    lat, _ = T.coordinates(t)
-    return _sms(spark, sf_dir).select("event_id", T.water_inches(t, F.lit(40.0)).alias("inches"), F.round(T.share_found(t), 6).alias("share"), T.yes_no(t).alias("yes"), T.menu_choice(t, 9).alias("choice"), T.relative_date(t, F.col("today")).alias("day"), lat.alias("lat"))
+    said, t = F.col("text"), F.col("t")
+    lat, _ = T.coordinates(said)
+    rows = _sms(spark, sf_dir).withColumn("t", T.normalize(said))  # once for all readers
+    return rows.select(
+        "event_id", T.water_inches(t, F.lit(40.0)).alias("inches"), F.round(T.share_found(t), 6).alias("share"), T.yes_no(said, t).alias("yes"),
+        T.menu_choice(said, 9).alias("choice"), T.relative_date(t, F.col("today")).alias("day"), lat.alias("lat"),
+    )
 
 
 @query(f"WITH {_E} SELECT event_id, CASE WHEN event_id % 8 = 0 THEN 'irrigated' WHEN event_id % 8 = 4 THEN 'rain' WHEN event_id % 8 = 7 THEN 'status' END AS command FROM m")

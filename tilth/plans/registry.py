@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tilth.plans import field, flights, messages, satellite
+from tilth.plans import field, flights, ground, messages, readings, satellite, store
 
 FLAGSHIP = "climatology"
-_PARTS = (satellite, field, messages, flights)
+_PARTS = (satellite, field, messages, flights, readings, store, ground)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}

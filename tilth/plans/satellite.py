@@ -63,20 +63,12 @@ def confidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.smoothed(C.climatology(history(spark, sf_dir), KEYS), KEYS).groupBy("field").agg(*(F.count_if(F.col("confidence") == g).alias(g) for g in ("high", "medium", "low", "none")))
 
 
-_THIN = _OBS.replace("hist AS (SELECT * FROM obs WHERE year BETWEEN 1995 AND 1998)", "hist AS (SELECT * FROM obs WHERE year BETWEEN 1995 AND 1998 AND doy % 60 < 20 AND id % 7 = 0)")
-
-
-@query(f"""WITH {_CLIM.replace(_OBS, _THIN)}, g AS (SELECT field, doy, CASE WHEN n_obs >= 6 AND n_years >= 3 THEN 3 WHEN n_obs >= 3 AND n_years >= 2 THEN 2 WHEN n_obs >= 1 THEN 1 ELSE 0 END AS grade FROM clim),
+@query("""WITH obs AS (SELECT o_custkey AS field, CAST(o_orderdate AS DATE) AS date, CAST(dayofyear(o_orderdate) AS INTEGER) AS doy, CAST(year(o_orderdate) AS INTEGER) AS year, o_totalprice AS value, o_orderkey AS id FROM orders),
+hist AS (SELECT * FROM obs WHERE year BETWEEN 1995 AND 1998), days AS (SELECT CAST(range AS INTEGER) AS doy FROM range(1, 367)), fields AS (SELECT DISTINCT field FROM hist), clim AS (SELECT f.field, d.doy, quantile_cont(h.value, 0.10) AS p10, quantile_cont(h.value, 0.25) AS p25, quantile_cont(h.value, 0.50) AS median, quantile_cont(h.value, 0.75) AS p75, quantile_cont(h.value, 0.90) AS p90, count(h.value) AS n_obs, count(DISTINCT h.year) AS n_years
+ FROM fields f CROSS JOIN days d LEFT JOIN hist h ON h.field = f.field AND least(abs(h.doy - d.doy), 366 - abs(h.doy - d.doy)) <= 12 GROUP BY f.field, d.doy), g AS (SELECT field, doy, CASE WHEN n_obs >= 6 AND n_years >= 3 THEN 3 WHEN n_obs >= 3 AND n_years >= 2 THEN 2 WHEN n_obs >= 1 THEN 1 ELSE 0 END AS grade FROM clim),
 r AS (SELECT *, doy - row_number() OVER (PARTITION BY field ORDER BY doy) AS run FROM g WHERE grade < 3)
 SELECT field, min(doy) AS first_doy, max(doy) AS last_doy, count(*) AS days, CASE min(grade) WHEN 0 THEN 'none' WHEN 1 THEN 'low' ELSE 'medium' END AS worst FROM r GROUP BY field, run HAVING count(*) >= 5""")
 def thin_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weak days of a history that has clouded seasons (days 20 to 59 of each sixty are unseen)."""
-    seen = history(spark, sf_dir).where("doy % 60 < 20 and id % 7 = 0")
-    return C.thin_stretches(C.smoothed(C.climatology(seen, KEYS), KEYS), KEYS)
-
-
-@query(ORACLE_SQL["thin_stretches"].replace(" AND doy % 60 < 20 AND id % 7 = 0", "").replace("o_orderpriority AS field", "o_custkey AS field"))
-def thin_stretches_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weak days of the whole history; customers are fields, as they are seen seldom."""
     seen = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("field"), F.to_date("o_orderdate").alias("date"), F.dayofyear("o_orderdate").alias("doy"), F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("value"), F.col("o_orderkey").alias("id"))
     return C.thin_stretches(C.smoothed(C.climatology(seen.where(F.col("year").between(1995, 1998)), KEYS), KEYS), KEYS)
@@ -90,8 +82,7 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     past = history(spark, sf_dir)
     season = observations(spark, sf_dir).where("year = 1999")
     base = C.smoothed(C.climatology(past, KEYS), KEYS)
-    scored = C.score_observations(season, base, past, KEYS).distinct()
-    return season.select("field", "date", "doy", "value", "id").join(scored, ["field", "date", "doy", "value"])
+    return C.score_observations(season, base, past, KEYS)
 
 
 @query(f"WITH {_SCORE} SELECT field, date, id, round(value, 3) AS value, round(percentile, 4) AS percentile, round(z, 4) AS z, below_p10, confidence FROM scored")
@@ -110,8 +101,8 @@ SELECT a.field, round(100 * (0.75 * a.term + 0.25 * coalesce(b.term, 0.0)) * CAS
 def triage_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even order keys are the first index, odd ones the second."""
     scored = _scores(spark, sf_dir)
-    terms = [C.index_terms(scored.where(F.col("id") % 2 == i), KEYS, ["date", "id"]) for i in (0, 1)]
-    return C.rank_fields(C.field_scores(*terms, KEYS), KEYS).withColumn("shortfall", F.round("shortfall", 4))
+    terms = C.index_terms(scored.withColumn("index", F.col("id") % 2), [*KEYS, "index"], ["date", "id"])
+    return C.rank_fields(C.field_scores(terms, KEYS, "index"), KEYS).withColumn("shortfall", F.round("shortfall", 4))
 
 
 @query("""WITH m AS (SELECT o_custkey AS field, CAST(o_orderdate AS DATE) AS d FROM orders GROUP BY 1, 2), l AS (SELECT field, lag(d) OVER (PARTITION BY field ORDER BY d) AS gap_start, d AS gap_end FROM m) SELECT field, gap_start, gap_end, CAST(gap_end - gap_start AS INTEGER) AS days FROM l WHERE gap_end - gap_start >= 30""")

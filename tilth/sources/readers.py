@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilth.functions.soils import given_inches_per_foot
+
 #: Synonyms of irrigation methods and of the sides water enters by (fixed values).
-IRRIGATION = {"furrow": "furrow", "flood": "flood", "border": "border", "basin": "basin", "drip": "drip", "sprinkler": "sprinkler", "pivot": "pivot", "none": "none", "rainfed": "none", "dryland": "none", "center pivot": "pivot", "centre pivot": "pivot"}
+IRRIGATION = {"furrow": "furrow", "flood": "flood", "border": "border", "basin": "basin", "drip": "drip", "sprinkler": "sprinkler", "pivot": "pivot", "none": "none", "rainfed": "none", "dryland": "none", "center pivot": "pivot", "centre pivot": "pivot", "surface": "furrow", "gravity": "furrow", "micro": "drip", "microsprinkler": "sprinkler"}
 SIDES = {"n": "N", "north": "N", "s": "S", "south": "S", "e": "E", "east": "E", "w": "W", "west": "W"}
 #: Kinds of farm-log rows and their synonyms (fixed values).
 LOG_KINDS = {"planted": "planted", "planting": "planted", "irrigated": "irrigated", "irrigation": "irrigated", "rain": "rain", "rainfall": "rain", "harvested": "harvested", "harvest": "harvested"}
@@ -23,22 +25,31 @@ def pick(table: dict[str, str], text: Column) -> Column:
     return F.create_map(*(F.lit(x) for kv in table.items() for x in kv))[F.lower(F.trim(text))]
 
 
+def _unknown(table: dict[str, str], text: Column) -> Column:
+    """Whether a text is given that the table lacks."""
+    return F.coalesce((F.trim(text) != "") & pick(table, text).isNull(), F.lit(False))
+
+
 def read_fields(spark: SparkSession, path: str) -> DataFrame:
-    """Fields of a GeoJSON collection: id, name, crop, acres, irrigation, water_enters, ring, problem."""
-    schema = "features array<struct<properties:struct<id:string,name:string,crop:string,acres:double,irrigation:string,water_enters:string>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>>"
+    """Fields of a GeoJSON collection: id, name, crop, acres, irrigation, water_enters, soil_awc_in_ft, ring, problem."""
+    schema = "features array<struct<properties:struct<id:string,name:string,crop:string,acres:double,irrigation:string,water_enters:string,soil_awc_in_ft:string>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>>"
     rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("features").alias("f"))
     ring = F.transform(F.get("f.geometry.coordinates", F.lit(0)), lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
     rows = rows.select("f.properties.*", F.col("f.geometry.type").alias("kind"), ring.alias("ring"))
+    soil, soil_problem = given_inches_per_foot(F.col("soil_awc_in_ft"))
     problem = (
         F.when(F.col("id").isNull() | F.col("name").isNull() | F.col("crop").isNull(), "id, name or crop is missing")
         .when(F.col("kind") != "Polygon", "not a polygon")
         .when(F.size("ring") < 4, "fewer than four corners")
         .when(F.exists("ring", lambda p: (F.abs(p["x"]) > 180) | (F.abs(p["y"]) > 90)), "outside longitude and latitude")
         .when(F.col("acres") <= 0, "acres must be above 0")
+        .when(_unknown(IRRIGATION, F.col("irrigation")), "irrigation is no known method")
+        .when(_unknown(SIDES, F.col("water_enters")), "water_enters is no side")
+        .when(soil_problem.isNotNull(), F.concat(F.lit("soil_awc_in_ft: "), soil_problem))
     )
     twice = rows.groupBy("id").agg(F.count("*").alias("times"))
     rows = rows.join(twice, "id", "left").withColumn("problem", F.coalesce(problem, F.when(F.col("times") > 1, "id occurs twice")))
-    return rows.select("id", "name", "crop", "acres", pick(IRRIGATION, F.col("irrigation")).alias("irrigation"), pick(SIDES, F.col("water_enters")).alias("water_enters"), "ring", "problem")
+    return rows.select("id", "name", "crop", "acres", pick(IRRIGATION, F.col("irrigation")).alias("irrigation"), pick(SIDES, F.col("water_enters")).alias("water_enters"), soil.alias("soil_awc_in_ft"), "ring", "problem")
 
 
 def read_field_log(spark: SparkSession, path: str) -> DataFrame:
