@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tilth.llm.common import blocks, table, text_bytes
 
-EXCERPTS, EXCERPT_CHARS, STRETCH = 128, 400, 1024
+EXCERPTS, EXCERPT_CHARS, STRETCH = 128, 400, 2048
 UNDETERMINED = "und"
 
 
@@ -88,7 +88,11 @@ class SuffixAutomaton:
 
 
 class CrossParser:
-    """Automata of all languages in one table: step[state, symbol] = 2 * next state, plus 1 where a phrase ends."""
+    """Automata of all languages in one table: step[state, symbol] = 2 * next state, plus 1 where a phrase begins.
+
+    Each language also has a void state, its last, in which no phrase is open: texts begin there, and
+    symbols that the language lacks, which are phrases of their own, lead there.
+    """
 
     def __init__(self, texts: dict[str, bytes]):
         self.langs = sorted(texts)
@@ -96,22 +100,40 @@ class CrossParser:
         self.width = len(seen) + 1
         self.code = np.full(256, len(seen), np.uint8)  # the last code is of unknown symbols
         self.code[seen] = np.arange(len(seen))
-        parts, self.roots, base = [], [], 0
+        parts, self.void, base = [], [], 0
         for lang in self.langs:
             automaton = SuffixAutomaton(texts[lang])
             n = len(automaton.next)
             rows = np.repeat(np.arange(n), [len(x) for x in automaton.next])
             cols = self.code[np.fromiter((c for x in automaton.next for c in x), np.int64, len(rows))]
             to = np.fromiter((t for x in automaton.next for t in x.values()), np.int64, len(rows)) + base
-            root = np.full(self.width, 2 * base + 1, np.int64)
+            begin = np.full(self.width, 2 * (base + n) + 1, np.int64)
             at_root = rows == 0
-            root[cols[at_root]] = 2 * to[at_root] + 1
-            step = np.tile(root.astype(np.int32), (n, 1))
+            begin[cols[at_root]] = 2 * to[at_root] + 1
+            step = np.tile(begin, (n + 1, 1))
             step[rows, cols] = 2 * to
             parts.append(step)
-            self.roots.append(base)
-            base += n
-        self.step = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int32)
+            self.void.append(base + n)
+            base += n + 1
+        self.step = np.concatenate(parts).ravel() if parts else np.zeros(0, np.int64)
+        if base < 1 << 30:
+            self.step = self.step.astype(np.int32)
+
+    def _parse(self, codes: np.ndarray, start: np.ndarray, length: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Phrases begun in each stretch (first axis) for each language, from the given states on, and the last states."""
+        order = np.argsort(-length, kind="stable")
+        start, length, state = start[order], length[order], state[order]
+        longest = int(length[0]) if len(length) else 0
+        active = np.searchsorted(-length, -np.arange(1, longest + 1), side="right")
+        count = np.zeros(state.shape, np.int64)
+        for t in range(longest):
+            n = active[t]
+            got = self.step[state[:n] * self.width + codes[start[:n] + t][:, None]]
+            count[:n] += got & 1
+            state[:n] = got >> 1
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return count[back], state[back]
 
     def phrases(self, codes: np.ndarray, off: np.ndarray) -> np.ndarray:
         """Phrase counts of each row (first axis) for each language."""
@@ -121,21 +143,19 @@ class CrossParser:
         nth = np.arange(len(row)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
         start = off[row] + nth * STRETCH
         length = np.minimum(off[row + 1] - start, STRETCH)
-        order = np.argsort(-length, kind="stable")
-        start, length, row = start[order], length[order], row[order]
-        active = np.searchsorted(-length, -np.arange(1, STRETCH + 1), side="right")
         k = len(self.langs)
-        state = np.repeat(np.array(self.roots, np.int32)[None], len(row), 0)
-        count = np.zeros((len(row), k), np.int32)
-        for t in range(int(length[0]) if len(length) else 0):
-            n = active[t]
-            c = codes[start[:n] + t]
-            got = self.step[state[:n] * np.int32(self.width) + c[:, None]]
-            count[:n] += got & 1
-            state[:n] = got >> 1
+        begun = np.repeat(np.array(self.void, np.int64)[None], len(row), 0)
+        count, last = self._parse(codes, start, length, begun)
+        later = np.flatnonzero(nth > 0)
+        while True:  # a stretch that began in another state than the one before it ends in is parsed again
+            again = later[(last[later - 1] != begun[later]).any(1)]
+            if not len(again):
+                break
+            begun[again] = last[again - 1]
+            count[again], last[again] = self._parse(codes, start[again], length[again], begun[again])
         out = np.zeros((len(sizes), k), np.int64)
         np.add.at(out, row, count)
-        return out + (sizes > 0)[:, None]
+        return out
 
 
 _PARSERS: dict[int, CrossParser] = {}
