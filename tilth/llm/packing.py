@@ -12,6 +12,7 @@ tokenized whole.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import defaultdict
@@ -29,8 +30,10 @@ from tilth.llm.token_counts import tokenizer
 CAPACITY, OPEN_SEQUENCES, END_ID = 2048, 4096, 0
 #: Characters that Python's split(), but not the tokenizer, takes as white space.
 ODD = re.compile("[\x1c-\x1f\x85᠎]")
-#: The word pattern of the tokenizer's own file (fixed value).
-WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The word pattern and the normalisation of tokenizer files whose words are looked up (fixed values).
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORD = regex.compile(PATTERN)
 MEMO_CHARS, MEMO_CHUNKS = 48, 800_000
 
 
@@ -46,12 +49,23 @@ class IdEncoder:
 
     The tokenizer never joins across white space, so a text is the concatenation of its chunks, and
     a chunk met before is looked up. Chunks of Latin letters go to the model by the file's own
-    normalisation and word pattern; any other chunk goes through the whole tokenizer.
+    normalisation and word pattern; any other chunk goes through the whole tokenizer, and so does every
+    text where the file has another normalisation, pattern or special string.
     """
 
     def __init__(self, path: str):
         self.tokenizer = tokenizer(path)
         self.model = self.tokenizer.model
+        form = json.loads(self.tokenizer.to_str())
+        splits = (form["pre_tokenizer"] or {}).get("pretokenizers", [])
+        self.plain = (
+            (form["normalizer"] or {}).get("normalizers") == NORMALIZERS
+            and [s["type"] for s in splits] == ["Split", "ByteLevel"]
+            and (splits[0]["pattern"], splits[0]["behavior"], splits[0]["invert"]) == ({"Regex": PATTERN}, "Removed", True)
+            and not splits[1]["add_prefix_space"]
+            and not splits[1]["use_regex"]
+            and all(t["content"].startswith("<|") for t in form["added_tokens"])
+        )
         self.symbols = byte_symbols()
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
@@ -62,7 +76,7 @@ class IdEncoder:
     def word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.symbols)
+            mapped = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.symbols)
             found = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
             if len(word) <= MEMO_CHARS:
                 self.words[word] = found
@@ -79,7 +93,7 @@ class IdEncoder:
         return b"".join(map(self.word, WORD.findall(chunk.lower())))
 
     def encode(self, text: str) -> bytes:
-        if ODD.search(text):
+        if not self.plain or ODD.search(text):
             return self.whole(text)
         chunks = text.split()
         known = self.chunks
