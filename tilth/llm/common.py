@@ -28,10 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which every executor sees.
 
-    Where the session has no such setting (single-machine tests) a folder below /tmp is set.
+    Where a single-machine session has no such setting (tests) a folder below /tmp is set.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file:///tmp/tilth-checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tilth-{uuid.uuid4().hex}"
@@ -182,24 +184,30 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[dic
         yield held[0]["bucket"], held
 
 
-def meeting_keys(rows: DataFrame, pairs: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], buckets: int, local: int = 8) -> DataFrame:
+def meeting_keys(rows: DataFrame, pairs: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]], buckets: int, local: int = 8, repeats: bool = False) -> DataFrame:
     """key, id: all pairs whose key occurs with two ids or more.
 
-    pairs() gives for an Arrow batch its keys and the ids' rows, without repeats. The pairs are packed
-    and dealt by ranges of the key, once. Keys that `local` rows of one batch have are known to meet:
-    their pairs are dealt apart, and one stand-in goes with the key's range to tell the others, so a very
-    frequent key sends a few rows of each batch to its task.
+    pairs() gives for an Arrow batch its keys and ids, without repeats in all batches, or with `repeats`
+    (then a pair can be given again). The pairs are packed and dealt by ranges of the key, once. Keys that
+    `local` ids of one batch have are known to meet: their pairs are dealt apart, and one stand-in goes with
+    the key's range to tell the others, so a very frequent key sends a few rows of each batch to its task.
     """
     names = ["bucket", "keys", "ids", "stands"]
 
+    def ordered(key: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((ids, key)) if repeats else np.argsort(key)
+        key, ids = key[order], ids[order]
+        if repeats and len(key):
+            new = np.append(True, (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]))
+            key, ids = key[new], ids[new]
+        return key, ids
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, row = pairs(batch)
+            key, ids = pairs(batch)
             if not len(key):
                 continue
-            ids = batch.column("id").to_numpy()[row]
-            order = np.argsort(key)
-            key, ids = key[order], ids[order]
+            key, ids = ordered(key, ids)
             cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             runs = np.diff(np.append(cut, len(key)))
             known = np.repeat(runs >= local, runs)
@@ -222,8 +230,7 @@ def meeting_keys(rows: DataFrame, pairs: Callable[[pa.RecordBatch], tuple[np.nda
             ids = np.concatenate([from_planes(r["ids"]) for r in held])
             if bucket < buckets:
                 stand = np.concatenate([from_planes(r["stands"], np.uint64) for r in held])
-                order = np.argsort(key)
-                key, ids = key[order], ids[order]
+                key, ids = ordered(key, ids)
                 cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
                 runs = np.diff(np.append(cut, len(key)))
                 keep = np.repeat((runs > 1) | np.isin(key[cut], stand), runs)

@@ -11,10 +11,13 @@ least hold the same features in both: a signature is the hash of one partition's
 sets share one.
 
 Within the sets of one signature only one, the pivot, is compared with all others: the set whose
-signatures have the most sets, which is the middle of a group of near copies. Two sets that are both
-linked with it are connected; any others that are linked share a part of what sets them apart from
-the pivot (see verified()), and are compared where they do and parity maps of it leave a link possible. Every compared pair is verified on whole
-texts. No pair list of a group is made, and no link between components is missed.
+signatures have the most sets, which is the middle of a group of near copies. Sets that are not linked
+with it get a pivot among themselves, PIVOT_ROUNDS times, so that several groups under one signature
+are each connected through their own middle. Two sets that are linked, but not both with the first
+pivot, share a part of what sets them apart from it (see verified()). Where sets of different
+components do, and parity maps of it leave a link possible, they are compared, whatever the rounds
+left. Every compared pair is verified on whole texts. No pair list of a group is made, and no link
+between components is missed.
 
 Null and empty texts have the empty set. Null doc_ids count as the smallest id and are shown as null.
 Rows that repeat a doc_id count as one document with the links of all of them. An empty table gives
@@ -24,16 +27,19 @@ an empty result; extra columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilth.llm.common import RangeHash, blocks, bucket_count, materialize, meeting_keys, mix, signed, table, text_bytes
+from tilth.llm.common import RangeHash, blocks, bucket_count, materialize, meeting_keys, mix, release, signed, table, text_bytes
 
 #: Partitions of the domain tried for sets that leave too many parts of it empty.
 TURNS = 6
+#: Times that the sets of a signature not linked with its pivot get one among themselves.
+PIVOT_ROUNDS = 3
 #: Bits of a residual's parity map.
 MAP_BITS = 256
 _MAP = [f"m{i}" for i in range(MAP_BITS // 64)]
@@ -132,26 +138,51 @@ def signatures(rows: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, bands: B
     return np.concatenate([np.zeros(0, np.int64), *out_rows]), np.concatenate([np.zeros(0, np.uint64), *out])
 
 
-def signed_sets(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc, n (set size), h1, h2 (hash of the set) and sigs for each row of docs (doc, text)."""
+def _hashed_sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By block of a batch (text): its row range, the features' rows and hashes, and the sets' sizes and hash sums."""
+    raw, off = text_bytes(batch.column("text"))
+    for a, b in blocks(off):
+        rows, hashes = shingles(raw, off[a : b + 1], width)
+        sums = np.zeros((2, b - a), np.uint64)
+        for i in (0, 1):
+            np.add.at(sums[i], rows, mix(hashes + np.uint64(i + 1)))
+        yield a, b, rows, hashes, np.bincount(rows, minlength=b - a), sums
+
+
+def _class_id(sums: np.ndarray) -> np.ndarray:
+    return mix(sums[0] ^ mix(sums[1])).view(np.int64)
+
+
+def hashed_sets(docs: DataFrame, width: int) -> DataFrame:
+    """doc, n (set size), h1, h2 (hash of the set) and class (64 bits of them) for each row of docs (doc, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
         for batch in batches:
-            raw, off = text_bytes(batch.column("text"))
-            for a, b in blocks(off):
-                rows, hashes = shingles(raw, off[a : b + 1], width)
-                sizes = np.bincount(rows, minlength=b - a)
-                sums = np.zeros((2, b - a), np.uint64)
-                for i in (0, 1):
-                    np.add.at(sums[i], rows, mix(hashes + np.uint64(i + 1)))
-                at, sigs = signatures(rows, hashes, sizes, bands)
-                order = np.argsort(at, kind="stable")
-                ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=b - a))])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sigs[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), pa.array(sizes), *(pa.array(s.view(np.int64)) for s in sums), lists], names=["doc", "n", "h1", "h2", "sigs"])
-
-    return docs.mapInArrow(run, "doc long, n long, h1 long, h2 long, sigs array<long>")
+            for a, b, _, _, sizes, sums in _hashed_sets(batch, width):
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), pa.array(sizes), *(pa.array(s.view(np.int64)) for s in sums), pa.array(_class_id(sums))], names=["doc", "n", "h1", "h2", "class"])
+
+    return docs.mapInArrow(run, "doc long, n long, h1 long, h2 long, class long")
+
+
+def class_signatures(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
+    """sig, class: signatures that two classes of docs (text) or more share. Copies give theirs once a batch."""
+
+    def own_signatures(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        bands = Bands(percent)
+        keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for _, _, rows, hashes, sizes, sums in _hashed_sets(batch, width):
+            own = _class_id(sums)
+            _, first = np.unique(own, return_index=True)
+            kept = np.zeros(len(own), bool)
+            kept[first] = True
+            use = kept[rows]
+            at, sigs = signatures(rows[use], hashes[use], np.where(kept, sizes, 0), bands)
+            keys.append(sigs)
+            ids.append(own[at])
+        return np.concatenate(keys), np.concatenate(ids)
+
+    met = meeting_keys(docs.select("text"), own_signatures, buckets, repeats=True)
+    return met.select(F.col("key").alias("sig"), F.col("id").alias("class")).distinct()
 
 
 def _joined_sets(ra: np.ndarray, ha: np.ndarray, rb: np.ndarray, hb: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -207,7 +238,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(r[keep], minlength=n))), pa.int32()), signed(h[keep]))
                 yield pa.RecordBatch.from_arrays([batch.column("a").slice(a, n), batch.column("b").slice(a, n), pa.array(linked), pa.array(na), pa.array(nb), pa.array(alone), lists, *(pa.array(bits[:, i].copy()) for i in range(len(_MAP)))], names=["a", "b", "linked", "na", "nb", "r", "residual", *_MAP])
 
-    rows = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b")
+    # b first: a pivot's text is then not sent with each of its pairs
+    rows = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean, na long, nb long, r long, residual array<long>, " + ", ".join(f"{c} long" for c in _MAP))
 
 
@@ -219,47 +251,99 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         total = labels.agg(F.sum(F.col("comp").cast("decimal(38,0)"))).first()[0]
         if total == before:
+            release(both)
             return labels
         before = total
         near = both.join(labels.withColumnRenamed("doc", "b"), "b").groupBy("a").agg(F.min("comp").alias("m"))
         low = labels.join(near, labels.doc == near.a).select("doc", F.least("comp", "m").alias("comp"))
         jump = labels.select(F.col("doc").alias("comp"), F.col("comp").alias("next"))
-        labels = materialize(low.join(jump, "comp", "left").select("doc", F.least("comp", F.coalesce("next", "comp")).alias("comp")))
+        lower = materialize(low.join(jump, "comp", "left").select("doc", F.least("comp", F.coalesce("next", "comp")).alias("comp")))
+        release(labels)
+        labels = lower
+
+
+def against_pivots(members: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The first pivots' pairs as verified() gives them, numbered by row, and all links (a, b) with pivots, from members (sig, doc)."""
+    left, first, links = members, None, []
+    for _ in range(PIVOT_ROUNDS):
+        inside = left.join(left.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"), "sig")
+        weights = inside.groupBy("doc").agg(F.sum("c").alias("weight"))
+        pivots = inside.join(weights, "doc").groupBy("sig").agg(F.max_by("doc", F.struct("weight", -F.col("doc"))).alias("a"))
+        pairs = inside.select("sig", F.col("doc").alias("b")).join(pivots, "sig").where("a != b")
+        compared = verified(pairs.select("a", "b").distinct(), texts, width, percent)
+        if first is None:
+            first = compared = materialize(compared.withColumn("row", F.monotonically_increasing_id()))
+            linked = compared.where("linked").select("a", "b")
+        else:
+            linked = materialize(compared.where("linked").select("a", "b"))
+        links.append(linked)
+        after = materialize(pairs.join(linked, ["a", "b"], "left_anti").select("sig", F.col("b").alias("doc")))
+        if left is not members:
+            release(left)
+        left = after
+        if left.isEmpty():
+            break
+    release(left)
+    return first, reduce(DataFrame.union, links)
+
+
+def beside_pivots(compared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """a, b: documents of different groups (doc, comp) that share a part of their residual to the same pivot, not both linked with it, and may be linked."""
+
+    def own_parts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        lists = batch.column("residual")
+        row = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+        key = mix(lists.flatten().to_numpy().view(np.uint64) ^ mix(batch.column("a").to_numpy().view(np.uint64))[row])
+        return key, batch.column("row").to_numpy()[row]
+
+    buckets = bucket_count(compared.sparkSession, compared.agg(F.sum(F.size("residual"))).first()[0] or 0)
+    met = meeting_keys(compared.select("row", "a", "residual"), own_parts, buckets).withColumnRenamed("id", "row")
+    own = compared.select("row", "linked", F.col("b").alias("doc")).join(groups, "doc", "left").select("row", "linked", F.coalesce("comp", "doc").alias("comp"))
+    hits = materialize(met.join(own, "row"))
+    mixed = hits.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_and("linked").alias("all")).where("lo < hi and not all").select("key")
+    few = materialize(hits.join(mixed, "key"))
+    release(hits)
+    # groups first, so that rows of one group do not meet each other
+    sides = few.select("key", F.col("comp").alias("cx")).distinct().join(few.select("key", F.col("comp").alias("cy")).distinct(), "key").where("cx < cy")
+    side = lambda c: few.select("key", F.col("comp").alias(f"c{c}"), F.col("row").alias(f"row{c}"), F.col("linked").alias(f"l{c}"))
+    rows = sides.join(side("x"), ["key", "cx"]).join(side("y"), ["key", "cy"]).where("not (lx and ly)").select("rowx", "rowy").distinct()
+    about = lambda c: compared.select(F.col("row").alias(f"row{c}"), F.col("b").alias(c), F.col("nb").alias(f"n{c}"), *(F.col(m).alias(f"{m}{c}") for m in _MAP))
+    share = (100 - percent) / (100 + percent)
+    # features in one set only: no fewer than the bits in which the residuals' parity maps differ
+    apart = sum((F.bit_count(F.col(f"{m}x").bitwiseXOR(F.col(f"{m}y"))) for m in _MAP), F.lit(0))
+    alike = (percent * F.greatest("nx", "ny") <= 100 * F.least("nx", "ny")) & (apart <= share * (F.col("nx") + F.col("ny")) + 1)
+    pairs = materialize(rows.join(about("x"), "rowx").join(about("y"), "rowy").where(alike & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    release(few)
+    return pairs
 
 
 def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles and component_id for each row of docs (doc_id, text)."""
     docs = docs.select(F.coalesce("doc_id", F.lit(_NULL_ID)).alias("doc"), "text")
-    sets = materialize(signed_sets(docs, width, percent))
-    classes = sets.where("n > 0").groupBy("h1", "h2").agg(F.min("doc").alias("rep"))
-    reps = sets.select("doc", "sigs").join(classes.select(F.col("rep").alias("doc")).distinct(), "doc", "left_semi")
-
-    def own_signatures(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        lists = batch.column("sigs")
-        return lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
-
-    buckets = bucket_count(docs.sparkSession, sets.agg(F.sum(F.size("sigs"))).first()[0] or 0)
-    members = materialize(meeting_keys(reps.select(F.col("doc").alias("id"), "sigs"), own_signatures, buckets).select(F.col("key").alias("sig"), F.col("id").alias("doc")))
+    sets = materialize(hashed_sets(docs, width))
+    classes = materialize(sets.where("n > 0").groupBy("class", "h1", "h2").agg(F.min("doc").alias("rep")))
+    size = sets.agg(F.sum("n")).first()[0] or 0
+    # sets whose hashes share 64 bits are told apart again by the texts
+    met = class_signatures(docs, width, percent, bucket_count(docs.sparkSession, size // 4))
+    members = materialize(met.join(classes.select("class", F.col("rep").alias("doc")), "class").select("sig", "doc").distinct())
     texts = materialize(docs.join(members.select("doc").distinct(), "doc", "left_semi"))
-
-    # each document against the pivots of its signatures
-    counts = members.groupBy("sig").agg(F.count("*").alias("c"))
-    weights = members.join(counts, "sig").groupBy("doc").agg(F.sum("c").alias("weight"))
-    pivots = members.join(weights, "doc").groupBy("sig").agg(F.max_by("doc", F.struct("weight", -F.col("doc"))).alias("a"))
-    pairs = members.join(pivots, "sig").where("doc != a").select("a", F.col("doc").alias("b")).distinct()
-    compared = materialize(verified(pairs, texts, width, percent))
-    # documents that share a part of their residual to the same pivot, at least one of them not linked with it
-    parts = compared.select("a", "b", "linked", "nb", "r", *_MAP, F.explode("residual").alias("part"))
-    other = parts.select("a", F.col("b").alias("x"), F.col("linked").alias("lx"), F.col("nb").alias("nx"), F.col("r").alias("rx"), "part", *(F.col(m).alias(f"{m}x") for m in _MAP))
-    near = (F.col("b") != F.col("x")) & (F.col("lx") | (F.col("b") < F.col("x")))
-    c = (100 - percent) / (100 + percent)
-    # features in one set only: no fewer than the bits in which the residuals' parity maps differ
-    apart = sum((F.bit_count(F.col(m).bitwiseXOR(F.col(f"{m}x"))) for m in _MAP), F.lit(0))
-    alike = (percent * F.greatest("nb", "nx") <= 100 * F.least("nb", "nx")) & (apart <= c * (F.col("nb") + F.col("nx")) + 1)
-    rest = parts.where("not linked").join(other, ["a", "part"]).where(near & alike).select(F.least("b", "x").alias("a"), F.greatest("b", "x").alias("b")).distinct()
-    links = compared.where("linked").select("a", "b").union(verified(rest, texts, width, percent).where("linked").select("a", "b"))
+    compared, links = against_pivots(members, texts, width, percent)
+    release(members)
     labels = components(links)
-    named = sets.select("doc", "n", "h1", "h2").join(classes, ["h1", "h2"], "left").join(labels.withColumnRenamed("doc", "rep"), "rep", "left")
+    pairs = beside_pivots(compared, labels, percent)
+    release(compared)
+    if not pairs.isEmpty():
+        rest = materialize(verified(pairs, texts, width, percent).where("linked").select("a", "b"))
+        comp = lambda c: labels.select(F.col("doc").alias(c), F.col("comp").alias(f"c{c}"))
+        between = rest.join(comp("a"), "a", "left").join(comp("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        joined = components(between).select(F.col("doc").alias("own"), F.col("comp").alias("least"))
+        alone = rest.select(F.col("a").alias("doc")).union(rest.select("b")).distinct().join(labels, "doc", "left_anti").withColumn("comp", F.col("doc"))
+        merged = labels.union(alone).withColumnRenamed("comp", "own").join(joined, "own", "left").select("doc", F.coalesce("least", "own").alias("comp"))
+        whole = materialize(merged)
+        release(labels, rest)
+        labels = whole
+    release(pairs, texts)
+    named = sets.join(classes.drop("class"), ["h1", "h2"], "left").join(labels.withColumnRenamed("doc", "rep"), "rep", "left")
     shown = F.when(F.col("n") > 0, F.coalesce("comp", "rep")).otherwise(F.col("doc"))
     plain = lambda c: F.when(c != _NULL_ID, c)
     return named.select(plain(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), plain(shown).alias("component_id"))

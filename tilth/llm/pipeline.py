@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilth.llm import decontamination, jaccard_join, language_id, line_dedup, packing
-from tilth.llm.common import materialize, table
+from tilth.llm.common import materialize, table, unused
 
 #: Shingle width and similarity (percent) of near duplicates.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -29,7 +29,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near copies, null doc_ids first; rows are told apart by number, as doc_ids can repeat."""
-    row = next(n for n in (f"_row{'_' * i}" for i in range(len(docs.columns) + 1)) if n not in docs.columns)
+    row = unused("row", docs.columns)
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
     linked = jaccard_join.link(numbered.select(F.col(row).alias("doc_id"), "text"), NEAR_WORDS, NEAR_PERCENT)
     place = F.struct(F.col("doc_id").isNotNull(), "doc_id", row)

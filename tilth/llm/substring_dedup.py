@@ -86,7 +86,7 @@ def shared_anchors(texts: DataFrame, width: int, size: int, local: int) -> DataF
             new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
             rows.append(r[new] + a)
             hashes.append(mix(h[new]))  # least hashes are small: mixed, they are dealt out evenly
-        return np.concatenate(hashes), np.concatenate(rows)
+        return np.concatenate(hashes), batch.column("id").to_numpy()[np.concatenate(rows)]
 
     size_ = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = bucket_count(texts.sparkSession, 2 * size_ // (width - size + 2))
