@@ -5,9 +5,9 @@ small. A window is `width` consecutive words of a benchmark item; a shorter item
 least) is one window. Every window of a document whose hash is a window's hash is compared with that
 window's words, so a hash collision is never a hit. A document word inside any occurring window is hit.
 
-The benchmark's windows are broadcast while its texts have at most BROADCAST_BYTES; a larger
-benchmark is joined to the documents by window hash instead, and each document then carries just the
-windows that occur in it.
+The benchmark's windows are broadcast while its texts have at most BROADCAST_BYTES, which takes less
+than WINDOW_COST times as much memory; a larger benchmark is joined to the documents by window hash
+instead, and each document then carries just the windows that occur in it.
 
 Null and empty texts have no words and are not contaminated. Benchmark rows with null text or null
 item_id are ignored and repeated ones count once. Repeated documents are each reported. An empty
@@ -25,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilth.llm.common import RangeHash, blocks, table, text_bytes
+from tilth.llm.common import RangeHash, blocks, table, text_bytes, unused
 
 WIDTH = 13
 #: Contaminated: n_hit > 0 and SHARE * n_hit >= n_words.
 SHARE = 20
-#: Texts of the benchmark up to this size are broadcast.
-BROADCAST_BYTES = 32 << 20
+#: Texts of the benchmark up to this size are broadcast, and bytes that are broadcast for one of them at most:
+#: of a word of one letter, a hash, a width, an item, two places and the word itself.
+BROADCAST_BYTES, WINDOW_COST = 8 << 20, 24
 
 #: Lower-cased byte, or 0 where a byte is in no word.
 _LOWER = np.zeros(256, np.uint8)
@@ -74,44 +75,70 @@ class Words:
 
 def item_windows(item_id: int, text: str, width: int) -> Iterator[tuple[int, int, bytes, int]]:
     """Hash, width, words and item of each window of an item."""
-    raw, off = text_bytes(pa.array([text]))
-    words = Words(raw, off)
-    n = len(words.start)
-    if n:
-        width = min(n, width)
-        for i, h in enumerate(words.windows(width)):
-            yield int(h), width, words.words(i, width), item_id
+    for got in Windows.of_items([(item_id, text)], width).rows():
+        yield got
 
 
 class Windows:
-    """Benchmark windows by width and hash."""
-
-    def __init__(self, rows: Iterator[tuple[int, int, bytes, int]]):
-        self.items: dict[tuple[int, bytes], set[int]] = defaultdict(set)
-        hashes: dict[int, set[int]] = defaultdict(set)
-        for h, width, words, item in rows:
-            self.items[width, words].add(item)
-            hashes[width].add(h)
-        self.hashes = {w: np.sort(np.array([*hs], np.uint64)) for w, hs in hashes.items()}
-        self.maps = {}
-        for w, hs in self.hashes.items():
-            self.maps[w] = np.zeros(1 << 16, bool)
-            self.maps[w][hs & np.uint64(0xFFFF)] = True
+    """Benchmark windows in order of hash, by width: their hashes, items and ranges of `data`, in which words are joined by blanks."""
+
+    def __init__(self, data: bytes, hashes: np.ndarray, widths: np.ndarray, items: np.ndarray, start: np.ndarray, end: np.ndarray):
+        self.data, self.by_width = data, {}
+        for w in np.unique(widths).tolist():
+            mine = np.flatnonzero(widths == w)
+            mine = mine[np.argsort(hashes[mine], kind="stable")]
+            known = np.zeros(1 << 16, bool)
+            known[hashes[mine] & np.uint64(0xFFFF)] = True
+            self.by_width[w] = (known, hashes[mine], items[mine], start[mine], end[mine])
+
+    @classmethod
+    def of_items(cls, items: list[tuple[int, str]], width: int) -> Windows:
+        """All windows of items (item_id, text). Each word is held once, whatever the windows it is in."""
+        raw, off = text_bytes(pa.array([text for _, text in items], pa.string()))
+        words = Words(raw, off)
+        n = words.counts
+        sizes = words.end - words.start
+        at = np.cumsum(sizes + 1) - sizes - 1
+        data = b" ".join(words.low[a:b].tobytes() for a, b in zip(words.start.tolist(), words.end.tolist(), strict=True))
+        ids = np.array([i for i, _ in items], np.int64)
+        width_of = np.minimum(n, width)
+        first = np.flatnonzero(np.arange(len(sizes)) - (np.cumsum(n) - n)[words.row] <= (n - width_of)[words.row])
+        w = width_of[words.row[first]]
+        hashes = np.zeros(len(first), np.uint64)
+        for one in np.unique(w).tolist():
+            hashes[w == one] = words.windows(one)[first[w == one]]
+        last = first + w - 1
+        return cls(data, hashes, w, ids[words.row[first]], at[first], at[last] + sizes[last])
+
+    @classmethod
+    def of_rows(cls, rows: list[dict]) -> Windows:
+        """The given windows (h, width, words, item_id)."""
+        sizes = np.array([len(r["words"]) for r in rows], np.int64)
+        col = lambda c, t: np.array([r[c] for r in rows], t)
+        end = np.cumsum(sizes)
+        return cls(b"".join(r["words"] for r in rows), col("h", np.int64).view(np.uint64), col("width", np.int64), col("item_id", np.int64), end - sizes, end)
+
+    def rows(self) -> Iterator[tuple[int, int, bytes, int]]:
+        for w, (_, hashes, items, start, end) in self.by_width.items():
+            for h, item, a, b in zip(hashes.tolist(), items.tolist(), start.tolist(), end.tolist(), strict=True):
+                yield h, w, self.data[a:b], item
 
     def scan(self, words: Words) -> tuple[np.ndarray, dict[int, set[int]]]:
         """Whether each word is hit, and the items found by row."""
         change = np.zeros(len(words.start) + 1, np.int64)
         found: dict[int, set[int]] = defaultdict(set)
-        for width, known in self.hashes.items():
+        for width, (known, hashes, items, start, end) in self.by_width.items():
             got = words.windows(width)
-            at = np.flatnonzero(self.maps[width][got & np.uint64(0xFFFF)])
+            at = np.flatnonzero(known[got & np.uint64(0xFFFF)])
             at = at[words.row[at] == words.row[at + width - 1]]
-            at = at[np.isin(got[at], known)]
-            for i in at.tolist():
-                if items := self.items.get((width, words.words(i, width))):
+            lo, hi = (np.searchsorted(hashes, got[at], side=s) for s in ("left", "right"))
+            for i, a, b in zip(at[lo < hi].tolist(), lo[lo < hi].tolist(), hi[lo < hi].tolist(), strict=True):
+                own = words.words(i, width)
+                same = [int(items[j]) for j in range(a, b) if self.data[start[j] : end[j]] == own]
+                if same:
                     change[i] += 1
                     change[i + width] -= 1
-                    found[int(words.row[i])] |= items
+                    found[int(words.row[i])].update(same)
         return np.cumsum(change[:-1]) > 0, found
 
 
@@ -163,7 +190,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, share: int =
         return pa.RecordBatch.from_arrays(out, names=names)
 
     if size <= BROADCAST_BYTES:
-        known = docs.sparkSession.sparkContext.broadcast(Windows(w for r in items.collect() for w in item_windows(r.item_id, r.text, width)))
+        known = docs.sparkSession.sparkContext.broadcast(Windows.of_items([(r.item_id, r.text) for r in items.collect()], width))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -196,21 +223,23 @@ def _joined(docs: DataFrame, items: DataFrame, width: int, rows, schema: str, pl
                     h = words.windows(w)
                     at = np.flatnonzero(words.row[: len(h)] == words.row[w - 1 : w - 1 + len(h)])
                     key = np.unique(np.stack([words.row[at].astype(np.uint64), h[at]], 1), axis=0) if len(at) else np.zeros((0, 2), np.uint64)
-                    yield pa.RecordBatch.from_arrays([batch.column("text_key").slice(a, b - a).take(pa.array(key[:, 0].astype(np.int64))), pa.array(key[:, 1].view(np.int64))], names=["text_key", "h"])
+                    row = pa.array(key[:, 0].astype(np.int64) + a)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(k).take(row) for k in ("t1", "t2")), pa.array(np.ascontiguousarray(key[:, 1]).view(np.int64))], names=["t1", "t2", "h"])
 
     columns = docs.columns
-    keyed = docs.withColumn("text_key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    hits = keyed.select("text_key", "text").dropDuplicates(["text_key"]).mapInArrow(emit, "text_key string, h long").join(windows, "h")
-    found = hits.groupBy("text_key").agg(F.collect_set(F.struct("h", "width", "words", "item_id")).alias("found"))
+    text = F.coalesce("text", F.lit(""))
+    own = [unused(c, columns) for c in ("t1", "t2", "found")]
+    keyed = docs.withColumns(dict(zip(own, (F.xxhash64(text), F.xxhash64(F.lit(1), text)), strict=False)))
+    hits = keyed.select(F.col(own[0]).alias("t1"), F.col(own[1]).alias("t2"), "text").dropDuplicates(["t1", "t2"]).mapInArrow(emit, "t1 long, t2 long, h long").join(windows, "h")
+    found = hits.groupBy(F.col("t1").alias(own[0]), F.col("t2").alias(own[1])).agg(F.collect_set(F.struct("h", "width", "words", "item_id")).alias(own[2]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, off = text_bytes(batch.column(place))
-            for r, got in enumerate(batch.column("found").to_pylist()):
-                own = Windows((g["h"] & (1 << 64) - 1, g["width"], g["words"], g["item_id"]) for g in got or ())
-                yield rows(batch.slice(r, 1).columns, raw, off[r : r + 2], own)
+            for r, got in enumerate(batch.column(len(columns)).to_pylist()):
+                yield rows(batch.slice(r, 1).columns, raw, off[r : r + 2], Windows.of_rows(got or []))
 
-    return keyed.join(found, "text_key", "left").select(*columns, "found").mapInArrow(run, schema)
+    return keyed.join(found, own[:2], "left").select(*(F.col(f"`{c}`") for c in columns), own[2]).mapInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
