@@ -1,28 +1,34 @@
 """Operator 9: main text of web pages by site style trees.
 
-The trees of a host's pages are merged: nodes of the same path (tags with their classes, from the
+The trees of a site's pages are merged: nodes of the same path (tags with their classes, from the
 root) meet. For each merged node the spread of its pages over presentations (sequences of child tags)
-and over contents (texts) is measured as an entropy normalised by the number of pages; a node that
-looks and reads the same on most pages has low importance, and its branch is removed from each page.
-Tags and names that say what a branch is (menu, advert, comment, ...) count before the figures: such
-branches go, also with the articles in them, and of a page with other article or main elements only
-these are kept, without the branches in them that the host repeats. The element itself stays whatever
-the host repeats and whatever it is called, but for articles called comments. Where all main elements
-are in branches called noise (a wrapper can be called after its sidebar), they count against the rest of
-the page by the length of the text.
+and over contents (texts) is measured as an entropy, in proportion to the entropy of the whole pages'
+texts, so that copies of a page count once; a node that looks and reads the same on most pages has low
+importance, and its branch is removed from each page, inside main elements too. A host with pages of
+MIN_PAGES texts in effect is a site of its own; pages of smaller hosts are judged with those of all
+hosts whose pages have the same kinds of container elements (their template).
+
+Tags and names that say what a branch is (menu, advert, comment, ...) are features beside the figures:
+such branches go, also with the articles in them, but a name of several words of which only some say
+so (site-menu, but also share-capital) goes only if the branch has no more than half of the page's text.
+Of a page with article or main elements elsewhere only these are kept, without the branches in them
+that the site repeats. The element itself stays whatever the site repeats and whatever it is called, but
+for articles called comments. Where all main elements are in branches called noise (a wrapper can be
+called after its sidebar), they count against the rest of the page by the length of the text.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are
 joined by one space in page order.
 
 Null and empty html give an empty text; a null url is a host of its own. Unclosed, stray and cut-off
-tags are read as browsers do, roughly. Repeated pages are each returned, and weigh in the entropy as
-often as they occur. An empty table gives an empty result; extra columns are not read. Only a host's
-low-importance paths travel back to its pages, so a host with very many pages is split freely.
+tags are read as browsers do, roughly. Repeated pages are each returned. An empty table gives an empty
+result; extra columns are not read. Only a site's low-importance paths travel back to its pages, so a
+site with very many pages is split freely.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator, Set
 from html.parser import HTMLParser
 
@@ -33,8 +39,10 @@ from pyspark.sql import functions as F
 
 from tilth.llm.common import materialize, table
 
-#: Importance below which a branch goes, and the pages a merged node needs before its figures count.
+#: Importance below which a branch goes; pages a merged node needs before its figures count, and texts a site needs in effect.
 LOW_IMPORTANCE, MIN_PAGES = 0.45, 8
+#: Start tags that make a template: container elements with their classes.
+CONTAINERS = r"(?i)<((?:header|nav|main|article|section|aside|footer|div|table|ul|ol|form)(?:\s+class\s*=\s*(?:\"[^\">]*\"|'[^'>]*'))?)"
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
@@ -48,7 +56,9 @@ NOISE_NAMES = {
 }
 COMMENT_NAMES = {"comment", "comments", "commentlist", "disqus", "replies", "reply", "respond", "discussion"}
 MAIN_TAGS = {"article", "main"}
-MAIN_NAMES = {"main", "articlebody"}
+MAIN_NAMES = {"main", "articlebody", "maincontent"}
+#: How a branch is named: not as noise, in some words of a name, or by a whole name.
+PLAIN, PARTLY, WHOLLY = 0, 1, 2
 #: Start tags that close an open element, up to the given containers.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _SPACE = re.compile(r"\s+")
@@ -56,12 +66,18 @@ _NAME = re.compile(r"[a-z0-9]+")
 
 
 class Node:
-    __slots__ = ("children", "main", "names", "parent", "path", "tag")
+    __slots__ = ("children", "comment", "large", "main", "named", "parent", "path", "size", "tag")
 
-    def __init__(self, tag: str, names: frozenset[str], parent: Node | None, path: str):
-        self.tag, self.names, self.parent, self.path = tag, names, parent, path
+    def __init__(self, tag: str, names: list[str], parent: Node | None, path: str):
+        self.tag, self.parent, self.path = tag, parent, path
         self.children: list[Node | str] = []
-        self.main = tag == "main" or bool(names & MAIN_NAMES) or (tag == "article" and not names & COMMENT_NAMES)
+        parts = [_NAME.findall(n) for n in names]
+        whole = {"".join(p) for p in parts}
+        words = {w for p in parts for w in p}
+        self.comment = bool(words & COMMENT_NAMES)
+        self.main = tag == "main" or bool(whole & MAIN_NAMES) or (tag == "article" and not self.comment)
+        self.named = WHOLLY if whole & NOISE_NAMES else PARTLY if words & NOISE_NAMES else PLAIN
+        self.size, self.large = 0, False
 
 
 class TreeBuilder(HTMLParser):
@@ -69,7 +85,7 @@ class TreeBuilder(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#", frozenset(), None, "")
+        self.root = self.at = Node("#", [], None, "")
 
     def _close(self, tags: set[str], until: set[str]) -> None:
         node = self.at
@@ -88,9 +104,9 @@ class TreeBuilder(HTMLParser):
             self.at.children.append("\n" if tag in ("br", "hr") else "")
             return
         said = " ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role", "itemprop"))
-        names = frozenset(_NAME.findall(said))
+        names = sorted(set(said.split()))
         place = "" if tag in INLINE or tag in ("p", "li", "tr", "td", "dt", "dd") else sum(1 for c in self.at.children if isinstance(c, Node) and c.tag == tag)
-        node = Node(tag, names, self.at, f"{self.at.path}/{tag}{place}" + (f".{'.'.join(sorted(names))}" if names else ""))
+        node = Node(tag, names, self.at, f"{self.at.path}/{tag}{place}" + (f".{'.'.join(names)}" if names else ""))
         self.at.children.append(node)
         self.at = node
 
@@ -117,7 +133,12 @@ def tree(html: str) -> Node:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
-    return builder.root
+    root = builder.root
+    for node in reversed([*_reach(root, lambda _: False)]):
+        node.size = sum(len(c) if isinstance(c, str) else 0 if c.tag in NOISE_TAGS or c.named == WHOLLY else c.size for c in node.children)
+    for node in _reach(root, lambda n: 2 * n.size <= root.size):
+        node.large = True
+    return root
 
 
 def named_noise(node: Node, held: Set[Node]) -> bool:
@@ -126,7 +147,7 @@ def named_noise(node: Node, held: Set[Node]) -> bool:
         return True
     if node.main or node in held or node.tag in ("#", "html", "body"):
         return False
-    return node.tag == "header" or bool(node.names & NOISE_NAMES)
+    return node.tag == "header" or node.named == WHOLLY or (node.named == PARTLY and not node.large)
 
 
 def _reach(root: Node, closed: Callable[[Node], bool]) -> Iterator[Node]:
@@ -142,7 +163,7 @@ def _reach(root: Node, closed: Callable[[Node], bool]) -> Iterator[Node]:
 def holders(root: Node) -> set[Node]:
     """Main elements and everything above them, but for those in branches whose tag or names say comments and the like."""
     out: set[Node] = set()
-    for node in _reach(root, lambda n: n.tag in NOISE_TAGS or (not n.main and n.tag not in ("#", "html", "body") and bool(n.names & COMMENT_NAMES))):
+    for node in _reach(root, lambda n: n.tag in NOISE_TAGS or (not n.main and n.tag not in ("#", "html", "body") and n.comment)):
         if node.main:
             while node is not None and node not in out:
                 out.add(node)
@@ -195,8 +216,9 @@ def texts(node: Node, skip) -> list[str]:
 
 
 def observations(root: Node) -> Iterator[tuple[str, str, int]]:
-    """Path, kind and hash of the presentation and the content of each block-level node outside named noise."""
+    """Path, kind and hash of the presentation and the content of each block-level node outside named noise, and of the page's content (path "")."""
     _, _, noise = judged(root)
+    yield "", "content", xxhash.xxh64_intdigest(" ".join(texts(root, noise))) - (1 << 63)
     for node in _reach(root, noise):
         if node.tag in INLINE or node.tag in ("#", "html", "body"):
             continue
@@ -214,32 +236,42 @@ def main_text(root: Node, low: set[str]) -> str:
 
 
 def low_paths(pages: DataFrame) -> DataFrame:
-    """host, low: for each host its paths of low importance, from pages (host, html)."""
+    """site, low: for each site that has enough pages its paths of low importance, from pages (sites, html), each page in all of its sites."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                got = sorted({*observations(tree(html or ""))})
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array([host] * len(got), pa.string()), *(pa.array(c, t) for c, t in zip(zip(*got, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True))], names=["host", "path", "kind", "hash"])
-
-    counts = pages.select("host", "html").mapInArrow(run, "host string, path string, kind string, hash long").groupBy("host", "path", "kind", "hash").agg(F.count("*").alias("c"))
-    spread = counts.groupBy("host", "path", "kind").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("clogc")).where(F.col("n") >= MIN_PAGES)
-    importance = spread.withColumn("entropy", (F.log("n") - F.col("clogc") / F.col("n")) / F.log("n")).groupBy("host", "path").agg(F.max("entropy").alias("importance"))
-    return importance.where(F.col("importance") < LOW_IMPORTANCE).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low"))
+            found: Counter[tuple[str, str, str, int]] = Counter()
+            for sites, html in zip(batch.column("sites").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                got = {*observations(tree(html or ""))}
+                found.update((site, *g) for site in sites for g in got)
+            cols = [*zip(*found, strict=True)] or [()] * 4
+            types = (pa.string(), pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types, strict=True)), pa.array([*found.values()], pa.int64())], names=["site", "path", "kind", "hash", "c"])
+
+    counts = pages.select("sites", "html").mapInArrow(run, "site string, path string, kind string, hash long, c long").groupBy("site", "path", "kind", "hash").agg(F.sum("c").alias("c"))
+    spread = counts.groupBy("site", "path", "kind").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("clogc")).where(F.col("n") >= MIN_PAGES)
+    spread = materialize(spread.select("site", "path", "n", (F.log("n") - F.col("clogc") / F.col("n")).alias("entropy")))
+    whole = spread.where("path = ''").select("site", (F.col("entropy") / F.log("n")).alias("most"), "entropy").where(F.col("entropy") >= F.log(F.lit(MIN_PAGES)) - 1e-9).drop("entropy")
+    nodes = spread.where("path != ''").groupBy("site", "path").agg(F.max(F.col("entropy") / F.log("n")).alias("part"))
+    low = nodes.join(whole, "site").where(F.col("part") < LOW_IMPORTANCE * F.col("most")).groupBy("site").agg(F.sort_array(F.collect_list("path")).alias("low"))
+    return whole.select("site").join(low, "site", "left").select("site", F.coalesce("low", F.array().cast("array<string>")).alias("low"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for each row of pages (page_id, url, html)."""
-    pages = pages.select("page_id", "url", "html", F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit("")).alias("host"))
-    low = materialize(low_paths(pages))
+    host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
+    tags = F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(CONTAINERS), F.lit(1))))
+    pages = pages.select("page_id", "url", "html", F.concat(F.lit("host "), host).alias("host"), F.concat(F.lit("template "), F.xxhash64(tags).cast("string")).alias("template"))
+    low = materialize(low_paths(pages.select(F.array("host", "template").alias("sites"), "html")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [main_text(tree(h or ""), set(p or ())) for h, p in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    of = lambda kind: low.select(F.col("site").alias(kind), F.col("low").alias(f"low_{kind}"))
+    named = pages.join(of("host"), "host", "left").join(of("template"), "template", "left")
+    return named.select("page_id", "url", "html", F.coalesce("low_host", "low_template").alias("low")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
