@@ -23,10 +23,12 @@ through, but for n_lines and n_removed, which are made anew.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilth.llm.common import materialize, setting, table
+from tilth.llm.common import materialize, release, setting, table
 
 MIN_WORDS = 8
 #: Line numbers are looked up by blocks of so many, so that long texts stay cheap.
@@ -38,27 +40,24 @@ _BLOOM = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThresho
 
 
 def has_words(line: Column) -> Column:
-    return line.rlike(r"[^ \t\x0B\f\r]")
+    return F.btrim(line, F.lit(" \t\x0b\f\r")) != ""
 
 
 def words_of(line: Column) -> Column:
     """Words of a line that has some; white space other than single blanks between words is made so first."""
-    odd = line.rlike(r"[\t\x0B\f\r]|  |^ | $")
+    odd = reduce(Column.__or__, (line.contains(x) for x in ("\t", "\x0b", "\f", "\r", "  ")), line.startswith(" ") | line.endswith(" "))
     return F.split(F.when(odd, F.btrim(F.regexp_replace(line, r"[ \t\x0B\f\r]+", " "))).otherwise(line), " ")
 
 
-def _without(words: Column, p: Column) -> Column:
-    """All words but the one at place p (from 0)."""
-    return F.concat(F.slice(words, F.lit(1), p), F.slice(words, p + 2, F.greatest(F.size(words) - p - 1, F.lit(0))))
-
-
 def within_one_edit(a: Column, b: Column) -> Column:
-    """Whether one word inserted, deleted or replaced, or none, makes two word arrays equal."""
+    """Whether one word inserted, deleted or replaced, or none, makes two word arrays equal; one pass over the words."""
     longer = F.when(F.size(a) >= F.size(b), a).otherwise(b)
     other = F.when(F.size(a) >= F.size(b), b).otherwise(a)
-    places = F.sequence(F.lit(0), F.greatest(F.size(longer) - 1, F.lit(0)))
-    cut = F.when(F.size(a) == F.size(b), F.exists(places, lambda p: _without(longer, p) == _without(other, p))).otherwise(F.exists(places, lambda p: _without(longer, p) == other))
-    return (a == b) | ((F.size(longer) - F.size(other) <= 1) & cut)
+    differ = F.zip_with(longer, other, lambda x, y: ~x.eqNullSafe(y))
+    first = F.greatest(F.array_position(differ, True).cast("int"), F.lit(1))
+    after = lambda words, start: F.slice(words, start, F.greatest(F.size(words) - start + 1, F.lit(0)))
+    one_more = (F.size(longer) == F.size(other) + 1) & (after(longer, first + 1) == after(other, first))
+    return F.when(F.size(a) == F.size(b), F.size(F.filter(differ, lambda d: d)) <= 1).otherwise(one_more)
 
 
 def _halves(words: Column) -> Column:
@@ -130,7 +129,7 @@ def lines_with_partners(classes: DataFrame) -> DataFrame:
 
 
 def later_lines(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """first: the wanted lines that have an earlier near line among them."""
+    """first: the wanted lines that have an earlier near line among them, as a written frame."""
     rows = (
         keyed.join(wanted.where(F.size("ns") > 0), ["d", "t"])
         .select("d", "t", F.split("text", "\n").alias("all"), F.explode("ns").alias("w"))
@@ -138,7 +137,8 @@ def later_lines(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
         .distinct()
     )
     with setting(keyed.sparkSession, _BLOOM, "1m"):  # documents without wanted lines stay out of the shuffle
-        candidates = materialize(rows).select("first", words_of(F.col("line")).alias("words"), "front", "back")
+        written = materialize(rows)
+    candidates = written.select("first", words_of(F.col("line")).alias("words"), "front", "back")
     variants = materialize(_variants(candidates))
     is_whole = F.col("kind") == WHOLE
     leads = (
@@ -149,27 +149,34 @@ def later_lines(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     )
     lead = F.when(F.col("kind") == SHORTER, F.col("whole")).otherwise(F.col("other"))
     pairs = variants.join(leads, "k").select("first", lead.alias("lead")).where("lead < first").distinct()
-    return (
+    later = materialize(
         pairs.join(candidates.select("first", F.col("words").alias("a")), "first")
         .join(candidates.select(F.col("first").alias("lead"), F.col("words").alias("b")), "lead")
         .where(within_one_edit(F.col("a"), F.col("b")))
         .select("first")
         .distinct()
     )
+    release(written, variants)
+    return later
 
 
 def kept_lines(docs: DataFrame) -> DataFrame:
-    """d, t (document), kept: map from block to numbers of the lines with words that stay."""
+    """d, t (document), kept: map from block to numbers of the lines with words that stay, as a written frame."""
     keyed = _keyed(docs)
     classes = materialize(line_classes(keyed))
-    later = materialize(later_lines(keyed, materialize(lines_with_partners(classes))))
+    wanted = materialize(lines_with_partners(classes))
+    later = later_lines(keyed, wanted)
+    release(wanted)
     kept = classes.select("first").join(later, "first", "left_anti").select("first.*")
-    return (
+    blocks = (
         kept.groupBy("d", "t", (F.col("n") / BLOCK_LINES).cast("int").alias("block"))
         .agg(F.collect_list("n").alias("ns"))
         .groupBy("d", "t")
         .agg(F.map_from_entries(F.collect_list(F.struct("block", "ns"))).alias("kept"))
     )
+    out = materialize(blocks)
+    release(classes, later)
+    return out
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -178,7 +185,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     keyed = _keyed(docs)
     stays = F.filter(F.split("text", "\n"), lambda line, i: F.coalesce(F.array_contains(F.col("kept")[(i / BLOCK_LINES).cast("int")], i), F.lit(False)) | ~has_words(line))
     out = (
-        keyed.join(materialize(kept_lines(docs)), ["d", "t"], "left")
+        keyed.join(kept_lines(docs), ["d", "t"], "left")
         .select("d", "t", "text", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).alias("n_lines"), stays.alias("lines"))
         .select("d", "t", F.array_join("lines", "\n").alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).alias("n_lines"), F.size(F.coalesce("lines", F.array())).alias("n_kept"))
         .withColumn("n_removed", F.col("n_lines") - F.col("n_kept"))
