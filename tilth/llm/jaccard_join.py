@@ -301,18 +301,19 @@ def beside_pivots(compared: DataFrame, groups: DataFrame, percent: int) -> DataF
     own = compared.select("row", "linked", F.col("b").alias("doc")).join(groups, "doc", "left").select("row", "linked", F.coalesce("comp", "doc").alias("comp"))
     hits = materialize(met.join(own, "row"))
     mixed = hits.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_and("linked").alias("all")).where("lo < hi and not all").select("key")
-    few = materialize(hits.join(mixed, "key"))
+    few = materialize(hits.join(mixed, "key").join(compared.select("row", "b", "nb", *_MAP), "row"))
     release(hits)
-    # groups first, so that rows of one group do not meet each other
+    # groups first, so that rows of one group do not meet each other; only pairs that may be linked leave the join
     sides = few.select("key", F.col("comp").alias("cx")).distinct().join(few.select("key", F.col("comp").alias("cy")).distinct(), "key").where("cx < cy")
-    side = lambda c: few.select("key", F.col("comp").alias(f"c{c}"), F.col("row").alias(f"row{c}"), F.col("linked").alias(f"l{c}"))
-    rows = sides.join(side("x"), ["key", "cx"]).join(side("y"), ["key", "cy"]).where("not (lx and ly)").select("rowx", "rowy").distinct()
-    about = lambda c: compared.select(F.col("row").alias(f"row{c}"), F.col("b").alias(c), F.col("nb").alias(f"n{c}"), *(F.col(m).alias(f"{m}{c}") for m in _MAP))
+    side = lambda c: few.select(F.col("key").alias(f"key{c}"), F.col("comp").alias(f"comp{c}"), F.col("b").alias(c), F.col("linked").alias(f"l{c}"), F.col("nb").alias(f"n{c}"), *(F.col(m).alias(f"{m}{c}") for m in _MAP))
     share = (100 - percent) / (100 + percent)
     # features in one set only: no fewer than the bits in which the residuals' parity maps differ
     apart = sum((F.bit_count(F.col(f"{m}x").bitwiseXOR(F.col(f"{m}y"))) for m in _MAP), F.lit(0))
     alike = (percent * F.greatest("nx", "ny") <= 100 * F.least("nx", "ny")) & (apart <= share * (F.col("nx") + F.col("ny")) + 1)
-    pairs = materialize(rows.join(about("x"), "rowx").join(about("y"), "rowy").where(alike & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    fits = ~(F.col("lx") & F.col("ly")) & (F.col("x") != F.col("y")) & alike
+    met_x = sides.join(side("x"), (F.col("key") == F.col("keyx")) & (F.col("cx") == F.col("compx")))
+    near = met_x.join(side("y"), (F.col("key") == F.col("keyy")) & (F.col("cy") == F.col("compy")) & fits)
+    pairs = materialize(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     release(few)
     return pairs
 
