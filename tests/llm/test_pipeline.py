@@ -35,3 +35,15 @@ def test_rows_with_null_or_repeated_ids_stay(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = dict(corpus_pipeline.STAGES)["jaccard_join"](spark, docs, SF).collect()
     assert sorted(((r.doc_id or 0), r.text[0]) for r in got) == [(0, "a"), (0, "b"), (3, "c"), (3, "d"), (4, "e")]
+
+
+def test_nulls_and_empty_tables(spark):
+    text = lambda w: " ".join(f"{w}{x}" for x in ("alpha", "beta", "gamma", "delta", "epsilon", "zeta"))
+    rows = [(1, text("a"), "en", "s", 5), (None, text("b"), None, None, None), (2, None, "en", "s", 0), (3, "", "en", None, 0), (4, "12 34", None, "s", 5), (5, text("a"), "en", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for start, expected in ((docs, [None, 1]), (docs.where("false"), [])):
+        out = start
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = materialize(stage(spark, out, SF))
+        assert sorted((r.doc_id for r in out.collect()), key=str) == sorted(expected, key=str)
+        assert corpus_pipeline.STAGES[-1][1](spark, out, SF).count() == len(expected)

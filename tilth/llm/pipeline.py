@@ -1,4 +1,11 @@
-"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and works on all rows it is given."""
+"""The corpus pipeline: each stage takes (spark, docs, sf_dir) and works on all rows it is given.
+
+Null and empty texts go with the language stage, which finds no letters in them. Null doc_ids stay, and
+come first where order decides; a null lang is filled in, a null source stays. Rows that repeat a doc_id
+are told apart by number; rows that repeat a text are near copies, of which the first by doc_id stays.
+Equally early rows are told apart by their place in the written table. An empty table gives empty
+results. Columns beside those of documents pass through all stages but the last.
+"""
 
 from __future__ import annotations
 
