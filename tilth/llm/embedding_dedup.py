@@ -7,10 +7,10 @@ of them lies within t / 2 of it, and that one visits the other's cell.
 
 The vectors within t / 2 of a centre, its core, are all linked with each other, so a large group of near copies
 is counted without comparing it; with others than the core only vectors within 3 t / 2 of the centre (the
-shell) can be linked. Of a cell the vectors outside of the core are compared with each other, and the
-core with the shell, in blocks of about BLOCK vectors: a task gets two blocks, however large the cell. It gives
-for each vector the number of vectors linked with it and one edge to the smallest of its part of the graph;
-pairs are not given out. A pair that meets in both cells counts in the lower one.
+shell) can be linked. Of a cell the vectors at home outside of the core are compared with each other and with
+the visitors, and the core with the shell, in blocks of bounded bytes: a task gets two blocks, however large the
+cell. It gives for each vector the number of vectors linked with it and one edge to the smallest of its part of
+the graph; pairs are not given out. A pair that meets in both cells counts in the lower one.
 
 Equal vectors are one class, whose members are linked. Cosines are doubles; those within 1e-12 of the
 threshold are taken again from the plain sums of products, so that they do not depend on the blocks.
@@ -36,12 +36,14 @@ from tilth.llm.jaccard_join import components
 from tilth.llm.vectors import finite, from_binary, padded
 
 THRESHOLD = 0.95
-#: Cells: a quarter of the square root of the number of classes, and bounded by the bytes of their centres.
+#: Cells: an eighth of the square root of the number of classes, and bounded by the bytes of their centres.
 MAX_CELLS, CENTRE_BYTES = 4096, 1 << 24
 #: Vectors a cell in the sample, and rounds, from which centres are fitted.
 SAMPLE, ROUNDS = 64, 4
-#: Vectors in a block.
-BLOCK = 2048
+#: Bytes of a block's vectors as doubles, and most of its vectors.
+BLOCK_BYTES, BLOCK = 1 << 24, 1 << 14
+#: Vectors given to their cells, and cosines taken, at a time.
+_STEP, _AT_ONCE = 2048, 1 << 21
 _NULL_ID = -(1 << 63)
 _SLACK = 1e-9
 _OUTER, _CORE, _VISITOR = 0, 1, 2
@@ -109,7 +111,7 @@ def centres(classes: DataFrame, cells: int, n: int, kind: np.dtype, width: int)
 
 
 def placed(classes: DataFrame, middle: np.ndarray, angle: float, kind: np.dtype) -> DataFrame:
-    """A row for each class and each cell where it is at home or visits: cell, home, visits (other cells), role, shell, rep, m, vector."""
+    """A row for each class and each cell where it is at home or visits: cell, home, visits (other cells; of visitors none), role, shell, rep, m, vector."""
     width = middle.shape[1]
     names = ["cell", "home", "visits", "role", "shell", "rep", "m", "vector"]
 
@@ -117,8 +119,8 @@ def placed(classes: DataFrame, middle: np.ndarray, angle: float, kind: np.dtype)
         norm = (middle * middle).sum(1)
         apart = np.sqrt(np.maximum(0, norm[:, None] - 2 * middle @ middle.T + norm))
         for whole in batches:
-            for a in range(0, len(whole), BLOCK):
-                batch = whole.slice(a, BLOCK)
+            for a in range(0, len(whole), _STEP):
+                batch = whole.slice(a, _STEP)
                 n = len(batch)
                 cos = directions(batch.column("vector"), kind, width) @ middle.T
                 home = cos.argmax(1)
@@ -126,35 +128,41 @@ def placed(classes: DataFrame, middle: np.ndarray, angle: float, kind: np.dtype)
                 near = own[:, None] - cos <= (math.sin(angle / 2) + _SLACK) * apart[home] + 1e-12
                 near[np.arange(n), home] = False
                 row, cell = np.nonzero(near)
-                visits = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(near.sum(1))), pa.int32()), pa.array(cell, pa.int32()))
+                ends = np.append(0, np.cumsum(near.sum(1)))
+                visits = pa.ListArray.from_arrays(pa.array(np.append(ends, np.full(len(row), ends[-1])), pa.int32()), pa.array(cell, pa.int32()))
                 core = own >= math.cos(angle / 2) + _SLACK
                 at = np.concatenate([np.arange(n), row])
                 cells = np.concatenate([home, cell])
                 role = np.concatenate([np.where(core, _CORE, _OUTER), np.full(len(row), _VISITOR)])
                 shell = (cos[at, cells] >= math.cos(1.5 * angle) - _SLACK) & (role != _CORE)
                 pick = pa.array(at)
-                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(home[at], pa.int32()), visits.take(pick), pa.array(role, pa.int32()), pa.array(shell), *(batch.column(c).take(pick) for c in names[5:])], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(home[at], pa.int32()), visits, pa.array(role, pa.int32()), pa.array(shell), *(batch.column(c).take(pick) for c in names[5:])], names=names)
 
     return classes.select("rep", "m", "vector").mapInArrow(run, "cell int, home int, visits array<int>, role int, shell boolean, rep long, m long, vector binary")
 
 
-def units(rows: DataFrame, cells: DataFrame) -> DataFrame:
-    """placed() rows with the tasks that they go to: kind (0: outside of the core, 1: core and shell), i, j (blocks) and side."""
-    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    sized = rows.join(F.broadcast(cells.select("cell", *(blocks(c).alias(f"{c}_blocks") for c in ("outer", "core", "shells")))), "cell")  # at most MAX_CELLS rows
+def units(rows: DataFrame, cells: DataFrame, block: int) -> DataFrame:
+    """placed() rows with the tasks that they go to: kind (0: at home outside of the core, 1: core and shell, 2: at home and visitors), i, j (blocks) and side."""
+    kinds = ("outer", "core", "visitor", "shell")
+    blocks = [F.ceil(F.col(c) / block).cast("int").alias(f"{c}_blocks") for c in kinds]
+    sized = rows.join(F.broadcast(cells.select("cell", *blocks)), "cell")  # at most MAX_CELLS rows
     own = lambda c: F.pmod(F.xxhash64("rep"), F.greatest(F.col(f"{c}_blocks"), F.lit(1))).cast("int")
     unit = lambda kind, i, j, side: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
     each = lambda c, f: F.when(F.col(f"{c}_blocks") > 0, F.transform(F.sequence(F.lit(0), F.col(f"{c}_blocks") - 1), f)).otherwise(F.array())
-    outer = each("outer", lambda j: unit(0, F.least(own("outer"), j), F.greatest(own("outer"), j), own("outer") > j))
-    core = each("shells", lambda j: unit(1, own("core"), j, F.lit(0)))
-    shell = each("core", lambda i: unit(1, i, own("shells"), F.lit(1)))
-    to = F.when(F.col("role") == _CORE, core).when(F.col("shell"), F.concat(outer, shell)).otherwise(outer)
-    return sized.withColumn("unit", F.explode(to)).select(*rows.columns, "unit.*")
-
-
-def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest place that edges reach from each of n places."""
-    label = np.arange(n)
+    first, second = F.lit(0), F.lit(1)
+    home = F.concat(
+        each("outer", lambda j: unit(0, F.least(own("outer"), j), F.greatest(own("outer"), j), own("outer") > j)),
+        each("visitor", lambda j: unit(2, own("outer"), j, first)),
+    )
+    visitor = each("outer", lambda i: unit(2, i, own("visitor"), second))
+    core = each("shell", lambda j: unit(1, own("core"), j, first))
+    shell = each("core", lambda i: unit(1, i, own("shell"), second))
+    to = F.when(F.col("role") == _CORE, core).when(F.col("role") == _OUTER, home).otherwise(visitor)
+    return sized.withColumn("unit", F.explode(F.when(F.col("shell"), F.concat(to, shell)).otherwise(to))).select(*rows.columns, "unit.*")
+
+
+def join_up(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest place that edges reach from each place, after those that gave `label`."""
     while True:
         low = np.minimum(label[a], label[b])
         after = label.copy()
@@ -177,7 +185,7 @@ def compared(tasks: DataFrame, threshold: float, kind: np.dtype, width: int) ->
         cell, same = int(part["cell"][0].as_py()), part["kind"][0].as_py() == 0 and part["i"][0] == part["j"][0]
         first, second = np.flatnonzero(side == 0), np.flatnonzero(side == int(not same))
         none = pa.table({"rep": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "low": pa.array([], pa.int64())})
-        if not len(first) or not len(second) or (role == _VISITOR).all():
+        if not len(first) or not len(second):
             return none
         vector = part["vector"].combine_chunks()
         vector = vector if isinstance(vector, pa.Array) else vector.chunk(0)
@@ -186,34 +194,30 @@ def compared(tasks: DataFrame, threshold: float, kind: np.dtype, width: int) ->
         visits = visits if isinstance(visits, pa.Array) else visits.chunk(0)
         cells = 1 + max(int(home.max()), int(visits.flatten().to_numpy().max(initial=0)))
         seen = np.repeat(np.arange(len(x)), visits.value_lengths().to_numpy()) * cells + visits.flatten().to_numpy()
-        ends: tuple[list, list] = ([], [])
-        step = max(1, (1 << 21) // len(second))
+        links, label = np.zeros(len(x), np.int64), np.arange(len(x))
+        step = max(1, _AT_ONCE // len(second))
         for at in range(0, len(first), step):
             cos = x[first[at : at + step]] @ x[second].T
             a, b = np.nonzero(cos >= threshold - 1e-12)
             value, a, b = cos[a, b], first[at + a], second[b]
-            sure = value > threshold + 1e-12
-            if not sure.all():
+            keep = value > threshold + 1e-12
+            if not keep.all():
                 raw = from_binary(vector, kind, width)
                 raw = np.ldexp(raw, -np.frexp(np.abs(raw).max(1, keepdims=True))[1])  # by powers of two: no rounding
-                y, z = raw[a[~sure]], raw[b[~sure]]
-                sure[~sure] = (y * z).sum(1) / (np.sqrt((y * y).sum(1)) * np.sqrt((z * z).sum(1))) >= threshold
-            guest = (role[a] == _VISITOR).astype(int) + (role[b] == _VISITOR)
-            keep = sure & (guest < 2)
+                y, z = raw[a[~keep]], raw[b[~keep]]
+                keep[~keep] = (y * z).sum(1) / (np.sqrt((y * y).sum(1)) * np.sqrt((z * z).sum(1))) >= threshold
             if same:
                 keep &= a < b
-            a, b, guest = a[keep], b[keep], guest[keep]
-            host, visitor = np.where(role[a] == _VISITOR, b, a), np.where(role[a] == _VISITOR, a, b)
-            lower = (guest == 1) & (home[visitor] < cell)
-            lower[lower] = np.isin(host[lower] * cells + home[visitor[lower]], seen)
-            ends[0].append(a[~lower])
-            ends[1].append(b[~lower])
-        a, b = np.concatenate(ends[0]), np.concatenate(ends[1])
-        links = np.zeros(len(x), np.int64)
-        np.add.at(links, a, m[b])
-        np.add.at(links, b, m[a])
-        low = rep[roots(len(x), a, b)]
-        met = links > 0
+            a, b = a[keep], b[keep]
+            label = join_up(label, a, b)
+            guest = np.flatnonzero(role[b] == _VISITOR)  # only second sides are
+            elsewhere = (home[b[guest]] < cell) & np.isin(a[guest] * cells + home[b[guest]], seen)
+            here = np.ones(len(a), bool)
+            here[guest[elsewhere]] = False
+            np.add.at(links, a[here], m[b[here]])
+            np.add.at(links, b[here], m[a[here]])
+        low = rep[label]
+        met = (links > 0) | (low != rep)
         return pa.table({"rep": rep[met], "links": links[met], "low": low[met]})
 
     return tasks.groupBy("cell", "kind", "i", "j").applyInArrow(run, "rep long, links long, low long")
@@ -233,13 +237,15 @@ def near_copies(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         plain = ids.select("doc", F.lit(0).cast("long").alias("n_links"), F.col("doc").alias("comp"))
         return _shown(plain)
     width = size // kind.itemsize
-    cells = int(min(MAX_CELLS, max(1, CENTRE_BYTES // (8 * width)), math.ceil(math.sqrt(n) / 4)))
+    cells = int(min(MAX_CELLS, max(1, CENTRE_BYTES // (8 * width)), math.ceil(math.sqrt(n) / 8)))
+    block = min(BLOCK, max(1, BLOCK_BYTES // (8 * width)))
     middle = centres(classes_n, cells, n, kind, width)
     where = materialize(placed(classes_n, middle, angle, kind))
     count = lambda c: F.count(F.when(c, 1))
-    core = F.col("role") == _CORE
-    sizes = materialize(where.groupBy("cell").agg(count(~core).alias("outer"), count(core).alias("core"), count(F.col("shell")).alias("shells"), F.sum(F.when(core, F.col("m"))).alias("weight"), F.min(F.when(core, F.col("rep"))).alias("least")))
-    found = materialize(compared(units(where, sizes), threshold, kind, width))
+    role = lambda r: F.col("role") == r
+    core = role(_CORE)
+    sizes = materialize(where.groupBy("cell").agg(count(role(_OUTER)).alias("outer"), count(core).alias("core"), count(role(_VISITOR)).alias("visitor"), count(F.col("shell")).alias("shell"), F.sum(F.when(core, F.col("m"))).alias("weight"), F.min(F.when(core, F.col("rep"))).alias("least")))
+    found = materialize(compared(units(where, sizes, block), threshold, kind, width))
     inside = where.where(core).select("cell", "rep", "m").join(F.broadcast(sizes.select("cell", "weight", "least")), "cell")
     dense = materialize(inside.select("rep", (F.col("weight") - F.col("m")).alias("links"), F.col("least").alias("low")))
     release(where, sizes)
