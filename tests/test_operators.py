@@ -5,7 +5,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from tilth.functions import agronomy, geo, spectral, stats, text
+from tilth.functions import agronomy, dates, geo, spectral, stats, text
 from tilth.operators import climatology, merges, raster, sequences, spatial, units, water
 from tilth.sources import readers, writers
 
@@ -156,7 +156,7 @@ def test_level_frames_recovers_offsets(spark):
 def test_text_readers(spark):
     r = one(
         spark, n=text.normalize(F.lit("¡Regué  MAÑANA, 2.5!")), feet=text.water_inches(F.lit("2 acre-feet"), F.lit(8.0)), phone=text.phone(F.lit("(956) 123-4567")), bad=text.phone(F.lit("12")),
-        seg=text.sms_segments(F.lit("x" * 161)), uni=text.sms_segments(F.lit("ñ日" * 40)), li=text.listing(F.array(*map(F.lit, "abc"))), ago=text.relative_date(F.lit("hace 2 semanas"), F.lit("2024-01-30").cast("date")),
+        seg=text.sms_segments(F.lit("x" * 161)), uni=text.sms_segments(F.lit("ñ日" * 40)), li=text.listing(F.array(*map(F.lit, "abc"))), ago=text.relative_date(dates.tokens(F.lit("hace 2 semanas")), F.lit("2024-01-30").cast("date")),
         year=text.infer_year(F.lit(12), F.lit(25), F.lit("2024-01-30").cast("date")), dec=text.plain_decimal(F.lit(2.50)),
     )
     assert (r.n, r.feet, r.phone, r.bad) == ("regue manana, 2.5", 3.0, "+19561234567", None)

@@ -13,27 +13,36 @@ from tilth.functions import agronomy, dates, rules, soils, text
 from tilth.operators import ground, scenes, spatial, water
 from tilth.operators.quantiles import exact_quantiles
 
-TODAY = date(2026, 9, 12)  # a Saturday
+TODAY = date(2025, 6, 19)  # a Thursday
 
 
 def read(spark, said, reach=400):
     rows = spark.createDataFrame([(s,) for s in said], "s string").withColumn("t", text.normalize(F.col("s"))).withColumn("today", F.lit(TODAY))
-    rows = rows.withColumn("days", dates.candidates(F.col("t"), F.col("today")))
-    return {r.s: r.f for r in rows.select("s", dates.find_date(F.col("days"), F.col("t"), F.col("today"), reach).alias("f")).collect()}
+    rows = rows.withColumn("read", dates.tokens(F.col("t"))).withColumn("days", dates.candidates(F.col("read"), F.col("today")))
+    return {r.s: r.f for r in rows.select("s", dates.find_date(F.col("days"), F.col("read"), F.col("today"), reach).alias("f")).collect()}
 
 
 def test_dates(spark):
     days = {
-        "2026-09-03": date(2026, 9, 3), "regué ayer": date(2026, 9, 11), "antier": date(2026, 9, 10), "hace dos semanas": date(2026, 8, 29), "a week ago": date(2026, 9, 5), "15 de marzo": date(2026, 3, 15),
-        "Dec 24": date(2025, 12, 24), "el lunes": date(2026, 9, 7), "last saturday": date(2026, 9, 5), "sabado": date(2026, 9, 12), "el 5": date(2026, 9, 5), "el 31": date(2026, 8, 31), "9/13/25": date(2025, 9, 13), "march 5th, 2026": date(2026, 3, 5),
+        "Sembré el 2025-04-08": date(2025, 4, 8), "this morning": date(2025, 6, 19), "anoche llovió": date(2025, 6, 18), "the day before yesterday": date(2025, 6, 17), "hace 3 semanas": date(2025, 5, 29), "twelve days ago": date(2025, 6, 7),
+        "7 de junio": date(2025, 6, 7), "Nov. 30": date(2024, 11, 30), "3 ago": date(2024, 8, 3), "July 4": date(2025, 7, 4), "jueves": date(2025, 6, 19), "el jueves pasado": date(2025, 6, 12), "on tuesday": date(2025, 6, 17), "el 20": date(2025, 5, 20), "the 3rd": date(2025, 6, 3),
+        "5/27/25 at noon": date(2025, 5, 27), "27-5-2025": date(2025, 5, 27), "april 2nd, 2025": date(2025, 4, 2), "25 de dic. del 2024": date(2024, 12, 25),
     }
     got = read(spark, days)
-    assert {s: f.day for s, f in got.items()} == days
-    odd = read(spark, ["9/2", "9/20", "13/9", "last week", "2024-01-01", "no dates", "2/30"])
-    assert odd["9/2"].options == [date(2026, 2, 9), date(2026, 9, 2)] and odd["9/2"].day is None
-    assert (odd["9/20"].problem, odd["9/20"].near) == ("future", date(2026, 9, 20))
-    assert (odd["last week"].problem, odd["2024-01-01"].problem, odd["no dates"].problem) == ("vague", "old", None)
-    assert odd["2/30"].day is None and odd["2/30"].problem is None
+    future = got.pop("July 4")
+    assert {s: f.day for s, f in got.items()} == {s: d for s, d in days.items() if s != "July 4"}
+    assert (future.problem, future.near) == ("future", date(2025, 7, 4))
+    odd = read(spark, ["4/6", "6/25", "last month", "en marzo", "2023-01-31", "gracias", "2/30", "", "12/25/2024/7", "3.5/6", "el 31 de feb"])
+    assert odd["4/6"].options == [date(2025, 4, 6), date(2025, 6, 4)] and odd["4/6"].day is None
+    assert (odd["6/25"].problem, odd["6/25"].near) == ("future", date(2025, 6, 25))
+    assert [odd[s].problem for s in ("last month", "en marzo", "2023-01-31", "gracias", "")] == ["vague", "vague", "old", None, None]
+    assert all(odd[s].day is None and odd[s].problem is None for s in ("2/30", "12/25/2024/7", "3.5/6", "el 31 de feb"))
+
+
+def test_days_named(spark):
+    rows = spark.createDataFrame([(s,) for s in ("10/12 or 2024-02-03", "Mar 5, 6 de abril", "1.10/12 13/40", "no day")], "s string")
+    got = rows.select("s", dates.days_named(dates.tokens(text.normalize(F.col("s")))).alias("d")).collect()
+    assert [[tuple(x) for x in r.d] for r in got] == [[(2, 3), (10, 12)], [(3, 5), (4, 6)], [], []]
 
 
 def test_answers(spark):

@@ -53,13 +53,13 @@ def flow_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("c_custkey", f.alias("f")).select("c_custkey", (F.round("f.x", 6) + 0.0).alias("x"), F.col("f.basis").alias("basis"))
 
 
-@query("""WITH p AS (SELECT p_brand, p_partkey, 0.6 * p_size + 0.8 * (p_partkey % 40) AS s, p_size BETWEEN 5 AND 45 AS corner FROM part), e AS (SELECT p_brand, min(s) AS lo, max(s) AS hi FROM p WHERE corner GROUP BY 1)
-SELECT p_brand, p_partkey, round(least(greatest((s - lo) / greatest(hi - lo, 1e-9), 0.0), 1.0), 6) AS along FROM p JOIN e USING (p_brand)""")
+@query("""WITH p AS (SELECT p_brand, p_partkey, 0.6::DOUBLE * p_size + 0.8::DOUBLE * (p_partkey % 40) AS s, p_size BETWEEN 5 AND 45 AS corner FROM part), e AS (SELECT p_brand, min(s) AS lo, max(s) AS hi FROM p WHERE corner GROUP BY 1)
+SELECT p_brand, p_partkey, round(least(greatest((s - lo) / greatest(hi - lo, 1e-9), 0.0), 1.0), 9) AS along FROM p JOIN e USING (p_brand)""")
 def position_along(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places along a flow of (0.6, 0.8) between the parts of middling size."""
     points = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 40).cast("double").alias("y"))
     got = G.position_along(points, points.where("x between 5 and 45"), ["p_brand"], F.lit(0.6), F.lit(0.8))
-    return got.select("p_brand", "p_partkey", F.round("along", 6).alias("along"))
+    return got.select("p_brand", "p_partkey", F.round("along", 9).alias("along"))
 
 
 _PX = "px AS (SELECT label AS raster, CAST(vec_id AS BIGINT) AS row, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS col, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tilth.functions import dates
 from tilth.functions import text as T
 from tilth.operators import merges
 from tilth.sources.shared import table
@@ -24,7 +25,7 @@ def query(sql: str | None = None):
 
 
 _FOLD = "translate(lower(coalesce(text, '')), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy')"
-_NORM = f"trim(regexp_replace(regexp_replace({_FOLD}, '[^a-z0-9.,/%-]+', ' ', 'g'), ' +', ' ', 'g'))"
+_NORM = f"trim(regexp_replace(regexp_replace(replace({_FOLD}, '', ''), '[^a-z0-9.,:/%-]+', ' ', 'g'), ' +', ' ', 'g'))"
 
 
 @query(f"SELECT conv_id, turn, {_NORM} AS norm, len(regexp_extract_all({_NORM}, '([a-z0-9]+)', 1)) AS n_words FROM conversations")
@@ -89,10 +90,10 @@ _E = f"m AS (SELECT event_id, today, k, text FROM (SELECT event_id, CAST(ts AS D
 def message_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     said, t = F.col("text"), F.col("t")
     lat, _ = T.coordinates(said)
-    rows = _sms(spark, sf_dir).withColumn("t", T.normalize(said))  # once for all readers
+    rows = _sms(spark, sf_dir).withColumn("t", T.normalize(said)).withColumn("read", dates.tokens(t))  # once for all readers
     return rows.select(
         "event_id", T.water_inches(t, F.lit(40.0)).alias("inches"), F.round(T.share_found(t), 6).alias("share"), T.yes_no(said, t).alias("yes"),
-        T.menu_choice(said, 9).alias("choice"), T.relative_date(t, F.col("today")).alias("day"), lat.alias("lat"),
+        T.menu_choice(said, 9).alias("choice"), T.relative_date(F.col("read"), F.col("today")).alias("day"), lat.alias("lat"),
     )
 
 
@@ -141,3 +142,26 @@ def stream_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quiet_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     wait, due = S.quiet_hours(F.col("ts").cast("timestamp"))
     return table(spark, sf_dir, "events").select("event_id", wait.alias("wait"), due.alias("due"))
+
+
+#: Short answers by the event's number: (text, stop, start, help, greeting, yes, name).
+_SHORT = (
+    ("¡CANCELAR!", True, False, False, False, None, "¡CANCELAR!"), ("Darme de baja.", True, False, False, False, None, "Darme de baja"), ("no, cancelar", False, False, False, False, False, "no, cancelar"),
+    ("Sí", False, True, False, False, True, "Sí"), (" ? ", False, False, True, False, None, None), ("Ayúdame:", False, False, True, False, None, "Ayúdame:"),
+    ("Buenas tardes", False, False, False, True, None, "Buenas tardes"), ("Me llamo  El Norte", False, False, False, False, None, "El Norte"), ("that's right", False, False, False, False, True, "that's right"),
+    ("It's called 40-B", False, False, False, False, None, "40-B"), ("I don't know", False, False, False, False, None, "I don't know"),
+)
+
+
+def _shorts(i: int) -> str:
+    told = lambda x: "NULL" if x is None else str(x).upper() if isinstance(x, bool) else "'" + x.replace("'", "''") + "'"
+    return "CASE event_id % 11 " + " ".join(f"WHEN {k} THEN {told(row[i])}" for k, row in enumerate(_SHORT)) + " END"
+
+
+@query(f"SELECT event_id, {_shorts(1)} AS stop, {_shorts(2)} AS start, {_shorts(3)} AS help, {_shorts(4)} AS greeting, {_shorts(5)} AS yes, {_shorts(6)} AS name FROM events")
+def message_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words to leave, to come back and for help, greetings, answers and names in short messages."""
+    said, t = F.col("text"), F.col("t")
+    texts = F.array(*(F.lit(row[0]) for row in _SHORT))
+    rows = table(spark, sf_dir, "events").select("event_id", F.get(texts, (F.col("event_id") % 11).cast("int")).alias("text")).withColumn("t", T.normalize(said))
+    return rows.select("event_id", *(T.signal(said, t, kind).alias(kind) for kind in T.SIGNALS), T.yes_no(said, t).alias("yes"), T.tidy_name(said).alias("name"))

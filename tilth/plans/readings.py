@@ -62,7 +62,7 @@ def dated_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("planted on "), F.date_format(F.date_add("today", F.col("k") + 1), "yyyy-MM-dd")),
         F.lit("la semana pasada"),
     )
-    return base(spark, sf_dir).withColumn("text", text).withColumn("t", T.normalize(F.col("text")))
+    return base(spark, sf_dir).withColumn("text", text).withColumn("t", T.normalize(F.col("text"))).withColumn("read", dates.tokens(F.col("t")))
 
 
 @query(f"""WITH {_BASE}, c AS (SELECT *, CASE WHEN form = 1 THEN try_cast(printf('%04d-%02d-%02d', year(d), day(d), month(d)) AS DATE) END AS other,
@@ -75,8 +75,8 @@ SELECT event_id, CASE WHEN len(inside) = 1 THEN inside[1] END AS day, CASE WHEN
  CASE WHEN len(inside) = 0 THEN coalesce(ahead, list_max(days)) END AS near FROM i""")
 def message_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Days that messages name, of the 45 days before; 'm/d/y' can be two."""
-    rows = dated_messages(spark, sf_dir).withColumn("days", dates.candidates(F.col("t"), F.col("today")))
-    rows = rows.withColumn("f", dates.find_date(F.col("days"), F.col("t"), F.col("today"), 45))
+    rows = dated_messages(spark, sf_dir).withColumn("days", dates.candidates(F.col("read"), F.col("today")))
+    rows = rows.withColumn("f", dates.find_date(F.col("days"), F.col("read"), F.col("today"), 45))
     return rows.select("event_id", "f.day", F.size("f.options").cast("long").alias("options"), "f.problem", "f.near")
 
 
@@ -84,7 +84,7 @@ def message_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
  CASE WHEN form IN (0, 1, 2, 3, 6) THEN 1 ELSE 0 END AS n FROM b""")
 def days_named(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Months and days that messages name; 'May 5, 2024' names one."""
-    rows = dated_messages(spark, sf_dir).withColumn("f", dates.days_named(F.col("t")))
+    rows = dated_messages(spark, sf_dir).withColumn("f", dates.days_named(F.col("read")))
     one = F.get("f", F.lit(0))
     return rows.select("event_id", one["month"].cast("long").alias("month"), one["day"].cast("long").alias("day"), F.size("f").alias("n"))
 
