@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,8 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tilth-{uuid.uuid4().hex}"
 
 
+#: Folders of written frames that may be deleted.
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back: lineage is cut and survives lost executors."""
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[back] = path
+    return back
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the folders of materialized frames that nothing will read again; what was made of them must be written."""
+    for frame in frames:
+        path = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop(frame))
+        path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
