@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilth.functions import verdicts as V
-from tilth.operators import flight, nets, overlap
+from tilth.operators import flight, nets, overlap, positions
 from tilth.plans.field import _PIX, pixels
 from tilth.sources.shared import table
 
@@ -133,3 +133,34 @@ def net_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = [(first, np.zeros(2)), (np.array([[1.0], [-0.5]]), np.array([0.1]))]
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
     return nets.predict(rows, ["l_quantity", "l_discount", "l_tax"], [net]).select("l_orderkey", "l_linenumber", (F.round("prediction", 6) + 0.0).alias("prediction"))
+
+
+def _flight_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as photos, eight a flight, four across; balances put their GPS off and turn them."""
+    k, off = F.col("s_suppkey"), F.col("s_acctbal") / 1e4
+    return table(spark, sf_dir, "supplier").select(
+        F.floor(k / 8).alias("flight"), (k % 8).cast("long").alias("photo"), F.lit(1.0).alias("zx"), F.lit(0.0).alias("zy"), (40.0 * (k % 4) + off).alias("east"), (40.0 * F.floor((k % 8) / 4) - off).alias("north"),
+        F.cos(0.2 + 0.05 * off).alias("ux"), F.sin(0.2 + 0.05 * off).alias("uy"),
+    )
+
+
+def _flight_ties(photos: DataFrame) -> DataFrame:
+    """Four points that neighbours share, as each sees them from its true place and turn."""
+    at = lambda s: photos.select("flight", F.col("photo").alias(s), (40.0 * (F.col("photo") % 4)).alias(f"x{s}"), (40.0 * F.floor(F.col("photo") / 4)).alias(f"y{s}"), F.col("ux").alias(f"ux{s}"), F.col("uy").alias(f"uy{s}"))
+    right = (F.col("i") % 4 < 3) & (F.col("j") == F.col("i") + 1)
+    pairs = at("i").join(at("j"), "flight").where(right | (F.col("j") == F.col("i") + 4))
+    corner = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((-9.0, -7.0), (8.0, -6.0), (-5.0, 9.0), (7.0, 8.0)))))
+    rows = pairs.withColumn("c", corner).withColumns({"gx": (F.col("xi") + F.col("xj")) / 2 + F.col("c.a"), "gy": (F.col("yi") + F.col("yj")) / 2 + F.col("c.b")})
+
+    def seen(s: str, p: str) -> list:
+        dx, dy, ux, uy = F.col("gx") - F.col(f"x{s}"), F.col("gy") - F.col(f"y{s}"), F.col(f"ux{s}"), F.col(f"uy{s}")
+        return [(dx * ux + dy * uy).alias(f"{p}x"), (dy * ux - dx * uy).alias(f"{p}y")]
+
+    return rows.select("flight", "i", "j", *seen("i", "p"), *seen("j", "q"))
+
+
+@query()
+def photo_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    photos = _flight_photos(spark, sf_dir)
+    got = positions.place(photos.drop("ux", "uy"), _flight_ties(photos), tolerance=1e-8)
+    return got.select("flight", "photo", "group", "basis", *(F.round(c, 3).alias(c) for c in ("zx", "zy", "tx", "ty")))
