@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilth.operators import rows, watershed
+from tilth.operators import camera, distances, rows, watershed
 from tilth.sources.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +70,53 @@ def watershed_crowns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Crowns of the smoothed prices."""
     field = _cells(spark, sf_dir).select("raster", "row", "col", F.col("price").alias("v"))
     return watershed.tree_crowns(field, CELL, least_m=2.3, apart_m=0.4)
+
+
+@query(f"""WITH c AS (SELECT o_orderkey // {WIDE * LONG} AS raster, o_orderkey // {WIDE} % {LONG} AS row, o_orderkey % {WIDE} AS col, o_totalprice > 450000 AS hit FROM orders)
+SELECT a.raster, a.row, a.col, min((a.row - b.row) * (a.row - b.row) + (a.col - b.col) * (a.col - b.col))::DOUBLE AS d2
+FROM c a LEFT JOIN c b ON a.raster = b.raster AND b.hit GROUP BY ALL""")
+def distance_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Squared distance of each order's cell to the nearest of a high price."""
+    return distances.distance(_cells(spark, sf_dir), F.col("price") > 4.5)
+
+
+@query()
+def traced_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of class 1 in a map of blocks of 25 by 20 cells of 30 metres, in which orders of a small price are of another class."""
+    block = (F.floor(F.col("row") / 25) + F.floor(F.col("col") / 20)) % 2
+    classes = _cells(spark, sf_dir).select("raster", "row", "col", F.when(F.col("price") < 0.015, 5).when(block == 0, 1).otherwise(2).alias("v"))
+    got = distances.traced_fields(classes, [1], 30.0)
+    return got.select("raster", "block", "label", *(F.round(c, 6).alias(c) for c in ("acres", "purity", "boxiness", "row", "col", "score")))
+
+
+#: Vectors as frames of 8 by 8 pixels, one every two seconds, from a camera that is warmer below and to the right.
+_FRAMES = """f AS (SELECT vec_id AS frame, 2.0 * vec_id AS seconds, i // 8 AS row, i % 8 AS col, 20.0 + x + (i // 8) * 0.125 + (i % 8) * (i % 8) * 0.0625 AS v
+ FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings))"""
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows_ = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x"))
+    row, col = F.floor(F.col("i") / 8), F.col("i") % 8
+    v = 20.0 + F.col("x").cast("double") + row * 0.125 + col * col * 0.0625
+    return rows_.select(F.col("vec_id").alias("frame"), (2.0 * F.col("vec_id")).alias("seconds"), row.cast("long").alias("row"), col.cast("long").alias("col"), v.alias("v"))
+
+
+@query(f"""WITH {_FRAMES}, s AS (SELECT *, floor(seconds / 300.0) AS slot, v - median(v) OVER (PARTITION BY frame) AS x FROM f), n AS (SELECT slot FROM s GROUP BY slot HAVING count(DISTINCT frame) >= 20),
+p AS (SELECT slot, row, col, median(x) AS p FROM s JOIN n USING (slot) GROUP BY ALL), d AS (SELECT slot, row, median(p) AS down FROM p GROUP BY ALL),
+a AS (SELECT slot, col, median(p - down) AS across FROM p JOIN d USING (slot, row) GROUP BY ALL)
+SELECT frame, row, col, round(v - coalesce(down + across, 0), 6) AS v, round(coalesce(down + across, 0), 6) AS pattern FROM s LEFT JOIN d USING (slot, row) LEFT JOIN a USING (slot, col)""")
+def camera_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = camera.camera_pattern(frames(spark, sf_dir))
+    return got.select("frame", "row", "col", F.round("v", 6).alias("v"), F.round("pattern", 6).alias("pattern"))
+
+
+@query(f"""WITH {_FRAMES}, l AS (SELECT *, v < 21.5 AS leaf, floor(seconds / 300.0) AS slot FROM f), m AS (SELECT frame, median(v) AS middle FROM l WHERE leaf GROUP BY frame HAVING count(*) >= 20),
+u AS (SELECT l.*, v - middle AS x FROM l JOIN m USING (frame)), n AS (SELECT slot, median(seconds) AS moment FROM (SELECT DISTINCT slot, frame, seconds FROM u) GROUP BY slot HAVING count(*) >= 3),
+b AS (SELECT slot, frame, 'row' AS axis, row AS place, coalesce(avg(x) FILTER (WHERE leaf), 0) AS m FROM u GROUP BY ALL UNION ALL SELECT slot, frame, 'col', col, coalesce(avg(x) FILTER (WHERE leaf), 0) FROM u GROUP BY ALL),
+c AS (SELECT slot, axis, place, avg(m) AS m FROM b GROUP BY ALL),
+s AS (SELECT c.slot, c.axis, c.place, avg(e.m) AS s FROM c, unnest([-1, 0, 1]) AS o(o) JOIN c e ON e.slot = c.slot AND e.axis = c.axis AND e.place = least(greatest(c.place + o, 0), 7) GROUP BY ALL)
+SELECT slot, moment AS seconds, axis, place, round(s - median(s) OVER (PARTITION BY slot, axis), 6) AS value FROM s JOIN n USING (slot)""")
+def flat_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows_ = frames(spark, sf_dir).withColumn("leaf", F.col("v") < 21.5)
+    got = camera.flat_field(rows_, smooth_px=3, least_leaf=20)
+    return got.select(F.col("slot").cast("double").alias("slot"), "seconds", "axis", "place", F.round("value", 6).alias("value"))
