@@ -1,16 +1,21 @@
 """Operator 9: main text of web pages by site style trees.
 
-The trees of a site's pages are merged: nodes of the same path (tags with their classes, from the
-root) meet. For each merged node the spread of its pages over presentations (sequences of child tags)
-and over contents (texts) is measured as an entropy, in proportion to the entropy of the whole pages'
-texts, so that copies of a page count once; a node that looks and reads the same on most pages has low
-importance, and its branch is removed from each page, inside main elements too. A host with pages of
-MIN_PAGES texts in effect is a site of its own; pages of smaller hosts are judged with those of all
-hosts whose pages have the same kinds of container elements (their template).
+The trees of a site's pages are merged: nodes of the same path (tags with their classes, from the root)
+meet. A node's content features are the phrases of its own text, and the targets of its links and
+images; the importance of a feature is 1 less the entropy of the pages that it occurs on, to the base of the
+site's pages. The content importance of a branch is the mean over all features in it, bottom-up, and is put
+together with the importance of its presentation, the entropy of its sequences of child tags over pages.
+A branch that has less than LOW_IMPORTANCE of the importance that its site's pages have as a whole is removed
+from each page, inside main elements too. Near copies of a page count once: pages are told apart by the least
+hash of their longer texts, which near copies share.
+
+Each page is of two sites: its host, whose figures count from MIN_PAGES such pages on, and all hosts together,
+whose trees merge where their templates agree. Text below MAX_DEPTH levels counts for the branch at that depth.
 
 Tags and names that say what a branch is (menu, advert, comment, ...) are features beside the figures:
 such branches go, also with the articles in them, but a name of several words of which only some say
-so (site-menu, but also share-capital) goes only if the branch has no more than half of the page's text.
+so (site-menu, but also share-capital), a name that can also hold a story (search, widget, ...) and a form
+go only if the branch has no more than half of the page's text.
 Of a page with article or main elements elsewhere only these are kept, without the branches in them
 that the site repeats. The element itself stays whatever the site repeats and whatever it is called, but
 for articles called comments. Where all main elements are in branches called noise (a wrapper can be
@@ -21,8 +26,8 @@ joined by one space in page order.
 
 Null and empty html give an empty text; a null url is a host of its own. Unclosed, stray and cut-off
 tags are read as browsers do, roughly. Repeated pages are each returned. An empty table gives an empty
-result; extra columns are not read. Only a site's low-importance paths travel back to its pages, so a
-site with very many pages is split freely.
+result; extra columns are not read. Only a host's low-importance paths travel back to its pages, to each
+of SALTS parts of it, so a host with very many pages is split.
 """
 
 from __future__ import annotations
@@ -37,12 +42,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilth.llm.common import materialize, table
+from tilth.llm.common import materialize, release, table
 
-#: Importance below which a branch goes; pages a merged node needs before its figures count, and texts a site needs in effect.
-LOW_IMPORTANCE, MIN_PAGES = 0.45, 8
-#: Start tags that make a template: container elements with their classes.
-CONTAINERS = r"(?i)<((?:header|nav|main|article|section|aside|footer|div|table|ul|ol|form)(?:\s+class\s*=\s*(?:\"[^\">]*\"|'[^'>]*'))?)"
+#: Importance of a branch, as part of its site's, below which it goes; pages that a host needs before its figures count.
+LOW_IMPORTANCE, MIN_PAGES = 0.8, 8
+#: The part of presentation in a branch's importance.
+PRESENTATION = 0.15
+#: Levels of a tree that have paths of their own, and parts that a host's pages are dealt in.
+MAX_DEPTH, SALTS = 48, 32
+_ALL = "all hosts"
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img"}
@@ -57,26 +65,37 @@ NOISE_NAMES = {
 COMMENT_NAMES = {"comment", "comments", "commentlist", "disqus", "replies", "reply", "respond", "discussion"}
 MAIN_TAGS = {"article", "main"}
 MAIN_NAMES = {"main", "articlebody", "maincontent"}
+#: Names that can also hold a story.
+OPEN_NAMES = {"search", "widget", "widgets", "form", "overlay", "modal", "alert", "notice", "notices"}
 #: How a branch is named: not as noise, in some words of a name, or by a whole name.
 PLAIN, PARTLY, WHOLLY = 0, 1, 2
 #: Start tags that close an open element, up to the given containers.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z0-9]+")
+_PHRASE = re.compile(r"[^.!?:;,|/\u00b7\u2022\u00a9\u2013\u2014\s][^.!?:;,|/\u00b7\u2022\u00a9\u2013\u2014]*")
+_LONG = re.compile(r">([^<>]{40,})<")
+_MASK = (1 << 63) - 1
 
 
 class Node:
-    __slots__ = ("children", "comment", "large", "main", "named", "parent", "path", "size", "tag")
-
-    def __init__(self, tag: str, names: list[str], parent: Node | None, path: str):
-        self.tag, self.parent, self.path = tag, parent, path
+    __slots__ = ("children", "comment", "depth", "kinds", "large", "links", "main", "named", "parent", "path", "size", "tag")
+
+    def __init__(self, tag: str, names: list[str], parent: Node | None, place: str):
+        self.tag, self.parent = tag, parent
+        self.depth = parent.depth + 1 if parent else 0
+        # a path is the hash of its parent's and its own step; below MAX_DEPTH it is that of the level above
+        step = f"{tag}{place}.{'.'.join(names)}"
+        self.path = 0 if not parent else parent.path if self.depth > MAX_DEPTH else xxhash.xxh64_intdigest(step, parent.path) & _MASK
         self.children: list[Node | str] = []
+        self.kinds: Counter[str] = Counter()
+        self.links: list[str] = []
         parts = [_NAME.findall(n) for n in names]
         whole = {"".join(p) for p in parts}
         words = {w for p in parts for w in p}
         self.comment = bool(words & COMMENT_NAMES)
         self.main = tag == "main" or bool(whole & MAIN_NAMES) or (tag == "article" and not self.comment)
-        self.named = WHOLLY if whole & NOISE_NAMES else PARTLY if words & NOISE_NAMES else PLAIN
+        self.named = WHOLLY if whole & (NOISE_NAMES - OPEN_NAMES) else PARTLY if words & NOISE_NAMES else PLAIN
         self.size, self.large = 0, False
 
 
@@ -86,12 +105,21 @@ class TreeBuilder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("#", [], None, "")
+        self.open: Counter[str] = Counter()
+
+    def _leave(self, node: Node) -> None:
+        """Close all elements down to and with this one."""
+        while self.at is not node.parent:
+            self.open[self.at.tag] -= 1
+            self.at = self.at.parent
 
     def _close(self, tags: set[str], until: set[str]) -> None:
+        if not any(self.open[t] for t in tags):
+            return
         node = self.at
         while node.parent is not None and node.tag not in until:
             if node.tag in tags:
-                self.at = node.parent
+                self._leave(node)
                 return
             node = node.parent
 
@@ -100,14 +128,19 @@ class TreeBuilder(HTMLParser):
             self._close({"p"}, {"button", "td", "th", "table", "body"} | MAIN_TAGS)
         if tag in CLOSES:
             self._close(*CLOSES[tag])
+        target = next((v for k, v in attrs if v and k == ("src" if tag == "img" else "href")), None) if tag in ("a", "img") else None
+        if target:
+            self.at.links.append(target)
         if tag in VOID:
             self.at.children.append("\n" if tag in ("br", "hr") else "")
             return
         said = " ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role", "itemprop"))
         names = sorted(set(said.split()))
-        place = "" if tag in INLINE or tag in ("p", "li", "tr", "td", "dt", "dd") else sum(1 for c in self.at.children if isinstance(c, Node) and c.tag == tag)
-        node = Node(tag, names, self.at, f"{self.at.path}/{tag}{place}" + (f".{'.'.join(names)}" if names else ""))
+        place = "" if tag in INLINE or tag in ("p", "li", "tr", "td", "dt", "dd") else str(self.at.kinds[tag])
+        self.at.kinds[tag] += 1
+        node = Node(tag, names, self.at, place)
         self.at.children.append(node)
+        self.open[tag] += 1
         self.at = node
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -117,9 +150,9 @@ class TreeBuilder(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         node = self.at
-        while node.parent is not None:
+        while self.open[tag] and node.parent is not None:
             if node.tag == tag:
-                self.at = node.parent
+                self._leave(node)
                 return
             if tag in INLINE and node.tag not in INLINE:
                 return
@@ -135,7 +168,7 @@ def tree(html: str) -> Node:
     builder.close()
     root = builder.root
     for node in reversed([*_reach(root, lambda _: False)]):
-        node.size = sum(len(c) if isinstance(c, str) else 0 if c.tag in NOISE_TAGS or c.named == WHOLLY else c.size for c in node.children)
+        node.size = sum(len(c) if isinstance(c, str) else 0 if (c.tag in NOISE_TAGS and c.tag != "form") or c.named == WHOLLY else c.size for c in node.children)
     for node in _reach(root, lambda n: 2 * n.size <= root.size):
         node.large = True
     return root
@@ -144,7 +177,7 @@ def tree(html: str) -> Node:
 def named_noise(node: Node, held: Set[Node]) -> bool:
     """Whether tag or names say that the branch is none of the main text; held branches are not judged by names."""
     if node.tag in NOISE_TAGS:
-        return True
+        return node.tag != "form" or not node.large
     if node.main or node in held or node.tag in ("#", "html", "body"):
         return False
     return node.tag == "header" or node.named == WHOLLY or (node.named == PARTLY and not node.large)
@@ -163,7 +196,7 @@ def _reach(root: Node, closed: Callable[[Node], bool]) -> Iterator[Node]:
 def holders(root: Node) -> set[Node]:
     """Main elements and everything above them, but for those in branches whose tag or names say comments and the like."""
     out: set[Node] = set()
-    for node in _reach(root, lambda n: n.tag in NOISE_TAGS or (not n.main and n.tag not in ("#", "html", "body") and n.comment)):
+    for node in _reach(root, lambda n: (n.tag in NOISE_TAGS and not (n.tag == "form" and n.large)) or (not n.main and n.tag not in ("#", "html", "body") and n.comment)):
         if node.main:
             while node is not None and node not in out:
                 out.add(node)
@@ -215,63 +248,127 @@ def texts(node: Node, skip) -> list[str]:
     return out
 
 
-def observations(root: Node) -> Iterator[tuple[str, str, int]]:
-    """Path, kind and hash of the presentation and the content of each block-level node outside named noise, and of the page's content (path "")."""
-    _, _, noise = judged(root)
-    yield "", "content", xxhash.xxh64_intdigest(" ".join(texts(root, noise))) - (1 << 63)
-    for node in _reach(root, noise):
-        if node.tag in INLINE or node.tag in ("#", "html", "body"):
-            continue
-        kids = [c for c in node.children if isinstance(c, Node)]
-        yield node.path, "style", xxhash.xxh64_intdigest(" ".join(k.tag for k in kids)) - (1 << 63)
-        content = " ".join(texts(node, noise))
-        yield node.path, "content", xxhash.xxh64_intdigest(content) - (1 << 63)
+def _hash(text: str, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(text, seed) & _MASK
+
+
+def own_features(root: Node, skip: Callable[[Node], bool]) -> Iterator[tuple[int, bool, int]]:
+    """Path of a block-level node, whether the feature is of its presentation, and the feature's hash, for branches that skip() doesn't name.
 
+    Inline elements' text and links are those of the block around them.
+    """
+    stack: list[tuple[Node, Node]] = [(root, root)]
+    runs: dict[int, list[str]] = {}
+    while stack:
+        node, block = stack.pop()
+        if node.tag not in INLINE:
+            block = node
+            yield node.path, True, _hash(" ".join(c.tag for c in node.children if isinstance(c, Node) and c.tag not in INLINE))
+        run = runs.setdefault(block.path, [])
+        for link in node.links:
+            yield block.path, False, _hash(link, 1)
+        for child in reversed(node.children):
+            if isinstance(child, str):
+                run.append(child)
+            elif not skip(child):
+                stack.append((child, block))
+    for path, run in runs.items():
+        for text in run:
+            for phrase in _PHRASE.findall(text):
+                yield path, False, _hash(_SPACE.sub(" ", phrase).strip().lower())
+
+
+def ancestors(root: Node, skip: Callable[[Node], bool]) -> dict[int, list[int]]:
+    """Each path of a page with itself and those above it."""
+    out: dict[int, list[int]] = {}
+    for node in _reach(root, skip):
+        if node.path not in out:
+            out[node.path] = [*(out[node.parent.path] if node.parent else []), node.path]
+    return out
 
-def main_text(root: Node, low: set[str]) -> str:
+
+def signature(html: str) -> int:
+    """The least hash of a page's longer texts between tags: near copies mostly share it."""
+    return min((_hash(t, 2) for t in _LONG.findall(html)), default=_hash(html, 3)) & 0x7FFFFFFF
+
+
+def main_text(root: Node, low: set[int]) -> str:
     """The page's main text, given the host's low-importance paths."""
     mains, held, noise = judged(root)
-    skip = lambda n: noise(n) or (n.path in low and not (mains and n in held))
+    skip = lambda n: noise(n) or (n.path in low and n.tag not in ("html", "body") and not (mains and n in held))
     return " ".join(t for m in mains or [root] for t in texts(m, skip))
 
 
-def low_paths(pages: DataFrame) -> DataFrame:
-    """site, low: for each site that has enough pages its paths of low importance, from pages (sites, html), each page in all of its sites."""
+#: Branches that hold no text of the page; all others are judged by the tree.
+_WITHOUT_TEXT = {"head", "script", "style", "noscript", "template", "iframe", "svg", "object", "canvas", "audio", "video", "map", "select", "textarea"}
+
+
+def figures(pages: DataFrame) -> DataFrame:
+    """site, path and importance (as part of its site's) of the merged nodes of pages (host, html)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: Counter[tuple[str, str, str, int]] = Counter()
-            for sites, html in zip(batch.column("sites").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                got = {*observations(tree(html or ""))}
-                found.update((site, *g) for site in sites for g in got)
-            cols = [*zip(*found, strict=True)] or [()] * 4
-            types = (pa.string(), pa.string(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types, strict=True)), pa.array([*found.values()], pa.int64())], names=["site", "path", "kind", "hash", "c"])
-
-    counts = pages.select("sites", "html").mapInArrow(run, "site string, path string, kind string, hash long, c long").groupBy("site", "path", "kind", "hash").agg(F.sum("c").alias("c"))
-    spread = counts.groupBy("site", "path", "kind").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.log("c")).alias("clogc")).where(F.col("n") >= MIN_PAGES)
-    spread = materialize(spread.select("site", "path", "n", (F.log("n") - F.col("clogc") / F.col("n")).alias("entropy")))
-    whole = spread.where("path = ''").select("site", (F.col("entropy") / F.log("n")).alias("most"), "entropy").where(F.col("entropy") >= F.log(F.lit(MIN_PAGES)) - 1e-9).drop("entropy")
-    nodes = spread.where("path != ''").groupBy("site", "path").agg(F.max(F.col("entropy") / F.log("n")).alias("part"))
-    low = nodes.join(whole, "site").where(F.col("part") < LOW_IMPORTANCE * F.col("most")).groupBy("site").agg(F.sort_array(F.collect_list("path")).alias("low"))
-    return whole.select("site").join(low, "site", "left").select("site", F.coalesce("low", F.array().cast("array<string>")).alias("low"))
+            found: set[tuple[str, int, bool, int, int]] = set()
+            above: dict[int, list[int]] = {}
+            for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                root, skip, page = tree(html or ""), (lambda n: n.tag in _WITHOUT_TEXT), signature(html or "")
+                for path, look, feature in own_features(root, skip):
+                    found.add((host, path, look, feature, page))
+                above |= ancestors(root, skip)
+            cols = [*zip(*found, strict=True)] or [()] * 5
+            types = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+            # the chain of a path goes with its first row only
+            told: set[int] = set()
+            chains = [None if path in told or told.add(path) else above[path] for path in cols[1]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types, strict=True)), pa.array(chains, pa.list_(pa.int64()))], names=["host", "path", "look", "feature", "page", "chain"])
+
+    seen = materialize(pages.select("host", "html").mapInArrow(run, "host string, path long, look boolean, feature long, page long, chain array<long>"))
+    # a path's chain is the same wherever it occurs
+    chains = materialize(seen.where("chain is not null").groupBy("path").agg(F.first("chain").alias("chain")))
+    # copies within a host are put together first; the pages of all hosts are then summed from those of each
+    once = materialize(seen.groupBy("host", "path", "look", "feature", "page").agg(F.lit(1).alias("one")).select("host", "path", "look", "feature", "page"))
+    release(seen)
+    by_host = once.groupBy(F.col("host").alias("site"), "path", "look", "feature").agg(F.count("*").alias("k"))
+    everywhere = once.groupBy("path", "look", "feature").agg(F.count_distinct("page").alias("k")).select(F.lit(_ALL).alias("site"), "path", "look", "feature", "k")
+    root = once.where("path = 0 and look")
+    size = root.groupBy(F.col("host").alias("site")).agg(F.count_distinct("page").alias("pages")).union(root.agg(F.count_distinct("page").alias("pages")).select(F.lit(_ALL), "pages"))
+    size = materialize(size.where(F.col("pages") >= MIN_PAGES))
+    spread = by_host.union(everywhere).groupBy("site", "path", "look").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log("k")).alias("klogk"))
+    spread = materialize(spread.join(size, "site"))
+    release(once)
+    # contents of a branch: sums over all paths below it
+    deep = spread.where("not look").join(chains, "path").select("site", F.explode("chain").alias("path"), "n", (F.col("klogk") / F.log("pages")).alias("h"))
+    content = deep.groupBy("site", "path").agg((1 - F.sum("h") / F.sum("n")).alias("content"))
+    look = spread.where("look").select("site", "path", ((F.log("n") - F.col("klogk") / F.col("n")) / F.log("pages")).alias("style"))
+    own = materialize(content.join(look, ["site", "path"], "left").select("site", "path", "content", ((1 - PRESENTATION) * F.col("content") + PRESENTATION * F.coalesce("style", F.lit(0.0))).alias("both")))
+    whole = own.where("path = 0").select("site", F.col("content").alias("whole"))
+    return own.where("path != 0").join(whole, "site").where("whole > 0").select("site", "path", (F.col("both") / F.col("whole")).alias("importance"))
+
+
+def low_paths(pages: DataFrame) -> DataFrame:
+    """host, low: the paths of low importance on each host's pages, by the host's own figures or those of all hosts."""
+    low = materialize(figures(pages).where(F.col("importance") < LOW_IMPORTANCE).select("site", "path"))
+    hosts = pages.select("host").distinct()
+    own = low.where(F.col("site") != _ALL).groupBy(F.col("site").alias("host")).agg(F.collect_set("path").alias("own"))
+    shared = low.where(F.col("site") == _ALL).agg(F.collect_set("path").alias("shared"))
+    both = hosts.join(own, "host", "left").crossJoin(shared)  # one row
+    empty = F.array().cast("array<long>")
+    return both.select("host", F.array_union(F.coalesce("own", empty), F.coalesce("shared", empty)).alias("low"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for each row of pages (page_id, url, html)."""
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
-    tags = F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(CONTAINERS), F.lit(1))))
-    pages = pages.select("page_id", "url", "html", F.concat(F.lit("host "), host).alias("host"), F.concat(F.lit("template "), F.xxhash64(tags).cast("string")).alias("template"))
-    low = materialize(low_paths(pages.select(F.array("host", "template").alias("sites"), "html")))
+    pages = pages.select("page_id", "url", "html", host.alias("host"), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).alias("salt"))
+    low = materialize(low_paths(pages))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [main_text(tree(h or ""), set(p or ())) for h, p in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    of = lambda kind: low.select(F.col("site").alias(kind), F.col("low").alias(f"low_{kind}"))
-    named = pages.join(of("host"), "host", "left").join(of("template"), "template", "left")
-    return named.select("page_id", "url", "html", F.coalesce("low_host", "low_template").alias("low")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    salted = low.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return pages.join(salted, ["host", "salt"], "left").select("page_id", "url", "html", "low").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
