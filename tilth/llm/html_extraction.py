@@ -37,6 +37,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator, Set
 from html.parser import HTMLParser
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -73,7 +74,7 @@ PLAIN, PARTLY, WHOLLY = 0, 1, 2
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z0-9]+")
-_PHRASE = re.compile(r"[^.!?:;,|/\u00b7\u2022\u00a9\u2013\u2014\s][^.!?:;,|/\u00b7\u2022\u00a9\u2013\u2014]*")
+_ENDS = re.compile(r"[.!?|\u00b7\u2022\u00a9\u2013\u2014]+")
 _LONG = re.compile(r">([^<>]{40,})<")
 _MASK = (1 << 63) - 1
 
@@ -274,8 +275,9 @@ def own_features(root: Node, skip: Callable[[Node], bool]) -> Iterator[tuple[int
                 stack.append((child, block))
     for path, run in runs.items():
         for text in run:
-            for phrase in _PHRASE.findall(text):
-                yield path, False, _hash(_SPACE.sub(" ", phrase).strip().lower())
+            for phrase in _ENDS.split(text.lower()):
+                if words := phrase.split():
+                    yield path, False, _hash(" ".join(words))
 
 
 def ancestors(root: Node, skip: Callable[[Node], bool]) -> dict[int, list[int]]:
@@ -308,26 +310,27 @@ def figures(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: set[tuple[str, int, bool, int, int]] = set()
-            above: dict[int, list[int]] = {}
+            hosts, counts, signs, rows, above = [], [], [], [], {}
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                root, skip, page = tree(html or ""), (lambda n: n.tag in _WITHOUT_TEXT), signature(html or "")
-                for path, look, feature in own_features(root, skip):
-                    found.add((host, path, look, feature, page))
+                root, skip = tree(html or ""), (lambda n: n.tag in _WITHOUT_TEXT)
+                own = {*own_features(root, skip)}
+                rows.extend(own)
+                hosts.append(host)
+                counts.append(len(own))
+                signs.append(signature(html or ""))
                 above |= ancestors(root, skip)
-            cols = [*zip(*found, strict=True)] or [()] * 5
-            types = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
-            # the chain of a path goes with its first row only
-            told: set[int] = set()
-            chains = [None if path in told or told.add(path) else above[path] for path in cols[1]]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types, strict=True)), pa.array(chains, pa.list_(pa.int64()))], names=["host", "path", "look", "feature", "page", "chain"])
-
-    seen = materialize(pages.select("host", "html").mapInArrow(run, "host string, path long, look boolean, feature long, page long, chain array<long>"))
-    # a path's chain is the same wherever it occurs
-    chains = materialize(seen.where("chain is not null").groupBy("path").agg(F.first("chain").alias("chain")))
+            # chains go as rows of their own, without host: a path and one above it
+            chain = [(path, None, up) for path, ups in above.items() for up in ups]
+            page = np.repeat(np.arange(len(hosts)), counts)
+            pad = lambda x: pa.concat_arrays([x.take(pa.array(page)), pa.nulls(len(chain), x.type)])  # noqa: E731, B023
+            path, look, feature = zip(*rows, *chain, strict=True) if rows or chain else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pad(pa.array(hosts, pa.string())), pa.array(path, pa.int64()), pa.array(look, pa.bool_()), pa.array(feature, pa.int64()), pad(pa.array(signs, pa.int32()))], names=["host", "path", "look", "feature", "page"])
+
+    seen = pages.select("host", "html").mapInArrow(run, "host string, path long, look boolean, feature long, page int")
     # copies within a host are put together first; the pages of all hosts are then summed from those of each
-    once = materialize(seen.groupBy("host", "path", "look", "feature", "page").agg(F.lit(1).alias("one")).select("host", "path", "look", "feature", "page"))
-    release(seen)
+    once = materialize(seen.distinct())
+    chains = materialize(once.where("look is null").select("path", F.col("feature").alias("above")).distinct())
+    once_, once = once, once.where("look is not null")
     by_host = once.groupBy(F.col("host").alias("site"), "path", "look", "feature").agg(F.count("*").alias("k"))
     everywhere = once.groupBy("path", "look", "feature").agg(F.count_distinct("page").alias("k")).select(F.lit(_ALL).alias("site"), "path", "look", "feature", "k")
     root = once.where("path = 0 and look")
@@ -335,9 +338,9 @@ def figures(pages: DataFrame) -> DataFrame:
     size = materialize(size.where(F.col("pages") >= MIN_PAGES))
     spread = by_host.union(everywhere).groupBy("site", "path", "look").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.log("k")).alias("klogk"))
     spread = materialize(spread.join(size, "site"))
-    release(once)
+    release(once_)
     # contents of a branch: sums over all paths below it
-    deep = spread.where("not look").join(chains, "path").select("site", F.explode("chain").alias("path"), "n", (F.col("klogk") / F.log("pages")).alias("h"))
+    deep = spread.where("not look").join(chains, "path").select("site", F.col("above").alias("path"), "n", (F.col("klogk") / F.log("pages")).alias("h"))
     content = deep.groupBy("site", "path").agg((1 - F.sum("h") / F.sum("n")).alias("content"))
     look = spread.where("look").select("site", "path", ((F.log("n") - F.col("klogk") / F.col("n")) / F.log("pages")).alias("style"))
     own = materialize(content.join(look, ["site", "path"], "left").select("site", "path", "content", ((1 - PRESENTATION) * F.col("content") + PRESENTATION * F.coalesce("style", F.lit(0.0))).alias("both")))
