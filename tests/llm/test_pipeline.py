@@ -1,6 +1,7 @@
 """The pipeline keeps the columns of documents and what each stage decides takes effect."""
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 from tests.duck import DATA
 from tests.llm.test_corpus import brute_components
@@ -47,3 +48,15 @@ def test_nulls_and_empty_tables(spark):
             out = materialize(stage(spark, out, SF))
         assert sorted((r.doc_id for r in out.collect()), key=str) == sorted(expected, key=str)
         assert corpus_pipeline.STAGES[-1][1](spark, out, SF).count() == len(expected)
+
+
+def test_columns_of_clashing_names_pass_through(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    extra = ("lang_pred", "phrase_rate", "n_symbols", "_low", "contaminated", "n_words", "row", "lang_pred_", "odd name", "held_out", "n_hit", "h")
+    wide = materialize(docs.withColumns({c: F.col("doc_id").cast("string") for c in extra}))
+    plain = docs = materialize(wide.select(docs.columns))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        wide, plain = materialize(stage(spark, wide, SF)), materialize(stage(spark, plain, SF))
+        assert wide.columns == [*docs.columns, *extra]
+        assert sorted(map(tuple, wide.select(docs.columns).collect())) == sorted(map(tuple, plain.collect())), name
+        assert wide.where(" or ".join(f"`{c}` != doc_id" for c in extra)).isEmpty()

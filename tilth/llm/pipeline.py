@@ -9,6 +9,8 @@ results. Columns beside those of documents pass through all stages but the last.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,11 +23,25 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 MAX_PHRASE_RATE, MIN_SYMBOLS = 0.6, 20
 
 
+_OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def apart(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A stage's rows of docs, whose columns beside those of documents have names meanwhile that no operator uses."""
+    names = {c: c if c in _OWN else f"_beside{i}" for i, c in enumerate(docs.columns)}
+    out = stage(docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())))
+    return out.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language; those without letters or unlike all languages go. A null lang is filled in."""
-    named = language_id.identify(docs, language_id.learn(docs.where(~language_id.held_out())), carry=True)
-    fits = (F.col("lang_pred") != language_id.UNDETERMINED) & ((F.col("phrase_rate") <= MAX_PHRASE_RATE) | (F.col("n_symbols") < MIN_SYMBOLS))
-    return named.where(fits).withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+
+    def fitting(docs: DataFrame) -> DataFrame:
+        named = language_id.identify(docs, language_id.learn(docs.where(~language_id.held_out())), carry=True)
+        fits = (F.col("lang_pred") != language_id.UNDETERMINED) & ((F.col("phrase_rate") <= MAX_PHRASE_RATE) | (F.col("n_symbols") < MIN_SYMBOLS))
+        return named.where(fits).withColumn("lang", F.coalesce("lang", "lang_pred"))
+
+    return apart(docs, fitting)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +62,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    return decontamination.scan(docs, table(spark, sf_dir, "benchmark"), carry=True).where(~F.col("contaminated")).select(docs.columns)
+    return apart(docs, lambda own: decontamination.scan(own, table(spark, sf_dir, "benchmark"), carry=True).where(~F.col("contaminated")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
