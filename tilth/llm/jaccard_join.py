@@ -13,11 +13,12 @@ sets share one.
 Within the sets of one signature only one, the pivot, is compared with all others: the set whose
 signatures have the most sets, which is the middle of a group of near copies. Sets that are not linked
 with it get a pivot among themselves, PIVOT_ROUNDS times, so that several groups under one signature
-are each connected through their own middle. Two sets that are linked, but not both with the first
-pivot, share a part of what sets them apart from it (see verified()). Where sets of different
-components do, and parity maps of it leave a link possible, they are compared, whatever the rounds
-left. Every compared pair is verified on whole texts. No pair list of a group is made, and no link
-between components is missed.
+are each connected through their own middle. Where a signature then still has sets of different
+components, two of its sets are compared if they also share one of their rarest features, as many as
+linked sets must share one of (see rare_features()), and if their sizes and parity maps leave a link
+possible. Passages that many documents repeat are frequent and so hardly ever among the rarest. Every
+compared pair is verified on whole texts, and no link between components is missed. Within a component
+no pairs are made; of components that share a rare feature, the sets that have it meet.
 
 Null and empty texts have the empty set. Null doc_ids count as the smallest id and are shown as null.
 Rows that repeat a doc_id count as one document with the links of all of them. An empty table gives
@@ -34,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilth.llm.common import RangeHash, blocks, bucket_count, materialize, meeting_keys, mix, release, signed, table, text_bytes
+from tilth.llm.common import RangeHash, blocks, bucket_count, from_planes, materialize, meeting_keys, mix, planes, release, table, text_bytes
 
 #: Partitions of the domain tried for sets that leave too many parts of it empty.
 TURNS = 6
 #: Times that the sets of a signature not linked with its pivot get one among themselves.
 PIVOT_ROUNDS = 3
-#: Bits of a residual's parity map.
+#: Slots, by hash, in which sets are counted to tell rare features (four bytes each in every task).
+COUNT_SLOTS = 1 << 20
+#: Bits of a set's parity map.
 MAP_BITS = 256
 _MAP = [f"m{i}" for i in range(MAP_BITS // 64)]
 _NULL_ID = -(1 << 63)
@@ -185,31 +188,8 @@ def class_signatures(docs: DataFrame, width: int, percent: int, buckets: int) ->
     return met.select(F.col("key").alias("sig"), F.col("id").alias("class")).distinct()
 
 
-def _joined_sets(ra: np.ndarray, ha: np.ndarray, rb: np.ndarray, hb: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Features of both sides in order of row and hash: rows, hashes, side (0: b), and whether both sides have them."""
-    r, h, side = np.concatenate([rb, ra]), np.concatenate([hb, ha]), np.repeat([0, 1], [len(rb), len(ra)])
-    order = np.lexsort((h, r))
-    r, h, side = r[order], h[order], side[order]
-    both = np.zeros(len(r), bool)
-    same = (r[1:] == r[:-1]) & (h[1:] == h[:-1])
-    both[1:] |= same
-    both[:-1] |= same
-    return r, h, side, both
-
-
 def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """pairs (a, b) with linked (similar enough), na and nb (set sizes), r (features that one side only has), residual, and the parity map of those features.
-
-    residual holds the first of those features, those of b before those of a, as many as another set
-    must share one of to be linked with b when b or it is not linked with a:
-
-    Of two sets x and y with m features in all that are linked, at most k = (1 - s) / (1 + s) * m features
-    are in one only, so their residuals to a share at least t = (r(x) + r(y) - k) / 2 features, and the
-    first r - t + 1 of each, in one order, share one. An unlinked y has r(y) > (1 - s) / (1 + s) * (|y| + |a|),
-    so t > (r(x) - (1 - s) / (1 + s) * (|x| - |a|)) / 2 for any x; and r(x) and r(y) differ by k at most,
-    so t >= r(y) - k.
-    """
-    c = (100 - percent) / (100 + percent)
+    """pairs (a, b) with linked (similar enough)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,29 +198,17 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
             for a, b in zip(cuts, cuts[1:], strict=False):
                 (ra, ha), (rb, hb) = (shingles(raw, off[a : b + 1], width) for raw, off in sides)
                 n = b - a
-                na, nb = np.bincount(ra, minlength=n), np.bincount(rb, minlength=n)
-                r, h, side, both = _joined_sets(ra, ha, rb, hb)
-                shared = np.bincount(r[both], minlength=n) // 2
-                union = na + nb - shared
-                linked = (100 * shared >= percent * union) & (shared > 0)
-                alone = na + nb - 2 * shared
-                most = np.floor(c * (nb + nb * 100 // percent)).astype(np.int64) + 1
-                half = np.maximum(1, np.ceil((alone - c * (nb - na)) / 2 - 1e-9)).astype(np.int64)
-                least = np.where(linked, half, np.maximum(1, alone - most))
-                take = np.maximum(0, alone - least + 1)
-                r, h, side = r[~both], mix(h[~both]), side[~both]
-                parity = np.bincount(r * MAP_BITS + (h % np.uint64(MAP_BITS)).astype(np.int64), minlength=n * MAP_BITS).reshape(n, -1) & 1
-                bits = np.packbits(parity.astype(np.uint8), axis=1).view(np.int64)
-                order = np.lexsort((h, side, r))
+                r, h = np.concatenate([ra, rb]), np.concatenate([ha, hb])
+                order = np.lexsort((h, r))
                 r, h = r[order], h[order]
-                rank = np.arange(len(r)) - np.searchsorted(r, np.arange(n))[r]
-                keep = rank < take[r]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(np.bincount(r[keep], minlength=n))), pa.int32()), signed(h[keep]))
-                yield pa.RecordBatch.from_arrays([batch.column("a").slice(a, n), batch.column("b").slice(a, n), pa.array(linked), pa.array(na), pa.array(nb), pa.array(alone), lists, *(pa.array(bits[:, i].copy()) for i in range(len(_MAP)))], names=["a", "b", "linked", "na", "nb", "r", "residual", *_MAP])
+                shared = np.bincount(r[1:][(r[1:] == r[:-1]) & (h[1:] == h[:-1])], minlength=n)
+                union = np.bincount(r, minlength=n) - shared
+                linked = (100 * shared >= percent * union) & (shared > 0)
+                yield pa.RecordBatch.from_arrays([batch.column("a").slice(a, n), batch.column("b").slice(a, n), pa.array(linked)], names=["a", "b", "linked"])
 
     # b first: a pivot's text is then not sent with each of its pairs
     rows = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("doc").alias("a"), F.col("text").alias("ta")), "a")
-    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean, na long, nb long, r long, residual array<long>, " + ", ".join(f"{c} long" for c in _MAP))
+    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -262,20 +230,15 @@ def components(links: DataFrame) -> DataFrame:
         labels = lower
 
 
-def against_pivots(members: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The first pivots' pairs as verified() gives them, numbered by row, and all links (a, b) with pivots, from members (sig, doc)."""
-    left, first, links = members, None, []
+def against_pivots(members: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """All links (a, b) with pivots, from members (sig, doc)."""
+    left, links = members, []
     for _ in range(PIVOT_ROUNDS):
         inside = left.join(left.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1"), "sig")
         weights = inside.groupBy("doc").agg(F.sum("c").alias("weight"))
         pivots = inside.join(weights, "doc").groupBy("sig").agg(F.max_by("doc", F.struct("weight", -F.col("doc"))).alias("a"))
         pairs = inside.select("sig", F.col("doc").alias("b")).join(pivots, "sig").where("a != b")
-        compared = verified(pairs.select("a", "b").distinct(), texts, width, percent)
-        if first is None:
-            first = compared = materialize(compared.withColumn("row", F.monotonically_increasing_id()))
-            linked = compared.where("linked").select("a", "b")
-        else:
-            linked = materialize(compared.where("linked").select("a", "b"))
+        linked = materialize(verified(pairs.select("a", "b").distinct(), texts, width, percent).where("linked").select("a", "b"))
         links.append(linked)
         after = materialize(pairs.join(linked, ["a", "b"], "left_anti").select("sig", F.col("b").alias("doc")))
         if left is not members:
@@ -284,38 +247,106 @@ def against_pivots(members: DataFrame, texts: DataFrame, width: int, percent: in
         if left.isEmpty():
             break
     release(left)
-    return first, reduce(DataFrame.union, links)
+    return reduce(DataFrame.union, links)
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(40)).astype(np.int64) % COUNT_SLOTS
+
+
+def slot_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """In how many sets of texts (text) the features of each slot are: COUNT_SLOTS numbers, whatever the input."""
+    parts = 64
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNT_SLOTS, np.int64)
+        for batch in batches:
+            for _, _, _, hashes, _, _ in _hashed_sets(batch, width):
+                total += np.bincount(_slots(hashes), minlength=COUNT_SLOTS)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([planes(x) for x in total.reshape(parts, -1)], pa.binary())], names=["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, counts in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                sums[part] = sums.get(part, 0) + from_planes(counts)
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "counts"])
+
+    whole = np.zeros((parts, COUNT_SLOTS // parts), np.int64)
+    for row in texts.select("text").mapInArrow(count, "part int, counts binary").repartition(parts, "part").mapInArrow(add, "part int, counts binary").collect():
+        whole[row["part"]] = np.frombuffer(bytes(row["counts"]), np.int64)
+    return np.minimum(whole.ravel(), np.iinfo(np.int32).max).astype(np.int32)
+
+
+def rare_features(texts: DataFrame, counts: np.ndarray, width: int, percent: int, buckets: int) -> DataFrame:
+    """key, doc: features that two of texts (doc, text) or more have among their rarest.
 
+    Linked sets share at least s * n features of a set of n. With all features in one order, the first
+    n - s * n + 1 of each then hold a shared one. The order is by the count of a feature's slot, so that
+    frequent features come last; it decides what is compared, never what is linked.
+    """
+
+    def own_rarest(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        doc = batch.column("doc").to_numpy()
+        keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for a, _, rows, hashes, sizes, _ in _hashed_sets(batch, width):
+            order = np.lexsort((hashes, counts[_slots(hashes)], rows))
+            rows, hashes = rows[order], hashes[order]
+            rank = np.arange(len(rows)) - (np.cumsum(sizes) - sizes)[rows]
+            take = sizes + -sizes * percent // 100 + 1
+            kept = rank < take[rows]
+            keys.append(mix(hashes[kept]))
+            ids.append(doc[a + rows[kept]])
+        return np.concatenate(keys), np.concatenate(ids)
 
-def beside_pivots(compared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """a, b: documents of different groups (doc, comp) that share a part of their residual to the same pivot, not both linked with it, and may be linked."""
+    return meeting_keys(texts.select("doc", "text"), own_rarest, buckets, repeats=True).withColumnRenamed("id", "doc")
 
-    def own_parts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        lists = batch.column("residual")
-        row = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
-        key = mix(lists.flatten().to_numpy().view(np.uint64) ^ mix(batch.column("a").to_numpy().view(np.uint64))[row])
-        return key, batch.column("row").to_numpy()[row]
 
-    buckets = bucket_count(compared.sparkSession, compared.agg(F.sum(F.size("residual"))).first()[0] or 0)
-    met = meeting_keys(compared.select("row", "a", "residual"), own_parts, buckets).withColumnRenamed("id", "row")
-    own = compared.select("row", "linked", F.col("b").alias("doc")).join(groups, "doc", "left").select("row", "linked", F.coalesce("comp", "doc").alias("comp"))
-    hits = materialize(met.join(own, "row"))
-    mixed = hits.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.bool_and("linked").alias("all")).where("lo < hi and not all").select("key")
-    few = materialize(hits.join(mixed, "key").join(compared.select("row", "b", "nb", *_MAP), "row"))
+def parity_maps(texts: DataFrame, width: int) -> DataFrame:
+    """doc, n (set size) and the parity map of the set for each of texts (doc, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, rows, hashes, sizes, _ in _hashed_sets(batch, width):
+                n = b - a
+                parity = np.bincount(rows * MAP_BITS + (mix(hashes) % np.uint64(MAP_BITS)).astype(np.int64), minlength=n * MAP_BITS).reshape(n, -1) & 1
+                bits = np.packbits(parity.astype(np.uint8), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, n), pa.array(sizes), *(pa.array(bits[:, i].copy()) for i in range(len(_MAP)))], names=["doc", "n", *_MAP])
+
+    return texts.select("doc", "text").mapInArrow(run, "doc long, n long, " + ", ".join(f"{c} long" for c in _MAP))
+
+
+def beside_pivots(members: DataFrame, texts: DataFrame, groups: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b: documents of different groups (doc, comp) that share a signature of members (sig, doc) and a rare feature, and may be linked."""
+    grouped = members.join(groups, "doc", "left").select("sig", "doc", F.coalesce("comp", "doc").alias("comp"))
+    apart_sigs = grouped.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("sig")
+    open_ = materialize(grouped.join(apart_sigs, "sig").select("sig", "doc", "comp"))
+    own = open_.select("doc", "comp").distinct()
+    open_texts = materialize(texts.join(own.select("doc"), "doc", "left_semi"))
+    counts = slot_counts(open_texts, width)
+    buckets = bucket_count(texts.sparkSession, int(counts.sum(dtype=np.int64)) * (100 - percent) // 100)
+    hits = materialize(rare_features(open_texts, counts, width, percent, buckets).join(own, "doc"))
+    mixed = hits.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    met = materialize(hits.join(mixed, "key"))
     release(hits)
+    few = materialize(met.join(parity_maps(open_texts.join(met.select("doc").distinct(), "doc", "left_semi"), width), "doc"))
+    release(met, open_texts)
     # groups first, so that rows of one group do not meet each other; only pairs that may be linked leave the join
     sides = few.select("key", F.col("comp").alias("cx")).distinct().join(few.select("key", F.col("comp").alias("cy")).distinct(), "key").where("cx < cy")
-    side = lambda c: few.select(F.col("key").alias(f"key{c}"), F.col("comp").alias(f"comp{c}"), F.col("b").alias(c), F.col("linked").alias(f"l{c}"), F.col("nb").alias(f"n{c}"), *(F.col(m).alias(f"{m}{c}") for m in _MAP))
-    share = (100 - percent) / (100 + percent)
-    # features in one set only: no fewer than the bits in which the residuals' parity maps differ
+    side = lambda c: few.select(F.col("key").alias(f"key{c}"), F.col("comp").alias(f"comp{c}"), F.col("doc").alias(c), F.col("n").alias(f"n{c}"), *(F.col(m).alias(f"{m}{c}") for m in _MAP))
+    # features in one set only: no fewer than the bits in which the parity maps differ
     apart = sum((F.bit_count(F.col(f"{m}x").bitwiseXOR(F.col(f"{m}y"))) for m in _MAP), F.lit(0))
+    share = (100 - percent) / (100 + percent)
     alike = (percent * F.greatest("nx", "ny") <= 100 * F.least("nx", "ny")) & (apart <= share * (F.col("nx") + F.col("ny")) + 1)
-    fits = ~(F.col("lx") & F.col("ly")) & (F.col("x") != F.col("y")) & alike
     met_x = sides.join(side("x"), (F.col("key") == F.col("keyx")) & (F.col("cx") == F.col("compx")))
-    near = met_x.join(side("y"), (F.col("key") == F.col("keyy")) & (F.col("cy") == F.col("compy")) & fits)
+    near = met_x.join(side("y"), (F.col("key") == F.col("keyy")) & (F.col("cy") == F.col("compy")) & alike)
     pairs = materialize(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    release(few)
-    return pairs
+    signed_pairs = pairs.join(open_.select("sig", F.col("doc").alias("a")), "a").join(open_.select("sig", F.col("doc").alias("b")), ["sig", "b"], "left_semi")
+    out = materialize(signed_pairs.select("a", "b").distinct())
+    release(few, open_, pairs)
+    return out
 
 
 def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
@@ -328,11 +359,9 @@ def link(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFrame:
     met = class_signatures(docs, width, percent, bucket_count(docs.sparkSession, size // 4))
     members = materialize(met.join(classes.select("class", F.col("rep").alias("doc")), "class").select("sig", "doc").distinct())
     texts = materialize(docs.join(members.select("doc").distinct(), "doc", "left_semi"))
-    compared, links = against_pivots(members, texts, width, percent)
+    labels = components(against_pivots(members, texts, width, percent))
+    pairs = beside_pivots(members, texts, labels, width, percent)
     release(members)
-    labels = components(links)
-    pairs = beside_pivots(compared, labels, percent)
-    release(compared)
     if not pairs.isEmpty():
         rest = materialize(verified(pairs, texts, width, percent).where("linked").select("a", "b"))
         comp = lambda c: labels.select(F.col("doc").alias(c), F.col("comp").alias(f"c{c}"))
