@@ -182,7 +182,7 @@ def test_groups_under_one_signature_do_not_make_all_their_pairs(spark, monkeypat
 
 
 def test_links_beside_the_pivot_are_found(spark, monkeypatch):
-    """With one round of pivots the rest is found by what sets the sets apart from them."""
+    """With one round of pivots the rest is found by rare features."""
     monkeypatch.setattr(jaccard_join, "PIVOT_ROUNDS", 1)
     for seed in (11, 12):
         texts = near_copies(seed, 150)
@@ -190,6 +190,27 @@ def test_links_beside_the_pivot_are_found(spark, monkeypatch):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(texts, 2, 80)
 
 
+def test_passages_that_many_documents_share_bring_no_pairs(spark):
+    """Sets of one signature that are alike by frequent passages only are not paired; the linked two of them are."""
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    passages = [[word() for _ in range(40)] for _ in range(2)]
+    texts = [(i, " ".join(passages[0] + [word() for _ in range(60)] + passages[1])) for i in range(300)]
+    texts.append((300, texts[7][1].rsplit(" ", 3)[0]))
+    docs = spark.createDataFrame(texts, "doc long, text string").repartition(4)
+    members = docs.selectExpr("1L sig", "doc")
+    none = spark.createDataFrame([], "doc long, comp long")
+    pairs = jaccard_join.beside_pivots(members, docs, none, 5, 80).collect()
+    assert (7, 300) in {(r.a, r.b) for r in pairs} and len(pairs) < 300
+
+
+def test_slot_counts_are_those_of_all_sets(spark):
+    texts = [("a b c d", ), ("b c d e", ), (None, ), ("", ), ("a b c d", )]
+    counts = jaccard_join.slot_counts(spark.createDataFrame(texts, "text string").repartition(3), 3)
+    assert len(counts) == jaccard_join.COUNT_SLOTS and sorted(counts[counts > 0]) == [1, 2, 3]
+    assert not jaccard_join.slot_counts(spark.createDataFrame([], "text string"), 3).any()
+
+
 def test_what_is_broadcast_of_a_benchmark_is_bounded():
     rnd = random.Random(2)
     for letters in (1, 6):
