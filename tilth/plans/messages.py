@@ -130,7 +130,12 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.run_complete(counts).withColumn("total", F.round("total", 4))
 
 
-@query()
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_type AS kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events),
+f AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS seq, 'idle' AS state, CAST(0 AS BIGINT) AS confirmed, CAST(0 AS BIGINT) AS voided FROM events
+ UNION ALL SELECT f.user_id, o.seq, CASE WHEN kind = 'signup' OR (state = 'confirm' AND kind IN ('purchase', 'error')) OR (state = 'idle' AND kind NOT IN ('view', 'click')) THEN 'idle' ELSE 'confirm' END,
+  confirmed + CASE WHEN state = 'confirm' AND kind = 'purchase' THEN 1 ELSE 0 END, voided + CASE WHEN state = 'idle' AND kind = 'error' AND confirmed > voided THEN 1 ELSE 0 END
+ FROM f JOIN o ON o.user_id = f.user_id AND o.seq = f.seq + 1)
+SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) = 1""")
 def stream_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The conversation state of each user after all its messages."""
     schema = table(spark, sf_dir, "events").schema
