@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilth.operators import camera, distances, rows, watershed
+from tilth.operators import camera, distances, rows, scales, watershed
 from tilth.sources.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,27 @@ def flat_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows_ = frames(spark, sf_dir).withColumn("leaf", F.col("v") < 21.5)
     got = camera.flat_field(rows_, smooth_px=3, least_leaf=20)
     return got.select(F.col("slot").cast("double").alias("slot"), "seconds", "axis", "place", F.round("value", 6).alias("value"))
+
+
+@query(f"""WITH c AS (SELECT o_orderkey // {WIDE * LONG} AS raster, o_orderkey // {WIDE} % {LONG} AS row, o_orderkey % {WIDE} AS col, o_totalprice / 1e5 AS v FROM orders),
+o AS (SELECT a, b FROM range(-8, 9) x(a), range(-8, 9) y(b)),
+s AS (SELECT raster, row + a AS row, col + b AS col, v, exp(-(a * a + b * b) / 8.0) AS w2, CASE WHEN abs(a) <= 4 AND abs(b) <= 4 THEN exp(-(a * a + b * b) / 2.0) ELSE 0 END AS w1 FROM c, o),
+g AS (SELECT raster, row, col, sum(v * w1) / sum(w1) AS fine, sum(v * w2) / sum(w2) AS coarse FROM s SEMI JOIN c USING (raster, row, col) GROUP BY ALL)
+SELECT raster, row, col, round(fine, 6) AS fine, round(coarse, 6) AS coarse, round(fine - coarse, 6) AS band FROM g""")
+def price_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices smoothed by one and by two cells, and what lies between the two, on blocks of 32 cells."""
+    got = scales.levels(_cells(spark, sf_dir).withColumnRenamed("price", "v"), [1.0, 2.0], block=32)
+    fine, coarse = F.get("levels", F.lit(0)), F.get("levels", F.lit(1))
+    return got.select("raster", "row", "col", F.round(fine, 6).alias("fine"), F.round(coarse, 6).alias("coarse"), F.round(fine - coarse, 6).alias("band"))
+
+
+@query(f"""WITH {_FRAMES}, p AS (SELECT *, unnest(range(CASE WHEN row = 7 THEN 2 ELSE 1 END * CASE WHEN col = 7 THEN 2 ELSE 1 END)) AS copy FROM f),
+b AS (SELECT frame, row // 3 AS i, col // 3 AS j, quantile_cont(v, 0.75) AS g FROM p GROUP BY ALL),
+u AS (SELECT frame, row, col, v, least(greatest((row + 0.5) / 3 - 0.5, 0), 2) AS y, least(greatest((col + 0.5) / 3 - 0.5, 0), 2) AS x FROM f),
+m AS (SELECT u.frame, row, col, any_value(v) AS v, sum(g * (1 - abs(y - i)) * (1 - abs(x - j))) AS ground FROM u JOIN b ON u.frame = b.frame AND abs(y - i) < 1 AND abs(x - j) < 1 GROUP BY ALL)
+SELECT frame, row, col, round(ground, 6) AS ground, ground - v >= 1 AS leaf FROM m""")
+def frame_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels of each frame that are a degree colder than the ground around them, by blocks of three pixels."""
+    cells = frames(spark, sf_dir).withColumnRenamed("frame", "raster")
+    got = scales.leaves(cells, 1.0, 3.0, 1.0)
+    return got.select(F.col("raster").alias("frame"), "row", "col", F.round("ground", 6).alias("ground"), "leaf")
