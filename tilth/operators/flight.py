@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilth.operators.quantiles import exact_quantiles
 from tilth.functions import geo
 from tilth.operators import raster
 from tilth.sources.shared import materialize
@@ -110,7 +111,7 @@ def paint(photos: DataFrame, cells: DataFrame, reach: float) -> DataFrame:
 
 def warm_patches(pixels: DataFrame, cell_m: float, warm_z: float = 2.0, least_c: float = 1.0, least_m2: float = 25.0, least_share: float = 0.002) -> DataFrame:
     """Patches of cells warmer than the raster's median by 2 robust spreads and 1 degree, of a least size, largest first."""
-    stats = pixels.where("v is not null").groupBy("raster").agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("*").alias("n"))
+    stats = pixels.where("v is not null").groupBy("raster").agg(F.count("*").alias("n")).join(exact_quantiles(pixels, ["raster"], "v", [0.25, 0.5, 0.75]), "raster")
     rows = pixels.join(stats, "raster").withColumn("above", F.col("v") - F.get("q", F.lit(1))).withColumn("spread", (F.get("q", F.lit(2)) - F.get("q", F.lit(0))) / 1.349)
     warm = materialize(rows.where(F.col("above") >= F.greatest(F.lit(least_c), warm_z * F.col("spread"))).select("raster", "row", "col", "v", "above", "n"))
     labels = raster.components(warm.select("raster", "row", "col"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tilth.operators.quantiles import exact_quantiles
 from tilth.functions.rules import NEGATIVE_SHARE
 
 
@@ -60,7 +61,7 @@ def negative_shares(pixels: DataFrame, keys: list[str], band: str) -> DataFrame:
 
 def dark_level(pixels: DataFrame, keys: list[str], band: str) -> DataFrame:
     """The 2nd percentile of a band's positive numbers."""
-    return pixels.where(F.col(band) > 0).groupBy(*keys).agg(F.percentile(band, F.lit(0.02)).alias("dark"))
+    return exact_quantiles(pixels.where(F.col(band) > 0), keys, band, [0.02]).select(*keys, F.get("q", F.lit(0)).alias("dark"))
 
 
 def rows_of_scenes(observations: DataFrame, scenes: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilth.sources.shared import materialize
+
 #: Kinds of events of which several can stand on one day (fixed values).
 KEPT_TOGETHER = ("photo", "note")
 #: Reminders, the most pressing first (fixed values), and days between two of a kind.
@@ -71,19 +73,25 @@ def last_alerts(alerts: DataFrame) -> DataFrame:
     return alerts.groupBy("field", "kind").agg(F.max("sent_at").alias("last"))
 
 
-def numbered_fields(new: DataFrame, fields: DataFrame, last_used: Column, order: list[str]) -> DataFrame:
-    """New fields with ids after the highest ever used, F001 onwards.
+def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with `number` from 1 in the order of some columns (equal rows in any order).
 
-    Numbers are dealt by task (a count of each, then a running total over the counts), so no task sees all rows.
+    Numbers are dealt by task: a count of each, then a running total over the counts, so no task sees all rows. The
+    sorted rows are written once, so that counts and numbers are of the same tasks.
     """
-    top = fields.agg(F.max(F.regexp_extract("id", r"^F([0-9]+)$", 1).try_cast("long")).alias("top"))
-    dealt = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    dealt = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id()))
     task = F.shiftright("_row", 33)
-    sizes = dealt.groupBy(task.alias("_task")).agg(F.count("*").alias("n"))
-    before = sizes.join(sizes.select(F.col("_task").alias("t"), F.col("n").alias("m")), F.col("t") < F.col("_task"), "left").groupBy("_task").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("before"))
-    number = F.greatest(F.coalesce("top", F.lit(0)), F.coalesce(last_used, F.lit(0))) + F.col("before") + F.col("_row").bitwiseAND((1 << 33) - 1) + 1
-    rows = dealt.withColumn("_task", task).join(F.broadcast(before), "_task").crossJoin(F.broadcast(top))
-    text = number.cast("string")
+    sizes = dealt.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_task", (F.sum("_n").over(Window.orderBy("_task")) - F.col("_n")).alias("_before"))  # one row a task
+    number = F.col("_before") + F.col("_row").bitwiseAND((1 << 33) - 1) + 1
+    return dealt.withColumn("_task", task).join(F.broadcast(before), "_task").select(*rows.columns, number.alias("number"))
+
+
+def numbered_fields(new: DataFrame, fields: DataFrame, last_used: Column, order: list[str]) -> DataFrame:
+    """New fields with ids after the highest ever used, F001 onwards."""
+    top = fields.agg(F.max(F.regexp_extract("id", r"^F([0-9]+)$", 1).try_cast("long")).alias("top"))
+    rows = numbered(new, order).crossJoin(F.broadcast(top))
+    text = (F.greatest(F.coalesce("top", F.lit(0)), F.coalesce(last_used, F.lit(0))) + F.col("number")).cast("string")
     return rows.select(F.concat(F.lit("F"), F.when(F.length(text) < 3, F.lpad(text, 3, "0")).otherwise(text)).alias("id"), *new.columns)
 
 
@@ -129,15 +137,11 @@ def by_urgency(status: DataFrame) -> DataFrame:
     """Fields (field, days_left, no_water, sensitive) in order of who needs water first, numbered from 1.
 
     Dated needs come first, then those beyond the projection, then those without need; a sensitive crop
-    breaks ties. Ranks are counts of fields by need, so only equal needs are ordered together.
+    breaks ties, then the field.
     """
     group = F.when(F.col("no_water"), 2).when(F.col("days_left").isNotNull(), 0).otherwise(1)
-    need = F.struct(group.alias("g"), F.when(group == 0, F.col("days_left")).otherwise(0).alias("d"), F.when(group == 2, 0).when(F.col("sensitive"), 0).otherwise(1).alias("s"))
-    rows = status.withColumn("need", need)
-    counts = rows.groupBy("need").agg(F.count("*").alias("n"))
-    before = counts.select("need", (F.sum("n").over(Window.orderBy("need")) - F.col("n")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("need").orderBy("field"))
-    return rows.join(before, "need").select("field", "days_left", (F.col("before") + place).alias("rank"))
+    need = {"_group": group, "_days": F.when(group == 0, F.col("days_left")).otherwise(0), "_calm": F.when(group == 2, 0).when(F.col("sensitive"), 0).otherwise(1)}
+    return numbered(status.select("field", "days_left", *(c.alias(k) for k, c in need.items())), [*need, "field"]).select("field", "days_left", F.col("number").alias("rank"))
 
 
 def named_fields(messages: DataFrame, fields: DataFrame) -> DataFrame:
