@@ -239,3 +239,15 @@ def test_stream_equals_batch_conversation(spark):
         expected[r.user_id] = (state, yes, no + min(n, yes - no))
     got = messages.stream_conversations(spark, str(DATA / "sf0.001")).collect()
     assert {r.user_id: (r.state, r.confirmed, r.voided) for r in got} == expected
+
+
+def test_disc_sums_do_not_hang_on_the_order_of_pixels(spark):
+    from tilth.operators import ground
+
+    heights = [1e16, 1.0, 1.0, 1.0, 1.0]
+    cells = [(0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)]
+    trees = spark.createDataFrame([(1, 0, 0)], "tree long, row long, col long")
+    for turn in (1, -1):
+        px = [(*c, h, h) for c, h in zip(cells, heights, strict=True)][::turn]
+        got = ground.disc_statistics(trees, spark.createDataFrame(px, "row long, col long, h double, green double").coalesce(1), 1, 0.5, 1.0).first()
+        assert (got.volume, got.canopy_green) == (1e16 + 4, (1e16 + 4) / 5)

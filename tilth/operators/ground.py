@@ -146,15 +146,17 @@ def sharp_frames(scores: DataFrame, quantile: float = BLUR_QUANTILE, absolute: f
 def disc_statistics(trees: DataFrame, pixels: DataFrame, radius: int, canopy: float, cell_m2: float) -> DataFrame:
     """For each tree (tree, row, col) of its disc of pixels (row, col, h, green): largest, mean, 90 % and canopy height, volume and greenness.
 
-    Trees are sent to the cells of their disc, so the join is on the cell.
+    Trees are sent to the cells of their disc, so the join is on the cell. Canopy values are added in ascending order:
+    the last digit does not hang on the order of pixels, and a disc is never large.
     """
     disc = [(a, b) for a in range(-radius, radius + 1) for b in range(-radius, radius + 1) if a * a + b * b <= radius * radius]
     spread = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in disc)))
     cells = trees.select("tree", spread.alias("o"), "row", "col").select("tree", (F.col("row") + F.col("o.a")).alias("row"), (F.col("col") + F.col("o.b")).alias("col"))
     up = F.col("h") > canopy
+    total = lambda value: F.aggregate(F.array_sort(F.collect_list(F.when(up, F.col(value)))), F.lit(0.0), lambda s, v: s + v)
     got = cells.join(pixels, ["row", "col"]).groupBy("tree").agg(
-        F.max("h").alias("largest"), F.percentile("h", F.lit(0.9)).alias("p90"), F.avg("h").alias("mean"), F.avg(up.cast("double")).alias("cover"), (F.sum(F.when(up, F.col("h")).otherwise(0.0)) * cell_m2).alias("volume"),
-        F.coalesce(F.avg(F.when(up, F.col("green"))), F.lit(0.0)).alias("canopy_green"), F.avg("green").alias("green"),
+        F.max("h").alias("largest"), F.percentile("h", F.lit(0.9)).alias("p90"), F.avg("h").alias("mean"), F.avg(up.cast("double")).alias("cover"), (total("h") * cell_m2).alias("volume"),
+        F.coalesce(total("green") / F.nullif(F.count(F.when(up, F.col("green"))), F.lit(0)), F.lit(0.0)).alias("canopy_green"), F.avg("green").alias("green"),
     )
     return trees.select("tree").join(got, "tree", "left").na.fill(0.0)
 
