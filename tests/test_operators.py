@@ -251,3 +251,14 @@ def test_disc_sums_do_not_hang_on_the_order_of_pixels(spark):
         px = [(*c, h, h) for c, h in zip(cells, heights, strict=True)][::turn]
         got = ground.disc_statistics(trees, spark.createDataFrame(px, "row long, col long, h double, green double").coalesce(1), 1, 0.5, 1.0).first()
         assert (got.volume, got.canopy_green) == (1e16 + 4, (1e16 + 4) / 5)
+
+
+def test_notes_of_scenes_round_as_printf_and_keep_nulls(spark, tmp_path):
+    import duckdb
+    from tilth.plans import registry
+
+    rows = [(i, n, a) for i, (n, a) in enumerate((n, a) for n in (1, 7, 13, 4000, None) for a in (500.0, 1500.0, 2500.0, 4000.0, 4000.05, -300.0, 7500.0, 8500.0, 1.5e9, None))]
+    spark.createDataFrame(rows, "s_suppkey long, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    sql = registry.ORACLE_SQL["field_notes"].replace("FROM supplier", f"FROM '{tmp_path}/supplier.parquet/*.parquet'")
+    got = registry.QUERIES["field_notes"](spark, str(tmp_path)).orderBy("s_suppkey").collect()
+    assert [tuple(r) for r in got] == sorted(duckdb.sql(sql).fetchall())

@@ -85,8 +85,12 @@ def nodata_dominated(status: Column, nodata: Column) -> Column:
 
 
 def drop_reason(valid: Column, nodata: Column, least: float) -> Column:
+    """Why a scene was left out; NULL where the valid share is. Shares are rounded from their exact binary value, as C's printf does."""
     cause = F.when(nodata > NODATA_SHARE, "mostly nodata").otherwise("cloud or shadow")
-    return F.concat(F.format_string("valid_fraction %.2f below threshold %.2f (", valid, F.lit(least)), cause, F.lit(")"))
+    finite = F.abs(valid) < float("inf")
+    # format_string rounds the shortest decimal form up; format_number the value itself, half to even, with commas
+    share = F.when(finite, F.translate(F.format_number(valid, 2), ",", "")).when(F.isnan(valid), "nan").when(valid.isNotNull(), F.when(valid > 0, "inf").otherwise("-inf"))
+    return F.concat(F.lit("valid_fraction "), share, F.lit(f" below threshold {least:.2f} ("), cause, F.lit(")"))
 
 
 def field_likeness(purity: Column, squareness: Column, acres: Column) -> Column:

@@ -188,10 +188,10 @@ def scouting(spark: SparkSession, sf_dir: str) -> DataFrame:
  round(2 * s_nationkey / 25 + 0.5 + exp(-pow(ln(abs(s_acctbal) + 1) - ln(50.0), 2) / 2), 6) AS likeness FROM supplier""")
 def field_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, a = F.col("s_nationkey"), F.col("s_acctbal")
-    status = F.when(n.isin(1, 2), "dropped").otherwise("kept")
-    missing = F.when(a > 2000, 0.3).otherwise(0.1)
+    status = F.when(n.isNotNull(), F.when(n.isin(1, 2), "dropped").otherwise("kept"))
+    missing = F.when(a.isNotNull(), F.when(a > 2000, 0.3).otherwise(0.1))
     return table(spark, sf_dir, "supplier").select(
-        "s_suppkey", rules.nodata_dominated(status, missing).alias("nodata"), rules.drop_reason(a / 1e5, missing, 0.6).alias("reason"), rules.bare_ground(a / 14286, n > 12, n > 6, F.lit(50)).alias("bare"),
+        "s_suppkey", rules.nodata_dominated(status, missing).alias("nodata"), rules.drop_reason(a / 1e5, missing, 0.6).alias("reason"), rules.bare_ground(a / 4000 * rules.BARE_NDVI, n > 12, n > 6, F.lit(50)).alias("bare"),
         rules.weather_source(n > 12).alias("source"), F.round(rules.field_likeness(n / 25, F.lit(0.5), F.abs(a) + 1), 6).alias("likeness"),
     )
 
