@@ -36,3 +36,9 @@ def test_copies_of_a_place_are_neighbours_in_order_of_id(spark):
         near = sorted((((x - a) ** 2 + (y - b) ** 2) ** 0.5, o) for o, a, b in points if o != i)
         want |= {(i, r + 1): (o, d) for r, (d, o) in enumerate([n for n in near if n[0] <= 1.0][:6])}
     assert {(r.id, r.rank): (r.other, r.d) for r in got} == want and len(got) == len(want)
+
+
+def test_neighbours_at_any_distance_are_not_broadcast(spark, plans):
+    points = spark.createDataFrame([("a", i, float(i % 7), float(i % 5) * i) for i in range(200)], "k string, id long, x double, y double")
+    assert "Broadcast" not in plan(spatial.nearest(points, ["k"], 3, 2.0))
+    assert len(plans) > 2 and not any("Broadcast" in p and "gx" in p for p in plans)
