@@ -42,3 +42,13 @@ def test_neighbours_at_any_distance_are_not_broadcast(spark, plans):
     points = spark.createDataFrame([("a", i, float(i % 7), float(i % 5) * i) for i in range(200)], "k string, id long, x double, y double")
     assert "Broadcast" not in plan(spatial.nearest(points, ["k"], 3, 2.0))
     assert len(plans) > 2 and not any("Broadcast" in p and "gx" in p for p in plans)
+
+
+def test_planting_grids_do_not_broadcast_points(spark, monkeypatch):
+    from tilth.operators import ground
+    from tilth.plans import registry
+
+    seen = []
+    monkeypatch.setattr(ground, "planting_grid", lambda df, keys: seen.append(plan(df)) or df)
+    registry.QUERIES["planting_grids"](spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in seen[0]

@@ -146,5 +146,5 @@ def planting_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "part").select("p_brand", F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), (F.col("p_partkey") % 40).cast("double").alias("y"))
     near = spatial.nearest(points, ["p_brand"], 4, 4.0)
     at = lambda i, x, y: points.select("p_brand", F.col("id").alias(i), F.col("x").alias(x), F.col("y").alias(y))
-    pairs = near.join(at("id", "x1", "y1"), ["p_brand", "id"]).join(at("other", "x2", "y2"), ["p_brand", "other"])
+    pairs = near.join(at("id", "x1", "y1").hint("merge"), ["p_brand", "id"]).join(at("other", "x2", "y2").hint("merge"), ["p_brand", "other"])
     return G.planting_grid(pairs.select("p_brand", (F.col("x2") - F.col("x1")).alias("dx"), (F.col("y2") - F.col("y1")).alias("dy")), ["p_brand"])
