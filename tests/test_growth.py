@@ -52,3 +52,9 @@ def test_planting_grids_do_not_broadcast_points(spark, monkeypatch):
     monkeypatch.setattr(ground, "planting_grid", lambda df, keys: seen.append(plan(df)) or df)
     registry.QUERIES["planting_grids"](spark, "/root/testdata/sf0.001")
     assert "Broadcast" not in seen[0]
+
+
+def test_picks_are_not_broadcast_and_stand_for_their_copies(spark, plans):
+    points = spark.createDataFrame([("a", i, float(i % 7), float(i % 5), float(i % 11)) for i in range(400)] + [("a", 400, float("nan"), 0.0, 1.0)], "k string, id long, x double, y double, score double")
+    got = spatial.greedy_pick(points, ["k"], 50, 3.0).collect()
+    assert 400 in {r.id for r in got} and not any("Broadcast" in p for p in plans)
