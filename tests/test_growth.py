@@ -58,3 +58,12 @@ def test_picks_are_not_broadcast_and_stand_for_their_copies(spark, plans):
     points = spark.createDataFrame([("a", i, float(i % 7), float(i % 5), float(i % 11)) for i in range(400)] + [("a", 400, float("nan"), 0.0, 1.0)], "k string, id long, x double, y double, score double")
     got = spatial.greedy_pick(points, ["k"], 50, 3.0).collect()
     assert 400 in {r.id for r in got} and not any("Broadcast" in p for p in plans)
+
+
+def test_equal_boxes_are_compared_once(spark):
+    boxes = [(i, float(i % 3), 0.0, float(i % 3) + 2.0, 9.0) for i in range(30)] + [(30, 50.0, 50.0, 51.0, 51.0), (31, None, 0.0, 1.0, 1.0)]
+    df = overlap.box_pairs(spark.createDataFrame(boxes, "id long, x0 double, y0 double, x1 double, y1 double"), 4.0, 0.3)
+    assert "HashAggregate" not in plan(df)  # pairs are not made distinct: none is met twice
+    wide = lambda a, b: min(a[3], b[3]) - max(a[1], b[1])
+    want = sorted((a[0], b[0], wide(a, b) * 9.0 / 18.0) for a in boxes[:30] for b in boxes[:30] if a[0] < b[0] and wide(a, b) * 9.0 / 18.0 >= 0.3)
+    assert sorted(map(tuple, df.collect())) == want

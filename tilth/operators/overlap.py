@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilth.functions.geo import in_ring
+from tilth.sources.shared import materialize
 
 
 def cells_of(shapes: DataFrame, keys: list[str], cell: float) -> DataFrame:
@@ -57,12 +58,21 @@ def resample(source: DataFrame, target: DataFrame) -> DataFrame:
 
 def box_pairs(boxes: DataFrame, cell: float, least: float) -> DataFrame:
     """Pairs of boxes (id, x0, y0, x1, y1) whose overlap is at least a share of the smaller; meeting by cells."""
+    # equal boxes are one shape, compared once; a pair of shapes meets in the cell of its overlap's low corner only
+    corners = ["x0", "y0", "x1", "y1"]
+    boxes = boxes.where("id is not null").select("id", *corners).distinct()
+    shapes = materialize(boxes.groupBy(*corners).agg(F.min("id").alias("shape")))
+    members = materialize(boxes.join(shapes.hint("merge"), corners).select("shape", "id"))
     line = lambda c: F.sequence(F.floor(F.col(f"{c}0") / cell), F.floor(F.col(f"{c}1") / cell))
-    spread = boxes.withColumn("i", F.explode(line("x"))).withColumn("j", F.explode(line("y")))
-    other = spread.select("i", "j", *(F.col(c).alias(f"o_{c}") for c in ("id", "x0", "y0", "x1", "y1")))
-    pairs = spread.join(other, ["i", "j"]).where("id < o_id").select("id", "o_id", "x0", "y0", "x1", "y1", "o_x0", "o_y0", "o_x1", "o_y1").distinct()
+    spread = shapes.withColumn("i", F.explode(line("x"))).withColumn("j", F.explode(line("y")))
+    other = spread.select("i", "j", *(F.col(c).alias(f"o_{c}") for c in ("shape", *corners)))
+    low = lambda c: F.floor(F.greatest(f"{c}0", f"o_{c}0") / cell)
+    pairs = spread.join(other.hint("merge"), ["i", "j"]).where((F.struct("shape", *corners) <= F.struct("o_shape", *(f"o_{c}" for c in corners))) & (F.col("i") == low("x")) & (F.col("j") == low("y")))
     wide = F.least("x1", "o_x1") - F.greatest("x0", "o_x0")
     high = F.least("y1", "o_y1") - F.greatest("y0", "o_y0")
     area = lambda p: (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0"))
     share = wide * high / F.least(area(""), area("o_"))
-    return pairs.where((wide > 0) & (high > 0)).select("id", F.col("o_id").alias("other"), share.alias("share")).where(F.col("share") >= least)
+    alike = pairs.where((wide > 0) & (high > 0)).select("shape", "o_shape", share.alias("share")).where(F.col("share") >= least)
+    ids = alike.join(members, "shape").join(members.select(F.col("shape").alias("o_shape"), F.col("id").alias("o_id")), "o_shape")
+    # within one shape each pair comes in both orders
+    return ids.where((F.col("id") < F.col("o_id")) | ((F.col("id") > F.col("o_id")) & (F.col("shape") != F.col("o_shape")))).select(F.least("id", "o_id").alias("id"), F.greatest("id", "o_id").alias("other"), "share")
