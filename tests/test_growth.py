@@ -67,3 +67,17 @@ def test_equal_boxes_are_compared_once(spark):
     wide = lambda a, b: min(a[3], b[3]) - max(a[1], b[1])
     want = sorted((a[0], b[0], wide(a, b) * 9.0 / 18.0) for a in boxes[:30] for b in boxes[:30] if a[0] < b[0] and wide(a, b) * 9.0 / 18.0 >= 0.3)
     assert sorted(map(tuple, df.collect())) == want
+
+
+def test_running_median_writes_no_pairs(spark):
+    rnd = random.Random(5)
+    rows_ = [("a", i, rnd.randrange(-3000, 30000), rnd.choice([rnd.random(), None, 0.5])) for i in range(400)] + [("b", 0, 7, None), ("b", 1, 10**6, float("nan")), (None, 2, 7, 1.0), ("b", 3, None, 1.0)]
+    df = sequences.running_median(spark.createDataFrame(rows_, "k string, id long, s long, v double"), ["k"], "s", "v", 100)
+    assert "Join" not in plan(df)
+    got = {(r.k, r.id): (r.median, r.n) for r in df.collect()}
+    assert got.pop(("b", 0)) == (None, 1) and math.isnan(got.pop(("b", 1))[0])
+    for k, i, s, _ in rows_[:400]:
+        near = [r[3] for r in rows_[:400] if abs(r[2] - s) <= 100]
+        known = [v for v in near if v is not None]
+        assert got.pop((k, i)) == (pytest.approx(statistics.median(known)) if known else None, len(near))
+    assert not got

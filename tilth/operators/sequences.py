@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,16 +56,52 @@ def interpolate(rows: DataFrame, keys: list[str], date: str, value: str) -> Data
     return both.select(*keys, date, F.coalesce(F.col("v0") + (F.col("v1") - F.col("v0")) * F.coalesce(share, F.lit(0.0)), "v0", "v1").alias(value))
 
 
+#: Widths of the window in one block of a running median.
+BLOCK_WINDOWS = 8
+
+
 def running_median(rows: DataFrame, keys: list[str], seconds: str, value: str, half_window: int) -> DataFrame:
-    """Median of all values of the key within the window of each row.
+    """Median of all values of the key within the window of each row (id: once in a key); rows without a key or a time have none.
 
-    The band join is an equi-join by time bins of the window's width: a row meets its own bin and the
-    two beside it, so no key is compared whole with itself.
+    Time is cut into blocks of several windows; a row is sent to its block and to the next one where that sees it.
+    A block is worked through in order of time with the window's values kept sorted, so no pair of rows is
+    ever written.
     """
-    binned = rows.withColumn("bin", F.floor(F.col(seconds) / half_window))
-    left = binned.select(*keys, "id", F.col(seconds).alias("s"), F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
-    right = binned.select(*keys, F.col(seconds).alias("t"), F.col(value).alias("v"), "bin")
-    return left.join(right, [*keys, "bin"]).where(F.abs(F.col("s") - F.col("t")) <= half_window).groupBy(*keys, "id").agg(F.percentile("v", F.lit(0.5)).alias("median"), F.count("*").alias("n"))
+    wide = BLOCK_WINDOWS * half_window
+    block = lambda s: F.floor(s / wide)
+    s = F.col(seconds)
+    placed = rows.where(reduce(Column.__and__, (c.isNotNull() for c in (s, *map(F.col, keys))))).select(*keys, "id", s.alias("s"), F.col(value).cast("double").alias("v"), F.col(value).isNotNull().alias("some"), block(s).alias("own"))
+    sent = placed.withColumn("block", F.explode(F.sequence(block(F.col("s") - half_window), block(F.col("s") + half_window))))
+
+    def slide(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("s", kind="stable")
+        at, some = part["s"].to_numpy(), part["some"].to_numpy(bool)
+        # values by their rank: NaN is the largest, as in SQL
+        ordered, rank = np.unique(part["v"].to_numpy(np.float64), return_inverse=True)
+        rank = rank.tolist()
+        first, last = np.searchsorted(at, at - half_window, "left"), np.searchsorted(at, at + half_window, "right")
+        asked = np.flatnonzero(part["own"].to_numpy() == part["block"].to_numpy())
+        medians, window, lo, hi = np.full(len(asked), np.nan), [], 0, 0
+        known = np.zeros(len(asked), bool)
+        for i, row in enumerate(asked):
+            while hi < last[row]:
+                if some[hi]:
+                    insort(window, rank[hi])
+                hi += 1
+            while lo < first[row]:
+                if some[lo]:
+                    del window[bisect_left(window, rank[lo])]
+                lo += 1
+            if n := len(window):
+                a, b = ordered[window[(n - 1) // 2]], ordered[window[n // 2]]
+                medians[i], known[i] = a if a == b else 0.5 * a + 0.5 * b, True
+        kept = part.iloc[asked]
+        return pd.DataFrame({**{k: kept[k] for k in keys}, "id": kept["id"], "median": medians, "known": known, "n": last[asked] - first[asked]})
+
+    kinds = ", ".join(f"`{c}` {placed.schema[c].dataType.simpleString()}" for c in (*keys, "id"))
+    got = sent.groupBy(*keys, "block").applyInPandas(slide, f"{kinds}, median double, known boolean, n long")
+    # a NaN comes back from pandas as NULL
+    return got.select(*keys, "id", F.when(F.col("known"), F.coalesce("median", F.lit(float("nan")))).alias("median"), "n")
 
 
 def crossings(rows: DataFrame, keys: list[str], order: str, amount: str, needs: list[tuple[str, float]], last_rows: int = 14) -> DataFrame:
