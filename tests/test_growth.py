@@ -81,3 +81,8 @@ def test_running_median_writes_no_pairs(spark):
         known = [v for v in near if v is not None]
         assert got.pop((k, i)) == (pytest.approx(statistics.median(known)) if known else None, len(near))
     assert not got
+
+
+def test_days_of_keys_are_not_broadcast(spark):
+    seen = spark.createDataFrame([(i % 9, 1 + i * 7 % 366, 1995 + i % 4, float(i)) for i in range(100)], "field long, doy int, year int, value double")
+    assert "Broadcast" not in plan(climatology.climatology(seen, ["field"]))

@@ -43,7 +43,8 @@ def climatology(history: DataFrame, keys: list[str], window: int = WINDOW) -> Da
     )
     between = [(F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (p * (F.col("n_obs") - 1) - F.floor(p * (F.col("n_obs") - 1)))).alias(s) for i, (p, s) in enumerate(zip(PROBABILITIES, STATISTICS, strict=True))]
     spine = history.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(1), F.lit(DAYS))).alias("doy"))
-    rows = spine.join(stats, [*keys, "doy"], "left")
+    # both have up to 366 rows a key, which the planner does not see: merged, as a broadcast would go through the driver
+    rows = spine.join(stats.hint("merge"), [*keys, "doy"], "left")
     return rows.select(*keys, "doy", *between, F.coalesce("n_obs", F.lit(0)).alias("n_obs"), F.coalesce("n_years", F.lit(0)).alias("n_years"))
 
 
