@@ -86,3 +86,10 @@ def test_running_median_writes_no_pairs(spark):
 def test_days_of_keys_are_not_broadcast(spark):
     seen = spark.createDataFrame([(i % 9, 1 + i * 7 % 366, 1995 + i % 4, float(i)) for i in range(100)], "field long, doy int, year int, value double")
     assert "Broadcast" not in plan(climatology.climatology(seen, ["field"]))
+
+
+def test_places_are_not_broadcast_to_places(spark, plans):
+    pixels = spark.createDataFrame([(0, r, c, float((r + c) % 5)) for r in range(20) for c in range(20)], "raster long, row long, col long, v double")
+    geometry = spark.createDataFrame([(0, 0.0)], "raster long, direction_deg double")
+    df = rows.repeat_spacing(pixels, geometry, 0.2)
+    assert not any("BroadcastHashJoin" in p and "bin" in p.split("BroadcastHashJoin")[1].split("]")[0] for p in [*plans[1:], plan(df)])

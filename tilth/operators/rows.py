@@ -59,10 +59,11 @@ def repeat_spacing(pixels: DataFrame, geometry: DataFrame, cell_m: float, least_
     reach = int(4 * sigma + 0.5)
     bell = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(math.exp(-d * d / (2 * sigma * sigma))).alias("w")) for d in range(-reach, reach + 1)))
     sent = cells.select("raster", "strip", "h", "bin", F.explode(bell).alias("k")).groupBy("raster", "strip", (F.col("bin") + F.col("k.d")).alias("bin")).agg((F.sum(F.col("h") * F.col("k.w")) / F.sum("k.w")).alias("slow"))
-    detail = materialize(cells.join(sent, ["raster", "strip", "bin"]).select("raster", "strip", "bin", (F.col("h") - F.col("slow")).alias("x"), "h"))
+    # places meet places: merged, as their files are small and a broadcast would go through the driver
+    detail = materialize(cells.join(sent.hint("merge"), ["raster", "strip", "bin"]).select("raster", "strip", "bin", (F.col("h") - F.col("slow")).alias("x"), "h"))
     lagged = detail.select("raster", "strip", F.col("x").alias("y"), F.col("bin").alias("from"), F.explode(F.sequence(F.lit(0), F.lit(most))).alias("lag"))
     lagged = lagged.select("raster", "strip", "lag", "y", (F.col("from") + F.col("lag")).alias("bin"))
-    sums = detail.join(lagged, ["raster", "strip", "bin"]).groupBy("raster", "lag").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.count("*").alias("pairs"), F.sum(F.col("h") * F.col("h")).alias("hh"))
+    sums = detail.join(lagged.hint("merge"), ["raster", "strip", "bin"]).groupBy("raster", "lag").agg(F.sum(F.col("x") * F.col("y")).alias("xy"), F.count("*").alias("pairs"), F.sum(F.col("h") * F.col("h")).alias("hh"))
     zero = sums.where("lag = 0 and xy > 1e-9 * greatest(hh, 1e-12)").select("raster", F.col("xy").alias("xy0"), F.col("pairs").alias("pairs0"))
     acf = sums.join(zero, "raster").withColumn("r", F.col("xy") / F.col("pairs") / (F.col("xy0") / F.col("pairs0")))
     by_lag = Window.partitionBy("raster").orderBy("lag")
