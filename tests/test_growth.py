@@ -93,3 +93,11 @@ def test_places_are_not_broadcast_to_places(spark, plans):
     geometry = spark.createDataFrame([(0, 0.0)], "raster long, direction_deg double")
     df = rows.repeat_spacing(pixels, geometry, 0.2)
     assert not any("BroadcastHashJoin" in p and "bin" in p.split("BroadcastHashJoin")[1].split("]")[0] for p in [*plans[1:], plan(df)])
+
+
+def test_cells_are_not_broadcast_to_cells(spark, plans):
+    classes = spark.createDataFrame([(0, r, c, 1) for r in range(20) for c in range(20)], "raster long, row long, col long, v int")
+    distances.traced_fields(classes, [1], 30.0, inset_m=30.0, neck_m=30.0)
+    assert len(plans) > 6 and not any("BroadcastHashJoin" in p and "col" in p.split("BroadcastHashJoin")[1].split("]")[0] for p in plans)
+    raster.components(classes.select("raster", "row", "col"))
+    assert not any("BroadcastHashJoin" in p and "cell" in p.split("BroadcastHashJoin")[1].split("]")[0] for p in plans)

@@ -101,14 +101,15 @@ def traced_fields(classes: DataFrame, codes: list[int], cell_m: float, inset_m:
     blocks = materialize(R.components(classes.where(crop)).select(*R.PIXEL, F.col("label").alias("block")))
     large = blocks.groupBy("raster", "block").agg(F.count("*").alias("n")).where(acres(F.col("n")) >= least_acres)
     member = materialize(blocks.join(large.select("raster", "block"), ["raster", "block"]))
-    cells = classes.select(*R.PIXEL).join(member, R.PIXEL, "left")
+    # joins of cells with cells are merged: their files are small, and a broadcast would go through the driver
+    cells = classes.select(*R.PIXEL).join(member.hint("merge"), R.PIXEL, "left")
     inner = materialize(opened(cells, F.col("block").isNotNull(), inset_m / cell_m, neck_m / cell_m))
-    parts = materialize(R.components(inner).join(member, R.PIXEL))
+    parts = materialize(R.components(inner).join(member.hint("merge"), R.PIXEL))
     sizes = parts.groupBy("raster", "block", "label").agg(F.count("*").alias("n"), F.avg("row").alias("row"), F.avg("col").alias("col"))
     first = sizes.groupBy("raster", "block").agg(F.max_by(F.struct("label", "n", "row", "col"), F.struct("n", -F.col("label"))).alias("x")).select("raster", "block", "x.*")
     fits = first.withColumn("acres", acres(F.col("n"))).where(F.col("acres").between(least_acres, most_acres))
     own = parts.join(fits.select("raster", "label"), ["raster", "label"])
-    pure = own.join(classes.select(*R.PIXEL, crop.alias("crop")), R.PIXEL).groupBy("raster", "label").agg(F.avg(F.col("crop").cast("double")).alias("purity"))
+    pure = own.join(classes.select(*R.PIXEL, crop.alias("crop")).hint("merge"), R.PIXEL).groupBy("raster", "label").agg(F.avg(F.col("crop").cast("double")).alias("purity"))
     # a hull's corners are the ends of rows
     rims = own.groupBy("raster", "label", "row").agg(F.min("col").alias("c0"), F.max("col").alias("c1"))
 

@@ -63,16 +63,17 @@ def components(cells: DataFrame) -> DataFrame:
     cells = materialize(cells.select("raster", "row", "col", key.alias("cell")))
     kernel = offsets(1, lambda a, b: 1.0 if abs(a) + abs(b) <= 1 else 0.0)
     around = cells.select("raster", F.col("cell").alias("from"), F.explode(kernel).alias("k"), "row", "col").select("raster", "from", ((F.col("row") + F.col("k.dr")) * F.lit(1 << 31) + F.col("col") + F.col("k.dc")).alias("to"))
-    edges = materialize(around.join(cells.select("raster", F.col("cell").alias("to")), ["raster", "to"]))
+    # all are as many as the cells: merged, as their files are small and a broadcast would go through the driver
+    edges = materialize(around.join(cells.select("raster", F.col("cell").alias("to")).hint("merge"), ["raster", "to"]))
     labels = cells.select("raster", "cell", F.col("cell").alias("label"))
     before = None
     while True:
-        low = edges.join(labels.withColumnRenamed("cell", "to"), ["raster", "to"]).groupBy("raster", F.col("from").alias("cell")).agg(F.min("label").alias("label"))
+        low = edges.join(labels.withColumnRenamed("cell", "to").hint("merge"), ["raster", "to"]).groupBy("raster", F.col("from").alias("cell")).agg(F.min("label").alias("label"))
         jump = low.select("raster", F.col("cell").alias("label"), F.col("label").alias("next"))
-        labels = materialize(low.join(jump, ["raster", "label"], "left").select("raster", "cell", F.least("label", F.coalesce("next", "label")).alias("label")))
+        labels = materialize(low.join(jump.hint("merge"), ["raster", "label"], "left").select("raster", "cell", F.least("label", F.coalesce("next", "label")).alias("label")))
         total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if total == before:
-            return cells.join(labels, ["raster", "cell"]).drop("cell")
+            return cells.join(labels.hint("merge"), ["raster", "cell"]).drop("cell")
         before = total
 
 
