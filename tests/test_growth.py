@@ -7,6 +7,7 @@ import statistics
 import pytest
 
 from tilth.operators import climatology, distances, overlap, raster, rows, sequences, spatial
+from tilth.sources.shared import materialize
 
 
 def plan(df):
@@ -25,7 +26,7 @@ def plans(monkeypatch):
 
 def test_neighbours_are_not_broadcast(spark):
     points = spark.createDataFrame([("a", i, float(i % 7), float(i % 5)) for i in range(200)], "k string, id long, x double, y double")
-    assert "Broadcast" not in plan(spatial.nearest_within(points, ["k"], 3, 2.0))
+    assert "Broadcast" not in plan(spatial.nearest_within(materialize(points), ["k"], 3, 2.0))  # files, whose size is known
 
 
 def test_copies_of_a_place_are_neighbours_in_order_of_id(spark):
@@ -85,7 +86,7 @@ def test_running_median_writes_no_pairs(spark):
 
 def test_days_of_keys_are_not_broadcast(spark):
     seen = spark.createDataFrame([(i % 9, 1 + i * 7 % 366, 1995 + i % 4, float(i)) for i in range(100)], "field long, doy int, year int, value double")
-    assert "Broadcast" not in plan(climatology.climatology(seen, ["field"]))
+    assert "Broadcast" not in plan(climatology.climatology(materialize(seen), ["field"]))
 
 
 def test_places_are_not_broadcast_to_places(spark, plans):
