@@ -105,3 +105,34 @@ def test_wrappers_keep_their_story():
     assert text_of(f"<main><div class=search>{story}</div><div class=search>Find</div></main>") == story
     assert text_of(f"<body><div class=widget><p>{story}</p></div><form><label>Name</label></form></body>") == story
     assert text_of(f"<body><div>{story}</div><div class=comments>{story} {story} {story}</div></body>") == story
+
+
+def _same(node, other):
+    """Whether two trees agree in tags, paths, judgements, links and texts."""
+    stack = [(node, other)]
+    while stack:
+        a, b = stack.pop()
+        if isinstance(a, str) or isinstance(b, str):
+            if a != b:
+                return False
+            continue
+        if (a.tag, a.path, a.comment, a.main, a.named, a.links, len(a.children)) != (b.tag, b.path, b.comment, b.main, b.named, b.links, len(b.children)):
+            return False
+        stack += zip(a.children, b.children, strict=True)
+    return True
+
+
+def test_plain_markup_is_read_as_the_parser_reads_it():
+    bits = ["<p>", "</p>", '<div class="ad x">', "</div >", "a &amp; b", '<script>x="</p>"</script>', "<SCRIPT>", "</ script>", "<!-- c -->", "<!-->", "< ", "&lt", "<br/>", '<img src="a&amp;b"/>', "<a href=x>", '<a href="y" b>', "</a>", "<style/>", "</>", "<li>", "</ul>", '<main id="Main">', "<p a=\"b\"c>", "<!doctype html>"]
+    pick = random.Random(5)
+    plain = 0
+    for _ in range(3000):
+        html = "".join(pick.choice(bits) for _ in range(pick.randint(1, 8)))
+        fed, read = H.TreeBuilder(), H.TreeBuilder()
+        fed.feed(html)
+        fed.close()
+        if read.read(html):
+            plain += 1
+            assert _same(fed.root, read.root), html
+        assert _same(fed.root, H.tree(html)), html
+    assert plain > 500

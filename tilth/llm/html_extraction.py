@@ -35,6 +35,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator, Set
+from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
 
 import numpy as np
@@ -72,6 +74,15 @@ OPEN_NAMES = {"search", "widget", "widgets", "form", "overlay", "modal", "alert"
 PLAIN, PARTLY, WHOLLY = 0, 1, 2
 #: Start tags that close an open element, up to the given containers.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: Containers beyond which a start tag of a block doesn't close a paragraph, tags that have no place of their own, and attributes that name.
+_AROUND_P = {"button", "td", "th", "table", "body"} | MAIN_TAGS
+_PLACELESS = INLINE | {"p", "li", "tr", "td", "dt", "dd"}
+_NAMING = ("class", "id", "role", "itemprop")
+#: Markup that needs no rules for errors, with the text after it: an end tag, a start tag (name, attributes, slash), or what is skipped.
+_PLAIN = re.compile(r"""<(?:/([a-z][a-z0-9]*)[ \t\n\r\f]*|([a-z][a-z0-9]*)((?:[ \t\n\r\f]+[a-z][a-z0-9_:-]*(?:="[^"]*")?)*)[ \t\n\r\f]*(/?)|!--[^>]*--|!doctype[^>]*)>([^<]*)""", re.ASCII | re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([a-z][a-z0-9_:-]*)(?:="([^"]*)")?""", re.ASCII | re.IGNORECASE)
+#: The ends of elements whose content is no markup.
+_RAW_END = {tag: re.compile(rf"</\s*{tag}", re.IGNORECASE) for tag in ("script", "style")}
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[a-z0-9]+")
 _ENDS = re.compile(r"[.!?|\u00b7\u2022\u00a9\u2013\u2014]+")
@@ -82,32 +93,74 @@ _MASK = (1 << 63) - 1
 class Node:
     __slots__ = ("children", "comment", "depth", "kinds", "large", "links", "main", "named", "parent", "path", "size", "tag")
 
-    def __init__(self, tag: str, names: list[str], parent: Node | None, place: str):
+    def __init__(self, tag: str, said: str, parent: Node | None, place: str):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
+        names, self.comment, self.main, self.named = _judged_names(tag, said)
         # a path is the hash of its parent's and its own step; below MAX_DEPTH it is that of the level above
-        step = f"{tag}{place}.{'.'.join(names)}"
-        self.path = 0 if not parent else parent.path if self.depth > MAX_DEPTH else xxhash.xxh64_intdigest(step, parent.path) & _MASK
+        self.path = 0 if not parent else parent.path if self.depth > MAX_DEPTH else xxhash.xxh64_intdigest(f"{tag}{place}.{names}", parent.path) & _MASK
         self.children: list[Node | str] = []
-        self.kinds: Counter[str] = Counter()
+        self.kinds: dict[str, int] = {}
         self.links: list[str] = []
-        parts = [_NAME.findall(n) for n in names]
-        whole = {"".join(p) for p in parts}
-        words = {w for p in parts for w in p}
-        self.comment = bool(words & COMMENT_NAMES)
-        self.main = tag == "main" or bool(whole & MAIN_NAMES) or (tag == "article" and not self.comment)
-        self.named = WHOLLY if whole & (NOISE_NAMES - OPEN_NAMES) else PARTLY if words & NOISE_NAMES else PLAIN
         self.size, self.large = 0, False
 
 
+@lru_cache(1 << 14)
+def _judged_names(tag: str, said: str) -> tuple[str, bool, bool, int]:
+    """The names an element has, in order, whether they say comments or main text, and how they say noise."""
+    names = sorted(set(said.split()))
+    parts = [_NAME.findall(n) for n in names]
+    whole = {"".join(p) for p in parts}
+    words = {w for p in parts for w in p}
+    comment = bool(words & COMMENT_NAMES)
+    main = tag == "main" or bool(whole & MAIN_NAMES) or (tag == "article" and not comment)
+    return ".".join(names), comment, main, WHOLLY if whole & (NOISE_NAMES - OPEN_NAMES) else PARTLY if words & NOISE_NAMES else PLAIN
+
+
 class TreeBuilder(HTMLParser):
     """The element tree of a page; paths carry tags, classes and, for containers, the place among like siblings."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#", [], None, "")
+        self.root = self.at = Node("#", "", None, "")
+        self.nodes = [self.root]
         self.open: Counter[str] = Counter()
 
+    def read(self, html: str) -> bool:
+        """Read a page of plain markup as feed() and close() would, in fewer steps; False where the page needs their rules."""
+        at = html.find("<")
+        if at < 0:
+            at = len(html)
+        if at:
+            self.handle_data(unescape(html[:at]))
+        while at < len(html):
+            if not (m := _PLAIN.match(html, at)):
+                return False
+            end, start, attrs, closed, text = m.groups()
+            at = m.end()
+            if start:
+                start = start.lower()
+                said = [(k.lower(), unescape(v) if "&" in v else v) for k, v in _ATTRIBUTE.findall(attrs)] if attrs else []
+                if closed:
+                    self.handle_startendtag(start, said)
+                else:
+                    self.handle_starttag(start, said)
+                    if start in _RAW_END:  # its content is one text up to its end
+                        stop, at = _RAW_END[start].search(html, m.start(5)), m.start(5)
+                        if not stop:
+                            return False
+                        text, at = html[at : stop.start()], stop.start()
+                        if "<!--" in text or not (after := _PLAIN.match(html, at)) or (after[1] or "").lower() != start:
+                            return False
+                        if text:
+                            self.handle_data(text)
+                        continue
+            elif end:
+                self.handle_endtag(end.lower())
+            if text:
+                self.handle_data(unescape(text) if "&" in text else text)
+        return True
+
     def _leave(self, node: Node) -> None:
         """Close all elements down to and with this one."""
         while self.at is not node.parent:
@@ -126,20 +179,23 @@ class TreeBuilder(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag not in INLINE and tag != "br":
-            self._close({"p"}, {"button", "td", "th", "table", "body"} | MAIN_TAGS)
+            if self.open["p"]:
+                self._close({"p"}, _AROUND_P)
         if tag in CLOSES:
             self._close(*CLOSES[tag])
-        target = next((v for k, v in attrs if v and k == ("src" if tag == "img" else "href")), None) if tag in ("a", "img") else None
+        target = next((v for k, v in attrs if v and k == ("src" if tag == "img" else "href")), None) if attrs and tag in ("a", "img") else None
         if target:
             self.at.links.append(target)
         if tag in VOID:
             self.at.children.append("\n" if tag in ("br", "hr") else "")
             return
-        said = " ".join(v.lower() for k, v in attrs if v and k in ("class", "id", "role", "itemprop"))
-        names = sorted(set(said.split()))
-        place = "" if tag in INLINE or tag in ("p", "li", "tr", "td", "dt", "dd") else str(self.at.kinds[tag])
-        self.at.kinds[tag] += 1
-        node = Node(tag, names, self.at, place)
+        said = " ".join([v.lower() for k, v in attrs if v and k in _NAMING]) if attrs else ""
+        kind = 0
+        if tag not in _PLACELESS:
+            kind = self.at.kinds.get(tag, 0)
+            self.at.kinds[tag] = kind + 1
+        node = Node(tag, said, self.at, "" if tag in _PLACELESS else str(kind))
+        self.nodes.append(node)
         self.at.children.append(node)
         self.open[tag] += 1
         self.at = node
@@ -165,11 +221,19 @@ class TreeBuilder(HTMLParser):
 
 def tree(html: str) -> Node:
     builder = TreeBuilder()
-    builder.feed(html)
-    builder.close()
+    if not builder.read(html):
+        builder = TreeBuilder()
+        builder.feed(html)
+        builder.close()
     root = builder.root
-    for node in reversed([*_reach(root, lambda _: False)]):
-        node.size = sum(len(c) if isinstance(c, str) else 0 if (c.tag in NOISE_TAGS and c.tag != "form") or c.named == WHOLLY else c.size for c in node.children)
+    for node in reversed(builder.nodes):  # each after its parent
+        size = 0
+        for c in node.children:
+            if isinstance(c, str):
+                size += len(c)
+            elif not ((c.tag in NOISE_TAGS and c.tag != "form") or c.named == WHOLLY):
+                size += c.size
+        node.size = size
     for node in _reach(root, lambda n: 2 * n.size <= root.size):
         node.large = True
     return root
