@@ -102,3 +102,27 @@ def test_cells_are_not_broadcast_to_cells(spark, plans):
     assert len(plans) > 6 and not any("BroadcastHashJoin" in p and "col" in p.split("BroadcastHashJoin")[1].split("]")[0] for p in plans)
     raster.components(classes.select("raster", "row", "col"))
     assert not any("BroadcastHashJoin" in p and "cell" in p.split("BroadcastHashJoin")[1].split("]")[0] for p in plans)
+
+
+@pytest.fixture
+def no_small_sides(spark):
+    """As with tables too large to be broadcast unasked."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rows_of_a_large_group_are_not_one_task_for_its_quantiles(spark, no_small_sides):
+    from tilth.plans import registry
+
+    assert "SortMergeJoin" not in plan(registry.QUERIES["robust_z_group"](spark, "/root/testdata/sf0.001"))
+
+
+def test_figures_reach_rows_of_few_and_of_many_groups_alike(spark):
+    from tilth.operators.quantiles import beside
+
+    values = spark.createDataFrame([(i % 5, float(i)) for i in range(300)] + [(None, 1.0), (9, 2.0)], "k long, v double")
+    figures = values.where("k < 9").groupBy("k").agg({"v": "max"}).withColumnRenamed("max(v)", "top")
+    few, many, want = (sorted(map(tuple, df.collect())) for df in (beside(values, figures, ["k"]), beside(values, figures, ["k"], few=0), values.join(figures, "k")))
+    assert few == many == want and len(want) == 300

@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tilth.sources.shared import materialize
+
+#: Groups whose figures are sent whole to the rows; those of more are sent to parts of their group.
+FEW_GROUPS = 10_000
+#: Parts that the rows of a group are dealt in, beside the figures of many groups.
+PARTS = 32
+
 #: Rank error of the sketch as one part in so many; groups up to twice as large are ranked whole.
 ACCURACY = 10_000
 
 
+def beside(rows: DataFrame, figures: DataFrame, keys: list[str], few: int = FEW_GROUPS) -> DataFrame:
+    """rows with the figures of their group (one row a group), without a group's rows in one task."""
+    figures = materialize(figures)
+    if figures.count() <= few:
+        return rows.join(F.broadcast(figures), keys)
+    parts = figures.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(*rows.columns), F.lit(PARTS)).cast("int"))
+    return dealt.join(parts.hint("merge"), [*keys, "_part"]).drop("_part")
+
+
 def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities: list[float]) -> DataFrame:
     """keys and q: exact quantiles (linear between ranks) of each group; NULL and NaN take no part.
 
@@ -22,10 +39,10 @@ def exact_quantiles(rows: DataFrame, keys: list[str], value: str, probabilities:
     small = F.col("n") <= 2 * ACCURACY
     lo = lambda i: F.when(small, float("-inf")).otherwise(F.get("b", F.lit(2 * i)))
     hi = lambda i: F.when(small, float("inf")).otherwise(F.get("b", F.lit(2 * i + 1)))
-    beside = rows.join(bounds, keys)
-    below = beside.groupBy(*keys, "n").agg(*(F.count_if(F.col("v") < lo(i)).alias(f"below{i}") for i in range(count)))
+    judged = beside(rows, bounds, keys)
+    below = judged.groupBy(*keys, "n").agg(*(F.count_if(F.col("v") < lo(i)).alias(f"below{i}") for i in range(count)))
     inside = F.array_compact(F.array(*(F.when(F.col("v").between(lo(i), hi(i)), i) for i in range(count))))
-    values = beside.select(*keys, "v", F.explode(inside).alias("i")).groupBy(*keys, "i", "v").agg(F.count("*").alias("w"))
+    values = judged.select(*keys, "v", F.explode(inside).alias("i")).groupBy(*keys, "i", "v").agg(F.count("*").alias("w"))
     upto = F.sum("w").over(Window.partitionBy(*keys, "i").orderBy("v"))
     start = F.get(F.array(*(f"below{i}" for i in range(count))), F.col("i"))
     ranked = values.withColumn("upto", upto).join(below, keys).withColumn("upto", F.col("upto") + start)
