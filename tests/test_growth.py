@@ -126,3 +126,9 @@ def test_figures_reach_rows_of_few_and_of_many_groups_alike(spark):
     figures = values.where("k < 9").groupBy("k").agg({"v": "max"}).withColumnRenamed("max(v)", "top")
     few, many, want = (sorted(map(tuple, df.collect())) for df in (beside(values, figures, ["k"]), beside(values, figures, ["k"], few=0), values.join(figures, "k")))
     assert few == many == want and len(want) == 300
+
+
+def test_places_are_not_broadcast_for_the_sizes_of_their_keys(spark, plans):
+    points = spark.createDataFrame([("a", i, float(i % 7), float(i % 5) * i) for i in range(200)], "k string, id long, x double, y double")
+    spatial.nearest(materialize(points), ["k"], 3, 2.0)  # a small file of places is one that the planner would send
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
