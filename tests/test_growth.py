@@ -132,3 +132,10 @@ def test_places_are_not_broadcast_for_the_sizes_of_their_keys(spark, plans):
     points = spark.createDataFrame([("a", i, float(i % 7), float(i % 5) * i) for i in range(200)], "k string, id long, x double, y double")
     spatial.nearest(materialize(points), ["k"], 3, 2.0)  # a small file of places is one that the planner would send
     assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_rows_of_a_large_group_are_not_one_task_for_its_plane(spark, plans, no_small_sides):
+    points = spark.createDataFrame([("a", float(i % 7), float(i % 5), float(i % 7 + (i % 5) / 2 + (i % 11 == 0) * 50)) for i in range(300)], "k string, x double, y double, z double")
+    fit = spatial.robust_plane(points, ["k"]).first()
+    assert abs(fit.b - 1) < 1e-9 and abs(fit.c - 0.5) < 1e-9
+    assert len(plans) == 6 and not any("SortMergeJoin" in p for p in plans)
