@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tilth.operators.quantiles import exact_quantiles
 from tilth.functions import geo
 from tilth.operators import raster
-from tilth.sources.shared import materialize
+from tilth.sources.shared import materialize, release
 
 
 def survey(shots: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,21 +83,43 @@ def row_geometry(tiles: DataFrame, least_m: float, most_m: float) -> DataFrame:
     return tiles.select("tile", "cell_m", "n", "v").mapInPandas(peak, "tile long, spacing_m double, across_deg double, strength double")
 
 
-def crowns(pixels: DataFrame, least: float) -> DataFrame:
-    """Crowns of a height raster: each pixel follows its highest neighbour up to a top, pointers are jumped.
+def crowns(pixels: DataFrame, least: float, tile: int = raster.TILE) -> DataFrame:
+    """Crowns of a height raster: each pixel follows its highest neighbour up to a top.
 
-    Pixels are cells of at least the given height; ties go to the least cell key.
+    Pixels are cells of at least the given height; ties go to the least cell key. Paths are followed tile by tile; only
+    those that leave their tile are followed between tiles, by pointers at the tiles' edges that are jumped.
     """
-    high = pixels.where(F.col("v") >= least).select("raster", "row", "col", "v", (F.col("row") * F.lit(1 << 31) + F.col("col")).alias("cell"))
-    around = high.select("raster", "v", "cell", F.explode(raster.offsets(1)).alias("k"), "row", "col").select("raster", "v", F.col("cell").alias("from"), (F.col("row") + F.col("k.dr")).alias("row"), (F.col("col") + F.col("k.dc")).alias("col"))
-    to = around.groupBy("raster", "row", "col").agg(F.min_by("from", F.struct(-F.col("v"), F.col("from"))).alias("top"))
-    pointers = materialize(high.join(to, ["raster", "row", "col"]).select("raster", "row", "col", "cell", "top", "v"))
-    while True:
-        jump = pointers.select("raster", F.col("cell").alias("top"), F.col("top").alias("next"))
-        moved = materialize(pointers.join(jump, ["raster", "top"]).select("raster", "row", "col", "cell", F.col("next").alias("top"), "v", (F.col("next") != F.col("top")).alias("moved")))
-        pointers = moved.drop("moved")
-        if moved.where("moved").isEmpty():
-            return pointers.select("raster", "row", "col", F.col("top").alias("crown"), "v")
+    high = pixels.where(F.col("v") >= least).select("raster", "row", "col", F.col("v").cast("double").alias("v"), (F.col("row") * F.lit(1 << 31) + F.col("col")).alias("cell"))
+
+    def follow(frame: pd.DataFrame, r: np.ndarray, c: np.ndarray, own: np.ndarray, width: int) -> pd.DataFrame:
+        n = len(frame)
+        place = raster.flood_order(frame)
+        grid = np.full((width + 2, width + 2), n)
+        grid[r + 1, c + 1] = place
+        first = np.minimum.reduce([grid[r + 1 + a, c + 1 + b] for a in (-1, 0, 1) for b in (-1, 0, 1)])
+        at = np.empty(n, dtype=np.int64)
+        at[place] = np.arange(n)
+        to = np.where(own, at[first], np.arange(n))  # pixels of the halo end a path here
+        while not np.array_equal(to, after := to[to]):
+            to = after
+        out = frame.loc[own, ["raster", "row", "col", "cell", "v"]].copy()
+        out["top"], out["leaves"] = frame["cell"].to_numpy()[to[own]], ~own[to[own]]
+        return out
+
+    kinds = {f.name: f.dataType.simpleString() for f in high.schema}
+    schema = f"raster {kinds['raster']}, row {kinds['row']}, col {kinds['col']}, cell long, v double, top long, leaves boolean"
+    pointers = materialize(raster.in_tiles(high, 1, follow, schema, tile))
+    edge = F.pmod("row", F.lit(tile)).isin(0, tile - 1) | F.pmod("col", F.lit(tile)).isin(0, tile - 1)
+    links = materialize(pointers.where(edge).select("raster", "cell", "top", "leaves"))
+    while not links.where("leaves").isEmpty():
+        jump = links.select("raster", F.col("cell").alias("top"), F.col("top").alias("next"), F.col("leaves").alias("next_leaves"))
+        gone = links.where("leaves").join(jump.hint("merge"), ["raster", "top"]).select("raster", "cell", F.col("next").alias("top"), F.col("next_leaves").alias("leaves"))
+        after = materialize(links.where("not leaves").union(gone))
+        release(links)
+        links = after
+    ends = links.select("raster", F.col("cell").alias("top"), F.col("top").alias("crown"))
+    beyond = pointers.where("leaves").join(ends.hint("merge"), ["raster", "top"])
+    return pointers.where("not leaves").select("raster", "row", "col", F.col("top").alias("crown"), "v").union(beyond.select("raster", "row", "col", "crown", "v"))
 
 
 def paint(photos: DataFrame, cells: DataFrame, reach: float) -> DataFrame:

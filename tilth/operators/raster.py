@@ -7,13 +7,18 @@ an equi-join on the cell whatever the raster's size.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilth.sources.shared import materialize
 
 PIXEL = ["raster", "row", "col"]
+#: Rows and columns of a tile.
+TILE = 128
 
 
 def zonal(pixels: DataFrame, zones: list[str], value: str, cover_above: float, cell_area: float) -> DataFrame:
@@ -41,6 +46,32 @@ def focal(pixels: DataFrame, kernel: Column, how: str = "mean") -> DataFrame:
     return pixels.join(sent.groupBy(*PIXEL).agg(made.alias("f")), PIXEL, "left").withColumn("f", F.when(F.col("v").isNotNull(), F.col("f")))
 
 
+def in_tiles(pixels: DataFrame, halo: int, made: Callable, schema: str, tile: int = TILE) -> DataFrame:
+    """Tiles of a raster one at a time: made(frame, r, c, own, width) gives the rows of a tile.
+
+    A pixel goes to each tile whose halo holds it (few go to more than one). r and c are the places of the frame's pixels
+    on a square of the given width, and own marks those of the tile itself.
+    """
+    tile = max(tile, halo, 1)
+    width = tile + 2 * halo
+
+    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        r, c = (frame[a].to_numpy() - b * tile + halo for a, b in (("row", key[1]), ("col", key[2])))
+        own = (r >= halo) & (r < halo + tile) & (c >= halo) & (c < halo + tile)
+        return made(frame, r, c, own, width)
+
+    tiles = lambda c: F.explode(F.sequence(F.floor((F.col(c) - halo) / tile), F.floor((F.col(c) + halo) / tile)))
+    sent = pixels.withColumn("tile_row", tiles("row")).withColumn("tile_col", tiles("col"))
+    return sent.groupBy("raster", "tile_row", "tile_col").applyInPandas(one, schema)
+
+
+def flood_order(frame: pd.DataFrame) -> np.ndarray:
+    """The place of each pixel (v, cell) in the order of a flood: highest first, then by cell."""
+    place = np.empty(len(frame), dtype=np.int64)
+    place[np.lexsort((frame["cell"].to_numpy(), -frame["v"].to_numpy()))] = np.arange(len(frame))
+    return place
+
+
 def block_reduce(pixels: DataFrame, size: int) -> DataFrame:
     """Mean, count and coverage of square blocks."""
     return pixels.groupBy("raster", F.floor(F.col("row") / size).alias("row"), F.floor(F.col("col") / size).alias("col")).agg(F.avg("v").alias("v"), F.count("v").alias("n"), (F.count("v") / (size * size)).alias("covered"))
