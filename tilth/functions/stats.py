@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -9,6 +11,19 @@ IQR_TO_SIGMA = 1.349
 DAYS = 366
 
 
+def once(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made(value), in which the value is worked out once, however often it is read.
+
+    The planner writes a struct's fields, and functions over arrays work out what they read, anew at each place.
+    """
+    return F.get(F.transform(F.array(value), made), F.lit(0))
+
+
+def number(text: Column, kind: str) -> Column:
+    """The number that a text is; NULL for an empty text, without the exception that a cast would raise and catch for each."""
+    return once(text, lambda x: F.when(x != "", x.try_cast(kind)))
+
+
 def circular_distance(a: Column, b: Column, size: int = DAYS) -> Column:
     return F.least(F.abs(a - b), size - F.abs(a - b))
 
