@@ -124,7 +124,9 @@ def crowns(pixels: DataFrame, least: float, tile: int = raster.TILE) -> DataFram
 
 def paint(photos: DataFrame, cells: DataFrame, reach: float) -> DataFrame:
     """For each cell (i, j, x, y) the photo whose middle is nearest within its reach; the first photo wins ties."""
-    spread = photos.withColumn("gi", F.explode(F.sequence(F.floor((F.col("px") - reach) / reach), F.floor((F.col("px") + reach) / reach)))).withColumn("gj", F.explode(F.sequence(F.floor((F.col("py") - reach) / reach), F.floor((F.col("py") + reach) / reach))))
+    # of photos at one place only the first can win, so pairs are bounded by places
+    places = photos.groupBy("px", "py").agg(F.min("photo").alias("photo"))
+    spread = places.withColumn("gi", F.explode(F.sequence(F.floor((F.col("px") - reach) / reach), F.floor((F.col("px") + reach) / reach)))).withColumn("gj", F.explode(F.sequence(F.floor((F.col("py") - reach) / reach), F.floor((F.col("py") + reach) / reach))))
     placed = cells.withColumn("gi", F.floor(F.col("x") / reach)).withColumn("gj", F.floor(F.col("y") / reach))
     d = F.sqrt(F.pow(F.col("x") - F.col("px"), F.lit(2.0)) + F.pow(F.col("y") - F.col("py"), F.lit(2.0)))
     seen = placed.join(spread, ["gi", "gj"]).withColumn("d", F.round(d, 9)).where(F.col("d") <= reach)
