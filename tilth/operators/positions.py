@@ -59,10 +59,10 @@ def groups(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     ends = materialize(pairs.select("flight", "i", "j").union(pairs.select("flight", F.col("j").alias("i"), F.col("i").alias("j"))).distinct())
     labels = materialize(nodes.select("flight", "photo", F.col("photo").alias("group")))
     while True:
-        near = ends.join(labels.withColumnRenamed("photo", "j"), ["flight", "j"]).groupBy("flight", F.col("i").alias("photo")).agg(F.min("group").alias("low"))
-        low = labels.join(near, ["flight", "photo"], "left").select("flight", "photo", F.col("group").alias("was"), F.least("group", F.coalesce("low", "group")).alias("group"))
+        near = ends.join(labels.withColumnRenamed("photo", "j").hint("merge"), ["flight", "j"]).groupBy("flight", F.col("i").alias("photo")).agg(F.min("group").alias("low"))
+        low = labels.join(near.hint("merge"), ["flight", "photo"], "left").select("flight", "photo", F.col("group").alias("was"), F.least("group", F.coalesce("low", "group")).alias("group"))
         jump = labels.select("flight", F.col("photo").alias("group"), F.col("group").alias("next"))
-        after = materialize(low.join(jump, ["flight", "group"]).select("flight", "photo", F.least("group", "next").alias("group"), "was"))
+        after = materialize(low.join(jump.hint("merge"), ["flight", "group"]).select("flight", "photo", F.least("group", "next").alias("group"), "was"))
         release(labels)
         labels = after.select("flight", "photo", "group")
         if after.where("group != was").isEmpty():
@@ -85,7 +85,7 @@ def pair_sums(ties: DataFrame) -> DataFrame:
 def _product(sums: DataFrame, vector: DataFrame) -> DataFrame:
     """flight, photo and the normal matrix times the vector (zx, zy, tx, ty by photo)."""
     side = lambda s: vector.select("flight", F.col("photo").alias(s), *(F.col(c).alias(f"{c}{s}") for c in _PARTS))
-    rows = sums.join(side("i"), ["flight", "i"]).join(side("j"), ["flight", "j"])
+    rows = sums.join(side("i").hint("merge"), ["flight", "i"]).join(side("j").hint("merge"), ["flight", "j"])
     z1, t1, z2, t2, n = _at("z", "i"), _at("t", "i"), _at("z", "j"), _at("t", "j"), F.col("n")
     p, q, pq = _at("sp"), _at("sq"), _at("pq")
     apart = z1 * p + (t1 - t2).times(n) - z2 * q
@@ -110,14 +110,14 @@ def least_squares(photos: DataFrame, ties: DataFrame, tolerance: float = 1e-10,
     found = _product(sums, start)
     free = lambda c: F.when(F.col("held"), 0.0).otherwise(c)
     by = lambda c: F.col("dz" if c[0] == "z" else "dt")
-    first = start.join(scale, ["flight", "photo"]).join(found.select("flight", "photo", *(F.col(c).alias(f"g{c}") for c in _PARTS)), ["flight", "photo"])
+    first = start.join(scale.hint("merge"), ["flight", "photo"]).join(found.select("flight", "photo", *(F.col(c).alias(f"g{c}") for c in _PARTS)).hint("merge"), ["flight", "photo"])
     state = materialize(first.select("flight", "photo", "held", "dz", "dt", *_PARTS, *(free(-F.col(f"g{c}")).alias(f"r{c}") for c in _PARTS), *(free(-F.col(f"g{c}") / by(c)).alias(f"d{c}") for c in _PARTS)))
     dot = lambda a, b, how: F.sum(sum((how(F.col(f"{a}{c}") * F.col(f"{b}{c}"), c) for c in _PARTS), F.lit(0.0)))
     plain, scaled = (lambda x, c: x), (lambda x, c: x / by(c))
     begin = None
     for _ in range(most):
         product = _product(sums, state.select("flight", "photo", *(F.col(f"d{c}").alias(c) for c in _PARTS)))
-        step = materialize(state.join(product.select("flight", "photo", *(F.col(c).alias(f"q{c}") for c in _PARTS)), ["flight", "photo"]).withColumns({f"q{c}": free(F.col(f"q{c}")) for c in _PARTS}))
+        step = materialize(state.join(product.select("flight", "photo", *(F.col(c).alias(f"q{c}") for c in _PARTS)).hint("merge"), ["flight", "photo"]).withColumns({f"q{c}": free(F.col(f"q{c}")) for c in _PARTS}))
         dq, rr, rq, qq = step.agg(dot("d", "q", plain), dot("r", "r", scaled), dot("r", "q", scaled), dot("q", "q", scaled)).first()
         begin = rr if begin is None else begin
         if not rr or not dq or rr <= begin * tolerance**2:
@@ -129,7 +129,7 @@ def least_squares(photos: DataFrame, ties: DataFrame, tolerance: float = 1e-10,
         after = materialize(step.select("flight", "photo", "held", "dz", "dt", *((F.col(c) + alpha * F.col(f"d{c}")).alias(c) for c in _PARTS), *(rest[c].alias(f"r{c}") for c in _PARTS), *((rest[c] / by(c) + beta * F.col(f"d{c}")).alias(f"d{c}") for c in _PARTS)))
         release(step, state)
         state = after
-    alone = start.join(state.select("flight", "photo"), ["flight", "photo"], "left_anti")
+    alone = start.join(state.select("flight", "photo").hint("merge"), ["flight", "photo"], "left_anti")
     out = materialize(state.select("flight", "photo", *_PARTS, "held").union(alone.select("flight", "photo", *_PARTS, "held")))
     release(state, sums)
     return out
@@ -138,7 +138,7 @@ def least_squares(photos: DataFrame, ties: DataFrame, tolerance: float = 1e-10,
 def tie_errors(placed: DataFrame, ties: DataFrame) -> DataFrame:
     """flight, i, j and error: root mean square distance of a pair's points."""
     side = lambda s: placed.select("flight", F.col("photo").alias(s), *(F.col(c).alias(f"{c}{s}") for c in _PARTS))
-    rows = ties.join(side("i"), ["flight", "i"]).join(side("j"), ["flight", "j"])
+    rows = ties.join(side("i").hint("merge"), ["flight", "i"]).join(side("j").hint("merge"), ["flight", "j"])
     apart = _at("z", "i") * _at("p") + _at("t", "i") - _at("z", "j") * _at("q") - _at("t", "j")
     return rows.groupBy(*_PAIR).agg(F.sqrt(F.avg(apart.square())).alias("error"))
 
@@ -152,45 +152,45 @@ def place(photos: DataFrame, ties: DataFrame, rounds: int = 3, tolerance: float
     sized as the flight's largest settled group was (basis like).
     """
     middle = photos.groupBy("flight").agg(F.avg("east").alias("me"), F.avg("north").alias("mn"))
-    own = materialize(photos.join(middle, "flight").select("flight", "photo", "zx", "zy", (F.col("east") - F.col("me")).alias("tx"), (F.col("north") - F.col("mn")).alias("ty"), "me", "mn"))
+    own = materialize(photos.join(middle.hint("merge"), "flight").select("flight", "photo", "zx", "zy", (F.col("east") - F.col("me")).alias("tx"), (F.col("north") - F.col("mn")).alias("ty"), "me", "mn"))
     ties = materialize(ties.select(*_PAIR, "px", "py", "qx", "qy"))
     for turn in range(rounds):
         pairs = ties.groupBy(*_PAIR).agg(F.count("*").alias("n"))
         group = groups(own, pairs)
         degree = pairs.select("flight", F.explode(F.array("i", "j")).alias("photo"), "n").groupBy("flight", "photo").agg(F.sum("n").alias("n"))
-        known = group.join(degree, ["flight", "photo"], "left")
+        known = group.join(degree.hint("merge"), ["flight", "photo"], "left")
         anchor = known.groupBy("flight", "group").agg(F.min_by("photo", F.struct(-F.coalesce("n", F.lit(0)), F.col("photo"))).alias("anchor"))
-        member = materialize(group.join(anchor, ["flight", "group"]))
-        placed = least_squares(own.join(member, ["flight", "photo"]).withColumn("held", F.col("photo") == F.col("anchor")), ties, tolerance)
+        member = materialize(group.join(anchor.hint("merge"), ["flight", "group"]))
+        placed = least_squares(own.join(member.hint("merge"), ["flight", "photo"]).withColumn("held", F.col("photo") == F.col("anchor")), ties, tolerance)
         errors = materialize(tie_errors(placed, ties))
         limit = exact_quantiles(errors, ["flight"], "error", [0.5]).select("flight", F.greatest(F.lit(PAIR_OUTLIER_M), 5 * F.get("q", F.lit(0))).alias("limit"))
-        off = materialize(errors.join(limit, "flight").where("error > limit").select(*_PAIR))
+        off = materialize(errors.join(limit.hint("merge"), "flight").where("error > limit").select(*_PAIR))
         if turn + 1 == rounds or off.isEmpty():
             break
-        ties = materialize(ties.join(off, _PAIR, "left_anti"))
+        ties = materialize(ties.join(off.hint("merge"), _PAIR, "left_anti"))
     return _onto_gps(placed, own, member)
 
 
 def _onto_gps(placed: DataFrame, own: DataFrame, member: DataFrame) -> DataFrame:
-    rows = placed.select("flight", "photo", *_PARTS).join(own.select("flight", "photo", F.col("zx").alias("z0x"), F.col("zy").alias("z0y"), F.col("tx").alias("gx"), F.col("ty").alias("gy"), "me", "mn"), ["flight", "photo"]).join(member.select("flight", "photo", "group"), ["flight", "photo"])
+    rows = placed.select("flight", "photo", *_PARTS).join(own.select("flight", "photo", F.col("zx").alias("z0x"), F.col("zy").alias("z0y"), F.col("tx").alias("gx"), F.col("ty").alias("gy"), "me", "mn").hint("merge"), ["flight", "photo"]).join(member.select("flight", "photo", "group").hint("merge"), ["flight", "photo"])
     rows = materialize(rows)
     mean = rows.groupBy("flight", "group").agg(F.count("*").alias("n"), *(F.avg(c).alias(f"m{c}") for c in ("tx", "ty", "gx", "gy")), F.min("photo").alias("least"))
     t, g = _at("t") - _at("mt"), _at("g") - _at("mg")
     cross = t.conj() * g
-    fit = rows.join(mean, ["flight", "group"]).groupBy("flight", "group", "n", "least", "mtx", "mty", "mgx", "mgy").agg(F.sum(cross.re).alias("cx"), F.sum(cross.im).alias("cy"), F.sum(t.square()).alias("tt"), F.avg(g.square()).alias("gg"))
+    fit = rows.join(mean.hint("merge"), ["flight", "group"]).groupBy("flight", "group", "n", "least", "mtx", "mty", "mgx", "mgy").agg(F.sum(cross.re).alias("cx"), F.sum(cross.im).alias("cy"), F.sum(t.square()).alias("tt"), F.avg(g.square()).alias("gg"))
     error = F.degrees(F.atan2(F.lit(GPS_NOISE_M), F.sqrt("gg") * F.sqrt("n")))
     settled = (F.col("n") >= 3) & (error <= MAX_TURN_ERROR_DEG) & (F.col("tt") > 0)
     fit = fit.withColumn("settled", settled).withColumns({"sx": F.when(settled, F.col("cx") / F.col("tt")).otherwise(1.0), "sy": F.when(settled, F.col("cy") / F.col("tt")).otherwise(0.0)})
     # how the largest settled group's tags were off, by its least photo
     lead = fit.where("settled").groupBy("flight").agg(F.min_by("group", F.struct(-F.col("n"), F.col("group"))).alias("group"))
-    first = rows.join(lead, ["flight", "group"]).join(fit.select("flight", "group", "least", "sx", "sy"), ["flight", "group"]).where("photo = least")
+    first = rows.join(lead.hint("merge"), ["flight", "group"]).join(fit.select("flight", "group", "least", "sx", "sy").hint("merge"), ["flight", "group"]).where("photo = least")
     was = (_at("z") * _at("s")).over(_at("z0"))
     correction = first.select("flight", was.re.alias("kx"), was.im.alias("ky"))
-    fit = fit.join(correction, "flight", "left")
+    fit = fit.join(correction.hint("merge"), "flight", "left")
     like = ~F.col("settled") & F.col("kx").isNotNull()
     pick = lambda c: F.when(like, F.col(f"k{c}")).otherwise(F.col(f"s{c}"))
     fit = fit.select("flight", "group", "mtx", "mty", "mgx", "mgy", pick("x").alias("sx"), pick("y").alias("sy"), F.when(F.col("settled"), "turn").when(like, "like").otherwise("shift").alias("basis"))
-    both = rows.join(fit, ["flight", "group"])
+    both = rows.join(fit.hint("merge"), ["flight", "group"])
     # a group that is turned like another keeps the spread that its GPS places have
     size = F.when(F.col("basis") == "like", F.sqrt(_at("s").square())).otherwise(1.0)
     z, place_ = _at("z") * _at("s"), _at("mg") + (_at("t") - _at("mt")) * _at("s").times(1 / size)
