@@ -204,6 +204,24 @@ def test_passages_that_many_documents_share_bring_no_pairs(spark):
     assert (7, 300) in {(r.a, r.b) for r in pairs} and len(pairs) < 300
 
 
+def test_sets_with_too_many_features_of_their_own_are_not_paired(spark):
+    """Copies of a text, each with other words in it than the rest: below the threshold, whatever they still share; the linked one is paired."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(1500)]
+    texts = []
+    for i in range(60):
+        own = list(base)
+        for at in range(i % 30, 1500, 37):
+            own[at] = word()
+        texts.append((i, " ".join(own)))
+    texts.append((60, texts[7][1].rsplit(" ", 3)[0]))
+    docs = spark.createDataFrame(texts, "doc long, text string").repartition(4)
+    none = spark.createDataFrame([], "doc long, comp long")
+    pairs = jaccard_join.beside_pivots(docs.selectExpr("1L sig", "doc"), docs, none, 3, 90).collect()
+    assert (7, 60) in {(r.a, r.b) for r in pairs} and len(pairs) < 60
+
+
 def test_slot_counts_are_those_of_all_sets(spark):
     texts = [("a b c d", ), ("b c d e", ), (None, ), ("", ), ("a b c d", )]
     counts = jaccard_join.slot_counts(spark.createDataFrame(texts, "text string").repartition(3), 3)

@@ -15,10 +15,12 @@ signatures have the most sets, which is the middle of a group of near copies. Se
 with it get a pivot among themselves, PIVOT_ROUNDS times, so that several groups under one signature
 are each connected through their own middle. Where a signature then still has sets of different
 components, two of its sets are compared if they also share one of their rarest features, as many as
-linked sets must share one of (see rare_features()), and if their sizes and parity maps leave a link
-possible. Passages that many documents repeat are frequent and so hardly ever among the rarest. Every
-compared pair is verified on whole texts, and no link between components is missed. Within a component
-no pairs are made; of components that share a rare feature, the sets that have it meet.
+linked sets must share one of (see rare_features()), and if its places in both, their sizes and their
+parity maps leave a link possible: the features before the first shared one are in one set only (see
+placed_features()), so sets that have too many of their own do not meet. Passages that many documents
+repeat are frequent and so hardly ever among the rarest. Every compared pair is verified on whole texts,
+and no link between components is missed. Within a component no pairs are made; components meet by the
+sizes of their sets that have a feature, and only of sizes that may be linked the sets themselves.
 
 Null and empty texts have the empty set. Null doc_ids count as the smallest id and are shown as null.
 Rows that repeat a doc_id count as one document with the links of all of them. An empty table gives
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilth.llm.common import RangeHash, blocks, bucket_count, from_planes, materialize, meeting_keys, mix, planes, release, table, text_bytes
+from tilth.llm.common import RangeHash, blocks, bucket_count, from_planes, materialize, meeting_keys, mix, planes, release, signed, table, text_bytes
 
 #: Partitions of the domain tried for sets that leave too many parts of it empty.
 TURNS = 6
@@ -280,6 +282,15 @@ def slot_counts(texts: DataFrame, width: int) -> np.ndarray:
     return np.minimum(whole.ravel(), np.iinfo(np.int32).max).astype(np.int32)
 
 
+def _rarest(rows: np.ndarray, hashes: np.ndarray, sizes: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, hashes and ranks of each set's rarest features, as many as linked sets share one of."""
+    order = np.lexsort((hashes, counts[_slots(hashes)], rows))
+    rows, hashes = rows[order], hashes[order]
+    rank = np.arange(len(rows)) - (np.cumsum(sizes) - sizes)[rows]
+    kept = rank < (sizes + -sizes * percent // 100 + 1)[rows]
+    return rows[kept], hashes[kept], rank[kept]
+
+
 def rare_features(texts: DataFrame, counts: np.ndarray, width: int, percent: int, buckets: int) -> DataFrame:
     """key, doc: features that two of texts (doc, text) or more have among their rarest.
 
@@ -292,18 +303,32 @@ def rare_features(texts: DataFrame, counts: np.ndarray, width: int, percent: int
         doc = batch.column("doc").to_numpy()
         keys, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         for a, _, rows, hashes, sizes, _ in _hashed_sets(batch, width):
-            order = np.lexsort((hashes, counts[_slots(hashes)], rows))
-            rows, hashes = rows[order], hashes[order]
-            rank = np.arange(len(rows)) - (np.cumsum(sizes) - sizes)[rows]
-            take = sizes + -sizes * percent // 100 + 1
-            kept = rank < take[rows]
-            keys.append(mix(hashes[kept]))
-            ids.append(doc[a + rows[kept]])
+            rows, hashes, _ = _rarest(rows, hashes, sizes, counts, percent)
+            keys.append(mix(hashes))
+            ids.append(doc[a + rows])
         return np.concatenate(keys), np.concatenate(ids)
 
     return meeting_keys(texts.select("doc", "text"), own_rarest, buckets, repeats=True).withColumnRenamed("id", "doc")
 
 
+def placed_features(texts: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
+    """key, doc, n (set size) and over for the rarest features of each of texts (doc, text).
+
+    Of the features in a set before the first that it shares with another, by the order of rare_features(),
+    the other has none. With r of them and sizes n and m, linked sets keep percent * m <= percent * n - over,
+    where over = (100 + percent) * r - (100 - percent) * n, and the same the other way round.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc = batch.column("doc").to_numpy()
+            for a, _, rows, hashes, sizes, _ in _hashed_sets(batch, width):
+                rows, hashes, rank = _rarest(rows, hashes, sizes, counts, percent)
+                yield pa.RecordBatch.from_arrays([signed(mix(hashes)), pa.array(doc[a + rows]), pa.array(sizes[rows]), pa.array((100 + percent) * rank - (100 - percent) * sizes[rows])], names=["key", "doc", "n", "over"])
+
+    return texts.select("doc", "text").mapInArrow(run, "key long, doc long, n long, over long")
+
+
 def parity_maps(texts: DataFrame, width: int) -> DataFrame:
     """doc, n (set size) and the parity map of the set for each of texts (doc, text)."""
 
@@ -331,21 +356,29 @@ def beside_pivots(members: DataFrame, texts: DataFrame, groups: DataFrame, width
     mixed = hits.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     met = materialize(hits.join(mixed, "key"))
     release(hits)
-    few = materialize(met.join(parity_maps(open_texts.join(met.select("doc").distinct(), "doc", "left_semi"), width), "doc"))
-    release(met, open_texts)
-    # groups first, so that rows of one group do not meet each other; only pairs that may be linked leave the join
-    sides = few.select("key", F.col("comp").alias("cx")).distinct().join(few.select("key", F.col("comp").alias("cy")).distinct(), "key").where("cx < cy")
-    side = lambda c: few.select(F.col("key").alias(f"key{c}"), F.col("comp").alias(f"comp{c}"), F.col("doc").alias(c), F.col("n").alias(f"n{c}"), *(F.col(m).alias(f"{m}{c}") for m in _MAP))
+    met_texts = open_texts.join(met.select("doc").distinct(), "doc", "left_semi")
+    placed = materialize(met.join(placed_features(met_texts, counts, width, percent), ["key", "doc"]).groupBy("key", "doc", "comp", "n").agg(F.min("over").alias("over")))
+    release(met)
+    # groups first, by the sizes of their sets, so that rows of one group do not meet each other; of a pair that may be linked one side at least is not over
+    sizes = materialize(placed.groupBy("key", "comp", "n").agg(F.min("over").alias("over")))
+    side = lambda rows, c, *more: rows.select("key", *(F.col(x).alias(f"{x}{c}") for x in ("comp", "n", "over", *more)))
+    fits = f"{percent} * ny <= {percent} * nx - overx AND {percent} * nx <= {percent} * ny - overy"
+    sides = side(sizes.where("over <= 0"), "x").join(side(sizes, "y"), "key").where(f"compx != compy AND (overy > 0 OR compx < compy) AND {fits}").drop("overx", "overy")
+    near = sides.join(side(placed, "x", "doc"), ["key", "compx", "nx"]).join(side(placed, "y", "doc"), ["key", "compy", "ny"]).where(fits)
+    candidates = materialize(near.select(F.least("docx", "docy").alias("a"), F.greatest("docx", "docy").alias("b")).distinct())
+    release(placed, sizes)
+    named = candidates.select(F.col("a").alias("doc")).union(candidates.select("b")).distinct()
+    maps = materialize(parity_maps(open_texts.join(named, "doc", "left_semi"), width))
+    release(open_texts)
+    of = lambda c: maps.select(*(F.col(x).alias(f"{x}_{c}") for x in maps.columns)).withColumnRenamed(f"doc_{c}", c)
     # features in one set only: no fewer than the bits in which the parity maps differ
-    apart = sum((F.bit_count(F.col(f"{m}x").bitwiseXOR(F.col(f"{m}y"))) for m in _MAP), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in _MAP), F.lit(0))
     share = (100 - percent) / (100 + percent)
-    alike = (percent * F.greatest("nx", "ny") <= 100 * F.least("nx", "ny")) & (apart <= share * (F.col("nx") + F.col("ny")) + 1)
-    met_x = sides.join(side("x"), (F.col("key") == F.col("keyx")) & (F.col("cx") == F.col("compx")))
-    near = met_x.join(side("y"), (F.col("key") == F.col("keyy")) & (F.col("cy") == F.col("compy")) & alike)
-    pairs = materialize(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    pairs = materialize(candidates.join(of("a"), "a").join(of("b"), "b").where(apart <= share * (F.col("n_a") + F.col("n_b")) + 1).select("a", "b").distinct())
+    release(maps, candidates)
     signed_pairs = pairs.join(open_.select("sig", F.col("doc").alias("a")), "a").join(open_.select("sig", F.col("doc").alias("b")), ["sig", "b"], "left_semi")
     out = materialize(signed_pairs.select("a", "b").distinct())
-    release(few, open_, pairs)
+    release(open_, pairs)
     return out
 
 
