@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -39,7 +39,10 @@ def fold(talk: tuple, messages: list[tuple[int, int, str]], until_ms: int, silen
 
 
 class Conversation(StatefulProcessor):
-    """Keeps a user's messages until the watermark passes them, then folds them in order; one timer a user is set at a time."""
+    """Keeps a user's messages until the watermark passes them, then folds them in order; one timer a user is set at a time.
+
+    What a micro-batch brings for a user waits as one row of arrays, each message once: repeats change nothing.
+    """
 
     def __init__(self, silence_ms: int) -> None:
         self.silence_ms = silence_ms
@@ -47,24 +50,25 @@ class Conversation(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.talk = handle.getValueState("talk", "state string, confirmed long, voided long, timed_out long, seq long, last_ms long, last_id long")
-        self.waiting = handle.getListState("waiting", "ms long, event_id long, event_type string")
+        self.waiting = handle.getListState("waiting", "ms array<long>, event_id array<long>, event_type array<string>")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(m), int(i), k) for frame in rows for m, i, k in zip(frame["ms"], frame["event_id"], frame["event_type"], strict=True)]
+        new = {m for frame in rows for m in zip(*(frame[c].tolist() for c in ("ms", "event_id", "event_type")), strict=True)}
         if new:
-            self.waiting.appendList(new)
+            self.waiting.appendValue(self._packed(new))
             self._wake(min(new)[0])
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        every = [tuple(m) for m in self.waiting.get()] if self.waiting.exists() else []
-        talk = tuple(self.talk.get()) if self.talk.exists() else ("idle", 0, 0, 0, 0, -1, -1)
+        every = {m for kept in self.waiting.get() for m in zip(*(list(c) for c in kept), strict=True)}
+        talk = tuple(self.talk.get() or ("idle", 0, 0, 0, 0, -1, -1))
         told = fold(talk, [m for m in every if m[0] <= now], now, self.silence_ms)
         later = [m for m in every if m[0] > now]
-        self.waiting.clear()
         if later:
-            self.waiting.put(later)
+            self.waiting.put([self._packed(later)])
+        else:
+            self.waiting.clear()
         self.talk.update(told)
         ahead = [m[0] for m in later] + ([told[5] + self.silence_ms + 1] if told[0] == "confirm" else [])
         if ahead:
@@ -73,6 +77,11 @@ class Conversation(StatefulProcessor):
             state, confirmed, voided, timed_out, seq, _, _ = told
             yield pd.DataFrame({"user_id": [key[0]], "seq": [seq], "state": [state], "confirmed": [confirmed], "voided": [voided], "timed_out": [timed_out]})
 
+    @staticmethod
+    def _packed(messages: Iterable[tuple[int, int, str]]) -> tuple[list[int], list[int], list[str]]:
+        ms, ids, kinds = zip(*messages, strict=True)
+        return [int(m) for m in ms], [int(i) for i in ids], list(kinds)
+
     def _wake(self, ms: int) -> None:
         """The earliest timer stays; a later one is replaced."""
         timers = list(self.handle.listTimers())
