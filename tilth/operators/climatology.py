@@ -75,19 +75,17 @@ def thin_stretches(baseline: DataFrame, keys: list[str], least: int = 5) -> Data
 def score_observations(season: DataFrame, baseline: DataFrame, history: DataFrame, keys: list[str], window: int = WINDOW) -> DataFrame:
     """Each season observation (with all its columns) against its day: below p10, robust z and mid-rank percentile in the day's pool.
 
-    Pool and season are sorted together once for each key and day, and ranks are running counts: no
-    observation is compared with each of its pool.
+    A season is a small part of its history, so each of its observations is sent to the days of its pool, where its rank is a
+    running count over the day's sorted values; the ranks of the days add up to that in the pool. History is not multiplied.
     """
-    asked = season.select(*keys, F.col("doy").alias("target"), "value", F.lit(0).cast("long").alias("w"), F.lit(True).alias("asked")).distinct()
-    counts = history.where(F.col("value").isNotNull()).groupBy(*keys, "doy", "value").agg(F.count("*").alias("w"))
-    pool = spread_to_days(counts, window).join(season.select(*keys, F.col("doy").alias("target")).distinct(), [*keys, "target"], "left_semi")
-    both = pool.select(*keys, "target", "value", "w", F.lit(False).alias("asked")).union(asked).groupBy(*keys, "target", "value").agg(F.sum("w").alias("w"), F.bool_or("asked").alias("asked"))
+    counts = history.where(F.col("value").isNotNull()).groupBy(*keys, F.col("doy").alias("target"), "value").agg(F.count("*").alias("w"))
+    asked = spread_to_days(season.where(F.col("value").isNotNull()).select(*keys, "doy", "value").distinct(), window)
+    both = counts.select(*keys, "target", "value", "w", F.lit(None).cast("int").alias("doy")).union(asked.select(*keys, "target", "value", F.lit(0).cast("long").alias("w"), F.col("doy").cast("int")))
     order = Window.partitionBy(*keys, "target").orderBy("value")
-    running = both.select(
-        *keys, F.col("target").alias("doy"), "value", "asked", F.col("w").alias("ties"), (F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("w")).alias("below"),
-        F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("n"),
-    )
-    ranked = running.where("asked and n > 0").drop("asked")
+    upto, ties = (F.sum("w").over(order.rangeBetween(start, Window.currentRow)) for start in (Window.unboundedPreceding, Window.currentRow))
+    whole = F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    running = both.select(*keys, "doy", "value", upto.alias("upto"), ties.alias("ties"), whole.alias("n")).where("doy is not null")
+    ranked = running.groupBy(*keys, "doy", "value").agg(F.sum(F.col("upto") - F.col("ties")).alias("below"), F.sum("ties").alias("ties"), F.sum("n").alias("n")).where("n > 0")
     rows = season.join(baseline.select(*keys, "doy", "p10", "p25", "median", "p75", "confidence"), [*keys, "doy"], "left").join(ranked, [*keys, "doy", "value"], "left")
     return rows.select(
         *season.columns, "median", "p10", mid_rank(F.col("below"), F.col("ties"), F.col("n")).alias("percentile"),
