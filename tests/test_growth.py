@@ -71,6 +71,26 @@ def test_equal_boxes_are_compared_once(spark):
     assert sorted(map(tuple, df.collect())) == want
 
 
+def test_pairs_of_ids_are_not_shuffled(spark, monkeypatch):
+    rnd = random.Random(3)
+    corner = lambda: (x := rnd.randrange(-5, 12), y := rnd.randrange(-5, 12), x + rnd.randrange(-1, 7), y + rnd.randrange(-1, 7))
+    shapes = [tuple(map(float, corner())) for _ in range(40)]
+    boxes = [(i, *rnd.choice(shapes)) for i in range(150)] + [(200 + i, 0.0, 0.0, 4.0, 4.0) for i in range(50)] + [(500, 0.0, 0.0, None, 4.0), (None, 0.0, 0.0, 4.0, 4.0)]
+    boxes += boxes[:9] + [(7, 0.0, 0.0, 4.0, 4.0)]  # rows that stand twice count twice, as in SQL, and an id with two boxes is no pair
+    monkeypatch.setattr(overlap, "LISTED", 3, raising=False)
+    monkeypatch.setattr(overlap, "MET", 500, raising=False)
+    df = overlap.box_pairs(spark.createDataFrame(boxes, "id long, x0 double, y0 double, x1 double, y1 double"), 4.0, 0.3)
+    assert plan(df).count("SortMergeJoin") == 1 and "BroadcastHashJoin" not in plan(df)
+    want = []
+    for a in boxes:
+        for b in boxes:
+            if None not in a + b and a[0] < b[0]:
+                w, h = min(a[3], b[3]) - max(a[1], b[1]), min(a[4], b[4]) - max(a[2], b[2])
+                if w > 0 and h > 0 and (share := w * h / min((a[3] - a[1]) * (a[4] - a[2]), (b[3] - b[1]) * (b[4] - b[2]))) >= 0.3:
+                    want.append((a[0], b[0], share))
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
 def test_running_median_writes_no_pairs(spark):
     rnd = random.Random(5)
     rows_ = [("a", i, rnd.randrange(-3000, 30000), rnd.choice([rnd.random(), None, 0.5])) for i in range(400)] + [("b", 0, 7, None), ("b", 1, 10**6, float("nan")), (None, 2, 7, 1.0), ("b", 3, None, 1.0)]

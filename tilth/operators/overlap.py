@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilth.functions.geo import in_ring
+from tilth.operators.quantiles import beside
 from tilth.sources.shared import materialize
 
+#: Ids of a box that are sent as one list (about), and pairs of ids (met by cells, alike or not) that are work for a task.
+LISTED, MET = 64, 1 << 24
+#: Groups that the lists of a cell are dealt in at most, and tasks of pairs at most.
+MOST_GROUPS, MOST_TASKS = 32, 4096
+
 
 def cells_of(shapes: DataFrame, keys: list[str], cell: float) -> DataFrame:
     """Cells (i, j) whose centre is inside each shape (ring); a shape without any takes its middle cell."""
@@ -56,23 +64,37 @@ def resample(source: DataFrame, target: DataFrame) -> DataFrame:
     return target.join(got, "id", "left")
 
 
-def box_pairs(boxes: DataFrame, cell: float, least: float) -> DataFrame:
-    """Pairs of boxes (id, x0, y0, x1, y1) whose overlap is at least a share of the smaller; meeting by cells."""
-    # equal boxes are one shape, compared once; a pair of shapes meets in the cell of its overlap's low corner only
+def box_pairs(boxes: DataFrame, cell: float, least: float, digits: int | None = None) -> DataFrame:
+    """Pairs of boxes (id, x0, y0, x1, y1) whose overlap is at least a share of the smaller; meeting by cells.
+
+    Equal boxes are one shape, whose ids go about in lists: lists meet, and pairs of ids are told only as they are read, so
+    that they are never shuffled. The share is rounded to digits, if any, once for two lists.
+    """
     corners = ["x0", "y0", "x1", "y1"]
-    boxes = boxes.where("id is not null").select("id", *corners).distinct()
-    shapes = materialize(boxes.groupBy(*corners).agg(F.min("id").alias("shape")))
-    members = materialize(boxes.join(shapes.hint("merge"), corners).select("shape", "id"))
+    boxes = boxes.where("id is not null and x1 > x0 and y1 > y0").select("id", *corners)
+    lists = boxes.groupBy(*corners).agg(F.ceil(F.count("*") / LISTED).alias("lists"))
+    dealt = beside(boxes, lists, corners).withColumn("part", F.pmod(F.xxhash64("id"), "lists"))
+    shapes = materialize(dealt.groupBy(*corners, "part").agg(F.collect_list("id").alias("ids")).drop("part").withColumn("list", F.monotonically_increasing_id()))
     line = lambda c: F.sequence(F.floor(F.col(f"{c}0") / cell), F.floor(F.col(f"{c}1") / cell))
     spread = shapes.withColumn("i", F.explode(line("x"))).withColumn("j", F.explode(line("y")))
-    other = spread.select("i", "j", *(F.col(c).alias(f"o_{c}") for c in ("shape", *corners)))
+    # the lists of a cell are dealt in groups, and two groups are one key: a full cell is work for many tasks
+    met = spread.groupBy("i", "j").agg(F.pow(F.sum(F.size("ids")), F.lit(2.0)).alias("met")).agg(F.max("met"), F.sum("met")).first()
+    groups = min(max(math.ceil(math.sqrt((met[0] or 0) / (4 * MET))), 1), MOST_GROUPS)
+    tasks = min(1 + math.ceil((met[1] or 0) / (2 * MET)), MOST_TASKS)
+    keys, own = ["i", "j", "g", "h"], F.pmod(F.xxhash64("list"), F.lit(groups))
+    left = spread.withColumn("g", own).withColumn("h", F.explode(F.sequence("g", F.lit(groups - 1).cast("long"))))
+    right = spread.withColumn("h", own).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), "h")))
+    other = right.select(*keys, *(F.col(c).alias(f"o_{c}") for c in ("list", *corners, "ids")))
+    # a number of tasks that is told is kept: by their bytes lists would be few tasks
+    both = left.repartition(tasks, *keys).join(other.repartition(tasks, *keys).hint("merge"), keys)
+    # a pair of lists meets in the cell of its overlap's low corner only
     low = lambda c: F.floor(F.greatest(f"{c}0", f"o_{c}0") / cell)
-    pairs = spread.join(other.hint("merge"), ["i", "j"]).where((F.struct("shape", *corners) <= F.struct("o_shape", *(f"o_{c}" for c in corners))) & (F.col("i") == low("x")) & (F.col("j") == low("y")))
+    pairs = both.where(((F.col("g") < F.col("h")) | (F.col("list") <= F.col("o_list"))) & (F.col("i") == low("x")) & (F.col("j") == low("y")))
     wide = F.least("x1", "o_x1") - F.greatest("x0", "o_x0")
     high = F.least("y1", "o_y1") - F.greatest("y0", "o_y0")
     area = lambda p: (F.col(f"{p}x1") - F.col(f"{p}x0")) * (F.col(f"{p}y1") - F.col(f"{p}y0"))
     share = wide * high / F.least(area(""), area("o_"))
-    alike = pairs.where((wide > 0) & (high > 0)).select("shape", "o_shape", share.alias("share")).where(F.col("share") >= least)
-    ids = alike.join(members, "shape").join(members.select(F.col("shape").alias("o_shape"), F.col("id").alias("o_id")), "o_shape")
-    # within one shape each pair comes in both orders
-    return ids.where((F.col("id") < F.col("o_id")) | ((F.col("id") > F.col("o_id")) & (F.col("shape") != F.col("o_shape")))).select(F.least("id", "o_id").alias("id"), F.greatest("id", "o_id").alias("other"), "share")
+    alike = pairs.where((wide > 0) & (high > 0) & (share >= least)).withColumn("share", share if digits is None else F.round(share, digits))
+    ids = alike.select("list", "o_list", "share", "o_ids", F.explode("ids").alias("id")).select("list", "o_list", "share", "id", F.explode("o_ids").alias("o_id"))
+    # within one list each pair comes in both orders
+    return ids.where((F.col("id") < F.col("o_id")) | ((F.col("id") > F.col("o_id")) & (F.col("list") != F.col("o_list")))).select(F.least("id", "o_id").alias("id"), F.greatest("id", "o_id").alias("other"), "share")

@@ -96,7 +96,7 @@ p AS (SELECT a.id, b.id AS other, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) AS
 SELECT id, other, round(w * h / area, 6) AS share FROM p WHERE w > 0 AND h > 0 AND w * h / area >= 0.3""")
 def box_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "part").selectExpr("p_partkey as id", "double(p_size) as x0", "double(p_partkey % 37) as y0", "double(p_size + 3 + p_partkey % 4) as x1", "double(p_partkey % 37 + 2 + p_partkey % 5) as y1")
-    return overlap.box_pairs(b, 6.0, 0.3).withColumn("share", F.round("share", 6))
+    return overlap.box_pairs(b, 6.0, 0.3, digits=6)
 
 
 @query(f"""WITH {_PIX}, t AS (SELECT row * 64 + col AS id, (row % 50) + 0.3 AS y, col + 0.6 AS x FROM px), s AS (SELECT row, col, avg(v) AS v FROM (SELECT row % 50 AS row, col, v FROM px) GROUP BY 1, 2),
