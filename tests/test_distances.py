@@ -42,6 +42,23 @@ def test_opening_parts_a_neck(spark):
     assert not any(22 < c < 27 for _, c in got) and {c < 25 for _, c in got} == {True, False}
 
 
+def test_opening_where_cells_are_missing(spark):
+    """Tiles and their halos against all pairs, in rasters that lack cells: a missing cell is neither in the set nor outside it."""
+    rng = np.random.default_rng(7)
+    there = rng.random((37, 300)) < 0.8
+    inside = there & (rng.random((37, 300)) < 0.99)
+    r, c = np.nonzero(there)
+    rows = pd.DataFrame({"raster": "a", "row": r - 9, "col": c, "v": inside[r, c].astype(int), "name": r * 1000 + c})
+    got = distances.opened(spark.createDataFrame(rows), F.col("v") == 1, 1.5, 2.0).collect()
+    core = there & (plain(there & ~inside) > 3.5**2)
+    want = {(int(a) - 9, int(b)) for a, b in np.argwhere(there & (plain(core) <= 2.0**2))}
+    assert {(x.row, x.col) for x in got} == want and len(got) == len(want) > 100
+    named = distances.opened(spark.createDataFrame(rows), F.col("v") == 1, 1.5, 2.0, ("name",)).collect()
+    assert {(x.row, x.col) for x in named} == want and all(x.name == (x.row + 9) * 1000 + x.col for x in named)
+    none = distances.opened(spark.createDataFrame(rows), F.col("v") < 5, 1.5, 2.0)
+    assert none.count() == len(rows)  # nothing is outside
+
+
 def test_least_rectangle():
     rng = np.random.default_rng(4)
     for _ in range(20):

@@ -125,6 +125,32 @@ def test_cells_are_not_broadcast_to_cells(spark, plans):
     assert not any("BroadcastHashJoin" in p and "cell" in p.split("BroadcastHashJoin")[1].split("]")[0] for p in plans)
 
 
+def test_labels_and_not_cells_meet_over_the_edges_of_tiles(spark, monkeypatch):
+    rnd = random.Random(8)
+    cells = {("a", r, c) for r in range(-7, 30) for c in range(41) if rnd.random() < 0.62} | {("b", r, c) for r in range(20) for c in range(20) if (r % 4 == 0 or c == (19 if r // 4 % 2 == 0 else 0)) and r < 17}
+    written = []
+    keep = raster.materialize
+    monkeypatch.setattr(raster, "materialize", lambda df: (written.append(keep(df)), written[-1])[1])
+    rows_ = [*sorted(cells), ("a", None, 1), (None, 1, 1)]
+    df = raster.components(spark.createDataFrame(rows_, "raster string, row int, col int"), tile=5)
+    got = {(x.raster, x.row, x.col): x.label for x in df.collect()}
+    assert df.dtypes == [("raster", "string"), ("row", "int"), ("col", "int"), ("label", "bigint")] and got.keys() == cells
+    key = lambda p: p[1] * (1 << 31) + p[2]
+    left, want = set(cells), {}
+    while left:
+        part, todo = set(), [left.pop()]
+        while todo:
+            part.add(p := todo.pop())
+            near = {(p[0], p[1] + a, p[2] + b) for a, b in ((0, 1), (0, -1), (1, 0), (-1, 0))} & left
+            left -= near
+            todo += near
+        want |= dict.fromkeys(part, min(map(key, part)))
+    assert got == want and len(set(want.values())) > 5
+    assert written[0].count() == len(cells) and all(df.count() < len(cells) for df in written[1:])
+    once = raster.components(spark.createDataFrame(rows_, "raster string, row int, col int").withColumn("name", raster.F.col("row") * 7), ("name",), tile=64).collect()
+    assert {(x.raster, x.row, x.col): x.label for x in once} == want and all(x.name == 7 * x.row for x in once)
+
+
 @pytest.fixture
 def no_small_sides(spark):
     """As with tables too large to be broadcast unasked."""

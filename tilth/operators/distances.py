@@ -2,12 +2,14 @@
 
 The Euclidean distance of a cell to the nearest cell of a set is found in two passes: along each row the nearest one
 before and after, by windows; then along each column the lower envelope of the parabolas that the rows' distances
-make. A row and a column are one key each, and no cell is compared with more than it needs.
+make. A row and a column are one key each, and no cell is compared with more than it needs. Where only distances up
+to a radius matter, tiles with halos are worked on by themselves.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilth.operators import raster as R
+from tilth.operators.quantiles import beside
 from tilth.sources.shared import materialize
 
 #: Square metres of an acre, and the everyday size of a field in acres (fixed values).
@@ -59,14 +62,41 @@ def distance(cells: DataFrame, inside: Column) -> DataFrame:
     return got.select(*R.PIXEL, F.nanvl("d2", F.lit(None).cast("double")).alias("d2"))
 
 
-def opened(cells: DataFrame, inside: Column, shrink: float, radius: float) -> DataFrame:
-    """The cells of a set further than shrink + radius (in cells) from any cell outside it, and those within `radius` of these: necks narrower than that are parted.
+def _near(hit: np.ndarray, most: int) -> np.ndarray:
+    """Whether a cell of the grid is within a squared distance of one that is hit: rows at each distance, widened by what is left."""
+    reach = math.isqrt(most)
+    high, wide = hit.shape
+    count = np.zeros((high, wide + 1), dtype=np.int64)
+    np.cumsum(hit, axis=1, out=count[:, 1:])
+    out = np.zeros_like(hit)
+    for d in range(min(reach, high - 1) + 1):
+        w = math.isqrt(most - d * d)
+        ends = np.arange(wide)
+        some = count[:, np.minimum(ends + w + 1, wide)] > count[:, np.maximum(ends - w, 0)]
+        out[: high - d] |= some[d:]
+        out[d:] |= some[: high - d]
+    return out
 
-    What lies beyond the raster is not outside the set; give a border where it is.
+
+def opened(cells: DataFrame, inside: Column, shrink: float, radius: float, more: tuple[str, ...] = ()) -> DataFrame:
+    """The cells of a set (with more of their columns) further than shrink + radius (in cells) from any cell outside it, and those within `radius` of these: necks narrower than that are parted.
+
+    What lies beyond the raster is not outside the set; give a border where it is. Only near cells decide, so tiles with halos are
+    opened by themselves. A cell that stands twice is inside if one of its rows is.
     """
-    out = distance(cells, ~F.coalesce(inside, F.lit(False)))
-    core = materialize(out.select(*R.PIXEL, (F.col("d2").isNull() | (F.col("d2") > (shrink + radius) ** 2)).alias("core")))
-    return distance(core, F.col("core")).where(F.col("d2") <= radius**2).select(*R.PIXEL)
+    far, near = math.floor((shrink + radius) ** 2), math.floor(radius**2)
+    rows = cells.select(*R.PIXEL, *more, F.coalesce(inside, F.lit(False)).alias("_in")).where("raster is not null and row is not null and col is not null")
+
+    def made(frame: pd.DataFrame, r: np.ndarray, c: np.ndarray, own: np.ndarray, width: int) -> pd.DataFrame:
+        known, member = np.zeros((width, width), dtype=bool), np.zeros((width, width), dtype=bool)
+        known[r, c] = True
+        within = frame["_in"].to_numpy(dtype=bool)
+        member[r[within], c[within]] = True
+        core = known & ~_near(known & ~member, far)
+        return frame.loc[own & _near(core, near)[r, c], [*R.PIXEL, *more]]
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("_in").schema)
+    return R.in_tiles(rows, math.isqrt(far) + math.isqrt(near), made, kept)
 
 
 def least_rectangle(points: np.ndarray) -> float:
@@ -98,27 +128,31 @@ def traced_fields(classes: DataFrame, codes: list[int], cell_m: float, inset_m:
     """
     acres = lambda n: n * cell_m**2 / SQ_M_PER_ACRE
     crop = F.col("v").isin(*codes)
-    blocks = materialize(R.components(classes.where(crop)).select(*R.PIXEL, F.col("label").alias("block")))
+    blocks = materialize(R.components(classes.where(crop)).withColumnRenamed("label", "block"))
     large = blocks.groupBy("raster", "block").agg(F.count("*").alias("n")).where(acres(F.col("n")) >= least_acres)
-    member = materialize(blocks.join(large.select("raster", "block"), ["raster", "block"]))
-    # joins of cells with cells are merged: their files are small, and a broadcast would go through the driver
-    cells = classes.select(*R.PIXEL).join(member.hint("merge"), R.PIXEL, "left")
-    inner = materialize(opened(cells, F.col("block").isNotNull(), inset_m / cell_m, neck_m / cell_m))
-    parts = materialize(R.components(inner).join(member.hint("merge"), R.PIXEL))
+    member = beside(blocks, large.select("raster", "block"), ["raster", "block"]).select(*R.PIXEL, "block", F.lit(True).alias("member"))
+    # cells of the map and of its blocks stand side by side and meet in their tiles, without a join
+    cells = classes.select(*R.PIXEL, F.lit(0).cast("long").alias("block"), F.lit(False).alias("member")).union(member)
+    inner = materialize(opened(cells, F.col("member"), inset_m / cell_m, neck_m / cell_m, ("block", "member")).where("member"))
+    parts = materialize(R.components(inner, ("block",)))
     sizes = parts.groupBy("raster", "block", "label").agg(F.count("*").alias("n"), F.avg("row").alias("row"), F.avg("col").alias("col"))
     first = sizes.groupBy("raster", "block").agg(F.max_by(F.struct("label", "n", "row", "col"), F.struct("n", -F.col("label"))).alias("x")).select("raster", "block", "x.*")
     fits = first.withColumn("acres", acres(F.col("n"))).where(F.col("acres").between(least_acres, most_acres))
-    own = parts.join(fits.select("raster", "label"), ["raster", "label"])
+    own = materialize(beside(parts, fits.select("raster", "label"), ["raster", "label"]).select(*R.PIXEL, "label"))
+    # joins of cells with cells are merged: their files are small, and a broadcast would go through the driver
     pure = own.join(classes.select(*R.PIXEL, crop.alias("crop")).hint("merge"), R.PIXEL).groupBy("raster", "label").agg(F.avg(F.col("crop").cast("double")).alias("purity"))
     # a hull's corners are the ends of rows
     rims = own.groupBy("raster", "label", "row").agg(F.min("col").alias("c0"), F.max("col").alias("c1"))
 
-    def rectangle(part: pd.DataFrame) -> pd.DataFrame:
-        corners = [part[["row", c]].to_numpy(np.float64) + [dr, dc] for c, dc in (("c0", 0.0), ("c1", 1.0)) for dr in (0.0, 1.0)]
-        return pd.DataFrame({"raster": part["raster"][:1], "label": part["label"][:1], "around": [least_rectangle(np.concatenate(corners))]})
+    def rectangle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for fields in batches:
+            ends = [np.array([list(x) for x in rim], dtype=np.float64) for rim in fields["rim"]]
+            corners = [np.concatenate([rim[:, [0, c]] + [dr, c - 1.0] for c in (1, 2) for dr in (0.0, 1.0)]) for rim in ends]
+            yield fields[["raster", "label"]].assign(around=[least_rectangle(x) for x in corners])
 
     kind = classes.schema["raster"].dataType.simpleString()
-    boxes = rims.groupBy("raster", "label").applyInPandas(rectangle, f"raster {kind}, label long, around double")
+    rim = F.collect_list(F.array(*(F.col(c).cast("long") for c in ("row", "c0", "c1"))))
+    boxes = rims.groupBy("raster", "label").agg(rim.alias("rim")).mapInPandas(rectangle, f"raster {kind}, label long, around double")
     told = fits.join(pure, ["raster", "label"]).join(boxes, ["raster", "label"]).where(F.col("purity") >= least_purity)
     boxy = F.col("n") / F.col("around")
     usual = F.exp(-F.pow(F.log("acres") - math.log(USUAL_ACRES), F.lit(2.0)) / 2)

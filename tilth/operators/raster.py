@@ -84,19 +84,62 @@ def surface_height(top: DataFrame, ground: DataFrame, most: float) -> DataFrame:
     return rows.select(*PIXEL, F.when(h.isNotNull(), F.least(F.greatest(h, F.lit(0.0)), F.lit(most))).alias("v"), (h < 0).alias("clamped"))
 
 
-def components(cells: DataFrame) -> DataFrame:
-    """4-connected components of cells (raster, row, col): label is the least cell key of the component.
+def first_of_each(grid: np.ndarray) -> np.ndarray:
+    """For each cell of the grid that is set, the least place (row * width + col) of its 4-connected component; -1 elsewhere.
 
-    Labels spread to neighbours and jump along their own pointers, so rounds grow with the logarithm
-    of a component's extent; each round is written to the shared folder.
+    Runs of cells in a row are numbered in order and joined to those below that they touch: the greater root takes the less.
     """
-    key = F.col("row") * F.lit(1 << 31) + F.col("col")
-    cells = materialize(cells.select("raster", "row", "col", key.alias("cell")))
-    kernel = offsets(1, lambda a, b: 1.0 if abs(a) + abs(b) <= 1 else 0.0)
-    around = cells.select("raster", F.col("cell").alias("from"), F.explode(kernel).alias("k"), "row", "col").select("raster", "from", ((F.col("row") + F.col("k.dr")) * F.lit(1 << 31) + F.col("col") + F.col("k.dc")).alias("to"))
-    # all are as many as the cells: merged, as their files are small and a broadcast would go through the driver
-    edges = materialize(around.join(cells.select("raster", F.col("cell").alias("to")).hint("merge"), ["raster", "to"]))
-    labels = cells.select("raster", "cell", F.col("cell").alias("label"))
+    high, width = grid.shape
+    start = grid.copy()
+    start[:, 1:] &= ~grid[:, :-1]
+    run = np.cumsum(start.ravel()).reshape(high, width) - 1
+    first = np.flatnonzero(start.ravel())
+    touch = grid[:-1] & grid[1:]
+    a, b = run[:-1][touch], run[1:][touch]
+    root = np.arange(len(first))
+    while len(a):
+        low, top = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != top
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, top[apart], low[apart])
+        while not np.array_equal(root, after := root[root]):
+            root = after
+    out = np.full(grid.shape, -1, dtype=np.int64)
+    out[grid] = first[root[run[grid]]]
+    return out
+
+
+def components(cells: DataFrame, more: tuple[str, ...] = (), tile: int = TILE) -> DataFrame:
+    """4-connected components of cells (raster, row, col and more): label is the least cell key of the component.
+
+    Tiles are labelled by themselves. What is joined over their edges are labels, not cells: labels spread to those they meet
+    and jump along their own pointers, so rounds grow with the logarithm of the tiles that a component runs through; each
+    round is written to the shared folder.
+    """
+    cells = cells.select(*PIXEL, *more).where("raster is not null and row is not null and col is not null")
+
+    def made(frame: pd.DataFrame, r: np.ndarray, c: np.ndarray, own: np.ndarray, width: int) -> pd.DataFrame:
+        grid = np.zeros((width, width), dtype=bool)
+        grid[r, c] = True
+        at = first_of_each(grid)[r, c]
+        row0, col0 = int(frame["row"].iloc[0]) - int(r[0]), int(frame["col"].iloc[0]) - int(c[0])
+        return frame[[*PIXEL, *more]].assign(label=(row0 + at // width) * (1 << 31) + col0 + at % width)
+
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema)
+    local = materialize(in_tiles(cells, 0, made, f"{kept}, label long", tile))
+
+    def across(axis: str) -> DataFrame:
+        place = F.pmod(F.col(axis), F.lit(tile))
+        before = local.where(place == tile - 1).select(*PIXEL, F.col("label").alias("from")).withColumn(axis, F.col(axis) + 1)
+        after = local.where(place == 0).select(*PIXEL, F.col("label").alias("to"))
+        return before.join(after.hint("merge"), PIXEL).select("raster", "from", "to")
+
+    met = across("row").union(across("col"))
+    ends = F.explode(F.array(*(F.struct(F.col(a).alias("from"), F.col(b).alias("to")) for a, b in (("from", "to"), ("to", "from"), ("from", "from"), ("to", "to")))))
+    edges = materialize(met.distinct().select("raster", ends.alias("e")).select("raster", "e.*").distinct())
+    if edges.isEmpty():
+        return local
+    labels = edges.where(F.col("from") == F.col("to")).select("raster", F.col("from").alias("cell"), F.col("from").alias("label"))
     before = None
     while True:
         low = edges.join(labels.withColumnRenamed("cell", "to").hint("merge"), ["raster", "to"]).groupBy("raster", F.col("from").alias("cell")).agg(F.min("label").alias("label"))
@@ -104,8 +147,10 @@ def components(cells: DataFrame) -> DataFrame:
         labels = materialize(low.join(jump.hint("merge"), ["raster", "label"], "left").select("raster", "cell", F.least("label", F.coalesce("next", "label")).alias("label")))
         total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
         if total == before:
-            return cells.join(labels.hint("merge"), ["raster", "cell"]).drop("cell")
+            break
         before = total
+    moved = labels.where("cell != label").select("raster", F.col("cell").alias("label"), F.col("label").alias("least"))
+    return local.join(moved.hint("merge"), ["raster", "label"], "left").select(*PIXEL, *more, F.coalesce("least", "label").alias("label"))
 
 
 def fill_small_holes(pixels: DataFrame, most: int, reach: int) -> DataFrame:
